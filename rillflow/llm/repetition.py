@@ -121,7 +121,7 @@ def measured(texts: list[str | None], least: int) -> list[tuple[int, ...]]:
     return out
 
 
-def assess(docs: DataFrame, least: int = 10, max_covered: float = 0.3, max_repeat: int = 100) -> DataFrame:
+def assess(docs: DataFrame, least: int = 10, max_covered: float = 0.3, max_repeat: int = 50) -> DataFrame:
     """One row for each of docs with its counts, covered fraction, longest repeat, base_failed and kept.
 
     kept: the base rule passes, at most max_covered of the words lie in repeated runs of `least` words or more, and no
