@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillflow.llm import licenses, repetition, secrets, simhash, toxicity
+from rillflow.llm import licenses, mixing, repetition, secrets, simhash, toxicity
 from rillflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,40 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The draws, shards and places that stand behind `taken` stay in mixing.plan; SQL can't name them."""
+    found = mixing.plan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE_SQL["op2_mixing"] = """
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+         md5(concat_ws(chr(31), coalesce(doc_id::VARCHAR, ''), coalesce(source, ''), coalesce(text, ''))) AS k
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (
+  SELECT *, ((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::BIGINT AS w,
+         source_size * 3 AS cap, (sum(source_size) OVER ())::BIGINT AS total FROM s),
+o AS (
+  SELECT *, coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
+         (sum(w) OVER (ORDER BY cap::DOUBLE / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS rest FROM w),
+f AS (SELECT *, (total - before)::DOUBLE * w >= cap::DOUBLE * rest AS is_full FROM o),
+t AS (
+  SELECT source, source_size,
+         CASE WHEN is_full THEN cap::DOUBLE
+              ELSE (w * (total - (sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ())::BIGINT))::DOUBLE
+                   / (sum(CASE WHEN is_full THEN 0 ELSE w END) OVER ())::DOUBLE END AS target FROM f),
+p AS (
+  SELECT d.*, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS len,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (size * ((a < len)::INT + (source_size + a < len)::INT + (2 * source_size + a < len)::INT))::BIGINT AS taken FROM p
+"""
+
+
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
