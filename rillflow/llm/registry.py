@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillflow.llm import licenses, mixing, repetition, secrets, simhash, toxicity
+from rillflow.llm import licenses, mixing, packing, repetition, secrets, simhash, toxicity
 from rillflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.assess(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
