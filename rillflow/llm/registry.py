@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rillflow.llm import licenses, mixing, packing, repetition, secrets, simhash, toxicity
+from rillflow.llm import ann, licenses, mixing, packing, repetition, secrets, simhash, toxicity
 from rillflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +74,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ann.build(table(spark, sf_dir, "embeddings"))
+    return ann.search(index, index.rows.filter(F.col("vec_id") % 20 == 0) if index else table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
