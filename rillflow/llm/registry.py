@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm import ann, licenses, mixing, packing, repetition, secrets, simhash, toxicity
-from rillflow.llm.common import table
+from rillflow.llm import ann, chat, licenses, mixing, packing, repetition, secrets, sharding, simhash, toxicity
+from rillflow.llm.common import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -19,6 +19,17 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of documents appended in small shards and compacted: where each document ends up."""
+    docs = table(spark, sf_dir, "documents")
+    store = sharding.ShardStore(spark, fresh_path(spark, "shards"), docs.schema)
+    store.append(docs)
+    store.compact()
+    store.vacuum()
+    return store.placed("doc_id")
+
+
 @query
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The draws, shards and places that stand behind `taken` stay in mixing.plan; SQL can't name them."""
@@ -69,6 +80,25 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
+ORACLE_SQL["op6_chat_format"] = """
+WITH t AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS position
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)),
+c AS (SELECT conv_id, count(*) AS n, list({'role': role, 'text': text} ORDER BY position) AS turns FROM t GROUP BY conv_id),
+w AS (SELECT turns, any_value(n) AS n, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY turns),
+p AS (SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, n)) AS k FROM c)),
+m AS (SELECT * FROM w ANTI JOIN p USING (turns))
+SELECT t.conv_id, t.position::BIGINT AS position, m.n::BIGINT AS n_turns, m.n_copies::BIGINT AS n_copies,
+       '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS rendered
+FROM t JOIN m ON t.conv_id IS NOT DISTINCT FROM m.conv_id
+"""
+
+
 @query
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
