@@ -1,20 +1,314 @@
-"""Queries over the supplied tables, one per operator, with the same results as DuckDB SQL."""
+"""Queries over the supplied tables, one or more for each operator, with the same results as DuckDB SQL.
+
+Input order is the table's unique key, where an operator depends on it.
+"""
 
 from __future__ import annotations
 
+import asyncio
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from rillflow.config import PipelineConfig, Workload
+from rillflow.functions import affine_wrapping, failure
+from rillflow.operators import Fence
+from rillflow.operators.order import chunked, gap_free, zipped
+from rillflow.plans import Pipe, StreamPipe, TryPipe, pipe, stream
+from rillflow.plans.scope import scope
+from rillflow.streaming import run_available
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def _doc_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.length("text").cast("bigint").alias("size"), F.md5("text").alias("digest"))
+def query(sql: str | None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def work_folder(spark: SparkSession, what: str) -> str:
+    """A fresh folder that driver and executors share."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rillflow-")
+    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def orders(spark: SparkSession, sf_dir: str) -> Pipe:
+    """Order keys as items."""
+    return pipe(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("value")), seq="value")
+
+
+def events(spark: SparkSession, sf_dir: str) -> StreamPipe:
+    """Event ids as items."""
+    return stream(read(spark, sf_dir, "events").select(F.col("event_id").alias("value")), seq="value")
+
+
+# -- sources, maps and filters ------------------------------------------------------------------------------------------
+
+
+@query("SELECT (l_orderkey + 1) * 3 - 7 AS value FROM lineitem")
+def map_chain(spark, sf_dir):
+    """Three maps, which the optimizer collapses into one projection of one column."""
+    keys = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("value"))
+    return Pipe(keys).map("value + 1").map("value * 3").map("value - 7").to_df()
+
+
+@query("SELECT o_orderkey * 10 AS value FROM orders WHERE o_orderkey % 3 = 0")
+def filter_map(spark, sf_dir):
+    """F1 and P1."""
+    return orders(spark, sf_dir).filter("value % 3 = 0").map("value * 10").to_df()
+
+
+def _wrapped(steps: int) -> str:
+    """SQL of the affine map collapsed by the same arithmetic that the function uses."""
+    scale, shift = 1, 0
+    for _ in range(steps):
+        scale, shift = scale * 31 % 2**64, (shift * 31 + 17) % 2**64
+    return f"SELECT o_orderkey, CAST((CAST(o_orderkey AS HUGEINT) * {scale} + {shift}) % 18446744073709551616 AS VARCHAR) AS value FROM orders"
+
+
+@query(_wrapped(200))
+def cpu_heavy(spark, sf_dir):
+    """P1 with unsigned 64-bit wrap-around: 200 steps of x * 31 + 17."""
+    keys = read(spark, sf_dir, "orders").select("o_orderkey")
+    return Pipe(keys).map({"o_orderkey": F.col("o_orderkey"), "value": affine_wrapping(F.col("o_orderkey"), 31, 17, 200).cast("string")}).to_df()
+
+
+@query("SELECT o_orderkey * 3 - 1 AS value FROM orders WHERE o_orderkey % 3 = 1")
+def opaque_chain(spark, sf_dir):
+    """P1 and F1 with Python callables: map, filter and map fused into one pass."""
+    return orders(spark, sf_dir).map(lambda x: x - 1).filter(lambda x: x % 3 == 0).map(lambda x: (x + 1) * 3 - 1).to_df()
+
+
+@query("SELECT l_orderkey * 2 AS value FROM lineitem")
+def workload_unbalanced(spark, sf_dir):
+    """The same rows, dealt to more and smaller tasks."""
+    keys = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("value"))
+    return Pipe(keys).with_workload(Workload.UNBALANCED).map("value * 2").to_df()
+
+
+@query("SELECT o_orderkey + 5 AS value FROM orders")
+def blocking_oversubscribed(spark, sf_dir):
+    """A Python stage on several threads of each task."""
+    return orders(spark, sf_dir).with_oversubscribe(4).map(lambda x: x + 5).to_df()
+
+
+@query("SELECT doc_id, length(text)::BIGINT AS chars FROM documents")
+def sized_collection(spark, sf_dir):
+    """A pipe with a stage of the user's own."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return Pipe(docs).transform(lambda df: df.select("doc_id", F.length("text").cast("bigint").alias("chars"))).to_df()
+
+
+@query("SELECT (row_number() OVER (ORDER BY event_id) - 1)::BIGINT AS seq, event_id FROM events")
+def dense_sequence(spark, sf_dir):
+    """Dense input indices, kept through a stage. The table is sorted first, since files have no order of their own."""
+    rows = read(spark, sf_dir, "events").select("event_id").repartitionByRange("event_id").sortWithinPartitions("event_id")
+    return stream(rows).to_df(keep_seq=True).select(F.col("_seq").alias("seq"), "event_id")
+
+
+# -- fallible chains ----------------------------------------------------------------------------------------------------
+
+
+def checked_events(spark: SparkSession, sf_dir: str) -> TryPipe:
+    """Events whose id, from 3000 on, is a multiple of 1000 fail; those of small value are dropped."""
+    rows = pipe(read(spark, sf_dir, "events").select("event_id", "value"), seq="event_id")
+    bad = (F.col("event_id") >= 3000) & (F.col("event_id") % 1000 == 0)
+    mapped = rows.try_map({"event_id": F.col("event_id"), "value": F.col("value") * 2}, error=F.when(bad, failure("Bad", F.concat(F.lit("bad "), F.col("event_id")))))
+    return mapped.filter("value >= 10").map({"event_id": F.col("event_id") * 2, "value": F.col("value")})
+
+
+@query("SELECT event_id AS seq, 'Bad' AS kind, 'bad ' || event_id AS msg FROM events WHERE event_id >= 3000 AND event_id % 1000 = 0 ORDER BY event_id LIMIT 1")
+def try_first_err(spark, sf_dir):
+    """The error of the smallest input index."""
+    return checked_events(spark, sf_dir).first_error_df()
+
+
+@query("SELECT event_id * 2 AS event_id, value * 2 AS value FROM events WHERE NOT (event_id >= 3000 AND event_id % 1000 = 0) AND value * 2 >= 10")
+def try_ok_values(spark, sf_dir):
+    """The values of a fallible chain."""
+    return checked_events(spark, sf_dir).ok_df()
+
+
+@query("""
+SELECT kind, count(*) AS n FROM (
+  SELECT CASE WHEN event_id % 7 = 0 THEN 'Wrapped.Seven' WHEN (event_id + 1) % 5 = 0 THEN 'Five' END AS kind FROM events)
+WHERE kind IS NOT NULL GROUP BY kind""")
+def map_err_kinds(spark, sf_dir):
+    """map_err rewrites the errors raised before it and leaves later ones alone."""
+    rows = pipe(read(spark, sf_dir, "events").select(F.col("event_id").alias("value")), seq="value")
+    chain = rows.try_map("value + 1", error=F.when(F.col("value") % 7 == 0, failure("Seven", "multiple of seven")))
+    chain = chain.map_err(lambda e: failure(F.concat(F.lit("Wrapped."), e["kind"]), e["msg"]))
+    chain = chain.try_map("value", error=F.when(F.col("value") % 5 == 0, failure("Five", "multiple of five")))
+    return chain.errors_df().groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE try_cast(json_extract_string(props, '$.k') AS INTEGER) IS NOT NULL")
+def parse_try_cast(spark, sf_dir):
+    """T1 on built-in fallible functions: a null is the failure."""
+    rows = pipe(read(spark, sf_dir, "events").select("event_id", "props"), seq="event_id")
+    k = F.get_json_object("props", "$.k").try_cast("int")
+    return rows.try_map({"k": k, "event_id": F.col("event_id")}, kind="NotANumber").ok_df().select("event_id", "k")
+
+
+@query("SELECT event_id AS seq, 'ValueError' AS kind, 'odd ' || event_id AS msg FROM events WHERE event_id % 2 = 1 AND event_id >= 500 ORDER BY 1 LIMIT 1")
+def opaque_try(spark, sf_dir):
+    """T1 with a Python callable that raises."""
+
+    def even(x: int) -> int:
+        if x % 2 and x >= 500:
+            raise ValueError(f"odd {x}")
+        return x // 2
+
+    rows = pipe(read(spark, sf_dir, "events").select(F.col("event_id").alias("value")), seq="value")
+    return rows.try_map(even).first_error_df()
+
+
+# -- expansion ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents WHERE text IS NOT NULL")
+def expand_words(spark, sf_dir):
+    """Documents to words."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = stream(docs, seq="doc_id").expand(F.split("text", " ")).to_df(keep_seq=True)
+    return out.select(F.col("_seq").alias("doc_id"), F.col("value").alias("word"))
+
+
+@query("SELECT (event_id * 10 + k) * 3 AS value FROM events, range(3) t(k)")
+def expand_fixed(spark, sf_dir):
+    """Every item to three, then a stage."""
+    return events(spark, sf_dir).expand("array(value * 10, value * 10 + 1, value * 10 + 2)").stage("value * 3").to_df()
+
+
+@query("SELECT (event_id * 10 + k) * 3 AS value FROM events, range(3) t(k) WHERE event_id % 4 <> 0")
+def opaque_expand(spark, sf_dir):
+    """E1 with a Python generator; a fourth of the items gives none."""
+    return events(spark, sf_dir).expand(lambda x: [x * 10 + k for k in range(3)] if x % 4 else []).stage(lambda x: x * 3).to_df()
+
+
+@query("SELECT event_id AS value FROM events WHERE event_id % 3 = 0")
+def stream_filter(spark, sf_dir):
+    """A filter inside a stream is an expansion to none or one."""
+    return events(spark, sf_dir).expand("CASE WHEN value % 3 = 0 THEN array(value) ELSE array() END").to_df()
+
+
+# -- fences, order, asynchronous calls ----------------------------------------------------------------------------------
+
+
+@query("SELECT event_id // 64 AS chunk, count(*) AS n, min(event_id) AS first_seq, max(event_id) AS last_seq, sum(user_id)::BIGINT AS users FROM events GROUP BY 1")
+def fence_chunk(spark, sf_dir):
+    """Chunks of consecutive items."""
+    return chunked(read(spark, sf_dir, "events"), 64, "event_id", F.sum("user_id").alias("users"))
+
+
+@query("SELECT (l_orderkey + 1) * 2 AS value FROM lineitem")
+def barrier_two_stage(spark, sf_dir):
+    """B1 and B2: what precedes the fence is stored in the shared folder before what follows starts."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(work_folder(spark, "fence"))
+    keys = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("value"))
+    return StreamPipe(keys).stage("value + 1").fence(Fence.BARRIER).stage("value * 2").to_df()
+
+
+@query("SELECT (event_id + 1) * 5 AS value FROM events")
+def chunked_fence(spark, sf_dir):
+    """A chunked fence between two Python stages leaves rows as they are."""
+    return events(spark, sf_dir).stage(lambda x: x + 1).fence(Fence.CHUNKED, 25).stage(lambda x: x * 5).to_df()
+
+
+@query("SELECT (row_number() OVER (ORDER BY event_id) - 1)::BIGINT AS place, event_id * 2 + 1 AS value FROM events")
+def ordered_stream(spark, sf_dir):
+    """The order of a stream that is ordered, told by a column, since a comparison of tables has no order."""
+    rows = events(spark, sf_dir).stage("value * 2 + 1").ordered().to_df(keep_seq=True)
+    ranged = rows.repartitionByRange("_seq").sortWithinPartitions("_seq").drop("_seq")
+    return stream(ranged).to_df(keep_seq=True).select(F.col("_seq").alias("place"), "value")
+
+
+@query("SELECT event_id, value FROM events WHERE event_id < (SELECT min(event_id) FROM events WHERE event_id % 5000 = 4999)")
+def reorder_prefix(spark, sf_dir):
+    """What can be released in order before the first gap."""
+    return gap_free(read(spark, sf_dir, "events").filter("event_id % 5000 <> 4999").select("event_id", "value"), "event_id")
+
+
+@query("SELECT o_orderkey * 2 + 1 AS value FROM orders")
+def async_enrich(spark, sf_dir):
+    """P5: a coroutine for each item, many at once."""
+
+    async def looked_up(x: int) -> int:
+        await asyncio.sleep(0)
+        return x * 2
+
+    keys = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("value"))
+    return StreamPipe(keys).stage_async(looked_up).stage(lambda x: x + 1).to_df()
+
+
+@query("SELECT event_id * 3 + 1 AS value FROM events")
+def stream_available_now(spark, sf_dir):
+    """S2 in micro-batches: a file source read to its end."""
+    rows, top = read(spark, sf_dir, "events"), work_folder(spark, "available")
+    rows.select("event_id").write.parquet(f"{top}/in")
+
+    def stages(df: DataFrame) -> DataFrame:
+        return StreamPipe(df.withColumnRenamed("event_id", "value")).stage("value * 3").stage("value + 1").to_df()
+
+    return run_available(spark, f"{top}/in", rows.select("event_id").schema, stages, f"{top}/out", f"{top}/offsets")
+
+
+# -- scopes and terminals -----------------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, length(n_name)::BIGINT AS size FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def scoped_lookup(spark, sf_dir):
+    """A lookup that fails on a miss; the table is broadcast after its size is checked."""
+    with scope(spark) as s:
+        left = s.pipe(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), seq="c_custkey")
+        found = s.lookup(left, read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
+        return found.map({"c_custkey": F.col("c_custkey"), "size": F.length("n_name").cast("bigint")}).to_df()
+
+
+@query("SELECT sum(o_orderkey)::BIGINT AS total, count(*) AS n FROM orders")
+def for_each_sum(spark, sf_dir):
+    """K2: what a shared counter adds up, as an aggregate with partial sums."""
+    return orders(spark, sf_dir).aggregate(total=F.sum("value"), n=F.count("*"))
+
+
+@query("SELECT bit_xor((o_orderkey + 1) * 2)::BIGINT AS checksum FROM orders")
+def for_each_xor(spark, sf_dir):
+    """K2."""
+    return orders(spark, sf_dir).map("(value + 1) * 2").aggregate(checksum=F.bit_xor("value"))
+
+
+@query("SELECT e.event_id * 2 AS a, o.o_orderkey + 1 AS b FROM events e JOIN orders o ON e.event_id = o.o_orderkey")
+def zip_two_runs(spark, sf_dir):
+    """Two results side by side by input index."""
+    a = events(spark, sf_dir).stage("value * 2").to_df(keep_seq=True).withColumnRenamed("value", "a")
+    b = orders(spark, sf_dir).map("value + 1").to_df(keep_seq=True).withColumnRenamed("value", "b")
+    return zipped(a, b).select("a", "b")
+
+
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS size, md5(text) AS digest FROM documents")
+def doc_pipeline(spark, sf_dir):
+    """Read, compute, write: an asynchronous stage, a declarative one and an asynchronous one."""
 
+    async def fetched(doc: dict) -> dict:
+        await asyncio.sleep(0)
+        return doc
 
-QUERIES["doc_pipeline"] = _doc_pipeline
-ORACLE_SQL["doc_pipeline"] = "SELECT doc_id, CAST(length(text) AS BIGINT) AS size, md5(text) AS digest FROM documents"
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = StreamPipe(docs, config=PipelineConfig(io_concurrency=128))
+    rows = rows.stage_async(fetched).stage({"doc_id": F.col("doc_id"), "size": F.length("text").cast("bigint"), "digest": F.md5("text")})
+    return rows.stage_async(fetched).to_df()

@@ -1 +1,27 @@
+"""Column functions that the built-in ones lack."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+U64 = 1 << 64
+
+
+def affine_wrapping(x: Column, a: int, b: int, times: int = 1) -> Column:
+    """x -> a * x + b modulo 2**64, applied `times` times, as DECIMAL(20, 0).
+
+    A chain of affine maps is one affine map, whose two constants are known before the job starts: one multiplication a
+    row, inside generated code. x must lie in 0 .. 10**17 - 1, so that the product fits in 38 digits.
+    """
+    scale, shift = 1, 0
+    for _ in range(times):
+        scale, shift = scale * a % U64, (shift * a + b) % U64
+    whole = x.cast("decimal(17,0)") * F.lit(str(scale)).cast("decimal(20,0)") + F.lit(str(shift)).cast("decimal(20,0)")
+    return F.pmod(whole, F.lit(str(U64)).cast("decimal(20,0)")).cast("decimal(20,0)")
+
+
+def failure(kind: str | Column, msg: str | Column) -> Column:
+    """An error value of a fallible chain."""
+    column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(column(kind).cast("string").alias("kind"), column(msg).cast("string").alias("msg"))

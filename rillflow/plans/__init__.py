@@ -1 +1,314 @@
+"""Pipelines: immutable builders whose result is a lazy DataFrame.
 
+Items are rows. A pipeline of scalars has the one column `value`. `_seq` (input index) and `_err` (error struct) are
+reserved. Declarative stages become selects and filters for the optimizer; each run of Python stages becomes one pass.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, replace
+
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from rillflow.config import PipelineConfig, Workload
+from rillflow.operators import AsyncMap, Expand, Expression, Fence, FenceStage, Filter, Map, MapErr, PipelineError, Stage, TryMap
+from rillflow.operators.opaque import runner
+from rillflow.sources import SEQ, from_items, sequenced
+from rillflow.streaming.cancel import CancellationToken
+
+ERR = "_err"
+ERR_TYPE = "struct<kind:string,msg:string>"
+RESERVED = (SEQ, ERR)
+
+
+def column(x: Column | str) -> Column:
+    return x if isinstance(x, Column) else F.expr(x)
+
+
+def named(f: Expression) -> dict[str, Column]:
+    return {k: column(v) for k, v in f.items()} if isinstance(f, dict) else {"value": column(f)}
+
+
+def item_columns(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c not in RESERVED]
+
+
+def item_schema(df: DataFrame) -> StructType:
+    return StructType([f for f in df.schema.fields if f.name not in RESERVED])
+
+
+# -- from stages to a DataFrame -----------------------------------------------------------------------------------------
+
+
+def declared(df: DataFrame, stage: Stage) -> DataFrame:
+    """One declarative stage. Failed rows go along untouched: they are not tested, mapped or expanded."""
+    kept, items = [c for c in RESERVED if c in df.columns], item_columns(df)
+    fallible = ERR in kept
+    fine = F.col(ERR).isNull() if fallible else F.lit(True)
+    guarded = (lambda c: F.when(fine, c)) if fallible else (lambda c: c)
+    match stage:
+        case MapErr():
+            return df.withColumn(ERR, F.when(F.col(ERR).isNotNull(), stage.f(F.col(ERR))).cast(ERR_TYPE))
+        case TryMap():
+            fails = F.lit(None).cast(ERR_TYPE) if stage.error is None else stage.error.cast(ERR_TYPE)
+            value = {n: F.when(fine & fails.isNull(), c) for n, c in named(stage.f).items()}
+            if stage.error is None:
+                missing = F.struct(F.lit(stage.kind).alias("kind"), F.to_json(F.struct(*items)).alias("msg"))
+                fails = F.when(next(iter(value.values())).isNull(), missing)
+            err = F.when(fine, fails).otherwise(F.col(ERR)) if fallible else fails
+            return df.select(*[c for c in kept if c != ERR], err.cast(ERR_TYPE).alias(ERR), *(c.alias(n) for n, c in value.items()))
+        case Map():
+            return df.select(*kept, *(guarded(c).alias(n) for n, c in named(stage.f).items()))
+        case Filter():
+            return df.filter(~fine | column(stage.f) if fallible else column(stage.f))
+        case Expand():
+            if fallible:
+                raise ValueError("expand has no fallible form")
+            (array,) = named(stage.f).values()
+            return df.select(*kept, F.posexplode(array).alias("_pos", "value")).drop("_pos")
+        case FenceStage():
+            return df.checkpoint(eager=True)
+    raise TypeError(f"unknown stage {stage!r}")
+
+
+def undeclared(df: DataFrame, run: list[Stage], config: PipelineConfig) -> DataFrame:
+    """A run of Python stages, fused into one pass over Arrow batches."""
+    spark, before = df.sparkSession, item_schema(df)
+    fallible = ERR in df.columns or any(isinstance(s, TryMap) for s in run)
+    schemas = [s.schema for s in run if s.schema]
+    after = StructType.fromDDL(schemas[-1]) if schemas else before
+    kept = [SEQ] * (SEQ in df.columns) + [ERR] * fallible
+    extra = [f for f in df.schema.fields if f.name == SEQ] + [StructField(ERR, StructType.fromDDL("kind string, msg string"))] * fallible
+    tasks = 1
+    if any(isinstance(s, AsyncMap) for s in run):
+        if config.async_workers is not None:
+            df = df.coalesce(config.async_workers)
+        tasks = spark.sparkContext.defaultParallelism if df.isStreaming else min(df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(config.buffer_size))
+    in_flight = max(1, config.io_concurrency // max(1, tasks))
+    return df.mapInArrow(runner(tuple(run), before, after, kept, config, in_flight), StructType([*extra, *after.fields]))
+
+
+def lowered(df: DataFrame, stages: tuple[Stage, ...], config: PipelineConfig) -> DataFrame:
+    if config.compute_workers is not None or config.workload is not Workload.BALANCED:
+        wide = config.compute_workers or df.sparkSession.sparkContext.defaultParallelism
+        df = df.repartition(wide * config.workload.value)
+    run: list[Stage] = []
+    for stage in stages:
+        if stage.opaque:
+            run.append(stage)
+            continue
+        if run:
+            df, run = undeclared(df, run, config), []
+        df = declared(df, stage)
+    return undeclared(df, run, config) if run else df
+
+
+# -- builders -----------------------------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Builder:
+    source: DataFrame
+    stages: tuple[Stage, ...] = ()
+    config: PipelineConfig = PipelineConfig()
+
+    def _with(self, stage: Stage):
+        return replace(self, stages=(*self.stages, stage))
+
+    def with_config(self, config: PipelineConfig):
+        return replace(self, config=config)
+
+    def with_workload(self, workload: Workload):
+        return replace(self, config=self.config.with_workload(workload))
+
+    def with_compute_pool(self, workers: int):
+        return replace(self, config=self.config.with_compute_workers(workers))
+
+    def with_oversubscribe(self, factor: int):
+        return replace(self, config=self.config.with_oversubscribe(factor))
+
+    def to_df(self, keep_seq: bool = False) -> DataFrame:
+        """The lazy result. keep_seq leaves the input index in it."""
+        out = lowered(self.source, self.stages, self.config)
+        return out if keep_seq else out.drop(SEQ)
+
+    def _items(self, df: DataFrame) -> list:
+        names = item_columns(df)
+        return [r["value"] if names == ["value"] else tuple(r[n] for n in names) for r in df.collect()]
+
+
+class Pipe(Builder):
+    """map, filter and try_map over items, ending in collect, for_each or a DataFrame."""
+
+    def map(self, f: Expression | Callable, schema: str | None = None) -> Pipe:
+        return self._with(Map(f, schema))
+
+    def filter(self, f: Column | str | Callable) -> Pipe:
+        """Keep items where f holds; a null condition drops the item."""
+        return self._with(Filter(f))
+
+    def try_map(self, f: Expression | Callable, schema: str | None = None, error: Column | None = None, kind: str = "Failed") -> TryPipe:
+        """Map that may fail: a callable by raising, an expression where `error` is not null or, without it, by a null."""
+        return TryPipe(self.source, (*self.stages, TryMap(f, schema, error, kind)), self.config)
+
+    def transform(self, f: Callable[[DataFrame], DataFrame]) -> Pipe:
+        """A stage of one's own: any function on the DataFrame of the items so far."""
+        return replace(self, source=f(self.to_df(keep_seq=True)), stages=())
+
+    def collect(self) -> list:
+        """The items in input order."""
+        out = self.to_df(keep_seq=True)
+        return self._items(out.orderBy(SEQ) if SEQ in out.columns else out)
+
+    def for_each(self, f: Callable) -> None:
+        """Call f on each item where it is, in no order. A task that is tried again calls it again, so f must bear that."""
+        scalar = item_columns(out := self.to_df()) == ["value"]
+
+        def partition(rows: Iterable) -> None:
+            for row in rows:
+                f(row["value"] if scalar else row)
+
+        out.foreachPartition(partition)
+
+    def aggregate(self, **parts: Column) -> DataFrame:
+        """One row of sums, counts and the like: what side effects on shared counters would add up."""
+        return self.to_df().agg(*(c.alias(n) for n, c in parts.items()))
+
+
+class TryPipe(Builder):
+    """A chain in which items may have failed; the error of the smallest input index is the result's."""
+
+    def map(self, f: Expression | Callable, schema: str | None = None) -> TryPipe:
+        return self._with(Map(f, schema))
+
+    def filter(self, f: Column | str | Callable) -> TryPipe:
+        """Drop items that are fine and do not satisfy f; failed items stay."""
+        return self._with(Filter(f))
+
+    def try_map(self, f: Expression | Callable, schema: str | None = None, error: Column | None = None, kind: str = "Failed") -> TryPipe:
+        return self._with(TryMap(f, schema, error, kind))
+
+    def map_err(self, f: Callable[[Column], Column]) -> TryPipe:
+        """Rewrite the errors raised by the stages before."""
+        return self._with(MapErr(f))
+
+    def ok_df(self) -> DataFrame:
+        """The values of the items that did not fail."""
+        out = self.to_df(keep_seq=True)
+        return out.filter(F.col(ERR).isNull()).drop(SEQ, ERR)
+
+    def errors_df(self) -> DataFrame:
+        """seq, kind and msg of each failed item."""
+        out = self.to_df(keep_seq=True).filter(F.col(ERR).isNotNull())
+        return out.select(F.col(SEQ).alias("seq"), f"{ERR}.kind", f"{ERR}.msg")
+
+    def first_error_df(self) -> DataFrame:
+        """The error of the smallest input index as one row, nulls if there is none. Partial minima are merged."""
+        out = self.to_df(keep_seq=True).filter(F.col(ERR).isNotNull())
+        first = out.agg(F.min_by(F.struct(F.col(SEQ).alias("seq"), f"{ERR}.kind", f"{ERR}.msg"), SEQ).alias("e"))
+        return first.select("e.seq", "e.kind", "e.msg")
+
+    def try_collect(self) -> list:
+        """The values in input order, or PipelineError. One job, so that no stage runs twice."""
+        rows = self.to_df(keep_seq=True).orderBy(SEQ).collect()
+        for row in rows:
+            if row[ERR] is not None:
+                raise PipelineError(row[ERR]["kind"], row[ERR]["msg"], row[SEQ])
+        names = [n for n in rows[0].asDict() if n not in RESERVED] if rows else []
+        return [r["value"] if names == ["value"] else tuple(r[n] for n in names) for r in rows]
+
+
+@dataclass(frozen=True)
+class StreamPipe(Builder):
+    """Stages with expansion, asynchronous calls, fences, order and cancellation. Items always carry their input index."""
+
+    by_seq: bool = False
+    by_position: bool = False
+    token: CancellationToken | None = None
+
+    def stage(self, f: Expression | Callable, schema: str | None = None) -> StreamPipe:
+        return self._with(Map(f, schema))
+
+    def stage_async(self, f: Callable, schema: str | None = None) -> StreamPipe:
+        """A coroutine function, called for many items at once: io_concurrency over all tasks of the stage."""
+        return self._with(AsyncMap(f, schema))
+
+    def expand(self, f: Column | str | Callable, schema: str | None = None) -> StreamPipe:
+        """Each item gives any number of items, which keep its input index; none if the array is empty or null."""
+        return self._with(Expand(f, schema))
+
+    def fence(self, mode: Fence = Fence.BARRIER, size: int = 0) -> StreamPipe:
+        """BARRIER: what follows starts when what precedes is done and stored. CHUNKED: pass on `size` items at a time."""
+        if mode is Fence.CHUNKED and size < 1:
+            raise ValueError("a chunked fence needs a size")
+        return self._with(FenceStage(mode=mode, size=size))
+
+    def ordered(self) -> StreamPipe:
+        return replace(self, by_seq=True)
+
+    def ordered_by_position(self) -> StreamPipe:
+        """Order by input index and, among the items of one expansion, by place in it."""
+        return replace(self, by_position=True)
+
+    def with_cancel(self, token: CancellationToken) -> StreamPipe:
+        return replace(self, token=token)
+
+    def with_async_pool(self, workers: int) -> StreamPipe:
+        return replace(self, config=self.config.with_async_workers(workers))
+
+    def run(self) -> list:
+        """The items, in input order if ordered. A cancelled run returns what had been done."""
+        if self.by_seq and any(isinstance(s, Expand) for s in self.stages) and not self.source.isEmpty():
+            raise ValueError("`.ordered()` is incompatible with `.expand()`; see ordered_by_position")
+        if self.token is not None:
+            return self._run_in_slices(self.token)
+        out = self.to_df(keep_seq=True)
+        if self.by_position:
+            out = out.withColumn("_at", F.monotonically_increasing_id()).orderBy(SEQ, "_at").drop("_at")
+        return self._items(out.orderBy(SEQ) if self.by_seq else out)
+
+    def try_run(self) -> list:
+        """As run, with a failure of the session or cluster raised as OSError; failures of stages stay what they are."""
+        try:
+            self.source.sparkSession.sparkContext.defaultParallelism  # noqa: B018
+        except (Py4JError, PySparkException, AttributeError) as e:
+            raise OSError("no running Spark session") from e
+        return self.run()
+
+    def _run_in_slices(self, token: CancellationToken, slices: int = 32) -> list:
+        """Ranges of the input index, one job each: those that ended before the cancellation are the result."""
+        low, high = self.source.agg(F.min(SEQ), F.max(SEQ)).first()
+        out: list = []
+        if low is None:
+            return out
+        width = -(-(high - low + 1) // slices)
+        for start in range(low, high + 1, width):
+            if token.is_cancelled():
+                break
+            part = replace(self, source=self.source.filter(F.col(SEQ).between(start, start + width - 1)), token=None)
+            found = token.unless_cancelled(self.source.sparkSession, part.run)
+            if found is None:
+                break
+            out += found
+        return out
+
+
+def pipe(items: DataFrame | Iterable, spark: SparkSession | None = None, seq: str | None = None, schema: str | None = None) -> Pipe:
+    """A Pipe over a collection or a DataFrame. seq names a unique integer column that gives the input order."""
+    return Pipe(_source(items, spark, seq, schema))
+
+
+def stream(items: DataFrame | Iterable, spark: SparkSession | None = None, seq: str | None = None, schema: str | None = None) -> StreamPipe:
+    return StreamPipe(_source(items, spark, seq, schema))
+
+
+def _source(items: DataFrame | Iterable, spark: SparkSession | None, seq: str | None, schema: str | None) -> DataFrame:
+    if isinstance(items, DataFrame):
+        return items if SEQ in items.columns else sequenced(items, seq)
+    return from_items(spark or SparkSession.builder.getOrCreate(), items, schema)

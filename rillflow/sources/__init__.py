@@ -1 +1,47 @@
+"""Where items come from: Python collections, DataFrames and files; and the order they carry."""
 
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+SEQ = "_seq"
+
+
+def from_items(spark: SparkSession, items: Iterable, schema: str | StructType | None = None) -> DataFrame:
+    """A collection of the driver as rows with _seq; scalars become a column `value`. Needs schema if it is empty."""
+    rows = list(items)
+    if isinstance(rows and rows[0], (list, tuple, dict)) or (schema is not None and not rows):
+        plain = spark.createDataFrame(rows, schema)
+    else:
+        plain = spark.createDataFrame([(x,) for x in rows], schema or ["value"])
+    if not rows:
+        return plain.select(F.lit(0).cast("bigint").alias(SEQ), "*")
+    # createDataFrame slices the list in order, so ids ascend with the list
+    return sequenced(plain)
+
+
+def from_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Whole files as rows path, length, content; for stages that compress, encrypt or parse them."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "length", "content")
+
+
+def sequenced(df: DataFrame, key: str | None = None) -> DataFrame:
+    """df with _seq: a unique integer column of its own, or dense numbers in the order of partitions and rows.
+
+    Dense numbers take one more pass, which counts the rows of each partition; one row a partition is joined back. Nothing
+    is sorted or gathered. The input must give the same rows in the same order when it is read again.
+    """
+    if key is not None:
+        return df.withColumn(SEQ, F.col(key).cast("bigint"))
+    local = df.withColumn("_id", F.monotonically_increasing_id())
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    sizes = local.select(part.alias("_part")).groupBy("_part").count()
+    ahead = F.coalesce(F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", ahead.alias("_start"))
+    out = local.withColumn("_part", part).join(F.broadcast(starts), "_part")  # one row for each partition
+    return out.withColumn(SEQ, F.col("_start") + place).drop("_part", "_start", "_id")
