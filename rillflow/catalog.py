@@ -124,20 +124,20 @@ def dense_sequence(spark, sf_dir):
 
 
 def checked_events(spark: SparkSession, sf_dir: str) -> TryPipe:
-    """Events whose id, from 3000 on, is a multiple of 1000 fail; those of small value are dropped."""
+    """Events whose id, from 300 on, is a multiple of 100 fail; those of small value are dropped."""
     rows = pipe(read(spark, sf_dir, "events").select("event_id", "value"), seq="event_id")
-    bad = (F.col("event_id") >= 3000) & (F.col("event_id") % 1000 == 0)
+    bad = (F.col("event_id") >= 300) & (F.col("event_id") % 100 == 0)
     mapped = rows.try_map({"event_id": F.col("event_id"), "value": F.col("value") * 2}, error=F.when(bad, failure("Bad", F.concat(F.lit("bad "), F.col("event_id")))))
     return mapped.filter("value >= 10").map({"event_id": F.col("event_id") * 2, "value": F.col("value")})
 
 
-@query("SELECT event_id AS seq, 'Bad' AS kind, 'bad ' || event_id AS msg FROM events WHERE event_id >= 3000 AND event_id % 1000 = 0 ORDER BY event_id LIMIT 1")
+@query("SELECT event_id AS seq, 'Bad' AS kind, 'bad ' || event_id AS msg FROM events WHERE event_id >= 300 AND event_id % 100 = 0 ORDER BY event_id LIMIT 1")
 def try_first_err(spark, sf_dir):
     """The error of the smallest input index."""
     return checked_events(spark, sf_dir).first_error_df()
 
 
-@query("SELECT event_id * 2 AS event_id, value * 2 AS value FROM events WHERE NOT (event_id >= 3000 AND event_id % 1000 = 0) AND value * 2 >= 10")
+@query("SELECT event_id * 2 AS event_id, value * 2 AS value FROM events WHERE NOT (event_id >= 300 AND event_id % 100 = 0) AND value * 2 >= 10")
 def try_ok_values(spark, sf_dir):
     """The values of a fallible chain."""
     return checked_events(spark, sf_dir).ok_df()
@@ -238,10 +238,10 @@ def ordered_stream(spark, sf_dir):
     return stream(ranged).to_df(keep_seq=True).select(F.col("_seq").alias("place"), "value")
 
 
-@query("SELECT event_id, value FROM events WHERE event_id < (SELECT min(event_id) FROM events WHERE event_id % 5000 = 4999)")
+@query("SELECT event_id, value FROM events WHERE event_id < (SELECT min(event_id) FROM events WHERE event_id % 500 = 499)")
 def reorder_prefix(spark, sf_dir):
     """What can be released in order before the first gap."""
-    return gap_free(read(spark, sf_dir, "events").filter("event_id % 5000 <> 4999").select("event_id", "value"), "event_id")
+    return gap_free(read(spark, sf_dir, "events").filter("event_id % 500 <> 499").select("event_id", "value"), "event_id")
 
 
 @query("SELECT o_orderkey * 2 + 1 AS value FROM orders")

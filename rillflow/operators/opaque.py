@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import asyncio
 from collections import deque
-from collections.abc import AsyncIterator, Callable, Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
 
@@ -49,32 +49,27 @@ def awaited(items: Iterator[Item], f: Callable, in_flight: int) -> Iterator[Item
     A slow call at the head holds results back, not calls: a few times as many may wait for it or be done.
     """
 
-    async def results() -> AsyncIterator[Item]:
-        gate = asyncio.Semaphore(in_flight)
+    # The loop runs only while the head is awaited, so that items may come from another such stage.
+    loop, gate, begun = asyncio.new_event_loop(), asyncio.Semaphore(in_flight), deque()
 
-        async def one(item: Item) -> Item:
-            if item[1] is not None:
-                return item
-            async with gate:
-                return item[0], None, await f(item[2])
+    async def one(item: Item) -> Item:
+        if item[1] is not None:
+            return item
+        async with gate:
+            return item[0], None, await f(item[2])
 
-        begun: deque[asyncio.Task] = deque()
+    try:
         for item in items:
-            begun.append(asyncio.ensure_future(one(item)))
+            begun.append(loop.create_task(one(item)))
             if len(begun) >= 4 * in_flight:
-                yield await begun.popleft()
+                yield loop.run_until_complete(begun.popleft())
         while begun:
-            yield await begun.popleft()
-
-    loop, steps = asyncio.new_event_loop(), results()
-    try:
-        while True:
-            try:
-                item = loop.run_until_complete(steps.__anext__())
-            except StopAsyncIteration:
-                return
-            yield item
+            yield loop.run_until_complete(begun.popleft())
     finally:
+        for task in begun:
+            task.cancel()
+        if begun:
+            loop.run_until_complete(asyncio.wait(begun))
         loop.close()
 
 

@@ -81,7 +81,7 @@ def undeclared(df: DataFrame, run: list[Stage], config: PipelineConfig) -> DataF
     spark, before = df.sparkSession, item_schema(df)
     fallible = ERR in df.columns or any(isinstance(s, TryMap) for s in run)
     schemas = [s.schema for s in run if s.schema]
-    after = StructType.fromDDL(schemas[-1]) if schemas else before
+    after = StructType.fromDDL(schemas[-1]) if schemas else StructType([StructField(f.name, f.dataType) for f in before.fields])
     kept = [SEQ] * (SEQ in df.columns) + [ERR] * fallible
     extra = [f for f in df.schema.fields if f.name == SEQ] + [StructField(ERR, StructType.fromDDL("kind string, msg string"))] * fallible
     tasks = 1
@@ -138,9 +138,13 @@ class Builder:
         out = lowered(self.source, self.stages, self.config)
         return out if keep_seq else out.drop(SEQ)
 
-    def _items(self, df: DataFrame) -> list:
-        names = item_columns(df)
-        return [r["value"] if names == ["value"] else tuple(r[n] for n in names) for r in df.collect()]
+    def _items(self, df: DataFrame, by: tuple[str, ...] = ()) -> list:
+        """The items on the driver, which puts them in order: a distributed sort would first run the stages to sample."""
+        names = [n for n in item_columns(df) if n not in by]
+        rows = df.collect()
+        if by:
+            rows.sort(key=lambda r: tuple(r[n] for n in by))
+        return [r["value"] if names == ["value"] else tuple(r[n] for n in names) for r in rows]
 
 
 class Pipe(Builder):
@@ -164,7 +168,7 @@ class Pipe(Builder):
     def collect(self) -> list:
         """The items in input order."""
         out = self.to_df(keep_seq=True)
-        return self._items(out.orderBy(SEQ) if SEQ in out.columns else out)
+        return self._items(out, (SEQ,) if SEQ in out.columns else ())
 
     def for_each(self, f: Callable) -> None:
         """Call f on each item where it is, in no order. A task that is tried again calls it again, so f must bear that."""
@@ -216,7 +220,7 @@ class TryPipe(Builder):
 
     def try_collect(self) -> list:
         """The values in input order, or PipelineError. One job, so that no stage runs twice."""
-        rows = self.to_df(keep_seq=True).orderBy(SEQ).collect()
+        rows = sorted(self.to_df(keep_seq=True).collect(), key=lambda r: r[SEQ])
         for row in rows:
             if row[ERR] is not None:
                 raise PipelineError(row[ERR]["kind"], row[ERR]["msg"], row[SEQ])
@@ -270,8 +274,8 @@ class StreamPipe(Builder):
             return self._run_in_slices(self.token)
         out = self.to_df(keep_seq=True)
         if self.by_position:
-            out = out.withColumn("_at", F.monotonically_increasing_id()).orderBy(SEQ, "_at").drop("_at")
-        return self._items(out.orderBy(SEQ) if self.by_seq else out)
+            return self._items(out.withColumn("_at", F.monotonically_increasing_id()), (SEQ, "_at"))
+        return self._items(out, (SEQ,) if self.by_seq else ())
 
     def try_run(self) -> list:
         """As run, with a failure of the session or cluster raised as OSError; failures of stages stay what they are."""

@@ -1,0 +1,327 @@
+"""Pipelines against what plain Python gives on the same items."""
+
+import threading
+import time
+from functools import reduce
+
+import pytest
+from pyspark.sql import functions as F
+
+from rillflow.config import PipelineConfig, Workload
+from rillflow.functions import affine_wrapping, failure
+from rillflow.operators import Fence, PipelineError
+from rillflow.operators.order import chunks, gap_free, zipped
+from rillflow.plans import Pipe, pipe, stream
+from rillflow.plans.scope import scope
+from rillflow.sources import from_files, sequenced
+from rillflow.streaming import run_available
+from rillflow.streaming.cancel import CancellationToken
+
+
+def numbers(spark, n):
+    return pipe(spark.range(n).withColumnRenamed("id", "value"), seq="value")
+
+
+def flow(spark, n):
+    return stream(spark.range(n).withColumnRenamed("id", "value"), seq="value")
+
+
+def test_wrapping_arithmetic(spark):
+    heavy = lambda x: reduce(lambda v, _: (v * 31 + 17) % 2**64, range(200), x)
+    got = numbers(spark, 1000).map(affine_wrapping(F.col("value"), 31, 17, 200)).collect()
+    assert [int(x) for x in got] == [heavy(x) for x in range(1000)]
+
+
+def test_empty_and_single(spark):
+    assert pipe([], spark, schema="value long").map("value + 1").collect() == []
+    assert pipe([42], spark).map("value + 1").collect() == [43]
+    assert stream([], spark, schema="value long").run() == []
+    assert stream([3, 1, 2], spark).ordered().run() == [3, 1, 2]
+
+
+@pytest.mark.parametrize("tier", ["declared", "python"])
+def test_chain_keeps_input_order(spark, tier):
+    p = numbers(spark, 500)
+    p = p.map("value + 1").map("value * 3").map("value - 7") if tier == "declared" else p.map(lambda x: x + 1).map(lambda x: x * 3).map(lambda x: x - 7)
+    assert p.collect() == [(x + 1) * 3 - 7 for x in range(500)]
+
+
+@pytest.mark.parametrize("tier", ["declared", "python"])
+def test_filter_then_map(spark, tier):
+    p = numbers(spark, 100)
+    p = p.filter("value % 3 = 0").map("value * 10") if tier == "declared" else p.filter(lambda x: x % 3 == 0).map(lambda x: x * 10)
+    assert p.collect() == [x * 10 for x in range(100) if x % 3 == 0]
+
+
+def test_null_condition_drops(spark):
+    assert pipe([1, None, 3], spark, schema="value long").filter("value > 1").collect() == [3]
+
+
+def test_type_change_and_structs(spark):
+    assert numbers(spark, 3).map(str, schema="value string").collect() == ["0", "1", "2"]
+    docs = pipe([(1, "a"), (2, "bc")], spark, schema="id long, text string")
+    assert docs.map(lambda d: {"id": d["id"], "n": len(d["text"])}, schema="id long, n long").collect() == [(1, 1), (2, 2)]
+    assert docs.map({"id": "id", "n": "length(text)"}).collect() == [(1, 1), (2, 2)]
+
+
+def test_called_once_for_each_item(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        calls.add(1)
+        return x
+
+    assert len(numbers(spark, 1000).map(seen).filter(lambda x: x % 2 == 0).map("value + 1").collect()) == 500
+    assert calls.value == 1000
+
+
+def test_workload_and_workers_change_nothing(spark):
+    want = [x * 3 for x in range(1000)]
+    for p in (numbers(spark, 1000), numbers(spark, 1000).with_workload(Workload.UNBALANCED), numbers(spark, 1000).with_compute_pool(3), numbers(spark, 1000).with_config(PipelineConfig(buffer_size=7))):
+        assert p.map(lambda x: x * 3).collect() == want
+    assert numbers(spark, 100).with_oversubscribe(4).map(lambda x: x * 3).collect() == want[:100]
+
+
+def test_config_checks():
+    assert PipelineConfig().with_io_concurrency(512).with_buffer_size(8).with_async_workers(2).io_concurrency == 512
+    with pytest.raises(ValueError):
+        PipelineConfig(buffer_size=0)
+
+
+def test_failure_reaches_the_caller(spark):
+    def bad(x):
+        if x == 250:
+            raise RuntimeError("boom at 250")
+        return x
+
+    with pytest.raises(Exception, match="boom at 250"):
+        numbers(spark, 500).map(bad).collect()
+
+
+# -- fallible -----------------------------------------------------------------------------------------------------------
+
+
+def failing(at, msg):
+    return F.when(F.col("value").isin(at), failure("Bad", F.concat(F.lit(msg), F.col("value").cast("string"))))
+
+
+@pytest.mark.parametrize("tier", ["declared", "python"])
+def test_smallest_index_wins(spark, tier):
+    def bad(x):
+        if x in (30_000, 41_000):
+            raise ValueError(f"bad {x}")
+        return x * 3
+
+    p = numbers(spark, 50_000)
+    p = p.try_map("value * 3", error=failing([30_000, 41_000], "bad ")) if tier == "declared" else p.try_map(bad)
+    with pytest.raises(PipelineError, match="bad 30000") as e:
+        p.map("value + 1").try_collect()
+    assert e.value.seq == 30_000
+    assert [r["seq"] for r in p.errors_df().orderBy("seq").collect()] == [30_000, 41_000]
+    assert p.first_error_df().first()["msg"] == "bad 30000"
+
+
+def test_all_fine(spark):
+    p = numbers(spark, 5).try_map("value * 2", error=failing([99], "")).map("cast(value as string)")
+    assert p.try_collect() == ["0", "2", "4", "6", "8"]
+    assert p.first_error_df().first()["seq"] is None
+    assert pipe([], spark, schema="value long").try_map("value", error=failing([1], "")).try_collect() == []
+
+
+def test_parse_check_square(spark):
+    def chain(items):
+        p = pipe(items, spark, schema="value string")
+        p = p.try_map(F.col("value").try_cast("int"), kind="NotANumber")
+        return p.try_map("value * value", error=F.when(~F.col("value").between(0, 50), failure("OutOfRange", F.col("value").cast("string"))))
+
+    with pytest.raises(PipelineError) as e:
+        chain(["1", "23", "42", "x", "99", "-7"]).try_collect()
+    assert (e.value.kind, e.value.seq) == ("NotANumber", 3)
+    assert chain(["1", "23", "42"]).try_collect() == [1, 529, 1764]
+
+
+def test_filter_keeps_failed_and_python_stages_skip_them(spark):
+    p = numbers(spark, 20).try_map("value", error=failing([7], "seven ")).filter("value % 2 = 0").map(lambda x: 10 // (x + 1 if x != 7 else 0))
+    assert [r["seq"] for r in p.errors_df().collect()] == [7]
+    assert sorted(r[0] for r in p.ok_df().collect()) == sorted(10 // (x + 1) for x in range(0, 20, 2))
+
+
+def test_map_err_touches_earlier_errors_only(spark):
+    p = numbers(spark, 10).try_map("value", error=failing([3], "a ")).map_err(lambda e: failure(F.lit("Outer"), e["msg"])).try_map("value", error=failing([5], "b "))
+    assert [(r["seq"], r["kind"]) for r in p.errors_df().orderBy("seq").collect()] == [(3, "Outer"), (5, "Bad")]
+
+
+# -- streams ------------------------------------------------------------------------------------------------------------
+
+
+def test_stages_and_order(spark):
+    assert sorted(flow(spark, 200).stage("value + 10").stage(lambda x: x * 2).run()) == [(x + 10) * 2 for x in range(200)]
+    assert flow(spark, 100).ordered().stage("value * 2 + 1").run() == [x * 2 + 1 for x in range(100)]
+
+
+@pytest.mark.parametrize("mode,size", [(Fence.BARRIER, 0), (Fence.CHUNKED, 64)])
+@pytest.mark.parametrize("python", [False, True])
+def test_fences_leave_rows_alone(spark, mode, size, python):
+    add, times = (lambda x: x + 1, lambda x: x * 3) if python else ("value + 1", "value * 3")
+    assert flow(spark, 5000).stage(add).fence(mode, size).stage(times).ordered().run() == [(x + 1) * 3 for x in range(5000)]
+    with pytest.raises(ValueError):
+        flow(spark, 1).fence(Fence.CHUNKED)
+
+
+def test_expansion(spark):
+    want = sorted(y + 1 for x in range(10) for y in (x, x * 10))
+    assert sorted(flow(spark, 10).expand("array(value, value * 10)").stage("value + 1").run()) == want
+    assert sorted(flow(spark, 10).expand(lambda x: [x, x * 10]).stage(lambda x: x + 1).run()) == want
+    arrays = spark.createDataFrame([(0, [1, 2]), (1, []), (2, None)], "i long, value array<int>")
+    assert stream(arrays, seq="i").expand("value").run() == [1, 2]
+    assert len(flow(spark, 1000).expand(lambda x: [x * 10 + k for k in range(5)]).stage("value * 3").run()) == 5000
+    got = flow(spark, 50).expand(lambda x: [x * 10 + k for k in range(3)]).ordered_by_position().run()
+    assert got == [x * 10 + k for x in range(50) for k in range(3)]
+
+
+def test_expansion_cannot_be_ordered(spark):
+    with pytest.raises(ValueError, match="incompatible with `.expand\\(\\)`"):
+        flow(spark, 10).expand("array(value)").ordered().run()
+    assert stream([], spark, schema="value long").expand("array(value)").ordered().run() == []
+
+
+def test_async_stages(spark):
+    import asyncio
+
+    async def plus(x):
+        await asyncio.sleep(0.001 if x % 10 else 0.008)
+        return x + 1
+
+    async def tens(x):
+        return x * 10
+
+    assert flow(spark, 100).stage("value + 1").stage_async(plus).ordered().run() == [x + 2 for x in range(100)]
+    assert flow(spark, 50).stage_async(plus).stage_async(tens).stage(lambda x: x - 1).ordered().with_async_pool(2).run() == [(x + 1) * 10 - 1 for x in range(50)]
+
+
+def test_async_calls_are_bounded_and_overlap(spark):
+    import asyncio
+
+    from rillflow.operators.opaque import awaited
+
+    running, most = [0], [0]
+
+    async def slow(x):
+        running[0] += 1
+        most[0] = max(most[0], running[0])
+        await asyncio.sleep(0.01)
+        running[0] -= 1
+        return x
+
+    begun = time.time()
+    assert [v for _, _, v in awaited(((i, None, i) for i in range(256)), slow, 32)] == list(range(256))
+    assert most[0] == 32 and time.time() - begun < 1.5
+
+
+def test_async_failure_reaches_the_caller(spark):
+    async def bad(x):
+        raise RuntimeError("async boom")
+
+    with pytest.raises(Exception, match="async boom"):
+        flow(spark, 10).stage_async(bad).run()
+
+
+def test_cancelled_run_gives_what_was_done(spark):
+    token = CancellationToken()
+
+    def slow(x):
+        time.sleep(0.002)
+        return x
+
+    threading.Timer(1.5, token.cancel).start()
+    got = flow(spark, 10_000).stage(slow).with_cancel(token).run()
+    assert len(got) < 10_000 and set(got) <= set(range(10_000))
+    assert token.is_cancelled()
+    assert flow(spark, 100).with_cancel(token).run() == []
+    token.reset()
+    assert sorted(flow(spark, 100).with_cancel(token).run()) == list(range(100))
+
+
+def test_try_run_without_a_session(spark):
+    assert sorted(flow(spark, 5).try_run()) == list(range(5))
+
+
+# -- scopes, terminals, order -------------------------------------------------------------------------------------------
+
+
+def test_scope_shares_values(spark):
+    texts = [f"val{i}^2={i * i}" for i in range(5)]
+    with scope(spark) as s:
+        table = s.share(texts)
+        assert s.pipe(range(5)).map(lambda i: len(table.value[i])).collect() == [len(t) for t in texts]
+        assert s.pipe(range(5)).filter(lambda i: "4" in table.value[i]).collect() == [2, 4]
+
+
+def test_scope_lookup(spark):
+    table = spark.createDataFrame([(i, i * 2654435761) for i in range(1000)], "i long, h long")
+    on = F.col("value") == F.col("i")
+    with scope(spark) as s:
+        for most in (1 << 30, 0):
+            left = s.pipe(spark.range(1000).withColumnRenamed("id", "value"), seq="value")
+            assert sum(s.lookup(left, table, on, most_bytes=most).map("h").collect()) == sum(i * 2654435761 for i in range(1000))
+        with pytest.raises(Exception, match="lookup out of range"):
+            s.lookup(s.pipe([1, 1000]), table, on).collect()
+        assert len(s.lookup(s.pipe([1, 1000]), table, on, required=False).collect()) == 1
+
+
+def test_for_each(spark):
+    total, n = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    numbers(spark, 1000).for_each(total.add)
+    numbers(spark, 1000).filter("value % 2 = 0").for_each(lambda x: n.add(1))
+    assert (total.value, n.value) == (499_500, 500)
+    pipe([], spark, schema="value long").for_each(total.add)
+    row = numbers(spark, 500).map("(value + 1) * 2").aggregate(x=F.bit_xor("value"), n=F.count("*")).first()
+    assert row["x"] == reduce(lambda a, b: a ^ b, ((x + 1) * 2 for x in range(500))) and row["n"] == 500
+
+
+def test_custom_stage(spark):
+    assert numbers(spark, 10).transform(lambda df: df.filter("value > 7")).map("value * 2").collect() == [16, 18]
+
+
+def test_chunks(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(4)], "s long, v long")
+    assert [r["items"] for r in chunks(df, 3, "s", "v").orderBy("chunk").collect()] == [[1, 2, 3], [4]]
+    assert chunks(df.limit(0), 3, "s", "v").collect() == []
+
+
+@pytest.mark.parametrize("block", [4, 1 << 20])
+def test_gap_free(spark, block):
+    df = spark.createDataFrame([(s,) for s in (0, 3, 1, 5, 2, 7, 2)], "s long")
+    assert sorted(r[0] for r in gap_free(df, "s", block).collect()) == [0, 1, 2, 2, 3]
+    assert gap_free(df.filter("s > 0"), "s", block).collect() == []
+    full = spark.range(100).withColumnRenamed("id", "s").repartition(3)
+    assert gap_free(full, "s", block).count() == 100
+
+
+def test_dense_indices_and_zip(spark):
+    rows = spark.range(1000).repartitionByRange(7, "id").sortWithinPartitions("id")
+    assert [r["_seq"] for r in sequenced(rows).orderBy("id").collect()] == list(range(1000))
+    a, b = numbers(spark, 5).to_df(True).withColumnRenamed("value", "a"), numbers(spark, 3).map("value * 2").to_df(True).withColumnRenamed("value", "b")
+    assert sorted((r["a"], r["b"]) for r in zipped(a, b).collect()) == [(0, 0), (1, 2), (2, 4)]
+
+
+def test_micro_batches(spark, tmp_path):
+    for k in range(5):
+        spark.range(k * 200, k * 200 + 200).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stages = lambda df: Pipe(df.withColumnRenamed("id", "value")).map(lambda x: x * 2).filter("value % 3 = 0").to_df()
+    go = lambda: run_available(spark, str(tmp_path / "in"), spark.range(1).schema, stages, str(tmp_path / "out"), str(tmp_path / "at"), 1)
+    want = sorted(x * 2 for x in range(1000) if x * 2 % 3 == 0)
+    assert sorted(r[0] for r in go().collect()) == want
+    spark.range(1000, 1003).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert sorted(r[0] for r in go().collect()) == sorted(want + [x * 2 for x in range(1000, 1003) if x * 2 % 3 == 0])
+
+
+def test_whole_files(spark, tmp_path):
+    import zlib
+
+    for k in range(3):
+        (tmp_path / f"f{k}.bin").write_bytes(bytes([k]) * 1000)
+    files = Pipe(from_files(spark, str(tmp_path), "*.bin"))
+    packed = files.map(lambda f: {"path": f["path"], "content": zlib.compress(f["content"])}, schema="path string, content binary")
+    got = packed.map(lambda f: len(zlib.decompress(f["content"])), schema="value long").to_df()
+    assert [r[0] for r in got.collect()] == [1000] * 3
