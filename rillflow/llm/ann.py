@@ -224,7 +224,8 @@ def search(index: Index | None, queries: DataFrame, k: int = 20, recall: float =
     if probes > 1:
         beat = hits.filter(F.col("rank") == k).select("query_row", F.col("score").alias("beat"))
         more = asks.join(beat, "query_row", "left")
-        more = more.withColumn("limit", F.coalesce(F.greatest(F.col("length") + reach - 2 * F.col("beat"), F.lit(0.0)), F.lit(float("inf"))))
+        far = F.greatest(F.col("length") + reach - 2 * F.col("beat"), F.lit(0.0))
+        more = more.withColumn("limit", F.when(F.col("beat").isNull(), F.lit(float("inf"))).otherwise(far))
         more = more.select("query_id", "query_row", "vector", F.explode(F.slice("lists", 2, probes)).alias("list"), "limit")
         hits = ranked(hits.drop("rank").unionByName(probe(index, more, k)), k)
     return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -1,0 +1,77 @@
+import re
+
+import numpy as np
+import xxhash
+
+from rillflow.llm import simhash
+
+
+def slow(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    shingles = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute(values, radius=2):
+    root = list(range(len(values)))
+    for i, a in enumerate(values):
+        for j in range(i):
+            if (a ^ values[j]).bit_count() <= radius and root[i] != root[j]:
+                x, y = root[i], root[j]
+                root = [y if r == x else r for r in root]
+    return root
+
+
+def test_fingerprint():
+    for text in (None, "", "one", "One two", "a b c d a b c", "É é Ü x y", "A  b\nC\td " * 30):
+        assert simhash.fingerprint(text) == slow(text)
+
+
+def values(rng, n):
+    """Random numbers, with chains, a dense ball around one of them, and copies with the sign bit set."""
+    out = [int(x) for x in rng.integers(0, 1 << 63, n)]
+    chain = int(rng.integers(0, 1 << 63))
+    for k in range(40):
+        out.append(chain)
+        chain ^= 3 << k
+    ball = (1 << 63) | int(rng.integers(0, 1 << 62))
+    out += [ball ^ (1 << a) ^ (1 << b) for a in range(0, 64, 3) for b in range(0, 64, 5)]
+    return list(dict.fromkeys(out + [0, 1, 7, (1 << 64) - 1, (1 << 64) - 4]))
+
+
+def test_components_by_brute_force(spark):
+    fps = values(np.random.default_rng(3), 300)
+    signed = [int(np.uint64(x).astype(np.int64)) for x in fps]
+    root = brute(fps)
+    want = sorted(sorted(s for s, r in zip(signed, root) if r == k) for k in set(root) if root.count(k) > 1)
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    for tile in (4096, 16, 2):
+        found = {}
+        for r in simhash.components(simhash.links(df, tile=tile)).collect():
+            found.setdefault(r["root"], {r["root"]}).add(r["node"])
+        assert sorted(map(sorted, found.values())) == want
+
+
+def test_links_stay_linear(spark):
+    ball = [((1 << a) | (1 << b)) for a in range(60) for b in range(a)]
+    edges = simhash.links(spark.createDataFrame([(x,) for x in ball], "fp long"), tile=4096)
+    assert edges.count() <= 3 * len(ball)  # one forest for each band, not a million links
+
+
+def test_long_chain_settles(spark):
+    edges = spark.range(3000).selectExpr("id a", "id + 1 b")
+    got = simhash.components(edges).collect()
+    assert len(got) == 3001 and len({r["root"] for r in got}) == 1
+
+
+def test_awkward_rows(docs, no_docs):
+    rows = docs.collect()
+    root = brute([slow(r["text"]) for r in rows])
+    least = {k: min((r["doc_id"] for r, x in zip(rows, root) if x == k and r["doc_id"] is not None), default=None) for k in root}
+    want = sorted((str(r["doc_id"]), f"{slow(r['text']):016x}", str(least[k])) for r, k in zip(rows, root))
+    got = sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in simhash.classes(docs).collect())
+    assert got == want
+    assert simhash.representatives(docs).columns == docs.columns
+    assert simhash.classes(no_docs).count() == 0 and simhash.representatives(no_docs).count() == 0
