@@ -39,7 +39,7 @@ def test_recall_and_exact_scores(spark):
 def test_lengths_count_and_hot_vectors_tie_by_id(spark):
     rng = np.random.default_rng(5)
     e = rng.standard_normal((3000, 12)) * rng.lognormal(0, 0.7, (3000, 1))
-    e[::3] = e[0]  # a third of all rows are one vector
+    e[::3] = 40 * e[0] / np.linalg.norm(e[0])  # a third of all rows are one vector, the longest
     df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(e)], "vec_id long, embedding array<double>")
     want, got = brute(np.arange(3000), e), found(spark, df)
     recall = np.mean([len({x for x, _ in want[q]} & {r["vec_id"] for r in got[q]}) / 20 for q in want])
