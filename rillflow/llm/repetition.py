@@ -121,9 +121,10 @@ def measured(texts: list[str | None], least: int) -> list[tuple[int, ...]]:
     return out
 
 
-def assess(docs: DataFrame, least: int = 10, max_covered: float = 0.3, max_repeat: int = 50) -> DataFrame:
+def assess(docs: DataFrame, least: int = 20, max_covered: float = 0.3, max_repeat: int = 50) -> DataFrame:
     """One row for each of docs with its counts, covered fraction, longest repeat, base_failed and kept.
 
+    A line or two that a short text repeats, a header or a closing, are shorter than `least` and no reason to reject it.
     kept: the base rule passes, at most max_covered of the words lie in repeated runs of `least` words or more, and no
     repeated run is longer than max_repeat words. A narrow pass over whole texts; nothing is shuffled.
     """
