@@ -6,8 +6,6 @@ Input order is the table's unique key, where an operator depends on it.
 from __future__ import annotations
 
 import asyncio
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +16,9 @@ from rillflow.functions import affine_wrapping, failure
 from rillflow.operators import Fence
 from rillflow.operators.order import chunked, gap_free, zipped
 from rillflow.plans import Pipe, StreamPipe, TryPipe, pipe, stream
+from rillflow.plans.jobs import together
 from rillflow.plans.scope import scope
+from rillflow.sources.folders import fresh_folder
 from rillflow.streaming import run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,12 +40,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_folder(spark: SparkSession, what: str) -> str:
-    """A fresh folder that driver and executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rillflow-")
-    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def orders(spark: SparkSession, sf_dir: str) -> Pipe:
     """Order keys as items."""
     return pipe(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("value")), seq="value")
@@ -218,8 +212,6 @@ def fence_chunk(spark, sf_dir):
 @query("SELECT (l_orderkey + 1) * 2 AS value FROM lineitem")
 def barrier_two_stage(spark, sf_dir):
     """B1 and B2: what precedes the fence is stored in the shared folder before what follows starts."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(work_folder(spark, "fence"))
     keys = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("value"))
     return StreamPipe(keys).stage("value + 1").fence(Fence.BARRIER).stage("value * 2").to_df()
 
@@ -259,7 +251,7 @@ def async_enrich(spark, sf_dir):
 @query("SELECT event_id * 3 + 1 AS value FROM events")
 def stream_available_now(spark, sf_dir):
     """S2 in micro-batches: a file source read to its end."""
-    rows, top = read(spark, sf_dir, "events"), work_folder(spark, "available")
+    rows, top = read(spark, sf_dir, "events"), fresh_folder(spark, "available")
     rows.select("event_id").write.parquet(f"{top}/in")
 
     def stages(df: DataFrame) -> DataFrame:
@@ -292,6 +284,14 @@ def for_each_xor(spark, sf_dir):
     return orders(spark, sf_dir).map("(value + 1) * 2").aggregate(checksum=F.bit_xor("value"))
 
 
+@query("SELECT 'events' AS name, count(*) AS n FROM events UNION ALL SELECT 'orders', count(*) FROM orders")
+def two_jobs_at_once(spark, sf_dir):
+    """Two actions that the cluster works on side by side."""
+    names = ["events", "orders"]
+    counts = together(*(read(spark, sf_dir, n).count for n in names))
+    return spark.createDataFrame(list(zip(names, counts)), "name string, n long")
+
+
 @query("SELECT e.event_id * 2 AS a, o.o_orderkey + 1 AS b FROM events e JOIN orders o ON e.event_id = o.o_orderkey")
 def zip_two_runs(spark, sf_dir):
     """Two results side by side by input index."""

@@ -19,6 +19,7 @@ from rillflow.config import PipelineConfig, Workload
 from rillflow.operators import AsyncMap, Expand, Expression, Fence, FenceStage, Filter, Map, MapErr, PipelineError, Stage, TryMap
 from rillflow.operators.opaque import runner
 from rillflow.sources import SEQ, from_items, sequenced
+from rillflow.sources.folders import shared_folder
 from rillflow.streaming.cancel import CancellationToken
 
 ERR = "_err"
@@ -72,6 +73,7 @@ def declared(df: DataFrame, stage: Stage) -> DataFrame:
             (array,) = named(stage.f).values()
             return df.select(*kept, F.posexplode(array).alias("_pos", "value")).drop("_pos")
         case FenceStage():
+            shared_folder(df.sparkSession)
             return df.checkpoint(eager=True)
     raise TypeError(f"unknown stage {stage!r}")
 

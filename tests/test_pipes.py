@@ -325,3 +325,13 @@ def test_whole_files(spark, tmp_path):
     packed = files.map(lambda f: {"path": f["path"], "content": zlib.compress(f["content"])}, schema="path string, content binary")
     got = packed.map(lambda f: len(zlib.decompress(f["content"])), schema="value long").to_df()
     assert [r[0] for r in got.collect()] == [1000] * 3
+
+
+def test_jobs_together(spark):
+    from rillflow.plans.jobs import together
+
+    assert together(lambda: numbers(spark, 10).to_df().count(), lambda: numbers(spark, 20).to_df().count()) == [10, 20]
+    done = []
+    with pytest.raises(ValueError, match="first"):
+        together(lambda: (_ for _ in ()).throw(ValueError("first")), lambda: done.append(1))
+    assert done == [1]
