@@ -19,14 +19,14 @@ class PipelineConfig:
 
     compute_workers: int | None = None  # number of tasks that rows are dealt to
     async_workers: int | None = None  # event loops; a Python worker runs one, so this bounds tasks of async stages
-    buffer_size: int = 256  # rows that one Arrow batch brings to a Python stage
+    buffer_size: int | None = None  # rows that one Arrow batch brings to a Python stage; set for the session
     io_concurrency: int = 128  # async calls in flight at once, over all tasks of a stage
     oversubscribe: int = 1  # threads of a task that run a blocking Python stage
     workload: Workload = Workload.BALANCED
 
     def __post_init__(self):
         for name in ("buffer_size", "io_concurrency", "oversubscribe"):
-            if getattr(self, name) < 1:
+            if getattr(self, name) is not None and getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
 
     def with_compute_workers(self, n: int) -> PipelineConfig:

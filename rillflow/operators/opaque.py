@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 from rillflow.config import PipelineConfig
 from rillflow.operators import AsyncMap, Expand, FenceStage, Filter, Map, Stage, TryMap
 
+#: Rows of the batches that go back.
+ROWS_OUT = 2048
 #: One item on its way: its input index, its error as (kind, msg) or None, its value.
 Item = tuple[object, tuple[str, str] | None, object]
 
@@ -124,7 +126,7 @@ def runner(stages: tuple[Stage, ...], before: StructType, after: StructType, kep
                 errors = columns.get("_err", [None] * batch.num_rows)
                 yield from ((s, (e["kind"], e["msg"]) if e else None, v) for s, e, v in zip(seqs, errors, values))
 
-        for out in batches_of(chained(items(), stages, config, in_flight), max(config.buffer_size, 1024)):
+        for out in batches_of(chained(items(), stages, config, in_flight), config.buffer_size or ROWS_OUT):
             rows = [v for _, _, v in out]
             if scalar_out:
                 arrays = [pa.array(rows, schema.field("value").type)]

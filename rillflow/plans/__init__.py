@@ -91,7 +91,8 @@ def undeclared(df: DataFrame, run: list[Stage], config: PipelineConfig) -> DataF
         if config.async_workers is not None:
             df = df.coalesce(config.async_workers)
         tasks = spark.sparkContext.defaultParallelism if df.isStreaming else min(df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(config.buffer_size))
+    if config.buffer_size is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(config.buffer_size))
     in_flight = max(1, config.io_concurrency // max(1, tasks))
     return df.mapInArrow(runner(tuple(run), before, after, kept, config, in_flight), StructType([*extra, *after.fields]))
 
@@ -135,6 +136,10 @@ class Builder:
     def with_oversubscribe(self, factor: int):
         return replace(self, config=self.config.with_oversubscribe(factor))
 
+    def transform(self, f: Callable[[DataFrame], DataFrame]):
+        """A stage of one's own: any function on the DataFrame of the items so far."""
+        return replace(self, source=f(self.to_df(keep_seq=True)), stages=())
+
     def to_df(self, keep_seq: bool = False) -> DataFrame:
         """The lazy result. keep_seq leaves the input index in it."""
         out = lowered(self.source, self.stages, self.config)
@@ -163,10 +168,6 @@ class Pipe(Builder):
         """Map that may fail: a callable by raising, an expression where `error` is not null or, without it, by a null."""
         return TryPipe(self.source, (*self.stages, TryMap(f, schema, error, kind)), self.config)
 
-    def transform(self, f: Callable[[DataFrame], DataFrame]) -> Pipe:
-        """A stage of one's own: any function on the DataFrame of the items so far."""
-        return replace(self, source=f(self.to_df(keep_seq=True)), stages=())
-
     def collect(self) -> list:
         """The items in input order."""
         out = self.to_df(keep_seq=True)
