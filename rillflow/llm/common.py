@@ -29,8 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths in the shared folder that this driver has handed out.
+_handed_out: list[str] = []
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _handed_out.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return _handed_out[-1]
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete all tables that operators have put in the shared folder; call it when their results are stored."""
+    while _handed_out:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_handed_out.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

@@ -57,6 +57,8 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = 0.0
     calibration: tuple[float, float] = (1.0, 0.0)
+    accuracies: list[float] = field(default_factory=list)  # of each voter's hits, as the label model estimates them
+    cliques: list[list[int]] = field(default_factory=list)  # voters that stay dependent given the class
     _automaton: object = None
 
     def __getstate__(self):
@@ -266,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
         return with_weights(model, np.zeros(2 * len(markers) + len(groups) + 3), -2.0)
     patterns, counts = np.array([r["votes"] for r in tally], np.int64), np.array([r["count"] for r in tally], float)
     anchor = np.array([model.votes(*s) for s in seen], np.int64), y
-    posterior, _, _ = label_model(patterns, counts, len(groups) + 3, anchor, settings)
+    posterior, model.cliques, model.accuracies = label_model(patterns, counts, len(groups) + 3, anchor, settings)
     soft = dict(zip(patterns.tolist(), posterior.tolist()))
     if not seen:
         basis = [(100, {k: n}, [False] * 3) for k in range(len(markers)) for n in (1, 2, 4)] + [(100, {}, [False] * 3)] * len(markers)

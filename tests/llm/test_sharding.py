@@ -1,8 +1,9 @@
+import os
 from collections import Counter
 
 import pytest
 
-from rillflow.llm.common import fresh_path
+from rillflow.llm.common import discard, fresh_path, written
 from rillflow.llm.sharding import Conflict, ShardStore
 
 
@@ -55,3 +56,11 @@ def test_empty(spark, no_docs):
     assert store.read().count() == 0 and store.compact() == 0 and store.placed("doc_id").count() == 0
     store.append(no_docs)
     assert store.read().count() == 0 and store.placed("doc_id").count() == 0
+
+
+def test_tables_in_the_shared_folder_can_be_discarded(spark):
+    table = written(spark.range(5), "t")
+    path = table.inputFiles()[0].removeprefix("file://")
+    assert table.count() == 5 and os.path.exists(path)
+    discard(spark)
+    assert not os.path.exists(path)
