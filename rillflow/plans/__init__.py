@@ -87,10 +87,10 @@ def undeclared(df: DataFrame, run: list[Stage], config: PipelineConfig) -> DataF
     kept = [SEQ] * (SEQ in df.columns) + [ERR] * fallible
     extra = [f for f in df.schema.fields if f.name == SEQ] + [StructField(ERR, StructType.fromDDL("kind string, msg string"))] * fallible
     tasks = 1
-    if any(isinstance(s, AsyncMap) for s in run):
+    if any(isinstance(s, AsyncMap) for s in run):  # as many tasks may run at once, each with its share of the calls
+        tasks = spark.sparkContext.defaultParallelism
         if config.async_workers is not None:
-            df = df.coalesce(config.async_workers)
-        tasks = spark.sparkContext.defaultParallelism if df.isStreaming else min(df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+            df, tasks = df.coalesce(config.async_workers), min(tasks, config.async_workers)
     if config.buffer_size is not None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(config.buffer_size))
     in_flight = max(1, config.io_concurrency // max(1, tasks))
