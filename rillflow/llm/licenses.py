@@ -65,8 +65,6 @@ TEMPLATES = (
     ("spdx-mit", "spdx license identifier mit"),
     ("spdx-apache-2.0", "spdx license identifier apache 2 0"),
 )
-#: A text with none of these holds neither a phrase nor the whole mandatory wording of any template.
-HINTS = ("license", "cc0", "cc by", "cc-by", "hereby granted", "redistribution", "public domain", "unencumbered")
 
 
 def compiled(template: str) -> tuple[list[dict[str | None, list[int]]], list[list[int]], int]:
@@ -103,6 +101,12 @@ class Automata:
 
     def __init__(self, templates: tuple[tuple[str, str], ...]):
         self.parts = [(label, *compiled(text)) for label, text in templates]
+        # A text with none of these words holds neither a phrase nor the whole mandatory wording of any template.
+        self.hints = {"license"}
+        for _, text in templates:
+            mandatory = re.sub(r"\[[^\]]*\]|<\d+>", " ", text).split()
+            if not any(hint in word for hint in self.hints for word in mandatory):
+                self.hints.add(max(mandatory, key=lambda w: (any(map(str.isdigit, w)) and not w.isdigit(), len(w))))
         self.starts: dict[str, list[tuple[int, set[int]]]] = {}
         for k, (_, moves, free, _) in enumerate(self.parts):
             reach = self.closure({0}, free)
@@ -145,13 +149,14 @@ def analysed(text: str | None, templates: tuple[tuple[str, str], ...] = TEMPLATE
     """Words, phrase places and accepted templates of one whole text."""
     low = (text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
     words = WORD.findall(low)
-    if not any(hint in low for hint in HINTS):
+    machine = automata(templates)
+    if not any(hint in low for hint in machine.hints):
         return {"n_words": len(words), "phrases": [], "templates": []}
     phrases = []
     for at, word in enumerate(words):
         if word in ("mit", "apache", "general"):
             phrases += [(label, at, at + len(p)) for p, label in PHRASES if words[at : at + len(p)] == list(p)]
-    return {"n_words": len(words), "phrases": phrases, "templates": automata(templates).matches(words)}
+    return {"n_words": len(words), "phrases": phrases, "templates": machine.matches(words)}
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:

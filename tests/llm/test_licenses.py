@@ -63,3 +63,11 @@ def test_awkward_rows(docs, no_docs):
     got = licenses.scan(docs).collect()
     assert len(got) == docs.count() and all(r["labels"] == "" and r["score"] == 0 for r in got)
     assert licenses.scan(no_docs).count() == 0
+
+
+def test_wording_may_be_broken_anywhere_and_templates_may_be_ones_own():
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby\ngranted, provided that the above copyright notice and this permission notice appear in all copies."
+    assert [m[0] for m in licenses.analysed(isc)["templates"]] == ["isc"]
+    own = (("own", "free as <3> in beer [or not]"),)
+    assert licenses.analysed("Free -- as they say: in beer, or not!", own)["templates"] == [("own", 0, 8)]
+    assert licenses.analysed("free in beer", own)["templates"] == []
