@@ -7,7 +7,8 @@ is never sorted in one task, and rendering is by turn, so that none is ever gath
 
 The order of turns is that of `turn`, nulls first; turns that share a number follow by role and text. Repeated rows are one
 turn. Null roles and texts are values of their own and render as empty. Rows with a null conv_id form one conversation.
-Empty texts are turns. Other columns are ignored. Empty tables give no rows.
+Empty texts are turns. Other columns are ignored. Empty tables give no rows. Distinct turns of one conversation that share a
+number, or have none, are sorted in one task, since only their text orders them.
 """
 
 from __future__ import annotations
