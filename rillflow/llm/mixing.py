@@ -132,9 +132,10 @@ def plan(docs: DataFrame, weights=WEIGHTS, max_repeat=MAX_REPEAT, block_words=BL
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as often as the mix takes them, each output shard in one partition and shuffled."""
-    draws = plan(docs, **options).groupBy("_mix_key").agg(F.flatten(F.collect_list("draws")).alias("_mix_draws"))
+    draws = written(plan(docs, **options).groupBy("_mix_key").agg(F.flatten(F.collect_list("draws")).alias("_mix_draws")), "mix-draws")
+    shards = draws.agg(F.coalesce(F.max(F.array_max(F.transform("_mix_draws", lambda d: d["shard"]))), F.lit(0)) + 1).first()[0]
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     key = F.md5(F.concat_ws("\x1f", text("doc_id"), text("source"), text("text")).cast("binary"))
     out = docs.withColumn("_mix_key", key).dropDuplicates(["_mix_key"]).join(draws, "_mix_key")
     out = out.withColumn("_mix_draw", F.explode("_mix_draws"))
-    return out.repartition("_mix_draw.shard").sortWithinPartitions("_mix_draw.shard", "_mix_draw.place").select(*docs.columns)
+    return out.repartitionById(shards, F.col("_mix_draw.shard").cast("int")).sortWithinPartitions("_mix_draw.shard", "_mix_draw.place").select(*docs.columns)
