@@ -41,8 +41,10 @@ def mapped(items: Iterator[Item], f: Callable, fallible: bool, threads: int) ->
         yield from map(one, items)
     else:
         with ThreadPoolExecutor(threads) as pool:
-            for batch in batches_of(items, 8 * threads):
-                yield from pool.map(one, batch)
+            for batch in batches_of(items, 32 * threads):
+                parts = [batch[k : k + 8] for k in range(0, len(batch), 8)]
+                for done in pool.map(lambda part: [one(item) for item in part], parts):
+                    yield from done
 
 
 def awaited(items: Iterator[Item], f: Callable, in_flight: int) -> Iterator[Item]:
@@ -63,15 +65,15 @@ def awaited(items: Iterator[Item], f: Callable, in_flight: int) -> Iterator[Item
     try:
         for item in items:
             begun.append(loop.create_task(one(item)))
-            if len(begun) >= 4 * in_flight:
-                yield loop.run_until_complete(begun.popleft())
-        while begun:
-            yield loop.run_until_complete(begun.popleft())
+            if len(begun) >= 4 * in_flight:  # the first half is awaited while the other one is under way
+                yield from loop.run_until_complete(asyncio.gather(*(begun.popleft() for _ in range(2 * in_flight))))
+        if begun:
+            yield from loop.run_until_complete(asyncio.gather(*begun))
     finally:
-        for task in begun:
+        for task in (left := asyncio.all_tasks(loop)):
             task.cancel()
-        if begun:
-            loop.run_until_complete(asyncio.wait(begun))
+        if left:
+            loop.run_until_complete(asyncio.wait(left))
         loop.close()
 
 
