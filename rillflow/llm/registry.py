@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,7 +73,30 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.assess(table(spark, sf_dir, "documents"))
+    found = repetition.assess(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+# Words in repeated runs of n words or more are those in windows of n words that stand twice; a run longer than 50 words is
+# repeated if a window of 51 words stands twice.
+ORACLE_SQL["op4_quality_rules"] = """
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT k, n, i, array_to_string(w[i + 1 : i + n], ' ') AS g FROM (SELECT k, w, n, unnest(range(len(w) - n + 1)) AS i FROM d, (VALUES (3), (20), (51)) t(n) WHERE len(w) >= n)),
+r AS (SELECT k, n, i FROM (SELECT *, count(*) OVER (PARTITION BY k, n, g) AS c FROM g) WHERE c > 1),
+p AS (SELECT k, n, count(DISTINCT p) AS covered FROM (SELECT k, n, unnest(range(i, i + n)) AS p FROM r) GROUP BY k, n),
+c AS (
+  SELECT k, max(CASE WHEN n = 3 THEN covered END) AS c3, max(CASE WHEN n = 20 THEN covered END) AS c20, max(CASE WHEN n = 51 THEN covered END) AS c51 FROM p GROUP BY k),
+b AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars,
+         (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l,
+         coalesce(c3, 0)::BIGINT AS n_repeat_words, coalesce(c20, 0) AS c20, coalesce(c51, 0) AS c51
+  FROM d LEFT JOIN c USING (k)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND c20::DOUBLE / n_words <= 0.3 AND c51 = 0 AS kept FROM f
+"""
 
 
 @query
@@ -117,4 +141,28 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def template_regex(template: str) -> str:
+    """A template as a regular expression over words with a space before each."""
+    parts = re.findall(r"\[[^\]]*\]|<\d+>|[^\s\[\]<>]+", template)
+    spelled = {"[": lambda p: f"(?: {' '.join(p[1:-1].split())})?", "<": lambda p: f"(?: [^ ]+){{0,{p[1:-1]}}}"}
+    return "".join(spelled.get(p[0], lambda p: f" {p}")(p) for p in parts) + " "
+
+
+_PHRASE_PLACES = " + ".join(f"(words[i : i + {len(p) - 1}] = {list(p)})::INT" for p, _ in licenses.PHRASES)
+_BASE = ", ".join(f"CASE WHEN contains(line, ' {' '.join(p)} ') THEN '{label}' END" for p, label in licenses.PHRASES)
+_OWN = ", ".join(f"CASE WHEN regexp_matches(line, '{template_regex(t)}') THEN '{label}' END" for label, t in licenses.TEMPLATES)
+ORACLE_SQL["op10_license_scan"] = f"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+  FROM documents),
+l AS (SELECT *, ' ' || array_to_string(words, ' ') || ' ' AS line FROM w),
+p AS (SELECT *, list_filter(range(1, len(words) + 1), lambda i: {_PHRASE_PLACES} > 0) AS places, list_filter([{_BASE}], lambda x: x IS NOT NULL) AS base, list_filter([{_OWN}], lambda x: x IS NOT NULL) AS own FROM l)
+SELECT doc_id, len(words)::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT - 1 AS first_word, list_max(places)::BIGINT - 1 AS last_word,
+       array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(base, own))), ',') AS labels,
+       CASE WHEN len(own) > 0 THEN 1.0::DOUBLE ELSE 1 - pow(0.5, len(places)) END AS score FROM p
+"""
