@@ -26,16 +26,20 @@ LANE_BITS = 42
 LANES = 3
 
 
+def conversation() -> Column:
+    """conv_id inside a struct, where a null equals itself: windows and joins on it share one shuffle."""
+    return F.struct("conv_id").alias("_conv")
+
+
 def numbered(turns: DataFrame) -> DataFrame:
     """conv_id, turn, role, text, block and position (from 0) of each distinct turn."""
-    rows = turns.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text").distinct()
+    rows = turns.select(conversation(), F.col("turn").cast("bigint").alias("turn"), "role", "text").distinct()
     rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / F.lit(BLOCK)), F.lit(-(1 << 62))).cast("bigint"))
-    whole = W.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
-    before = W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = rows.groupBy("conv_id", "block").count().withColumn("_ahead", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    blocks = blocks.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), "_ahead")
-    out = rows.withColumn("_nth", F.row_number().over(whole)).join(blocks, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b")))
-    return out.select("conv_id", "turn", "role", "text", "block", (F.col("_ahead") + F.col("_nth") - 1).alias("position"))
+    whole = W.partitionBy("_conv", "block").orderBy("turn", "role", "text")
+    before = W.partitionBy("_conv").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = rows.groupBy("_conv", "block").count().select("_conv", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_ahead"))
+    out = rows.withColumn("_nth", F.row_number().over(whole)).join(blocks, ["_conv", "block"])
+    return out.select("_conv.conv_id", "turn", "role", "text", "block", (F.col("_ahead") + F.col("_nth") - 1).alias("position"))
 
 
 def lane(k: int) -> Column:
@@ -45,18 +49,17 @@ def lane(k: int) -> Column:
 
 def prefixes(turns: DataFrame) -> DataFrame:
     """conv_id, n (turns of the prefix), the hash lanes of that prefix, and whether it is the whole conversation."""
-    rows = turns.select("conv_id", "block", "position", *(lane(k).alias(f"h{k}") for k in range(LANES)))
+    rows = turns.select(conversation(), "block", "position", *(lane(k).alias(f"h{k}") for k in range(LANES)))
     lanes = [f"h{k}" for k in range(LANES)]
-    own = W.partitionBy("conv_id", "block").orderBy("position").rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = rows.groupBy("conv_id", "block").agg(F.count("*").alias("_n"), *(F.sum(h).bitwiseAND((1 << LANE_BITS) - 1).alias(h) for h in lanes))
-    size = F.sum("_n").over(W.partitionBy("conv_id")).alias("n_turns")
-    blocks = blocks.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), size, *(F.coalesce(F.sum(h).over(ahead), F.lit(0)).alias(f"_{h}") for h in lanes))
-    rows = rows.select("conv_id", "block", "position", *(F.sum(h).over(own).alias(h) for h in lanes))
-    rows = rows.join(blocks, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b")))
+    own = W.partitionBy("_conv", "block").orderBy("position").rowsBetween(W.unboundedPreceding, 0)
+    ahead = W.partitionBy("_conv").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = rows.groupBy("_conv", "block").agg(F.count("*").alias("_n"), *(F.sum(h).bitwiseAND((1 << LANE_BITS) - 1).alias(h) for h in lanes))
+    size = F.sum("_n").over(W.partitionBy("_conv")).alias("n_turns")
+    blocks = blocks.select("_conv", "block", size, *(F.coalesce(F.sum(h).over(ahead), F.lit(0)).alias(f"_{h}") for h in lanes))
+    rows = rows.select("_conv", "block", "position", *(F.sum(h).over(own).alias(h) for h in lanes)).join(blocks, ["_conv", "block"])
     summed = [(F.col(h) + F.col(f"_{h}")).bitwiseAND((1 << LANE_BITS) - 1).alias(h) for h in lanes]
     n = F.col("position") + 1
-    return rows.select("conv_id", n.alias("n"), (n == F.col("n_turns")).alias("whole"), *summed)
+    return rows.select("_conv.conv_id", n.alias("n"), (n == F.col("n_turns")).alias("whole"), *summed)
 
 
 def maximal(turns: DataFrame) -> DataFrame:
