@@ -8,7 +8,7 @@ bounded size, so there is no cap and no link is lost. Each tile pair returns a f
 
 Copies share a fingerprint and are one node. Null and empty texts, and texts without words, have fingerprint zero and are
 linked like any other. Rows with a null doc_id take part but can't name a component; a component of such rows only has a
-null id. Repeated rows are kept. Other columns are ignored.
+null id. `classes` has a row for each repeated row, `representatives` one row for each component. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.llm.common import map_rows, written
@@ -27,6 +27,8 @@ from rillflow.llm.common import map_rows, written
 BITS = 64
 #: Fingerprints of one tile.
 TILE = 4096
+#: Shingles of one text whose hashes are held at once.
+SHINGLES_AT_ONCE = 1 << 16
 
 
 def fingerprint(text: str | None, words_each: int = 3, seed: int = 42) -> int:
@@ -36,22 +38,26 @@ def fingerprint(text: str | None, words_each: int = 3, seed: int = 42) -> int:
         return 0
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
-    last = ends[words_each - 1 :].tolist() or [len(line)]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], seed) for a, b in zip(starts, last)], ">u8")
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    last = ends[words_each - 1 :] if len(words) >= words_each else ends[-1:]
+    digest, ones = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
+    for at in range(0, len(last), SHINGLES_AT_ONCE):
+        part = slice(at, at + SHINGLES_AT_ONCE)
+        hashes = np.array([digest(line[a:b], seed) for a, b in zip(starts[part].tolist(), last[part].tolist())], ">u8")
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(last)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long; a narrow pass over whole texts."""
+def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and strings `more`; a narrow pass over whole texts."""
+    names = [f"more{k}" for k in range(len(more))]
 
     def per_batch(batch: pa.RecordBatch) -> list:
         found = [fingerprint(t) for t in batch.column(1).to_pylist()]
-        return [batch.column(0), np.array(found, np.uint64).astype(np.int64)]
+        return [batch.column(0), np.array(found, np.uint64).astype(np.int64), *batch.columns[2:]]
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, fp long", per_batch)
+    given = docs.select(F.col("doc_id").cast("long"), "text", *(c.alias(n) for c, n in zip(more, names)))
+    return map_rows(given, ", ".join(["doc_id long", "fp long", *(f"{n} string" for n in names)]), per_batch)
 
 
 def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
@@ -172,22 +178,32 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return found
 
 
+def placed(marked: DataFrame, radius: int, tile: int) -> DataFrame:
+    """fp, n_copies, root and component_id of each fingerprint in marked (doc_id, fp)."""
+    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")), "nodes")
+    roots = written(components(links(nodes.select("fp"), radius, tile)), "roots")
+    found = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    return found.join(named, "root").select("fp", "n_copies", "root", "component_id")
+
+
 def classes(docs: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
     """One row for each of docs: doc_id, fingerprint, n_copies (rows with this fingerprint) and component_id."""
     marked = written(fingerprints(docs), "fingerprints")
-    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")), "nodes")
-    roots = written(components(links(nodes.select("fp"), radius, tile)), "roots")
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = placed.join(named, "root").select("fp", "n_copies", "component_id")
-    return marked.join(placed, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_copies", "component_id")
+    out = marked.join(placed(marked, radius, tile), "fp")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_copies", "component_id")
 
 
-def representatives(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """The rows of docs that stay when each component keeps its document of smallest doc_id.
+def representatives(docs: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
+    """One row of docs for each component: that of smallest doc_id, nulls last, and of these of smallest text digest.
 
-    doc_id is the identity of a document: repeated rows of a doc_id that stays all stay. Rows with a null doc_id stay.
+    Rows alike in doc_id and text are one document, of which any row stays. The column name `_near_key` is reserved.
     """
-    found = classes(docs, radius).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    keep = docs.filter(F.col("doc_id").isNotNull()).join(found, "doc_id", "left_semi")
-    return keep.union(docs.filter(F.col("doc_id").isNull()))
+    told = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.md5("text"), F.lit("")))
+    marked = written(fingerprints(docs, told), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "more0"))
+    # The least of each fingerprint, which a hot group finds before it is shuffled; then the least of each component.
+    least = marked.groupBy("fp").agg(first.alias("first"))
+    least = least.join(placed(marked, radius, tile), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    keep = least.select(F.col("first.more0").alias("_near_key"))
+    return docs.withColumn("_near_key", told).dropDuplicates(["_near_key"]).join(keep, "_near_key", "left_semi").select(*docs.columns)

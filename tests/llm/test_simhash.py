@@ -73,5 +73,26 @@ def test_awkward_rows(docs, no_docs):
     want = sorted((str(r["doc_id"]), f"{slow(r['text']):016x}", str(least[k])) for r, k in zip(rows, root))
     got = sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in simhash.classes(docs).collect())
     assert got == want
-    assert simhash.representatives(docs).columns == docs.columns
+    stay = simhash.representatives(docs)
+    assert stay.columns == docs.columns
+    # one row of each component, of its smallest doc_id where it has any
+    prints = [slow(r["text"]) for r in stay.collect()]
+    of = dict(zip((slow(r["text"]) for r in rows), root))
+    assert sorted(of[p] for p in prints) == sorted(set(root))
+    assert sorted(str(r["doc_id"]) for r in stay.collect()) == sorted(str(least[k]) for k in set(root))
     assert simhash.classes(no_docs).count() == 0 and simhash.representatives(no_docs).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = ("one two three four five", "six seven eight nine ten", "eleven twelve thirteen")
+    rows = [(3, b), (5, a), (5, b), (5, a), (None, a), (None, c), (None, c), (9, None), (8, "")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, fp int")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in simhash.representatives(df).collect())
+    assert got == sorted([("3", b), ("5", a), ("None", c), ("8", "")])
+
+
+def test_long_text_in_blocks(monkeypatch):
+    text = " ".join(f"w{k * k % 97}" for k in range(1000))
+    want = simhash.fingerprint(text)
+    monkeypatch.setattr(simhash, "SHINGLES_AT_ONCE", 64)
+    assert simhash.fingerprint(text) == want == slow(text)
