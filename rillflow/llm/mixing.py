@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,12 +35,16 @@ BUCKET_ROWS = 8192
 MOST_BLOCKS = 1 << 29
 
 
+def digest() -> Column:
+    """What orders documents within their source."""
+    told = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "source", "text")]
+    return F.md5(F.concat_ws("\x1f", *told).cast("binary"))
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and the digest that orders documents within their source."""
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    digest = F.md5(F.concat_ws("\x1f", text("doc_id"), text("source"), text("text")).cast("binary"))
+    """doc_id, source, size and the digest of each row."""
     name = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("_mix_size"), name.alias("_mix_name"), digest.alias("_mix_key"))
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("_mix_size"), name.alias("_mix_name"), digest().alias("_mix_key"))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -131,11 +135,11 @@ def plan(docs: DataFrame, weights=WEIGHTS, max_repeat=MAX_REPEAT, block_words=BL
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs as often as the mix takes them, each output shard in one partition and shuffled."""
-    draws = written(plan(docs, **options).groupBy("_mix_key").agg(F.flatten(F.collect_list("draws")).alias("_mix_draws")), "mix-draws")
-    shards = draws.agg(F.coalesce(F.max(F.array_max(F.transform("_mix_draws", lambda d: d["shard"]))), F.lit(0)) + 1).first()[0]
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    key = F.md5(F.concat_ws("\x1f", text("doc_id"), text("source"), text("text")).cast("binary"))
-    out = docs.withColumn("_mix_key", key).dropDuplicates(["_mix_key"]).join(draws, "_mix_key")
-    out = out.withColumn("_mix_draw", F.explode("_mix_draws"))
+    """The rows of docs as often as the mix takes them, each output shard in one partition and shuffled.
+
+    Of rows that share doc_id, source and text one is drawn as often as the mix takes them all.
+    """
+    draws = written(plan(docs, **options).select("_mix_key", F.explode("draws").alias("_mix_draw")), "mix-draws")
+    shards = draws.agg(F.coalesce(F.max("_mix_draw.shard"), F.lit(0)) + 1).first()[0]
+    out = docs.withColumn("_mix_key", digest()).dropDuplicates(["_mix_key"]).join(draws, "_mix_key")
     return out.repartitionById(shards, F.col("_mix_draw.shard").cast("int")).sortWithinPartitions("_mix_draw.shard", "_mix_draw.place").select(*docs.columns)
