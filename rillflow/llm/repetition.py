@@ -31,7 +31,7 @@ def longest_repeats(letters: np.ndarray, owner: np.ndarray, ends: np.ndarray) ->
         return np.zeros(0, np.int64)
     key = owner.astype(np.int64) * (int(letters.max()) + 1) + letters
     order = np.argsort(key, kind="stable")
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)  # one array for each doubling is kept
     new = np.empty(n, bool)
     new[0], new[1:] = True, key[order][1:] != key[order][:-1]
     heads = np.flatnonzero(new)
@@ -42,7 +42,7 @@ def longest_repeats(letters: np.ndarray, owner: np.ndarray, ends: np.ndarray) ->
         ahead = active + h
         inside = ahead < ends[active]
         second = np.where(inside, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        key = rank[active] * (n + 2) + second
+        key = rank[active].astype(np.int64) * (n + 2) + second
         order = np.argsort(key, kind="stable")
         key, active = key[order], active[order]
         old = rank[active]
