@@ -10,7 +10,7 @@
    the sampled labels.
 
 Null and empty texts have no hits and get the score of a text without hits. Rows with a null doc_id are scored and not
-held out. A doc_id with several labels counts as toxic if any says so. Without labelled rows only the fixed lexicon and
+held out. A doc_id with several labels counts as toxic if any says so; of its rows the smallest text is learnt from. Without labelled rows only the fixed lexicon and
 the patterns vote. Labels, lang, source and doc_id are never inputs of a score.
 """
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import map_rows, small_batches
+from rillflow.llm.common import map_rows, small_batches, written
 
 #: Insults that are plain in any English text.
 LEXICON = (
@@ -111,13 +111,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """Texts with labels outside the held-out fold: all of them, or about `most` chosen by a hash of doc_id."""
+    """Texts with labels outside the held-out fold: all of them, or about `most` chosen by a hash of doc_id.
+
+    A doc_id gives one text, however many rows it has. The sample is written, so that docs is read for it once.
+    """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
     share = most / max(known.count(), 1)
     if share < 1:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return docs.select("doc_id", "text").join(known, "doc_id").select("text", "_toxic")
+    rows = docs.select("doc_id", "text").join(known, "doc_id").groupBy("doc_id", "_toxic").agg(F.min("text").alias("text"))
+    return written(rows.select("text", "_toxic"), "labelled")
 
 
 def grams(word: str) -> list[str]:

@@ -60,3 +60,12 @@ def test_lexicon_alone_still_tells(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert model.score(texts[0][1]) > 0.5 > model.score(texts[1][1])
+
+
+def test_sample_is_bounded_by_documents(spark):
+    docs, labels, _ = planted(spark, 300)
+    again = docs.unionAll(docs.filter("doc_id = 3").crossJoin(spark.range(500)).select("doc_id", "text"))
+    one, other = (sorted(map(tuple, toxicity.labelled(d, labels, 10_000).collect())) for d in (docs, again))
+    assert one == other
+    few = toxicity.labelled(again, labels, 60).count()
+    assert 20 < few < 120
