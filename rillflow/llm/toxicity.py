@@ -34,6 +34,8 @@ LEXICON = (
 )
 INSULT = re.compile(r"\byou(?:'re| are| were)?\s+(?:an?\s+|such\s+|all\s+)*(?:%s)" % "|".join(LEXICON))
 THREAT = re.compile(r"\b(?:kill|hurt|hate|destroy) (?:you|them|him|her)\b|\bgo to hell\b|\bshut up\b|\bdrop dead\b")
+#: Every threat holds one of these, which are faster to look for.
+THREAT_PARTS = ("kill ", "hurt ", "hate ", "destroy ", "go to hell", "shut up", "drop dead")
 LETTERS = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST_PREFIX = 4, 8
 
@@ -78,7 +80,9 @@ class Model:
             if (start == 0 or not low[start - 1].isalpha()) and not (whole and end + 1 < len(low) and low[end + 1].isalpha()):
                 hits[k] = hits.get(k, 0) + 1
         shout = text is not None and len(text) > 20 and text.isupper()
-        return len(low.split()), hits, [bool(INSULT.search(low)) if "you" in low else False, bool(THREAT.search(low)), shout]
+        insult = "you" in low and bool(INSULT.search(low))
+        threat = any(part in low for part in THREAT_PARTS) and bool(THREAT.search(low))
+        return len(low.split()), hits, [insult, threat, shout]
 
     def votes(self, n_words: int, hits: dict[int, int], patterns: list[bool]) -> int:
         """Bit j is set if voter j hits."""
