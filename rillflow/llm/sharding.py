@@ -66,7 +66,8 @@ class ShardStore:
         return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/v{at:010d}")
 
     def commit(self, shards: DataFrame, after: int) -> int:
-        """Make `shards` version after + 1, in one rename; Conflict if that version exists."""
+        """Make `shards` version after + 1, in one rename; Conflict if that version exists. New shards get that version."""
+        shards = shards.withColumn("added", F.coalesce("added", F.lit(after + 1).cast("long")))
         aside, place = self._path(f"manifest/_{uuid.uuid4().hex}"), self._path(f"manifest/v{after + 1:010d}")
         shards.coalesce(1).write.parquet(aside.toString())
         never = self.spark.sparkContext._gateway.new_array(getattr(self._hadoop, "Options$Rename"), 0)
@@ -82,20 +83,21 @@ class ShardStore:
     def _tier(self):
         return F.greatest(F.lit(0), F.ceil(F.log(float(self.fanout), F.col("bytes") / F.lit(float(LEAST_BYTES))))).cast("int")
 
-    def _written(self, rows: DataFrame, version: int, most_rows: int = 0) -> DataFrame:
-        """Write rows as new files; what the manifest says of them."""
-        folder = f"{self.root}/data/{uuid.uuid4().hex}"
+    def _written(self, rows: DataFrame, folder: str, most_rows: int = 0) -> DataFrame:
+        """Write rows as new files; what the manifest says of them, `added` left open."""
         rows.write.option("maxRecordsPerFile", most_rows).option("compression", "zstd").parquet(folder)
         files = self.spark.read.schema(self.schema).parquet(folder)
         found = files.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("n_rows"))
-        return found.select("path", "bytes", "n_rows", self._tier().alias("tier"), F.lit(version).cast("long").alias("added"))
+        return found.select("path", "bytes", "n_rows", self._tier().alias("tier"), F.lit(None).cast("long").alias("added"))
+
+    def _fresh(self) -> str:
+        return f"{self.root}/data/{uuid.uuid4().hex}"
 
     # -- writers -------------------------------------------------------------------------------------------------------
 
     def append(self, rows: DataFrame, most_rows: int = 2000, tries: int = 10) -> int:
         """Add rows as shards of at most most_rows rows; the new version."""
-        latest = (self.versions() or [0])[-1]
-        new = self._written(rows.select(*self.schema.names), latest + 1, most_rows)
+        new = self._written(rows.select(*self.schema.names), self._fresh(), most_rows)
         for _ in range(tries):
             latest = (self.versions() or [0])[-1]
             try:
@@ -104,8 +106,12 @@ class ShardStore:
                 continue
         raise Conflict(f"gave up after {tries} tries")
 
-    def compact(self) -> int:
-        """Merge tiers until none has `fanout` shards that can be merged; the latest version."""
+    def compact(self, tries: int = 10) -> int:
+        """Merge tiers until none has `fanout` shards that can be merged; the latest version.
+
+        Arrivals that are committed meanwhile stay: the merge is put into the latest version. If another compaction has
+        taken one of its shards, the merge is thrown away and planned anew.
+        """
         latest = (self.versions() or [0])[-1]
         while latest:
             shards = self.manifest(latest)
@@ -115,14 +121,30 @@ class ShardStore:
             if not due:
                 break
             before = sum(r["n"] for r in due)
-            new = self._merged([r["paths"] for r in due], latest + 1)
+            folder = self._fresh()
+            new = self._merged([r["paths"] for r in due], folder)
             gone = self.spark.createDataFrame([(p,) for r in due for p in r["paths"]], "path string")
             if new.count() >= before:
+                self._files.delete(self._hadoop.Path(folder), True)
                 break  # files of these sizes don't fit two to a target
-            latest = self.commit(shards.join(gone, "path", "left_anti").unionByName(new), latest)
+            latest = self._replaced(gone, before, new, folder, tries)
         return latest
 
-    def _merged(self, tiers: list[list[str]], version: int) -> DataFrame:
+    def _replaced(self, gone: DataFrame, n_gone: int, new: DataFrame, folder: str, tries: int) -> int:
+        """Commit `new`, the files of folder, in place of `gone`; the latest version."""
+        for _ in range(tries):
+            latest = self.versions()[-1]
+            live = self.manifest(latest)
+            if live.join(gone, "path", "left_semi").count() < n_gone:
+                self._files.delete(self._hadoop.Path(folder), True)
+                return latest
+            try:
+                return self.commit(live.join(gone, "path", "left_anti").unionByName(new), latest)
+            except Conflict:
+                continue
+        raise Conflict(f"gave up after {tries} tries")
+
+    def _merged(self, tiers: list[list[str]], folder: str) -> DataFrame:
         """Each tier read in partitions of whole files up to the target, every partition one new file."""
         packing = {"spark.sql.files.maxPartitionBytes": str(self.target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
         held = {k: self.spark.conf.get(k, None) for k in packing}
@@ -133,7 +155,7 @@ class ShardStore:
             rows = parts[0]
             for part in parts[1:]:
                 rows = rows.unionAll(part)
-            return self._written(rows, version)
+            return self._written(rows, folder)
         finally:
             for k, v in held.items():
                 self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)

@@ -51,6 +51,31 @@ def test_commit_is_exclusive(spark):
     assert store.versions() == [1] and store.append(many) == 2 and store.read().count() == 20
 
 
+def test_compaction_beside_other_writers(spark, monkeypatch):
+    many = spark.range(400).selectExpr("id doc_id")
+    path = fresh_path(spark, "t")
+    store, other = (ShardStore(spark, path, many.schema) for _ in range(2))
+    store.append(many, most_rows=50)
+    merge = store._merged
+
+    def beside(what):
+        def run(*args):
+            monkeypatch.setattr(store, "_merged", merge)
+            what()
+            return merge(*args)
+
+        monkeypatch.setattr(store, "_merged", run)
+        store.compact()
+        assert not [p for p in os.listdir(f"{path.removeprefix('file://')}/manifest") if p[0] == "_"]
+
+    beside(lambda: other.append(many.coalesce(1)))  # an arrival stays, and the merge counts
+    assert store.versions() == [1, 2, 3] and store.read().count() == 800 and store.manifest().count() < 9
+    assert {r["added"] for r in store.manifest().collect()} == {2, 3}
+    store.append(many, most_rows=50)
+    beside(other.compact)  # another compaction was faster: its result stands
+    assert rows_of(store.read()) == rows_of(many.unionAll(many).unionAll(many)) and store.versions()[-1] == 5
+
+
 def test_empty(spark, no_docs):
     store = ShardStore(spark, fresh_path(spark, "t"), no_docs.schema)
     assert store.read().count() == 0 and store.compact() == 0 and store.placed("doc_id").count() == 0
