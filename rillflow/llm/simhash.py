@@ -9,6 +9,10 @@ bounded size, so there is no cap and no link is lost. Each tile pair returns a f
 Copies share a fingerprint and are one node. Null and empty texts, and texts without words, have fingerprint zero and are
 linked like any other. Rows with a null doc_id take part but can't name a component; a component of such rows only has a
 null id. `classes` has a row for each repeated row, `representatives` one row for each component. Other columns are ignored.
+
+With a similarity, `representatives` takes links only as candidates. Fingerprints are then those of the set of shingles, and
+agreement in one of PAIRS pairs of least hashes deals them: texts of Jaccard similarity s agree in none with a chance of
+(1 - s * s)**PAIRS. Whatever hangs together by candidates is gathered, and its texts are linked by their exact overlap.
 """
 
 from __future__ import annotations
@@ -22,13 +26,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import map_rows, written
+from rillflow.llm.common import map_rows, small_batches, written
 
 BITS = 64
 #: Fingerprints of one tile.
 TILE = 4096
 #: Shingles of one text whose hashes are held at once.
 SHINGLES_AT_ONCE = 1 << 16
+#: Pairs of least hashes that deal texts to buckets, each hash under an order of its own: 0.36**16 is 8e-8. Single hashes
+#: would tie together texts that share no more than a frequent line.
+PAIRS = 16
+ORDERS = np.random.default_rng(7).integers(0, 1 << 63, 2 * PAIRS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Sets of shingles that one verifying step holds, or twice as many of two tiles.
+SETS = 2048
 
 
 def fingerprint(text: str | None, words_each: int = 3, seed: int = 42) -> int:
@@ -48,12 +58,46 @@ def fingerprint(text: str | None, words_each: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(last)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
+def shingle_set(text: str | None, words_each: int, seed: int = 42) -> np.ndarray:
+    """The distinct XXH64 of the text's word shingles in ascending order; shorter texts are one shingle."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    last = ends[words_each - 1 :] if len(words) >= words_each else ends[-1:]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(line[a:b], seed) for a, b in zip(starts.tolist(), last.tolist())), np.uint64, len(last)))
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """Majority bits of distinct hashes, each counted once."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), SHINGLES_AT_ONCE):
+        part = hashes[at : at + SHINGLES_AT_ONCE].astype(">u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def least_hashes(hashes: np.ndarray) -> list[int]:
+    """One number for each pair of least hashes."""
+    if not len(hashes):
+        return []
+    least = np.array([(hashes * odd).min() for odd in ORDERS]).reshape(PAIRS, 2)
+    return (least[:, 0] * ORDERS[0] ^ least[:, 1] * ORDERS[1]).view(np.int64).tolist()
+
+
+def set_name(hashes: np.ndarray) -> str:
+    return xxhash.xxh3_128_hexdigest(hashes.astype("<u8").tobytes())
+
+
+def fingerprints(docs: DataFrame, *more: Column, words_each: int = 3) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) and strings `more`; a narrow pass over whole texts."""
     names = [f"more{k}" for k in range(len(more))]
 
     def per_batch(batch: pa.RecordBatch) -> list:
-        found = [fingerprint(t) for t in batch.column(1).to_pylist()]
+        found = [fingerprint(t, words_each) for t in batch.column(1).to_pylist()]
         return [batch.column(0), np.array(found, np.uint64).astype(np.int64), *batch.columns[2:]]
 
     given = docs.select(F.col("doc_id").cast("long"), "text", *(c.alias(n) for c, n in zip(more, names)))
@@ -84,10 +128,15 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tupl
 
 
 def links(fps: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
-    """Edges a, b between distinct fingerprints whose components are those of all links within the radius."""
+    """Edges a, b between distinct fingerprints whose components are those of all links within the radius.
+
+    Where fps has a column `keys` (longs, as many in each row), only fingerprints that agree in one of them are compared.
+    """
     width = -(-BITS // (radius + 1))
     bands = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(F.shiftleft("fp", max(0, BITS - width * (k + 1))), BITS - min(width, BITS - width * k)).alias("key")) for k in range(radius + 1)]
     rows = fps.select("fp", F.bit_count("fp").alias("pop"), F.explode(F.array(*bands)).alias("_b")).select("fp", "pop", "_b.*")
+    if "keys" in fps.columns:
+        rows = fps.select("fp", F.bit_count("fp").alias("pop"), F.posexplode("keys").alias("band", "key")).distinct()
     sizes = rows.groupBy("band", "key", "pop").count()
     buckets = sizes.groupBy("band", "key").agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("pop", F.ceil(F.col("count") / tile).cast("int").alias("tiles")))).alias("layout"))
     rows = rows.join(buckets.filter("n > 1"), ["band", "key"])
@@ -194,16 +243,105 @@ def classes(docs: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_copies", "component_id")
 
 
-def representatives(docs: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
+def similar_in(members: list[tuple[str, int, np.ndarray, bool]], radius: int, similarity: float, alone: bool) -> list[tuple[str, str]]:
+    """Edges that span the pairs of (name, fingerprint, set, first) of at least that Jaccard similarity, within the radius.
+
+    Not alone, only members of the first tile are compared with those of the second.
+    """
+    fps, sizes = np.array([m[1] for m in members], np.int64).view(np.uint64), np.array([len(m[2]) for m in members])
+    first, root, edges = np.array([m[3] for m in members]), np.arange(len(members)), []
+    for i in np.flatnonzero(first) if not alone else range(len(members) - 1):
+        near = np.bitwise_count(fps ^ fps[i]) <= radius
+        near &= np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]) - 1e-9
+        if alone:
+            near[: i + 1] = False
+        else:
+            near &= ~first
+        for j in np.flatnonzero(near & (root != root[i])).tolist():
+            if root[i] == root[j]:
+                continue
+            both = len(np.intersect1d(members[i][2], members[j][2], assume_unique=True))
+            if both >= similarity * (sizes[i] + sizes[j] - both) - 1e-9:
+                root[root == root[j]] = root[i]
+                edges.append((members[i][0], members[j][0]))
+    return edges
+
+
+def similar(sets: DataFrame, radius: int, similarity: float, held: int = SETS) -> DataFrame:
+    """Edges a, b that span the links of similarity in each group of sets (name, fp, root, n members of root, hashes).
+
+    A group of more than `held` members is compared tile by tile.
+    """
+    tiles = F.ceil(F.col("n") / held).cast("int")
+    rows = sets.withColumn("sub", F.pmod(F.xxhash64("name"), tiles).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    rows = rows.select("root", F.least("sub", "t").alias("p"), F.greatest("sub", "t").alias("q"), (F.col("sub") <= F.col("t")).alias("first"), "name", "fp", "hashes")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, members = None, []
+
+        def flush() -> pa.RecordBatch:
+            found = similar_in(members, radius, similarity, now[1] == now[2]) if len(members) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.string()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:  # sorted by tile pair
+            for root, p, q, first, name, fp, hashes in zip(*(c.to_pylist() for c in batch.columns)):
+                if (root, p, q) != now:
+                    if members:
+                        yield flush()
+                    now, members = (root, p, q), []
+                members.append((name, fp, np.frombuffer(hashes, "<u8"), first))
+        if members:
+            yield flush()
+
+    return rows.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(verify, "a string, b string")
+
+
+def similar_representatives(docs: DataFrame, told: Column, radius: int, tile: int, words_each: int, similarity: float) -> DataFrame:
+    """The key `told` of one row for each component of similar texts, as _near_key."""
+    spark = docs.sparkSession
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, words_each) for t in batch.column(1).to_pylist()]
+            fps = np.array([set_fingerprint(h) for h in sets], np.uint64).astype(np.int64)
+            columns = [pa.array(fps), pa.array([set_name(h) for h in sets], pa.string()), pa.array([least_hashes(h) for h in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "told", "fp", "name", "keys"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([shingle_set(t, words_each).astype("<u8").tobytes() for t in batch.column(0).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], sets], names=["name", "fp", "root", "n", "hashes"])
+
+    small_batches(spark)
+    given = docs.select(F.col("doc_id").cast("long"), "text", told.alias("told"))
+    marked = given.mapInArrow(sketch, "doc_id long, told string, fp long, name string, keys array<long>")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "told")).alias("first")
+    nodes = written(marked.groupBy("name").agg(first, F.first("fp").alias("fp"), F.first("keys").alias("keys")), "sets")
+    roots = written(components(links(nodes.select("fp", "keys"), radius, tile)), "roots")
+    members = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    groups = members.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
+    near = written(members.join(groups, "root").select(F.col("first.told").alias("told"), "name", "fp", "root", "n"), "candidates")
+    texts = docs.select("text", told.alias("told")).join(near, "told").select("text", "name", "fp", "root", "n")
+    sets = texts.mapInArrow(hashed, "name string, fp long, root long, n long, hashes binary").dropDuplicates(["name"])
+    joined = components(similar(sets, radius, similarity)).toDF("name", "to")
+    least = nodes.select("name", "first").join(joined, "name", "left").groupBy(F.coalesce("to", "name").alias("to")).agg(F.min("first").alias("first"))
+    return least.select(F.col("first.told").alias("_near_key"))
+
+
+def representatives(docs: DataFrame, radius: int = 2, tile: int = TILE, words_each: int = 3, similarity: float | None = None) -> DataFrame:
     """One row of docs for each component: that of smallest doc_id, nulls last, and of these of smallest text digest.
 
-    Rows alike in doc_id and text are one document, of which any row stays. The column name `_near_key` is reserved.
+    With a similarity, components are those of texts within the radius whose shingle sets overlap by at least that Jaccard
+    similarity; else the radius alone decides. Rows alike in doc_id and text are one document, of which any row stays. The column name `_near_key` is reserved.
     """
     told = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.md5("text"), F.lit("")))
-    marked = written(fingerprints(docs, told), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "more0"))
-    # The least of each fingerprint, which a hot group finds before it is shuffled; then the least of each component.
-    least = marked.groupBy("fp").agg(first.alias("first"))
-    least = least.join(placed(marked, radius, tile), "fp").groupBy("root").agg(F.min("first").alias("first"))
-    keep = least.select(F.col("first.more0").alias("_near_key"))
+    if similarity is None:
+        marked = written(fingerprints(docs, told, words_each=words_each), "fingerprints")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "more0"))
+        # The least of each fingerprint, which a hot group finds before it is shuffled; then the least of each component.
+        least = marked.groupBy("fp").agg(first.alias("first"))
+        least = least.join(placed(marked, radius, tile), "fp").groupBy("root").agg(F.min("first").alias("first"))
+        keep = least.select(F.col("first.more0").alias("_near_key"))
+    else:
+        keep = similar_representatives(docs, told, radius, tile, words_each, similarity)
     return docs.withColumn("_near_key", told).dropDuplicates(["_near_key"]).join(keep, "_near_key", "left_semi").select(*docs.columns)

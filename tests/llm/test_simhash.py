@@ -96,3 +96,70 @@ def test_long_text_in_blocks(monkeypatch):
     want = simhash.fingerprint(text)
     monkeypatch.setattr(simhash, "SHINGLES_AT_ONCE", 64)
     assert simhash.fingerprint(text) == want == slow(text)
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def edited(rng, n_families):
+    """Families of texts of 5 to 400 words with words changed, added and taken away, around a similarity of 0.8."""
+    out = []
+    for f in range(n_families):
+        base = [f"w{x}" for x in rng.integers(0, 5000, int(np.exp(rng.uniform(np.log(5), np.log(400)))))]
+        out.append(" ".join(base))
+        for _ in range(3):
+            words = list(base)
+            for _ in range(int(rng.integers(0, 2 + len(words) // 30))):
+                at = int(rng.integers(0, len(words)))
+                words[at : at + int(rng.integers(0, 2))] = [f"n{rng.integers(0, 5000)}"] * int(rng.integers(0, 2))
+            out.append(" ".join(words[: len(words) - int(rng.integers(0, 2))]))
+    return out
+
+
+def test_similar_texts_by_brute_force(spark):
+    import corpus_pipeline
+
+    line = " ".join(f"shared{k}" for k in range(12))
+    texts = edited(np.random.default_rng(5), 120) + [f"{line} " + " ".join(f"t{k}x{j}" for j in range(9)) for k in range(60)]
+    texts += ["", None, "a b", "A  b", "one line " * 3 + "other words here then " * 90, "one line " * 90 + "other words here then " * 3]
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if sets[i] == sets[j] or sets[i] and sets[j] and jaccard(sets[i], sets[j]) >= 0.8]
+    for i, j in pairs:
+        root = [root[i] if r == root[j] else r for r in root]
+    partial = [(i, j) for i, j in pairs if sets[i] != sets[j]]
+    assert len(partial) > 80
+    # candidates: the radius and the least hashes hold the pairs
+    hashes = [simhash.shingle_set(t, 5) for t in texts]
+    held = [p for p in partial if (simhash.set_fingerprint(hashes[p[0]]) ^ simhash.set_fingerprint(hashes[p[1]])).bit_count() <= 22 and any(x == y for x, y in zip(*(simhash.least_hashes(hashes[k]) for k in p)))]
+    assert len(held) >= 0.99 * len(partial)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()}
+    want = {min(k for k, r in enumerate(root) if r == x) for x in set(root)}
+    assert want <= got and len(got - want) <= 0.01 * len(partial)
+
+
+def test_large_groups_are_compared_tile_by_tile(spark):
+    texts = edited(np.random.default_rng(6), 12)
+    rows = {simhash.set_name(h): h for h in (simhash.shingle_set(t, 5) for t in texts)}
+    given = [(n, int(np.uint64(simhash.set_fingerprint(h)).astype(np.int64)), 1, len(rows), bytearray(h.tobytes())) for n, h in rows.items()]
+    df = spark.createDataFrame(given, "name string, fp long, root long, n long, hashes binary")
+    found = []
+    for held in (512, 5):
+        parts = {}
+        for r in simhash.components(simhash.similar(df, 64, 0.8, held)).collect():
+            parts.setdefault(r["root"], {r["root"]}).add(r["node"])
+        found.append(sorted(map(sorted, parts.values())))
+    assert found[0] == found[1] and found[0]
+
+
+def test_awkward_rows_by_similarity(docs, no_docs):
+    got = simhash.representatives(docs, 22, words_each=5, similarity=0.8)
+    assert got.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in got.collect()) == ["1", "2", "4", "6", "7", "None"]
+    assert simhash.representatives(no_docs, 22, words_each=5, similarity=0.8).count() == 0
