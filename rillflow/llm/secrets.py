@@ -1,8 +1,8 @@
 """Secret scan: three fixed patterns, and random strings exposed by a poor yield of characters per token.
 
 A string of chance letters compresses badly under a byte-pair vocabulary trained on ordinary text. Candidate runs with
-letters and digits are encoded with a tiktoken vocabulary; a run that yields fewer than `max_ratio` characters per token
-is reported as kind `random`, unless it is a known kind of digest or identifier or overlaps a span of the patterns.
+letters are encoded with a tiktoken vocabulary; a run that yields fewer than `max_ratio` characters per token is reported as
+kind `random`, unless it is a known kind of digest or identifier or overlaps a mail address or a span of the patterns.
 
 Null and empty texts have no spans; repeated rows are scanned alike; other columns are ignored by `scan` and kept, with
 their values, by `redact`. Texts are scanned whole.
@@ -28,7 +28,11 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/=_@.-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_@-])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])")
+#: Mail addresses are no secrets; what stands between `//` or `:` and `@` is, unless the colon follows the word mail.
+MAIL = re.compile(
+    r"(?:(?<=mailto:)|(?<=mail:)|(?<![A-Z0-9._%+/:-]))[A-Z0-9._%+-]{1,64}@[A-Z0-9-]+(?:\.[A-Z0-9-]+)*\.[A-Z]{2,}", re.IGNORECASE | re.ASCII
+)
 #: Not secrets: digests of the usual lengths, UUIDs, decimal numbers, paths and names of dictionary-like parts.
 HARMLESS = re.compile(
     r"(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128}"
@@ -39,6 +43,8 @@ HARMLESS = re.compile(
 )
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
 DEFAULT_MAX_RATIO = 2.1
+#: Runs without a digit may be long words of any language, which yield 2.05 and more; random letters yield 1.3 to 2.0.
+LETTERS_MAX_RATIO = 2.0
 
 
 @lru_cache(maxsize=4)
@@ -64,15 +70,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], vocabulary: str, max_ratio: float) -> list[tuple[int, int, int]]:
-    """Spans of runs with letters and digits whose characters per token fall short of max_ratio."""
+    """Spans of runs with letters whose characters per token fall short of max_ratio, outside mail addresses."""
     found = []
+    mails = [m.span() for m in MAIL.finditer(text)] if "@" in text else []
     for m in CANDIDATE.finditer(text):
         run = m[0]
-        if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)) or HARMLESS.match(run):
+        if not any(c.isalpha() for c in run) or HARMLESS.match(run):
             continue
-        if any(start < m.end() and m.start() < end for start, _, end in taken):
+        if any(start < m.end() and m.start() < end for start, _, end in taken) or any(start < m.end() and m.start() < end for start, end in mails):
             continue
-        if len(run) < max_ratio * len(encoding(vocabulary).encode_ordinary(run)):
+        least = max_ratio if any(c.isdigit() for c in run) else min(max_ratio, LETTERS_MAX_RATIO)
+        if len(run) < least * len(encoding(vocabulary).encode_ordinary(run)):
             found.append((m.start(), 3, m.end()))
     return found
 
