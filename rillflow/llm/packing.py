@@ -31,6 +31,8 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 WINDOW = 1024
 #: Shorter pieces aren't cut off; that much of a sequence may stay empty.
 LEAST_CUT = 8
+#: The vocabularies' only special token.
+SPECIAL = "<|endoftext|>"
 BEYOND = re.compile("[\U00010000-\U0010ffff]")
 
 
@@ -38,22 +40,21 @@ BEYOND = re.compile("[\U00010000-\U0010ffff]")
 def whole_tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(path)
 
 
 def tokenized(texts: list[str], vocabulary: str) -> list[np.ndarray]:
     """Ids under a byte-level vocabulary `<name>.json`.
 
     `<name>.tiktoken` holds the same vocabulary and is several times as fast; ids agree for every character of the basic
-    plane. Texts with characters beyond it go to the slower library.
+    plane. Texts with characters beyond it go to the slower library, and so do texts that spell out the special token, which
+    is one id.
     """
     import public_tokenizers
 
     out = []
     for text in texts:
-        if text.isascii() or not BEYOND.search(text):
+        if SPECIAL not in text and (text.isascii() or not BEYOND.search(text)):
             out.append(encoding(vocabulary + ".tiktoken").encode_to_numpy(text, disallowed_special=()))
         else:
             path = vocabulary + ".json" if "/" in vocabulary else public_tokenizers.path(vocabulary + ".json")

@@ -57,6 +57,16 @@ def test_fast_ids_equal_the_slow_ones(text):
     assert list(got) == whole().encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(["<|endoftext|>", "<|endoftext|", "endoftext", " ", "\n", "😀", "é", "a b"]), st.text(max_size=8)), max_size=12).map("".join))
+def test_special_tokens_are_one_id(text):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert list(packing.tokenized([text], "byte_bpe_50k")[0]) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert list(packing.tokenized(["a <|endoftext|> b"], "byte_bpe_50k")[0]) == [64, 220, 50256, 275]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 90), max_size=60), st.integers(2, 9), st.integers(5, 32), st.booleans())
 def test_limits_hold(lengths, segments, loss, cut):
