@@ -1,18 +1,29 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and the tables that are put there."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Folders handed out inside the innermost `scratch`, if there is one.
+_inside: ContextVar[list[str] | None] = ContextVar("_inside", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of this machine where that is unset, which suits local sessions only."""
+    """spark.checkpoint.dir, which also becomes the place of checkpoints; a folder of this machine in local sessions without it.
+
+    On a cluster without that setting this is an error, since executors would each write to a disk of their own.
+    """
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="rillflow-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(found)
@@ -20,4 +31,34 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    """A name in the shared folder that nothing has yet."""
+    folder = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    if (held := _inside.get()) is not None:
+        held.append(folder)
+    return folder
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders handed out inside are deleted at the end, so results must be stored or collected before that.
+
+    Without it they stay, for results are lazy and read them, until whoever owns the shared folder clears it.
+    """
+    held: list[str] = []
+    mark = _inside.set(held)
+    try:
+        yield
+    finally:
+        _inside.reset(mark)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in held:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df as a table in the shared folder: lineage ends there, and a lost executor loses nothing."""
+    spark = df.sparkSession
+    folder = fresh_folder(spark, what)
+    df.write.option("compression", "zstd").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
