@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from rillflow.config import PipelineConfig, Workload
 from rillflow.functions import affine_wrapping, failure
 from rillflow.operators import Fence
-from rillflow.operators.order import chunked, gap_free, zipped
+from rillflow.operators.order import chunked, chunks, gap_free, zipped
 from rillflow.plans import Pipe, StreamPipe, TryPipe, pipe, stream
 from rillflow.plans.jobs import together
 from rillflow.plans.scope import scope
+from rillflow.sources import from_parquet, sequenced
 from rillflow.sources.folders import fresh_folder
 from rillflow.streaming import run_available
+from rillflow.streaming.cancel import CancellationToken
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -66,15 +68,9 @@ def filter_map(spark, sf_dir):
     return orders(spark, sf_dir).filter("value % 3 = 0").map("value * 10").to_df()
 
 
-def _wrapped(steps: int) -> str:
-    """SQL of the affine map collapsed by the same arithmetic that the function uses."""
-    scale, shift = 1, 0
-    for _ in range(steps):
-        scale, shift = scale * 31 % 2**64, (shift * 31 + 17) % 2**64
-    return f"SELECT o_orderkey, CAST((CAST(o_orderkey AS HUGEINT) * {scale} + {shift}) % 18446744073709551616 AS VARCHAR) AS value FROM orders"
-
-
-@query(_wrapped(200))
+@query("""
+SELECT o_orderkey, CAST(list_reduce(list_prepend(CAST(o_orderkey AS HUGEINT), range(200)), lambda x, step: (x * 31 + 17) % 18446744073709551616) AS VARCHAR) AS value
+FROM orders""")
 def cpu_heavy(spark, sf_dir):
     """P1 with unsigned 64-bit wrap-around: 200 steps of x * 31 + 17."""
     keys = read(spark, sf_dir, "orders").select("o_orderkey")
@@ -114,6 +110,19 @@ def dense_sequence(spark, sf_dir):
     return stream(rows).to_df(keep_seq=True).select(F.col("_seq").alias("seq"), "event_id")
 
 
+@query("SELECT (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS seq, o_orderkey FROM orders")
+def dense_file(spark, sf_dir):
+    """S2 and S4 over a table: dense indices from the row numbers that files know. This table is stored by order key."""
+    rows = stream(from_parquet(spark, f"{sf_dir}/orders.parquet", "o_orderkey"))
+    return rows.to_df(keep_seq=True).select(F.col("_seq").alias("seq"), "o_orderkey")
+
+
+@query("SELECT k::BIGINT AS seq, (k * k + 1)::BIGINT AS value FROM range(1000) t(k)")
+def driver_items(spark, sf_dir):
+    """S1 and S3 over a collection of the driver, which keeps its order."""
+    return pipe([k * k for k in range(1000)], spark).map("value + 1").to_df(keep_seq=True).select(F.col("_seq").alias("seq"), "value")
+
+
 # -- fallible chains ----------------------------------------------------------------------------------------------------
 
 
@@ -224,10 +233,29 @@ def chunked_fence(spark, sf_dir):
 
 @query("SELECT (row_number() OVER (ORDER BY event_id) - 1)::BIGINT AS place, event_id * 2 + 1 AS value FROM events")
 def ordered_stream(spark, sf_dir):
-    """The order of a stream that is ordered, told by a column, since a comparison of tables has no order."""
-    rows = events(spark, sf_dir).stage("value * 2 + 1").ordered().to_df(keep_seq=True)
-    ranged = rows.repartitionByRange("_seq").sortWithinPartitions("_seq").drop("_seq")
-    return stream(ranged).to_df(keep_seq=True).select(F.col("_seq").alias("place"), "value")
+    """The rows of an ordered stream, numbered as they come out, since a comparison of tables has no order."""
+    shuffled = stream(read(spark, sf_dir, "events").select(F.col("event_id").alias("value")).repartition("value"), seq="value")
+    return sequenced(shuffled.stage("value * 2 + 1").ordered().to_df()).select(F.col("_seq").alias("place"), "value")
+
+
+@query("SELECT (event_id * 10 + k) AS value, (row_number() OVER (ORDER BY event_id, k) - 1)::BIGINT AS place FROM events, range(3) t(k)")
+def ordered_expansion(spark, sf_dir):
+    """The items of each expansion stay together and in their order."""
+    rows = events(spark, sf_dir).expand("array(value * 10, value * 10 + 1, value * 10 + 2)").ordered_by_position()
+    return sequenced(rows.to_df()).select("value", F.col("_seq").alias("place"))
+
+
+@query("SELECT (event_id + 1) * 2 AS value FROM events")
+def cancellable_run(spark, sf_dir):
+    """A run under a token that nobody cancels, range by range, with a barrier between two stages."""
+    rows = events(spark, sf_dir).with_cancel(CancellationToken()).stage("value + 1").fence(Fence.BARRIER).stage(lambda x: x * 2)
+    return rows.to_df()
+
+
+@query("SELECT event_id // 64 AS chunk, string_agg(user_id::VARCHAR, ',' ORDER BY event_id) AS users FROM events GROUP BY 1")
+def chunk_items(spark, sf_dir):
+    """Each 64 consecutive items as one row, in input order."""
+    return chunks(read(spark, sf_dir, "events"), 64, "event_id", "user_id").select("chunk", F.array_join("items", ",").alias("users"))
 
 
 @query("SELECT event_id, value FROM events WHERE event_id < (SELECT min(event_id) FROM events WHERE event_id % 500 = 499)")
@@ -238,14 +266,14 @@ def reorder_prefix(spark, sf_dir):
 
 @query("SELECT o_orderkey * 2 + 1 AS value FROM orders")
 def async_enrich(spark, sf_dir):
-    """P5: a coroutine for each item, many at once."""
+    """P5: a coroutine for each item, which waits a millisecond; many wait at once."""
 
     async def looked_up(x: int) -> int:
-        await asyncio.sleep(0)
+        await asyncio.sleep(0.001)
         return x * 2
 
     keys = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("value"))
-    return StreamPipe(keys).stage_async(looked_up).stage(lambda x: x + 1).to_df()
+    return StreamPipe(keys, config=PipelineConfig(io_concurrency=2048)).stage_async(looked_up).stage(lambda x: x + 1).to_df()
 
 
 @query("SELECT event_id * 3 + 1 AS value FROM events")
@@ -300,15 +328,73 @@ def zip_two_runs(spark, sf_dir):
     return zipped(a, b).select("a", "b")
 
 
-@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS size, md5(text) AS digest FROM documents")
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS size, md5(text) AS digest, doc_id % 1000 AS part FROM documents")
 def doc_pipeline(spark, sf_dir):
-    """Read, compute, write: an asynchronous stage, a declarative one and an asynchronous one."""
+    """Read, compute, write: an asynchronous stage, a declarative one and an asynchronous one.
 
-    async def fetched(doc: dict) -> dict:
-        await asyncio.sleep(0)
-        return doc
+    The coroutines get the columns that they need; texts pass by in Arrow.
+    """
+
+    async def located(doc_id: int) -> int:
+        await asyncio.sleep(0.001)
+        return doc_id % 1000
+
+    async def acknowledged(doc_id: int) -> int:
+        await asyncio.sleep(0.001)
+        return doc_id
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = StreamPipe(docs, config=PipelineConfig(io_concurrency=128))
-    rows = rows.stage_async(fetched).stage({"doc_id": F.col("doc_id"), "size": F.length("text").cast("bigint"), "digest": F.md5("text")})
-    return rows.stage_async(fetched).to_df()
+    rows = StreamPipe(docs, config=PipelineConfig(io_concurrency=2048)).stage_async(located, "part long", columns=("doc_id",))
+    rows = rows.stage({"doc_id": F.col("doc_id"), "size": F.length("text").cast("bigint"), "digest": F.md5("text"), "part": F.col("part")})
+    return rows.stage_async(acknowledged, "doc_id long", columns=("doc_id",)).to_df()
+
+
+@query("SELECT sum(o_orderkey)::BIGINT AS total, count(*) AS n FROM orders")
+def for_each_calls(spark, sf_dir):
+    """K2 and K5: a call on each item where it is, here on shared counters."""
+    total, n = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    with scope(spark) as s:
+        s.pipe(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("value")), seq="value").for_each(lambda x: (total.add(x), n.add(1)))
+    return spark.createDataFrame([(total.value, n.value)], "total long, n long")
+
+
+@query("SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::BIGINT AS place, n_nationkey * 2 AS value FROM nation")
+def collected_values(spark, sf_dir):
+    """K1, K3 and T5: the values of a fallible chain on the driver, in input order; nations are few at any size."""
+    rows = pipe(read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("value")), seq="value")
+    values = rows.try_map("value * 2", error=F.when(F.col("value") < 0, failure("Negative", "below zero"))).try_collect()
+    return spark.createDataFrame(list(enumerate(values)), "place long, value int")
+
+
+@query("SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::BIGINT AS place, n_nationkey + 1 AS value FROM nation")
+def run_values(spark, sf_dir):
+    """K6 and K7: an ordered run with a chunked fence, whose items come to the driver."""
+    rows = stream(read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("value")), seq="value")
+    return spark.createDataFrame(list(enumerate(rows.stage(lambda x: x + 1).fence(Fence.CHUNKED, 7).ordered().try_run())), "place long, value int")
+
+
+@query("SELECT o_orderkey + 100 AS value FROM orders WHERE o_orderkey % 7 IN (1, 2, 4)")
+def scoped_filter(spark, sf_dir):
+    """Python stages that read a shared value."""
+    with scope(spark) as s:
+        wanted, plus = frozenset((1, 2, 4)), 100
+        rows = s.pipe(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("value")), seq="value")
+        return rows.filter(lambda x: x % 7 in wanted).map(lambda x: x + plus).to_df()
+
+
+@query("SELECT event_id AS value FROM events")
+def untouched(spark, sf_dir):
+    """No stage."""
+    return events(spark, sf_dir).to_df()
+
+
+@query("SELECT event_id * 2 + 1 AS value FROM events")
+def configured(spark, sf_dir):
+    """Options change how the work is dealt out, not what comes out."""
+
+    async def twice(x: int) -> int:
+        await asyncio.sleep(0.001)
+        return x * 2
+
+    options = PipelineConfig().with_compute_workers(3).with_async_workers(2).with_buffer_size(100).with_io_concurrency(64)
+    return events(spark, sf_dir).with_config(options).stage_async(twice).stage(lambda x: x + 1).with_compute_pool(5).with_async_pool(3).to_df()

@@ -19,8 +19,8 @@ class PipelineConfig:
 
     compute_workers: int | None = None  # number of tasks that rows are dealt to
     async_workers: int | None = None  # event loops; a Python worker runs one, so this bounds tasks of async stages
-    buffer_size: int | None = None  # rows that one Arrow batch brings to a Python stage; set for the session
-    io_concurrency: int = 128  # async calls in flight at once, over all tasks of a stage
+    buffer_size: int | None = None  # rows that a Python stage takes and gives back at a time
+    io_concurrency: int = 128  # async calls in flight at once, over all tasks of a stage; fewer than tasks: that many tasks
     oversubscribe: int = 1  # threads of a task that run a blocking Python stage
     workload: Workload = Workload.BALANCED
 

@@ -74,7 +74,9 @@ class Expand(Stage):
 
 @dataclass(frozen=True)
 class AsyncMap(Stage):
-    """A coroutine function."""
+    """A coroutine function on items, or on the named columns of items."""
+
+    columns: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)

@@ -110,6 +110,39 @@ def chained(items: Iterator[Item], stages: tuple[Stage, ...], config: PipelineCo
     return items
 
 
+def sliced(batch: pa.RecordBatch, size: int | None) -> Iterator[pa.RecordBatch]:
+    """batch in parts of at most `size` rows, which become Python objects one part at a time."""
+    for at in range(0, batch.num_rows, size or ROWS_OUT):
+        yield batch.slice(at, size or ROWS_OUT)
+
+
+def enricher(f: Callable, columns: tuple[str, ...], added: StructType, after: StructType, in_flight: int):
+    """The function for mapInArrow of a coroutine over some columns; calls go on from one batch to the next."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    async def called(values: tuple) -> object:
+        return await f(*values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, waiting = to_arrow_schema(after), deque()
+
+        def items() -> Iterator[Item]:
+            for batch in batches:
+                if batch.num_rows:
+                    waiting.append(batch)
+                    yield from ((None, None, v) for v in zip(*(batch.column(c).to_pylist() for c in columns)))
+
+        results = (value for _, _, value in awaited(items(), called, in_flight))
+        for first in results:
+            batch = waiting.popleft()
+            rows = [first, *islice(results, batch.num_rows - 1)]
+            new = {n: rows if len(added) == 1 else [r[n] for r in rows] for n in added.names}
+            arrays = [pa.array(new[n], schema.field(n).type) if n in new else batch.column(n) for n in schema.names]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return run
+
+
 def runner(stages: tuple[Stage, ...], before: StructType, after: StructType, kept: list[str], config: PipelineConfig, in_flight: int):
     """The function for mapInArrow. before and after: fields of the items; kept: which of _seq and _err go along."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -121,7 +154,7 @@ def runner(stages: tuple[Stage, ...], before: StructType, after: StructType, kep
         schema = to_arrow_schema(after)
 
         def items() -> Iterator[Item]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in sliced(whole, config.buffer_size)):
                 columns = {n: batch.column(n).to_pylist() for n in batch.schema.names}
                 values = columns["value"] if scalar_in else [dict(zip(names_in, row)) for row in zip(*(columns[n] for n in names_in))]
                 seqs = columns.get("_seq", [None] * batch.num_rows)

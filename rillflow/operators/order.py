@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Bits of one bitmap of the built-in functions.
+MOST_BITS = 1 << 15
+
 
 def chunked(df: DataFrame, size: int, seq: str, *parts: Column) -> DataFrame:
     """Aggregates over each `size` consecutive items: chunk, n, first_seq, last_seq and parts; the last may be short."""
@@ -21,18 +24,32 @@ def chunks(df: DataFrame, size: int, seq: str, value: str) -> DataFrame:
     return chunked(df, size, seq, F.transform(pairs, lambda x: x["v"]).alias("items")).select("chunk", "items")
 
 
-def gap_free(df: DataFrame, seq: str, block: int = 1 << 20) -> DataFrame:
+def whole(x: Column, by: int) -> Column:
+    """x div by, exact for all integers."""
+    return F.call_function("div", x.cast("bigint"), F.lit(by).cast("bigint"))
+
+
+def first_gap(numbers: DataFrame, name: str) -> DataFrame:
+    """One row, `name`: the first number from 0 that is missing in the column `at` of numbers, which holds few of them."""
+    ranked = numbers.select("at").distinct().withColumn("_nth", F.row_number().over(W.orderBy("at")) - 1)
+    return ranked.filter(F.col("_nth") == F.col("at")).agg(F.count("*").alias(name))
+
+
+def gap_free(df: DataFrame, seq: str, block: int = MOST_BITS) -> DataFrame:
     """The rows before the first missing index, counting from 0: what can be released in order.
 
-    The first gap is found from sums by block of indices, so nothing is sorted in one task.
+    Indices are gathered as bitmaps of `block` bits (MOST_BITS at most), in part before the shuffle. The first block that is
+    not full is found by blocks of full blocks, and only its own indices are then looked at one by one.
     """
-    own = df.filter(F.col(seq) >= 0).select(F.col(seq).alias("_s")).distinct().withColumn("_b", F.floor(F.col("_s") / F.lit(block)))
-    blocks = own.groupBy("_b").agg(F.count("*").alias("_n"))
-    full = blocks.filter(F.col("_n") == block).select("_b").withColumn("_at", F.row_number().over(W.orderBy("_b")) - 1)
-    n_full = full.filter(F.col("_at") == F.col("_b")).agg(F.count("*").alias("_k"))
-    last = own.join(F.broadcast(n_full), F.col("_b") == F.col("_k"))  # one row
-    prefix = last.withColumn("_at", F.row_number().over(W.orderBy("_s")) - 1).filter(F.col("_at") + F.col("_k") * F.lit(block) == F.col("_s")).agg(F.count("*").alias("_m"))
-    limit = n_full.select((F.col("_k") * F.lit(block)).alias("_x")).union(prefix).agg(F.sum("_x"))
+    block = min(block, MOST_BITS)
+    own = df.filter(F.col(seq) >= 0).select(whole(F.col(seq), block).alias("_b"), (F.col(seq) % block).cast("bigint").alias("at"))
+    bits = own.groupBy("_b").agg(F.bitmap_count(F.bitmap_construct_agg("at")).alias("_n"))
+    full = bits.filter(F.col("_n") == block).select(whole(F.col("_b"), MOST_BITS).alias("_bb"), (F.col("_b") % MOST_BITS).alias("at"))
+    far = first_gap(full.groupBy("_bb").count().filter(F.col("count") == MOST_BITS).select(F.col("_bb").alias("at")), "_far")
+    near = first_gap(full.join(F.broadcast(far), F.col("_bb") == F.col("_far")), "_near")  # one row
+    start = far.select((F.col("_far") * MOST_BITS + near.scalar()).alias("_start"))
+    rest = first_gap(own.join(F.broadcast(start), F.col("_b") == F.col("_start")), "_rest")  # one row
+    limit = start.select(F.col("_start") * block + rest.scalar())
     return df.filter((F.col(seq) >= 0) & (F.col(seq) < limit.scalar()))
 
 

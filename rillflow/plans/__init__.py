@@ -2,6 +2,8 @@
 
 Items are rows. A pipeline of scalars has the one column `value`. `_seq` (input index) and `_err` (error struct) are
 reserved. Declarative stages become selects and filters for the optimizer; each run of Python stages becomes one pass.
+A result is lazy but for two things: a source that needs dense indices is stored when the pipeline is made, and what
+precedes a barrier is stored when the result is asked for.
 """
 
 from __future__ import annotations
@@ -9,22 +11,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
-from py4j.protocol import Py4JError
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from rillflow.config import PipelineConfig, Workload
 from rillflow.operators import AsyncMap, Expand, Expression, Fence, FenceStage, Filter, Map, MapErr, PipelineError, Stage, TryMap
-from rillflow.operators.opaque import runner
+from rillflow.operators.opaque import enricher, runner
+from rillflow.plans.failures import is_cluster_failure
 from rillflow.sources import SEQ, from_items, sequenced
-from rillflow.sources.folders import shared_folder
+from rillflow.sources.folders import fresh_folder, shared_folder
 from rillflow.streaming.cancel import CancellationToken
 
 ERR = "_err"
 ERR_TYPE = "struct<kind:string,msg:string>"
 RESERVED = (SEQ, ERR)
+#: Parts of the input that a run which may be cancelled does one by one.
+SLICES = 16
 
 
 def column(x: Column | str) -> Column:
@@ -78,37 +81,51 @@ def declared(df: DataFrame, stage: Stage) -> DataFrame:
     raise TypeError(f"unknown stage {stage!r}")
 
 
+def with_calls(df: DataFrame, config: PipelineConfig) -> tuple[DataFrame, int]:
+    """df in as many tasks as may make calls at once, and how many calls each of them may have in flight."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    if config.async_workers is not None:
+        df, tasks = df.coalesce(config.async_workers), min(tasks, config.async_workers)
+    if config.io_concurrency < tasks:
+        df, tasks = df.coalesce(config.io_concurrency), config.io_concurrency
+    return df, config.io_concurrency // tasks
+
+
 def undeclared(df: DataFrame, run: list[Stage], config: PipelineConfig) -> DataFrame:
     """A run of Python stages, fused into one pass over Arrow batches."""
-    spark, before = df.sparkSession, item_schema(df)
+    before = item_schema(df)
     fallible = ERR in df.columns or any(isinstance(s, TryMap) for s in run)
     schemas = [s.schema for s in run if s.schema]
     after = StructType.fromDDL(schemas[-1]) if schemas else StructType([StructField(f.name, f.dataType) for f in before.fields])
     kept = [SEQ] * (SEQ in df.columns) + [ERR] * fallible
     extra = [f for f in df.schema.fields if f.name == SEQ] + [StructField(ERR, StructType.fromDDL("kind string, msg string"))] * fallible
-    tasks = 1
-    if any(isinstance(s, AsyncMap) for s in run):  # as many tasks may run at once, each with its share of the calls
-        tasks = spark.sparkContext.defaultParallelism
-        if config.async_workers is not None:
-            df, tasks = df.coalesce(config.async_workers), min(tasks, config.async_workers)
-    if config.buffer_size is not None:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(config.buffer_size))
-    in_flight = max(1, config.io_concurrency // max(1, tasks))
+    in_flight = 1
+    if any(isinstance(s, AsyncMap) for s in run):
+        df, in_flight = with_calls(df, config)
     return df.mapInArrow(runner(tuple(run), before, after, kept, config, in_flight), StructType([*extra, *after.fields]))
 
 
+def enriched(df: DataFrame, stage: AsyncMap, config: PipelineConfig) -> DataFrame:
+    """A coroutine over some columns; all others pass by in Arrow and never become Python objects."""
+    df, in_flight = with_calls(df, config)
+    added = StructType.fromDDL(stage.schema)
+    after = StructType([f for f in df.schema.fields if f.name not in added.names] + added.fields)
+    return df.mapInArrow(enricher(stage.f, stage.columns, added, after, in_flight), after)
+
+
 def lowered(df: DataFrame, stages: tuple[Stage, ...], config: PipelineConfig) -> DataFrame:
     if config.compute_workers is not None or config.workload is not Workload.BALANCED:
         wide = config.compute_workers or df.sparkSession.sparkContext.defaultParallelism
         df = df.repartition(wide * config.workload.value)
     run: list[Stage] = []
     for stage in stages:
-        if stage.opaque:
+        apart = isinstance(stage, AsyncMap) and stage.columns
+        if stage.opaque and not apart:
             run.append(stage)
             continue
         if run:
             df, run = undeclared(df, run, config), []
-        df = declared(df, stage)
+        df = enriched(df, stage, config) if apart else declared(df, stage)
     return undeclared(df, run, config) if run else df
 
 
@@ -138,7 +155,7 @@ class Builder:
 
     def transform(self, f: Callable[[DataFrame], DataFrame]):
         """A stage of one's own: any function on the DataFrame of the items so far."""
-        return replace(self, source=f(self.to_df(keep_seq=True)), stages=())
+        return replace(self, source=f(lowered(self.source, self.stages, self.config)), stages=())
 
     def to_df(self, keep_seq: bool = False) -> DataFrame:
         """The lazy result. keep_seq leaves the input index in it."""
@@ -237,18 +254,25 @@ class StreamPipe(Builder):
 
     by_seq: bool = False
     by_position: bool = False
+    expands: bool = False
     token: CancellationToken | None = None
 
     def stage(self, f: Expression | Callable, schema: str | None = None) -> StreamPipe:
         return self._with(Map(f, schema))
 
-    def stage_async(self, f: Callable, schema: str | None = None) -> StreamPipe:
-        """A coroutine function, called for many items at once: io_concurrency over all tasks of the stage."""
-        return self._with(AsyncMap(f, schema))
+    def stage_async(self, f: Callable, schema: str | None = None, columns: tuple[str, ...] = ()) -> StreamPipe:
+        """A coroutine function, called for many items at once: io_concurrency over all tasks of the stage.
+
+        With columns, f gets their values as its arguments and returns the value of the column that schema names, or a dict
+        if it names several; these are added to the item, or replace columns of it.
+        """
+        if columns and not schema:
+            raise ValueError("name what a stage over columns returns")
+        return self._with(AsyncMap(f, schema, tuple(columns)))
 
     def expand(self, f: Column | str | Callable, schema: str | None = None) -> StreamPipe:
         """Each item gives any number of items, which keep its input index; none if the array is empty or null."""
-        return self._with(Expand(f, schema))
+        return replace(self._with(Expand(f, schema)), expands=True)
 
     def fence(self, mode: Fence = Fence.BARRIER, size: int = 0) -> StreamPipe:
         """BARRIER: what follows starts when what precedes is done and stored. CHUNKED: pass on `size` items at a time."""
@@ -257,6 +281,7 @@ class StreamPipe(Builder):
         return self._with(FenceStage(mode=mode, size=size))
 
     def ordered(self) -> StreamPipe:
+        """Results in input order: run sorts what it collects, to_df sorts by ranges of the index."""
         return replace(self, by_seq=True)
 
     def ordered_by_position(self) -> StreamPipe:
@@ -269,41 +294,80 @@ class StreamPipe(Builder):
     def with_async_pool(self, workers: int) -> StreamPipe:
         return replace(self, config=self.config.with_async_workers(workers))
 
-    def run(self) -> list:
-        """The items, in input order if ordered. A cancelled run returns what had been done."""
-        if self.by_seq and any(isinstance(s, Expand) for s in self.stages) and not self.source.isEmpty():
+    def _check_order(self) -> None:
+        if self.by_seq and self.expands and not self.source.isEmpty():
             raise ValueError("`.ordered()` is incompatible with `.expand()`; see ordered_by_position")
-        if self.token is not None:
-            return self._run_in_slices(self.token)
-        out = self.to_df(keep_seq=True)
+
+    def _done(self) -> tuple[DataFrame, tuple[str, ...]]:
+        """The items, not yet in order, and the columns that order them."""
+        self._check_order()
+        out = lowered(self.source, self.stages, self.config) if self.token is None else self._done_in_slices(self.token)
         if self.by_position:
-            return self._items(out.withColumn("_at", F.monotonically_increasing_id()), (SEQ, "_at"))
-        return self._items(out, (SEQ,) if self.by_seq else ())
+            return (out if "_at" in out.columns else out.withColumn("_at", F.monotonically_increasing_id())), (SEQ, "_at")
+        return out, (SEQ,) if self.by_seq else ()
+
+    def to_df(self, keep_seq: bool = False) -> DataFrame:
+        """The result, in order if ordered. keep_seq leaves the input index in it.
+
+        Sorting first samples what it sorts, so Python stages before it run twice unless a barrier comes last. With
+        a token the run happens now and what it had stored when it was cancelled is the result.
+        """
+        out, by = self._done()
+        out = (out.orderBy(*by) if by else out).drop("_at")
+        return out if keep_seq else out.drop(SEQ)
+
+    def run(self) -> list:
+        """The items, in input order if ordered. A cancelled run returns what had been done."""
+        return self._items(*self._done())
 
     def try_run(self) -> list:
         """As run, with a failure of the session or cluster raised as OSError; failures of stages stay what they are."""
         try:
-            self.source.sparkSession.sparkContext.defaultParallelism  # noqa: B018
-        except (Py4JError, PySparkException, AttributeError) as e:
-            raise OSError("no running Spark session") from e
-        return self.run()
-
-    def _run_in_slices(self, token: CancellationToken, slices: int = 32) -> list:
-        """Ranges of the input index, one job each: those that ended before the cancellation are the result."""
+            return self.run()
+        except Exception as e:
+            if is_cluster_failure(e, self.source.sparkSession):
+                raise OSError("the Spark session or cluster failed") from e
+            raise
+
+    def _done_in_slices(self, token: CancellationToken) -> DataFrame:
+        """Ranges of the input index, one job each: those that ended before the cancellation are the result.
+
+        The input is stored by range, so that each job reads its own. A barrier holds back all ranges: what follows it
+        starts when every range has come so far, and a run that is cancelled before that gives nothing.
+        """
+        spark, segments = self.source.sparkSession, [[]]
+        for stage in self.stages:
+            if isinstance(stage, FenceStage) and stage.mode is Fence.BARRIER:
+                segments.append([])
+            else:
+                segments[-1].append(stage)
+        nothing = lowered(self.source.limit(0), tuple(s for part in segments for s in part), self.config)
         low, high = self.source.agg(F.min(SEQ), F.max(SEQ)).first()
-        out: list = []
-        if low is None:
-            return out
-        width = -(-(high - low + 1) // slices)
-        for start in range(low, high + 1, width):
-            if token.is_cancelled():
-                break
-            part = replace(self, source=self.source.filter(F.col(SEQ).between(start, start + width - 1)), token=None)
-            found = token.unless_cancelled(self.source.sparkSession, part.run)
-            if found is None:
-                break
-            out += found
-        return out
+        if low is None or token.is_cancelled():
+            return nothing
+        slice_of = F.call_function("div", F.col(SEQ) - low, F.lit(-(-(high - low + 1) // SLICES)).cast("bigint")).cast("int")
+        place, schema, done = fresh_folder(spark, "slices"), self.source.schema, list(range(SLICES))
+        cut = self.source.withColumn("_slice", slice_of).write.partitionBy("_slice")
+        if token.unless_cancelled(spark, lambda: cut.parquet(place) or True) is None:
+            return nothing
+        for k, stages in enumerate(segments):
+            last = k + 1 == len(segments)
+            rows = spark.read.schema(StructType([*schema.fields, StructField("_slice", IntegerType())])).parquet(place)
+            place, before, done = fresh_folder(spark, "slices"), done, []
+            for n in before:
+                out = lowered(rows.filter(F.col("_slice") == n).drop("_slice"), tuple(stages), self.config)
+                if last and self.by_position:
+                    out = out.withColumn("_at", F.monotonically_increasing_id())
+                if token.unless_cancelled(spark, lambda out=out, n=n: out.write.parquet(f"{place}/_slice={n}") or True) is None:
+                    break
+                schema = out.schema
+                done.append(n)
+            if len(done) < len(before) and not last:
+                return nothing
+        if not done:
+            return nothing
+        rows = spark.read.schema(StructType([*schema.fields, StructField("_slice", IntegerType())])).parquet(place)
+        return rows.filter(F.col("_slice").isin(done)).drop("_slice")
 
 
 def pipe(items: DataFrame | Iterable, spark: SparkSession | None = None, seq: str | None = None, schema: str | None = None) -> Pipe:

@@ -38,8 +38,11 @@ class Scope:
         """left with the columns of the row of table that `on` picks.
 
         The table is broadcast if its estimated size is at most most_bytes and joined by shuffle otherwise. A miss fails the
-        job when its row is read, as an index out of range would; required=False drops such items instead.
+        job when its row is read, as an index out of range would; required=False drops such items instead. No column of
+        the table may have the name of a column of left.
         """
+        if both := sorted({c.lower() for c in left.to_df(keep_seq=True).columns} & {c.lower() for c in table.columns}):
+            raise ValueError(f"rename columns that both sides have: {', '.join(both)}")
         right = F.broadcast(table) if estimated_bytes(table) <= most_bytes else table
         if not required:
             return left.transform(lambda df: df.join(right, on))

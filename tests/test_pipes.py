@@ -13,7 +13,7 @@ from rillflow.operators import Fence, PipelineError
 from rillflow.operators.order import chunks, gap_free, zipped
 from rillflow.plans import Pipe, pipe, stream
 from rillflow.plans.scope import scope
-from rillflow.sources import from_files, sequenced
+from rillflow.sources import from_files, from_parquet, sequenced
 from rillflow.streaming import run_available
 from rillflow.streaming.cancel import CancellationToken
 
@@ -30,6 +30,9 @@ def test_wrapping_arithmetic(spark):
     heavy = lambda x: reduce(lambda v, _: (v * 31 + 17) % 2**64, range(200), x)
     got = numbers(spark, 1000).map(affine_wrapping(F.col("value"), 31, 17, 200)).collect()
     assert [int(x) for x in got] == [heavy(x) for x in range(1000)]
+    far = [10**17, 2**63 - 1, 2**63, 2**64 - 1]
+    df = spark.createDataFrame([(str(x),) for x in far], "x string").select(F.col("x").cast("decimal(20,0)").alias("x"))
+    assert [int(r[0]) for r in df.select(affine_wrapping(F.col("x"), 31, 17, 200)).collect()] == [heavy(x) for x in far]
 
 
 def test_empty_and_single(spark):
@@ -77,8 +80,11 @@ def test_called_once_for_each_item(spark):
 
 def test_workload_and_workers_change_nothing(spark):
     want = [x * 3 for x in range(1000)]
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
     for p in (numbers(spark, 1000), numbers(spark, 1000).with_workload(Workload.UNBALANCED), numbers(spark, 1000).with_compute_pool(3), numbers(spark, 1000).with_config(PipelineConfig(buffer_size=7))):
         assert p.map(lambda x: x * 3).collect() == want
+    assert spark.conf.get(setting) == before
     assert numbers(spark, 100).with_oversubscribe(4).map(lambda x: x * 3).collect() == want[:100]
 
 
@@ -182,6 +188,9 @@ def test_expansion(spark):
 def test_expansion_cannot_be_ordered(spark):
     with pytest.raises(ValueError, match="incompatible with `.expand\\(\\)`"):
         flow(spark, 10).expand("array(value)").ordered().run()
+    for p in (flow(spark, 10).ordered().expand("array(value)"), flow(spark, 10).expand("array(value)").transform(lambda df: df).ordered()):
+        with pytest.raises(ValueError, match="incompatible"):
+            p.to_df()
     assert stream([], spark, schema="value long").expand("array(value)").ordered().run() == []
 
 
@@ -218,6 +227,28 @@ def test_async_calls_are_bounded_and_overlap(spark):
     assert most[0] == 32 and time.time() - begun < 1.5
 
 
+def test_async_over_columns_keeps_the_others(spark):
+    import asyncio
+
+    async def size(i, text):
+        await asyncio.sleep(0.001 if i % 7 else 0.01)
+        return {"n": len(text), "odd": i % 2 == 1}
+
+    docs = spark.range(300).selectExpr("id", "repeat('x', int(id)) text", "array(id) more", "id n").repartition(3)
+    got = stream(docs, seq="id").stage_async(size, "n long, odd boolean", columns=("id", "text")).to_df()
+    assert sorted(map(tuple, got.select("id", "n", "odd", "more").collect())) == [(i, i, i % 2 == 1, [i]) for i in range(300)]
+    with pytest.raises(ValueError):
+        stream(docs, seq="id").stage_async(size, columns=("id",))
+
+
+def test_fewer_calls_than_cores(spark):
+    async def same(x):
+        return x
+
+    wide = stream(spark.range(0, 100, 1, 20).withColumnRenamed("id", "value"), seq="value").with_config(PipelineConfig(io_concurrency=2))
+    assert wide.stage_async(same).to_df().rdd.getNumPartitions() == 2
+
+
 def test_async_failure_reaches_the_caller(spark):
     async def bad(x):
         raise RuntimeError("async boom")
@@ -242,9 +273,52 @@ def test_cancelled_run_gives_what_was_done(spark):
     assert sorted(flow(spark, 100).with_cancel(token).run()) == list(range(100))
 
 
-def test_try_run_without_a_session(spark):
+def test_barrier_holds_back_all_ranges_when_cancelled(spark):
+    token, after = CancellationToken(), spark.sparkContext.accumulator(0)
+
+    def slow(x):
+        time.sleep(0.002)
+        return x + 1
+
+    def counted(x):
+        after.add(1)
+        return x * 2
+
+    threading.Timer(2.5, token.cancel).start()
+    got = flow(spark, 10_000).with_cancel(token).stage(slow).fence(Fence.BARRIER).stage(counted).run()
+    assert got == [] and after.value == 0
+    token.reset()
+    got = flow(spark, 500).with_cancel(token).stage(lambda x: x + 1).fence(Fence.BARRIER).stage("value * 2").ordered().run()
+    assert got == [(x + 1) * 2 for x in range(500)]
+    want = [y for x in range(50) for y in (x, -x)]
+    assert flow(spark, 50).with_cancel(token).expand("array(value, -value)").ordered_by_position().run() == want
+
+
+def test_cluster_failures_are_os_errors(spark):
+    import subprocess
+    import sys
+
     assert sorted(flow(spark, 5).try_run()) == list(range(5))
 
+    def bad(x):
+        raise ConnectionError("of a stage")
+
+    with pytest.raises(Exception, match="of a stage") as e:
+        flow(spark, 5).stage(bad).try_run()
+    assert not isinstance(e.value, OSError)
+    script = """
+from pyspark.sql import SparkSession
+from rillflow.plans import stream
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+flow = stream(spark.range(5).withColumnRenamed("id", "value"), seq="value")
+spark.stop()
+try:
+    flow.stage("value + 1").try_run()
+except OSError:
+    print("an OSError")
+"""
+    assert "an OSError" in subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=120).stdout
+
 
 # -- scopes, terminals, order -------------------------------------------------------------------------------------------
 
@@ -267,6 +341,8 @@ def test_scope_lookup(spark):
         with pytest.raises(Exception, match="lookup out of range"):
             s.lookup(s.pipe([1, 1000]), table, on).collect()
         assert len(s.lookup(s.pipe([1, 1000]), table, on, required=False).collect()) == 1
+        with pytest.raises(ValueError, match="value"):
+            s.lookup(s.pipe([1]), table.withColumnRenamed("h", "Value"), F.col("i") == 1)
 
 
 def test_for_each(spark):
@@ -305,6 +381,54 @@ def test_dense_indices_and_zip(spark):
     assert sorted((r["a"], r["b"]) for r in zipped(a, b).collect()) == [(0, 0), (1, 2), (2, 4)]
 
 
+@pytest.mark.parametrize("n", [200_000, 3_000_000])
+@pytest.mark.parametrize("dealt", ["hash", "range", "grouped", "plain"])
+def test_dense_indices_lose_nothing(spark, n, dealt):
+    session = spark.newSession()  # with the default settings
+    wide = session.range(n).select("id", F.md5(F.col("id").cast("string")).alias("a"), F.sha1(F.col("id").cast("string")).alias("b"))
+    df = {"hash": lambda: wide.repartition("id"), "range": lambda: wide.repartitionByRange("id"), "grouped": lambda: wide.groupBy("id").agg(F.first("a").alias("a")), "plain": lambda: wide}[dealt]()
+    out = stream(df).to_df(keep_seq=True)
+    assert out.agg(F.count("*"), F.countDistinct("_seq"), F.min("_seq"), F.max("_seq"), F.countDistinct("id")).first() == (n, n, 0, n - 1, n)
+
+
+def test_a_partition_without_a_start_raises(spark):
+    from rillflow.sources import found_or_fails
+
+    with pytest.raises(Exception, match="without a start"):
+        spark.createDataFrame([(None,)], "s long").select(found_or_fails(F.col("s"), "a partition without a start")).collect()
+
+
+def test_order_of_a_lazy_result(spark):
+    n = 3_000_000
+    rows = stream(spark.range(n).withColumnRenamed("id", "value").repartition("value"), seq="value").stage("value * 2 + 1").ordered().to_df()
+    placed = sequenced(rows)
+    assert placed.filter(F.col("value") != F.col("_seq") * 2 + 1).isEmpty() and placed.count() == n
+    few = stream(spark.range(100).withColumnRenamed("id", "value").repartition(5), seq="value")
+    assert [r[0] for r in few.expand("array(value, -value)").ordered_by_position().to_df().collect()] == [y for x in range(100) for y in (x, -x)]
+
+
+def test_numbers_of_a_table(spark, tmp_path):
+    spark.range(5000).repartitionByRange(6, "id").write.parquet(str(tmp_path / "t"))
+    out = from_parquet(spark, str(tmp_path / "t"))
+    assert sorted(r["_seq"] for r in out.collect()) == list(range(5000))
+
+
+def test_shared_folder(spark):
+    import os
+    from types import SimpleNamespace
+
+    from rillflow.sources.folders import scratch, shared_folder, written
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://far:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: d)))
+    with scratch(spark):
+        table = written(spark.range(10), "held")
+        place = table.inputFiles()[0].removeprefix("file://")
+        assert table.count() == 10 and os.path.exists(place)
+    assert not os.path.exists(place)
+
+
 def test_micro_batches(spark, tmp_path):
     for k in range(5):
         spark.range(k * 200, k * 200 + 200).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
