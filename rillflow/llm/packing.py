@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import small_batches
+from rillflow.llm.common import parts
 from rillflow.llm.secrets import encoding
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
@@ -48,17 +48,20 @@ def tokenized(texts: list[str], vocabulary: str) -> list[np.ndarray]:
 
     `<name>.tiktoken` holds the same vocabulary and is several times as fast; ids agree for every character of the basic
     plane. Texts with characters beyond it go to the slower library, and so do texts that spell out the special token, which
-    is one id.
+    is one id, and those on whose runs of white space the fast one's pattern gives up.
     """
     import public_tokenizers
 
-    out = []
+    path = vocabulary + ".json" if "/" in vocabulary else public_tokenizers.path(vocabulary + ".json")
+    fast, out = encoding(vocabulary + ".tiktoken"), []
     for text in texts:
+        ids = None
         if SPECIAL not in text and (text.isascii() or not BEYOND.search(text)):
-            out.append(encoding(vocabulary + ".tiktoken").encode_to_numpy(text, disallowed_special=()))
-        else:
-            path = vocabulary + ".json" if "/" in vocabulary else public_tokenizers.path(vocabulary + ".json")
-            out.append(np.array(whole_tokenizer(path).encode(text, add_special_tokens=False).ids, np.uint32))
+            try:
+                ids = fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:
+                pass
+        out.append(np.array(whole_tokenizer(path).encode(text, add_special_tokens=False).ids, np.uint32) if ids is None else ids)
     return out
 
 
@@ -191,14 +194,13 @@ def pack(
     An example is the ids of `text`, after those of the column `prompt` if one is named, and end_id. Ids of the prompt bear
     no loss. With cut=False examples stay whole and none may exceed max_tokens.
     """
-    small_batches(docs.sparkSession)
     most_loss = max_tokens if max_loss_tokens is None else max_loss_tokens
     columns = [F.col("doc_id").cast("long").alias("doc_id"), "text"] + ([F.col(prompt).alias("_prompt")] if prompt else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = Bin(TaskContext.get().partitionId(), max_tokens, max_segments, most_loss, cut)
         end = np.array([end_id], np.uint32)
-        for batch in batches:
+        for batch in parts(batches):
             names = batch.column(0).to_pylist()
             texts = tokenized([t or "" for t in batch.column(1).to_pylist()], vocabulary)
             fronts = tokenized([t or "" for t in batch.column(2).to_pylist()], vocabulary) if prompt else [end[:0]] * len(names)

@@ -1,5 +1,6 @@
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -11,12 +12,11 @@ from tokenizers import Tokenizer
 from rillflow.llm import packing
 
 
+@lru_cache
 def whole():
     import public_tokenizers
 
-    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def check(rows, ids, limit=1024, segments=64):
@@ -86,6 +86,13 @@ def test_limits_hold(lengths, segments, loss, cut):
         assert len(rows) == len(lengths)
 
 
+def test_long_runs_crash_nothing(spark):
+    texts = [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "x" + " \n" * 600_000 + "y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    t = whole()
+    check(packing.pack(df).collect(), {k: t.encode(x, add_special_tokens=False).ids + [0] for k, x in enumerate(texts)})
+
+
 def test_prompts_bear_no_loss(spark):
     df = spark.createDataFrame([(1, "what is it", "an answer"), (2, None, "another"), (3, "only a prompt", None)], "doc_id long, q string, text string")
     rows = {r["doc_id"]: r for r in packing.pack(df, prompt="q", cut=False).collect()}
