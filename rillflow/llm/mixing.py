@@ -4,13 +4,17 @@ Each source's documents are laid out in the order of a digest and its words form
 times. A source's target is the length of line that the mix takes; that length is cut into blocks of equal word count, and
 the number of blocks is the source's exact quota. A binary tree over the output shards splits the vector of quotas: each
 node draws, from a multivariate hypergeometric distribution, how many blocks of each source go left. A leaf holds the
-quota of one shard and the disjoint range of blocks that it takes from each source. Shards are then shuffled locally.
+quota of one shard and its disjoint share of each source's blocks, which a permutation keyed by the seed has put in
+order before. Shards are then shuffled locally.
 
-The driver sees two counts and one row for each source. Positions come from sums over buckets of the digest, so that no
-source is ever sorted in one task.
+The driver and every task of the tree hold one number for each source, and targets are windows over one row for each
+source: that bears a million sources, not one for each document. Positions come from sums over buckets of the digest, so
+that no source is ever sorted in one task; rows alike in doc_id, source and text are one row with a number of copies until
+their draws are known. The first positions of buckets are joined by whichever join their size asks for.
 
-A null text has size 0; a null source is a source of its own, last in order; rows with a null doc_id and repeated rows take
-part like any other. Empty tables give empty mixes. `mixed` keeps all columns; names that begin with `_mix` are reserved.
+A null text has size 0; a null source is a source of its own, last in order, and is no empty one; rows with a null doc_id
+and repeated rows take part like any other. Empty tables give empty mixes. `mixed` keeps all columns, and of rows that
+differ in further columns alone each is drawn by itself; names that begin with `_mix` are refused.
 """
 
 from __future__ import annotations
@@ -31,20 +35,23 @@ BLOCK_WORDS = 1 << 12
 SHARD_WORDS = 1 << 22
 #: Documents that one bucket of the digest holds on average.
 BUCKET_ROWS = 8192
+#: Copies of one row that a task hands out.
+MANY_COPIES = 1 << 16
 #: numpy draws from fewer than 10**9 blocks; blocks grow beyond this number.
 MOST_BLOCKS = 1 << 29
 
 
 def digest() -> Column:
-    """What orders documents within their source."""
-    told = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "source", "text")]
-    return F.md5(F.concat_ws("\x1f", *told).cast("binary"))
+    """What orders documents within their source: no two different triples are spelled alike."""
+    spelled = lambda c: F.coalesce(F.concat(F.lit("s"), F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("n"))
+    return F.md5(F.concat(*(spelled(F.col(c).cast("string")) for c in ("doc_id", "source", "text"))).cast("binary"))
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and the digest of each row."""
+    """doc_id, source, size, digest and number of copies of each distinct row."""
     name = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("_mix_size"), name.alias("_mix_name"), digest().alias("_mix_key"))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("_mix_size"), name.alias("_mix_name"), digest().alias("_mix_key"))
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("_mix_copies"))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -72,7 +79,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat:
 
 
 def leaf(quotas: np.ndarray, shard: int, shards: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """First block and number of blocks that a shard takes from each source: the walk from the root to its leaf."""
+    """First place and number of blocks that a shard takes from each source: the walk from the root to its leaf."""
     total = int(quotas.sum())
     edge = lambda j: total * j // shards
     first, counts, low, high = np.zeros_like(quotas), quotas, 0, shards
@@ -87,19 +94,51 @@ def leaf(quotas: np.ndarray, shard: int, shards: int, seed: int) -> tuple[np.nda
     return first, counts
 
 
+def permuted(places: np.ndarray, n: int, key: int) -> np.ndarray:
+    """Where a permutation of 0 .. n - 1 puts places: a Feistel network over a few more numbers, walked until inside."""
+    half = np.uint64(max(1, (max(n - 1, 1).bit_length() + 1) // 2))
+    mask, salt = (np.uint64(1) << half) - np.uint64(1), np.uint64(key & (1 << 64) - 1)
+
+    def step(x: np.ndarray) -> np.ndarray:
+        a, b = x >> half, x & mask
+        for turn in range(6):
+            z = (b + salt + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)
+            z = (z ^ z >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+            a, b = b, a ^ (z ^ z >> np.uint64(32)) & mask
+        return a << half | b
+
+    out = step(places.astype(np.uint64))
+    while (far := out >= n).any():
+        out[far] = step(out[far])
+    return out.astype(np.int64)
+
+
+def handed_out(rows: DataFrame, many: int = MANY_COPIES) -> DataFrame:
+    """A row for each of _mix_copies, numbered by _mix_copy; those of a row with a great many come from many tasks."""
+    last = F.col("_mix_copies") - 1
+    out = rows.filter(F.col("_mix_copies") <= many).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_mix_copy"))
+    hot = rows.filter(F.col("_mix_copies") > many)
+    if hot.isEmpty():
+        return out
+    hot = hot.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(many).cast("bigint"))).alias("_least")).repartition("_mix_key", "_least")
+    hot = hot.select("*", F.explode(F.sequence(F.col("_least"), F.least(F.col("_least") + many - 1, last))).alias("_mix_copy")).drop("_least")
+    return out.unionByName(hot)
+
+
 def plan(docs: DataFrame, weights=WEIGHTS, max_repeat=MAX_REPEAT, block_words=BLOCK_WORDS, shard_words=SHARD_WORDS, seed=1) -> DataFrame:
-    """A row for each document: doc_id, source, size, source_size, target, taken, draws and the digest _mix_key.
+    """A row for each document: doc_id, source, size, source_size, target, taken, draws, its digest _mix_key and _mix_copy.
 
     draws lists shard, place and pass of every time the mix takes the document; place orders a shard's documents.
     """
     spark = docs.sparkSession
     rows = written(sized(docs), "mix-sizes")
-    n_rows, total = rows.agg(F.count("*"), F.coalesce(F.sum("_mix_size"), F.lit(0))).first()
+    n_rows, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("_mix_size") * F.col("_mix_copies")), F.lit(0))).first()
     digits = 0
     while digits < 7 and n_rows > BUCKET_ROWS * 16**digits:
         digits += 1
     rows = rows.withColumn("_bucket", F.substring("_mix_key", 1, digits) if digits else F.lit(""))
-    buckets = written(rows.groupBy("_mix_name", "_bucket").agg(F.sum("_mix_size").alias("_sum"), F.first("source").alias("source")), "mix-buckets")
+    words = F.col("_mix_size") * F.col("_mix_copies")
+    buckets = written(rows.groupBy("_mix_name", "_bucket").agg(F.sum(words).alias("_sum"), F.first("source").alias("source")), "mix-buckets")
     sources = buckets.groupBy("_mix_name").agg(F.sum("_sum").alias("source_size"), F.first("source").alias("source"))
     sources = written(targets(sources, weights, max_repeat), "mix-sources")
 
@@ -112,34 +151,55 @@ def plan(docs: DataFrame, weights=WEIGHTS, max_repeat=MAX_REPEAT, block_words=BL
         for frame in frames:
             for shard in frame["id"]:
                 first, counts = leaf(quotas, int(shard), shards, seed)
-                at = np.flatnonzero(counts)
-                yield pd.DataFrame({"_mix_at": at.astype(np.int32), "first": first[at], "last": first[at] + counts[at] - 1, "shard": int(shard)})
+                for at in np.flatnonzero(counts):
+                    blocks = permuted(np.arange(first[at], first[at] + counts[at]), int(quotas[at]), (seed << 32) + int(at))
+                    yield pd.DataFrame({"_mix_at": np.int32(at), "_block": blocks, "shard": int(shard)})
 
-    leaves = spark.range(shards).mapInPandas(split, "_mix_at int, first long, last long, shard long")
-    places = leaves.select("_mix_at", F.explode(F.sequence("first", "last")).alias("_block"), "shard")
+    places = spark.range(shards).mapInPandas(split, "_mix_at int, _block long, shard long")
 
-    within = W.partitionBy("_mix_name", "_bucket").orderBy("_mix_key", "doc_id", "_mix_size")
-    rows = rows.withColumn("_nth", F.row_number().over(within))
-    rows = rows.withColumn("_from", F.coalesce(F.sum("_mix_size").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    within = W.partitionBy("_mix_name", "_bucket").orderBy("_mix_key", "doc_id", "_mix_size").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_from", F.coalesce(F.sum(words).over(within), F.lit(0)))
     ahead = W.partitionBy("_mix_name").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = buckets.select("_mix_name", "_bucket", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_start")).join(sources, "_mix_name")
-    rows = rows.join(starts, ["_mix_name", "_bucket"]).withColumn("_from", F.col("_from") + F.col("_start"))
+    rows = handed_out(rows).join(starts, ["_mix_name", "_bucket"])
+    rows = rows.withColumn("_from", F.col("_start") + F.col("_from") + F.col("_mix_copy") * F.col("_mix_size"))
     passes = F.filter(F.transform(F.sequence(F.lit(0), F.lit(max_repeat - 1)), lambda p: p * F.col("source_size") + F.col("_from")), lambda x: x < length)
     draws = rows.select("*", F.posexplode_outer(passes).alias("_pass", "_at")).withColumn("_block", F.floor(F.col("_at") / F.lit(block)).cast("bigint"))
     drawn = draws.join(places, ["_mix_at", "_block"], "left")
-    one = F.when(F.col("shard").isNotNull(), F.struct("shard", F.xxhash64(F.lit(seed), "_mix_key", "_nth", "_pass").alias("place"), F.col("_pass").alias("pass")))
-    unique = ["_mix_name", "_mix_key", "_bucket", "_nth", "doc_id", "source", "_mix_size", "source_size", "target"]
+    one = F.when(F.col("shard").isNotNull(), F.struct("shard", F.xxhash64(F.lit(seed), "_mix_key", "_mix_copy", "_pass").alias("place"), F.col("_pass").alias("pass")))
+    unique = ["_mix_key", "_mix_copy", "doc_id", "source", "_mix_size", "source_size", "target"]
     out = drawn.groupBy(*unique).agg(F.array_sort(F.collect_list(one)).alias("draws"))
     taken = (F.col("_mix_size") * F.size("draws")).alias("taken")
-    return out.select("doc_id", "source", F.col("_mix_size").alias("size"), "source_size", "target", taken, "draws", "_mix_key")
+    return out.select("doc_id", "source", F.col("_mix_size").alias("size"), "source_size", "target", taken, "draws", "_mix_key", "_mix_copy")
+
+
+def copies_numbered(rows: DataFrame) -> DataFrame:
+    """rows (with _mix_key and a unique _mix_row) with _mix_copy, from 0 in each key: sums over the partitions that rows came from."""
+    rows = written(rows.withColumn("_mix_part", F.shiftright("_mix_row", 33)), "mix-copies")
+    own = W.partitionBy("_mix_key", "_mix_part").orderBy("_mix_row")
+    ahead = W.partitionBy("_mix_key").orderBy("_mix_part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = rows.groupBy("_mix_key", "_mix_part").count()
+    starts = sizes.select("_mix_key", "_mix_part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_mix_first"))
+    numbers = rows.select("_mix_key", "_mix_part", "_mix_row", (F.row_number().over(own) - 1).alias("_mix_nth")).join(starts, ["_mix_key", "_mix_part"])
+    return rows.join(numbers.select("_mix_row", (F.col("_mix_first") + F.col("_mix_nth")).alias("_mix_copy")), "_mix_row").drop("_mix_row", "_mix_part")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as often as the mix takes them, each output shard in one partition and shuffled.
 
-    Of rows that share doc_id, source and text one is drawn as often as the mix takes them all.
+    Draws meet the texts by digest, then texts go to their shards. Rows that share doc_id, source and text are first
+    numbered, in the order of docs' partitions, for each is drawn by itself.
     """
-    draws = written(plan(docs, **options).select("_mix_key", F.explode("draws").alias("_mix_draw")), "mix-draws")
+    if clash := [c for c in docs.columns if c.lower().startswith("_mix")]:
+        raise ValueError(f"reserved names: {', '.join(clash)}")
+    found = written(plan(docs, **options).select("_mix_key", "_mix_copy", "draws"), "mix-draws")
+    draws = found.select("_mix_key", "_mix_copy", F.explode("draws").alias("_mix_draw"))
     shards = draws.agg(F.coalesce(F.max("_mix_draw.shard"), F.lit(0)) + 1).first()[0]
-    out = docs.withColumn("_mix_key", digest()).dropDuplicates(["_mix_key"]).join(draws, "_mix_key")
+    keyed, repeated = docs.withColumn("_mix_key", digest()), found.filter("_mix_copy = 1").select("_mix_key")
+    if repeated.isEmpty():
+        out = keyed.join(draws.drop("_mix_copy"), "_mix_key")
+    else:
+        copies = copies_numbered(keyed.withColumn("_mix_row", F.monotonically_increasing_id()).join(repeated, "_mix_key", "left_semi"))
+        single = draws.join(repeated, "_mix_key", "left_anti").drop("_mix_copy")
+        out = keyed.join(single, "_mix_key").unionByName(copies.join(draws, ["_mix_key", "_mix_copy"]).drop("_mix_copy"))
     return out.repartitionById(shards, F.col("_mix_draw.shard").cast("int")).sortWithinPartitions("_mix_draw.shard", "_mix_draw.place").select(*docs.columns)

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from rillflow.llm import mixing
 
@@ -51,6 +52,91 @@ def test_taken_is_near_target_and_reruns_agree(spark):
     assert len(shards) == -(-sum(r["size"] for r in plan) // 8000)
 
 
+def test_permutation():
+    for n in (1, 2, 3, 10, 64, 1000, 4097):
+        got = [mixing.permuted(np.arange(n), n, key).tolist() for key in (1, 2)]
+        assert all(sorted(g) == list(range(n)) for g in got)
+        assert n < 10 or got[0] != got[1] != list(range(n))
+    parts = np.concatenate([mixing.permuted(np.arange(a, b), 1000, 5) for a, b in ((0, 10), (10, 999), (999, 1000))])
+    assert (parts == mixing.permuted(np.arange(1000), 1000, 5)).all()
+
+
+def test_blocks_go_whole_to_one_shard_and_passes_mix(spark):
+    """Every block of a source's line lies in one shard, each shard holds its exact quota, and shards hold all passes."""
+    options = dict(block_words=64, shard_words=8000, seed=3)
+    plan = mixing.plan(corpus(spark), **options).collect()
+    shards = 1 + max(d["shard"] for r in plan for d in r["draws"])
+    names = sorted({r["source"] for r in plan if r["source"]}) + [None]
+    quotas = np.array([-(-int(next(r["target"] for r in plan if r["source"] == s) + 0.5) // 64) for s in names])
+    want = [mixing.leaf(quotas, j, shards, 3)[1] for j in range(shards)]
+    for k, s in enumerate(names):
+        own, at, of = sorted((r for r in plan if r["source"] == s), key=lambda r: (r["_mix_key"], r["_mix_copy"])), 0, {}
+        for r in own:
+            for d in r["draws"]:
+                block = (at + d["pass"] * r["source_size"]) // 64
+                assert of.setdefault(block, d["shard"]) == d["shard"]
+            at += r["size"]
+        # a block in which no document begins has no draw of its own
+        got = Counter(of.values())
+        assert all(got[j] <= want[j][k] for j in range(shards)) and sum(got.values()) >= 0.9 * quotas[k]
+    low = [r for r in plan if r["source"] == "low"]
+    assert len({d["shard"] for r in low for d in r["draws"] if d["pass"] == 0}) > 1 and {d["pass"] for r in low for d in r["draws"]} == {0, 1, 2}
+
+
+def test_query_shows_shards(spark):
+    from oracle import SF, duck
+
+    from rillflow.llm import registry
+
+    df = registry.QUERIES["op2_mixing"](spark, SF)
+    rows = df.collect()
+    assert all((r["n_draws"] > 0) == (r["first_shard"] is not None) and r["taken"] == r["size"] * r["n_draws"] for r in rows)
+    names = ["doc_id", "size", "source_size", "target", "taken"]
+    want = duck().execute(f"SELECT {', '.join(names)} FROM ({registry.PART_SQL['op2_mixing']})").fetchall()
+    assert Counter(map(repr, want)) == Counter(repr(tuple(r[n] for n in names)) for r in rows)
+
+
+def key(r):
+    """The digest in plain Python."""
+    import hashlib
+
+    spelled = ("n" if v is None else f"s{len(str(v).encode())}:{v}" for v in (r["doc_id"], r["source"], r["text"]))
+    return hashlib.md5("".join(spelled).encode()).hexdigest()
+
+
+def slow(rows, targets, block):
+    """How often each distinct (doc_id, text, source) is drawn: a walk along each source's line."""
+    out = Counter()
+    for s, target in targets.items():
+        own = sorted((r for r in rows if r["source"] == s), key=key)
+        sizes = [len((r["text"] or "").split()) for r in own]
+        for n in range(3):
+            at = n * sum(sizes)
+            for r, size in zip(own, sizes):
+                if at < int(target + 0.5):
+                    out[r["doc_id"], r["text"], r["source"]] += 1
+                at += size
+    return out
+
+
+def test_mixed_by_brute_force(spark, monkeypatch):
+    """Null, empty and clashing sources, copies, and copies that differ in another column."""
+    monkeypatch.setattr(mixing.handed_out, "__defaults__", (4,))
+    rows = [(1, "one text", None, 0), (1, "one text", "", 1), (2, "b c", "a\x1f", 2), (2, "\x1fb c", "a", 3), (None, None, "a", 4), (None, "", "a", 5)]
+    rows += [(7, "same words here", "hot", k) for k in range(50)] + [(k, f"w{k} " * (k % 9), "cd"[k % 2], k) for k in range(10, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, more long").repartition(5)
+    options = dict(block_words=8, shard_words=100)
+    plan = mixing.plan(docs, **options).collect()
+    assert len(plan) == len(rows)
+    want = slow([r.asDict() for r in docs.collect()], {r["source"]: r["target"] for r in plan}, 8)
+    got = mixing.mixed(docs, **options).collect()
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in got) == +want
+    hot = Counter(r["more"] for r in got if r["source"] == "hot")
+    assert max(hot.values()) - min(hot[k] for k in range(50)) <= 1 and sum(hot.values()) == want[7, "same words here", "hot"]
+    with pytest.raises(ValueError, match="reserved"):
+        mixing.mixed(docs.withColumn("_mix_size", docs.more))
+
+
 def test_mixed_rows(spark):
     docs, options = corpus(spark), dict(block_words=64, shard_words=8000)
     want = Counter()
