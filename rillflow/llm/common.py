@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillflow.sources.folders import fresh_folder, scratch, written
+
+__all__ = ["WORD", "fresh_folder", "map_rows", "parts", "scratch", "table", "word_count", "written"]
+
 #: Java and Python spelling of a run that holds no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,62 +20,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="rillflow-"))
-        found = context.getCheckpointDir()
-    return found.rstrip("/")
-
-
-#: Paths in the shared folder that this driver has handed out.
-_handed_out: list[str] = []
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    _handed_out.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
-    return _handed_out[-1]
-
-
-def discard(spark: SparkSession) -> None:
-    """Delete all tables that operators have put in the shared folder; call it when their results are stored."""
-    while _handed_out:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_handed_out.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound what one Arrow batch of whole texts holds, by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+def parts(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to at most `rows` rows, so that few whole texts are Python strings at a time.
+
+    What a batch itself holds is bounded by the session (spark.sql.execution.arrow.maxBytesPerBatch), which is left alone.
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def map_rows(df: DataFrame, schema: str, per_batch: Callable[[pa.RecordBatch], list]) -> DataFrame:
     """Apply per_batch to Arrow batches; it returns one list of values for each column of schema."""
-    small_batches(df.sparkSession)
     fields = [part.split() for part in schema.split(",")]
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
     arrow = pa.schema([(name, kinds[kind]) for name, kind in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                columns = per_batch(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+        for batch in parts(batches):
+            columns = per_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return df.mapInArrow(run, schema)

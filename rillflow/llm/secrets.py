@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import map_rows, small_batches
+from rillflow.llm.common import map_rows, parts
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(
@@ -113,7 +113,6 @@ def scan(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, max_ratio: float
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", vocabulary: str = DEFAULT_VOCABULARY, max_ratio: float = DEFAULT_MAX_RATIO) -> DataFrame:
     """docs with each run of overlapping spans in `text` replaced by mark; the rows and all other columns stay."""
-    small_batches(docs.sparkSession)
     place = docs.columns.index("text")
 
     def clean(text: str | None) -> str | None:
@@ -131,7 +130,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", vocabulary: str = DEFAULT_VO
         return "".join([*out, text[at:]])
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             texts = pa.array([clean(t) for t in batch.column(place).to_pylist()], batch.schema.field(place).type)
             yield batch.set_column(place, batch.schema.field(place), texts)
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import map_rows, small_batches, written
+from rillflow.llm.common import map_rows, parts, written
 
 BITS = 64
 #: Fingerprints of one tile.
@@ -301,18 +301,17 @@ def similar_representatives(docs: DataFrame, told: Column, radius: int, tile: in
     spark = docs.sparkSession
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             sets = [shingle_set(t, words_each) for t in batch.column(1).to_pylist()]
             fps = np.array([set_fingerprint(h) for h in sets], np.uint64).astype(np.int64)
             columns = [pa.array(fps), pa.array([set_name(h) for h in sets], pa.string()), pa.array([least_hashes(h) for h in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "told", "fp", "name", "keys"])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             sets = pa.array([shingle_set(t, words_each).astype("<u8").tobytes() for t in batch.column(0).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], sets], names=["name", "fp", "root", "n", "hashes"])
 
-    small_batches(spark)
     given = docs.select(F.col("doc_id").cast("long"), "text", told.alias("told"))
     marked = given.mapInArrow(sketch, "doc_id long, told string, fp long, name string, keys array<long>")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "told")).alias("first")

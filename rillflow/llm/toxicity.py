@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import map_rows, small_batches, written
+from rillflow.llm.common import map_rows, parts, written
 
 #: Insults that are plain in any English text.
 LEXICON = (
@@ -134,10 +134,9 @@ def grams(word: str) -> list[str]:
 
 def mined(sample: DataFrame, settings: Settings) -> list[str]:
     """The markers that set toxic texts of the sample apart, strongest first, without near-synonyms of a stronger one."""
-    small_batches(sample.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             seen: dict[str, list[float]] = {}
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = LETTERS.findall((text or "").lower())
@@ -324,11 +323,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     """The rows of docs whose text scores below limit, all columns kept."""
-    small_batches(docs.sparkSession)
     place = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             yield batch.filter(pa.array([model.score(t) < limit for t in batch.column(place).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

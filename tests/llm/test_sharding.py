@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from rillflow.llm.common import discard, fresh_path, written
+from rillflow.llm.common import fresh_folder
 from rillflow.llm.sharding import Conflict, ShardStore
 
 
@@ -12,9 +12,9 @@ def rows_of(df):
 
 
 def test_rows_survive_and_files_grow(spark, docs):
-    store = ShardStore(spark, fresh_path(spark, "t"), docs.schema, target_bytes=200_000)
+    store = ShardStore(spark, fresh_folder(spark, "t"), docs.schema, target_bytes=200_000)
     many = spark.range(3000).selectExpr("id doc_id", "repeat(md5(string(id)), 5) text")
-    plain = ShardStore(spark, fresh_path(spark, "t"), many.schema, target_bytes=60_000)
+    plain = ShardStore(spark, fresh_folder(spark, "t"), many.schema, target_bytes=60_000)
     for k in range(3):
         plain.append(many.filter(f"id % 3 = {k}"), most_rows=50)
     before = plain.manifest().count()
@@ -34,7 +34,7 @@ def test_rows_survive_and_files_grow(spark, docs):
 
 def test_placed_adds_up(spark):
     many = spark.range(500).selectExpr("id doc_id", "string(id) text")
-    store = ShardStore(spark, fresh_path(spark, "t"), many.schema)
+    store = ShardStore(spark, fresh_folder(spark, "t"), many.schema)
     store.append(many, most_rows=100)
     store.compact()
     placed = store.placed("doc_id").collect()
@@ -44,7 +44,7 @@ def test_placed_adds_up(spark):
 
 def test_commit_is_exclusive(spark):
     many = spark.range(10).selectExpr("id doc_id")
-    store = ShardStore(spark, fresh_path(spark, "t"), many.schema)
+    store = ShardStore(spark, fresh_folder(spark, "t"), many.schema)
     store.append(many)
     with pytest.raises(Conflict):
         store.commit(store.manifest(), 0)
@@ -53,7 +53,7 @@ def test_commit_is_exclusive(spark):
 
 def test_compaction_beside_other_writers(spark, monkeypatch):
     many = spark.range(400).selectExpr("id doc_id")
-    path = fresh_path(spark, "t")
+    path = fresh_folder(spark, "t")
     store, other = (ShardStore(spark, path, many.schema) for _ in range(2))
     store.append(many, most_rows=50)
     merge = store._merged
@@ -77,15 +77,7 @@ def test_compaction_beside_other_writers(spark, monkeypatch):
 
 
 def test_empty(spark, no_docs):
-    store = ShardStore(spark, fresh_path(spark, "t"), no_docs.schema)
+    store = ShardStore(spark, fresh_folder(spark, "t"), no_docs.schema)
     assert store.read().count() == 0 and store.compact() == 0 and store.placed("doc_id").count() == 0
     store.append(no_docs)
     assert store.read().count() == 0 and store.placed("doc_id").count() == 0
-
-
-def test_tables_in_the_shared_folder_can_be_discarded(spark):
-    table = written(spark.range(5), "t")
-    path = table.inputFiles()[0].removeprefix("file://")
-    assert table.count() == 5 and os.path.exists(path)
-    discard(spark)
-    assert not os.path.exists(path)
