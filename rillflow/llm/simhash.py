@@ -1,10 +1,11 @@
 """SimHash near-duplicates: exact links within a Hamming radius, and connected components of them.
 
 Fingerprints are compared in tiles with exclusive-or and bit counts. Comparing all tiles with all would grow with the
-square of the corpus, so tiles are first dealt to buckets: two fingerprints within radius r agree in one of r + 1 bands of
-bits, and every bucket holds the fingerprints that agree in a band. Inside a bucket each tile has one population count,
-and tile pairs whose counts differ by more than the radius are never formed. A bucket of any size is cut into tiles of
-bounded size, so there is no cap and no link is lost. Each tile pair returns a forest that spans its links, not the links.
+square of the corpus, so tiles are first dealt to buckets: of k bands of bits two fingerprints within radius r agree in
+k - r at least, and every bucket holds those that agree in one choice of k - r bands. k grows with the corpus, so that
+buckets stay small; no link is lost at any k. A bucket is laid out by population count and cut into tiles. A fingerprint
+meets only the tiles that hold counts within the radius of its own, and inside a pair of tiles blocks whose counts are
+further apart are skipped. Each tile pair returns a forest that spans its links, not the links.
 
 Copies share a fingerprint and are one node. Null and empty texts, and texts without words, have fingerprint zero and are
 linked like any other. Rows with a null doc_id take part but can't name a component; a component of such rows only has a
@@ -17,6 +18,8 @@ agreement in one of PAIRS pairs of least hashes deals them: texts of Jaccard sim
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +34,9 @@ from rillflow.llm.common import map_rows, parts, written
 BITS = 64
 #: Fingerprints of one tile.
 TILE = 4096
+#: Fingerprints that a bucket may hold on average before bands are made narrower, and the number of choices of bands.
+BUCKET = 64
+MOST_CHOICES = 16
 #: Shingles of one text whose hashes are held at once.
 SHINGLES_AT_ONCE = 1 << 16
 #: Pairs of least hashes that deal texts to buckets, each hash under an order of its own: 0.36**16 is 8e-8. Single hashes
@@ -105,8 +111,15 @@ def fingerprints(docs: DataFrame, *more: Column, words_each: int = 3) -> DataFra
 
 
 def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
-    """Edges that span the links within left, or between left and right, by comparing blocks of numbers."""
-    nodes = left if right is None else np.concatenate([left, right])
+    """Edges that span the links within left, or between left and right, by comparing blocks of numbers.
+
+    Blocks follow the population count; those whose counts differ by more than the radius are skipped.
+    """
+    by_count = lambda x: x[np.argsort(np.bitwise_count(x), kind="stable")]
+    left = by_count(left)
+    other = left if right is None else by_count(right)
+    nodes = left if right is None else np.concatenate([left, other])
+    counts, others = np.bitwise_count(left).astype(int), np.bitwise_count(other).astype(int)
     parent = np.arange(len(nodes))
 
     def root(i: int) -> int:
@@ -115,10 +128,12 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tupl
             i = parent[i]
         return i
 
-    edges, other, step = [], nodes if right is None else right, 256
+    edges, step = [], 256
     for a in range(0, len(left), step):
-        b0 = a if right is None else 0
-        near = np.bitwise_count(left[a : a + step, None] ^ other[None, b0:]) <= radius
+        part = left[a : a + step]
+        b0 = max(int(np.searchsorted(others, counts[a] - radius)), a if right is None else 0)
+        b1 = int(np.searchsorted(others, counts[a + len(part) - 1] + radius, "right"))
+        near = np.bitwise_count(part[:, None] ^ other[None, b0:b1]) <= radius
         for i, j in np.argwhere(near).tolist():
             i, j = a + i, b0 + j + (0 if right is None else len(left))
             if i != j and (x := root(i)) != (y := root(j)):
@@ -127,49 +142,52 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tupl
     return edges
 
 
-def links(fps: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
+def masks(n: int, radius: int) -> list[int]:
+    """The bits of each choice of bands: two fingerprints within the radius agree in all bits of one mask at least.
+
+    Of k bands `radius` may differ. More and narrower bands leave more bits to agree in, at the price of more choices.
+    """
+    k = radius + 1
+    while n > BUCKET << (k - radius) * (BITS // k) and math.comb(k + 1, radius) <= MOST_CHOICES:
+        k += 1
+    edges = [BITS * i // k for i in range(k + 1)]
+    bands = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+    return [sum(chosen) for chosen in itertools.combinations(bands, k - radius)]
+
+
+def links(fps: DataFrame, radius: int = 2, tile: int = TILE, n: int = 0) -> DataFrame:
     """Edges a, b between distinct fingerprints whose components are those of all links within the radius.
 
-    Where fps has a column `keys` (longs, as many in each row), only fingerprints that agree in one of them are compared.
+    n tells how many fingerprints there are about. Where fps has a column `keys` (longs, as many in each row), only
+    fingerprints that agree in one of them are compared.
     """
-    width = -(-BITS // (radius + 1))
-    bands = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(F.shiftleft("fp", max(0, BITS - width * (k + 1))), BITS - min(width, BITS - width * k)).alias("key")) for k in range(radius + 1)]
-    rows = fps.select("fp", F.bit_count("fp").alias("pop"), F.explode(F.array(*bands)).alias("_b")).select("fp", "pop", "_b.*")
     if "keys" in fps.columns:
-        rows = fps.select("fp", F.bit_count("fp").alias("pop"), F.posexplode("keys").alias("band", "key")).distinct()
-    sizes = rows.groupBy("band", "key", "pop").count()
-    buckets = sizes.groupBy("band", "key").agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("pop", F.ceil(F.col("count") / tile).cast("int").alias("tiles")))).alias("layout"))
-    rows = rows.join(buckets.filter("n > 1"), ["band", "key"])
-    own = F.pmod(F.xxhash64("fp"), F.col("layout")[F.col("pop")]).cast("int")
-    small = F.col("n") <= tile
-    rows = rows.withColumn("sub", F.when(small, F.lit(0)).otherwise(own)).withColumn("at", F.when(small, F.lit(-1)).otherwise(F.col("pop").cast("int")))
-    # Of two tiles the lower one, by population count and then number, comes first; a small bucket is one tile.
-    ahead = F.flatten(
-        F.transform(
-            F.sequence(F.lit(-radius), F.lit(radius)),
-            lambda d: F.transform(
-                F.sequence(F.lit(0), F.coalesce(F.col("layout")[F.col("pop") + d], F.lit(0))),
-                lambda t: F.when(
-                    t < F.coalesce(F.col("layout")[F.col("pop") + d], F.lit(0)),
-                    F.when(
-                        (d > 0) | ((d == 0) & (t >= F.col("sub"))),
-                        F.struct(F.col("at").alias("p"), F.col("sub").alias("s"), (F.col("at") + d).alias("q"), t.alias("t"), ((d == 0) & (t == F.col("sub"))).alias("alone"), F.lit(True).alias("first")),
-                    ).otherwise(F.struct((F.col("at") + d).alias("p"), t.alias("s"), F.col("at").alias("q"), F.col("sub").alias("t"), F.lit(False).alias("alone"), F.lit(False).alias("first"))),
-                ),
-            ),
-        )
-    )
-    only = F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).alias("s"), F.lit(-1).alias("q"), F.lit(0).alias("t"), F.lit(True).alias("alone"), F.lit(True).alias("first")))
-    pairs = rows.select("band", "key", "fp", F.explode(F.when(small, only).otherwise(F.filter(ahead, lambda x: x.isNotNull()))).alias("_t")).select("band", "key", "fp", "_t.*")
+        rows = fps.select("fp", F.bit_count("fp").alias("pop"), F.posexplode("keys").alias("choice", "key")).distinct()
+    else:
+        signed = (m - (1 << BITS) if m >> BITS - 1 else m for m in masks(n, radius))
+        chosen = [F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(m).cast("bigint")).alias("key")) for k, m in enumerate(signed)]
+        rows = fps.select("fp", F.bit_count("fp").alias("pop"), F.explode(F.array(*chosen)).alias("_b")).select("fp", "pop", "_b.*")
+    sizes = rows.groupBy("choice", "key", "pop").count()
+    layout = F.collect_list(F.struct("pop", "count")).alias("layout")  # 65 counts at most
+    buckets = sizes.groupBy("choice", "key").agg(F.sum("count").alias("n"), layout).filter("n > 1").drop("n")
+    rows = rows.join(buckets, ["choice", "key"])
+    before = lambda pop: F.aggregate(F.filter("layout", lambda e: e["pop"] < pop), F.lit(0).cast("bigint"), lambda x, e: x + e["count"])
+    # A place in the bucket by population count, among equal ones by hash, and the first and last place within the radius.
+    first, after = before(F.col("pop")), before(F.col("pop") + 1)
+    at = lambda place: F.call_function("div", place, F.lit(tile)).cast("int")
+    rows = rows.withColumn("own", at(first + F.pmod(F.xxhash64("fp"), after - first)))
+    met = F.sequence(at(before(F.col("pop") - radius)), at(before(F.col("pop") + radius + 1) - 1))
+    rows = rows.select("choice", "key", "fp", "own", F.explode(met).alias("met"))
+    pairs = rows.select("choice", "key", "fp", F.least("own", "met").alias("p"), F.greatest("own", "met").alias("q"), (F.col("own") <= F.col("met")).alias("first"))
     # Only buckets with two members or more are left; tasks take whole tile pairs and compare them one by one.
-    tiles = ["band", "key", "p", "s", "q", "t"]
+    tiles = ["choice", "key", "p", "q"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pd.DataFrame] = []
 
         def flush(frame: pd.DataFrame) -> pa.RecordBatch:
             out = []
-            fp, first, alone = frame["fp"].to_numpy().view(np.uint64), frame["first"].to_numpy(), frame["alone"].to_numpy()
+            fp, first, alone = frame["fp"].to_numpy().view(np.uint64), frame["first"].to_numpy(), (frame["p"] == frame["q"]).to_numpy()
             cut = np.flatnonzero((frame[tiles].to_numpy()[1:] != frame[tiles].to_numpy()[:-1]).any(axis=1)) + 1
             for a, b in zip([0, *cut], [*cut, len(frame)]):
                 if b - a == 2 and alone[a]:
@@ -230,7 +248,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def placed(marked: DataFrame, radius: int, tile: int) -> DataFrame:
     """fp, n_copies, root and component_id of each fingerprint in marked (doc_id, fp)."""
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")), "nodes")
-    roots = written(components(links(nodes.select("fp"), radius, tile)), "roots")
+    roots = written(components(links(nodes.select("fp"), radius, tile, nodes.count())), "roots")
     found = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = found.groupBy("root").agg(F.min("least").alias("component_id"))
     return found.join(named, "root").select("fp", "n_copies", "root", "component_id")
@@ -297,7 +315,7 @@ def similar(sets: DataFrame, radius: int, similarity: float, held: int = SETS) -
 
 
 def similar_representatives(docs: DataFrame, told: Column, radius: int, tile: int, words_each: int, similarity: float) -> DataFrame:
-    """The key `told` of one row for each component of similar texts, as _near_key."""
+    """The key `told` of one row for each component of similar texts, as _near_key, and whether several rows have it."""
     spark = docs.sparkSession
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +331,7 @@ def similar_representatives(docs: DataFrame, told: Column, radius: int, tile: in
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], sets], names=["name", "fp", "root", "n", "hashes"])
 
     given = docs.select(F.col("doc_id").cast("long"), "text", told.alias("told"))
-    marked = given.mapInArrow(sketch, "doc_id long, told string, fp long, name string, keys array<long>")
+    marked = written(given.mapInArrow(sketch, "doc_id long, told string, fp long, name string, keys array<long>"), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "told")).alias("first")
     nodes = written(marked.groupBy("name").agg(first, F.first("fp").alias("fp"), F.first("keys").alias("keys")), "sets")
     roots = written(components(links(nodes.select("fp", "keys"), radius, tile)), "roots")
@@ -324,15 +342,24 @@ def similar_representatives(docs: DataFrame, told: Column, radius: int, tile: in
     sets = texts.mapInArrow(hashed, "name string, fp long, root long, n long, hashes binary").dropDuplicates(["name"])
     joined = components(similar(sets, radius, similarity)).toDF("name", "to")
     least = nodes.select("name", "first").join(joined, "name", "left").groupBy(F.coalesce("to", "name").alias("to")).agg(F.min("first").alias("first"))
-    return least.select(F.col("first.told").alias("_near_key"))
+    return least.select(F.col("first.told").alias("_near_key")).join(repeats(marked, "told"), "_near_key", "left")
+
+
+def repeats(marked: DataFrame, told: str) -> DataFrame:
+    """The keys that several rows have, marked by _near_many."""
+    found = marked.groupBy(F.col(told).alias("_near_key")).count().filter("count > 1")
+    return found.select("_near_key", F.lit(True).alias("_near_many"))
 
 
 def representatives(docs: DataFrame, radius: int = 2, tile: int = TILE, words_each: int = 3, similarity: float | None = None) -> DataFrame:
     """One row of docs for each component: that of smallest doc_id, nulls last, and of these of smallest text digest.
 
     With a similarity, components are those of texts within the radius whose shingle sets overlap by at least that Jaccard
-    similarity; else the radius alone decides. Rows alike in doc_id and text are one document, of which any row stays. The column name `_near_key` is reserved.
+    similarity; else the radius alone decides. Rows alike in doc_id and text are one document, of which the row stays whose
+    JSON has the least digest. Names that begin with `_near` are refused.
     """
+    if clash := [c for c in docs.columns if c.lower().startswith("_near")]:
+        raise ValueError(f"reserved names: {', '.join(clash)}")
     told = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.md5("text"), F.lit("")))
     if similarity is None:
         marked = written(fingerprints(docs, told, words_each=words_each), "fingerprints")
@@ -340,7 +367,14 @@ def representatives(docs: DataFrame, radius: int = 2, tile: int = TILE, words_ea
         # The least of each fingerprint, which a hot group finds before it is shuffled; then the least of each component.
         least = marked.groupBy("fp").agg(first.alias("first"))
         least = least.join(placed(marked, radius, tile), "fp").groupBy("root").agg(F.min("first").alias("first"))
-        keep = least.select(F.col("first.more0").alias("_near_key"))
+        keep = least.select(F.col("first.more0").alias("_near_key")).join(repeats(marked, "more0"), "_near_key", "left")
     else:
         keep = similar_representatives(docs, told, radius, tile, words_each, similarity)
-    return docs.withColumn("_near_key", told).dropDuplicates(["_near_key"]).join(keep, "_near_key", "left_semi").select(*docs.columns)
+    keep, keyed = written(keep, "kept"), docs.withColumn("_near_key", told)
+    single, many = keep.filter("_near_many IS NULL"), keep.filter("_near_many")
+    out = keyed.join(single.select("_near_key"), "_near_key", "left_semi").select(*docs.columns)
+    if many.isEmpty():
+        return out
+    whole = F.struct(*docs.columns)
+    rows = keyed.join(many.select("_near_key"), "_near_key", "left_semi").groupBy("_near_key").agg(F.min_by(whole, F.md5(F.to_json(whole))).alias("_near_row"))
+    return out.unionByName(rows.select("_near_row.*"))

@@ -54,6 +54,33 @@ def test_components_by_brute_force(spark):
         assert sorted(map(sorted, found.values())) == want
 
 
+def test_every_choice_of_bands_loses_nothing(spark):
+    fps = values(np.random.default_rng(4), 100)
+    signed = [int(np.uint64(x).astype(np.int64)) for x in fps]
+    root = brute(fps)
+    want = sorted(sorted(s for s, r in zip(signed, root) if r == k) for k in set(root) if root.count(k) > 1)
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    assert [len(simhash.masks(n, 2)) for n in (0, 10**6, 10**9, 10**12)] == [3, 3, 6, 10]
+    for n in (10**9, 10**12):
+        found = {}
+        for r in simhash.components(simhash.links(df, n=n)).collect():
+            found.setdefault(r["root"], {r["root"]}).add(r["node"])
+        assert sorted(map(sorted, found.values())) == want
+
+
+def test_blocks_are_skipped_by_population_count(monkeypatch):
+    rng = np.random.default_rng(6)
+    light, heavy = (np.unique(np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (600, bits)).astype(np.uint64), axis=1)) for bits in (4, 200))
+    seen = []
+    count = np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: seen.append(x.size if x.ndim == 2 else 0) or count(x))
+    assert simhash.forest(light, heavy, 2) == [] and sum(seen) == 0
+    both = np.concatenate([light, heavy])
+    simhash.forest(both, None, 2)
+    every = sum(len(both[a : a + 256]) * (len(both) - a) for a in range(0, len(both), 256))
+    assert sum(seen) < 0.7 * every
+
+
 def test_links_stay_linear(spark):
     ball = [((1 << a) | (1 << b)) for a in range(60) for b in range(a)]
     edges = simhash.links(spark.createDataFrame([(x,) for x in ball], "fp long"), tile=4096)
@@ -88,6 +115,8 @@ def test_one_row_of_each_group_stays(spark):
     rows = [(3, b), (5, a), (5, b), (5, a), (None, a), (None, c), (None, c), (9, None), (8, "")]
     df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, fp int")
     got = sorted((str(r["doc_id"]), r["text"]) for r in simhash.representatives(df).collect())
+    whole = [sorted(map(repr, simhash.representatives(df.repartition(k)).collect())) for k in (1, 3)]
+    assert whole[0] == whole[1]  # of rows alike in doc_id and text the same one, however they are dealt
     assert got == sorted([("3", b), ("5", a), ("None", c), ("8", "")])
 
 
