@@ -1,22 +1,26 @@
 """Approximate nearest neighbours by inner product: probed lists with an adaptive dimension scan.
 
 Vectors get one more component so that all have the same length; then the largest inner product is the smallest Euclidean
-distance. Lists are the cells of k-means centres fitted on a bounded sample; every row is put in its list. Within a probed
-list vectors are rotated at random and read in blocks of columns. After each block a hypothesis test compares the partial
-distance, scaled up, with the query's distance to beat, and abandons candidates that are too far to be believed near. What
-is left is scored on the original vectors in double precision.
-
-The first list of each query gives it a distance to beat for the others. The number of probed lists is the smallest that
-holds the wanted share of the true neighbours of a bounded sample of queries, found by brute force over all rows.
-
-Null, zero and non-finite vectors, those with a null component or id, and those whose dimension is not the most common one
-take no part. Repeated rows are candidates each. Ties go to the smaller id. Empty tables give no rows.
+distance. Lists are the cells of k-means centres fitted on a bounded sample, each centre with a second one added to it where
+there are more lists than such a sample can tell apart; every row is put in its list. Within a probed list vectors are
+rotated to the principal axes of the sample and read in blocks of columns. After each block a hypothesis test compares the
+partial distance with what a true neighbour as far away as the query's distance to beat would have by then, and abandons
+candidates that only few neighbours would look like. What is left is scored on the original vectors in double precision.
+
+The nearest lists of each query, a first wave, give it a distance to beat for the others. A bounded sample of queries is
+answered by brute force over all rows: the number of probed lists is the smallest that holds the wanted share of their true
+neighbours, and the tests' limits are quantiles over those. A query whose lists hold too few rows goes on to all lists.
+
+Null, zero and non-finite vectors and those with a null component or id take no part. Each dimension is an index of its own,
+for vectors of different dimensions have no inner product. Every row but the query's own is a candidate, rows that share its
+id included; a query of a repeated id is answered once for each of its rows. Ties go to the smaller id. Empty tables give
+no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -28,24 +32,50 @@ from rillflow.llm.common import written
 
 #: Bounds of the samples that the index is fitted and tuned on.
 FIT_ROWS = 16_384
-TUNE_QUERIES = 128
-MOST_LISTS = 2048
-#: Rows of a list, and queries of a list, that one group compares.
+TUNE_QUERIES = 256
+#: Centres of either level: a centre is fitted on 16 rows of the sample at least.
+MOST_CENTRES = FIT_ROWS // 16
+MOST_SECOND = 256
+#: Rows of neighbouring lists, and queries, that one group compares.
 CHUNK_ROWS = 2048
-CHUNK_QUERIES = 256
+CHUNK_QUERIES = 1024
 BLOCK = 16
-#: Width of the hypothesis test, in the units of its authors.
+#: Share of pairs still alive from which on they are looked at one by one.
+SPARSE = 0.12
+#: Width of the test where nothing was tuned, in the units of its authors; share of neighbours that a tuned test keeps.
 DOUBT = 2.1
+KEPT = 0.998
 
 
 @dataclass
-class Index:
-    """What a scan needs; its size depends on the number of lists and dimensions alone."""
+class Part:
+    """The index of one dimension; its size depends on the number of lists and dimensions alone."""
 
-    rows: DataFrame  # vec_id, vector, list
-    centres: np.ndarray
-    rotation: np.ndarray
+    n: int
     reach: float  # squared length that all vectors are brought to
+    first: np.ndarray  # centres, and what is added to them
+    second: np.ndarray
+    rotation: np.ndarray
+    sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # rows of each list
+
+    @property
+    def centres(self) -> np.ndarray:
+        return (self.first[:, None] + self.second[None, :]).reshape(-1, self.first.shape[1])
+
+    def groups(self) -> np.ndarray:
+        """Of each list its group: neighbouring lists with CHUNK_ROWS rows at most, or one larger list."""
+        out, at, held = np.zeros(len(self.sizes), np.int64), 0, 0
+        for k, size in enumerate(self.sizes):
+            if held and held + size > CHUNK_ROWS:
+                at, held = at + 1, 0
+            out[k], held = at, held + size
+        return out
+
+
+@dataclass
+class Index:
+    rows: DataFrame  # vec_id, row, vector, dim, list
+    parts: dict[int, Part]
 
 
 def usable(vector: Column) -> Column:
@@ -53,6 +83,10 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def stacked(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(float)
+
+
 def lifted(x: np.ndarray, reach: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(reach - (x * x).sum(1), 0.0))[:, None]])
 
@@ -66,10 +100,14 @@ def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1)[None, :]
 
 
+def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([apart(part, centres).argmin(1) for part in np.array_split(x, max(1, len(x) // 2048))])
+
+
 def k_means(sample: np.ndarray, lists: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
     centres = sample[rng.choice(len(sample), lists, replace=False)].copy()
     for _ in range(rounds):
-        cell = np.concatenate([apart(part, centres).argmin(1) for part in np.array_split(sample, max(1, len(sample) // 2048))])
+        cell = nearest_centre(sample, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, cell, sample)
         n = np.bincount(cell, minlength=lists)
@@ -77,30 +115,53 @@ def k_means(sample: np.ndarray, lists: int, rng: np.random.Generator, rounds: in
     return centres
 
 
+def fitted(sample: np.ndarray, n: int, reach: float, seed: int) -> Part:
+    """Centres near each other have numbers near each other, so that a group of lists is probed by the same queries."""
+    rng, x = np.random.default_rng(seed), lifted(sample, reach)
+    wanted = max(1, int(2 * n**0.5))
+    lists = min(wanted, MOST_CENTRES, max(1, len(x) // 4))
+    first = k_means(x, lists, rng)
+    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1]
+    coarse = k_means(first, max(1, lists // 8), rng)
+    first = first[np.lexsort((first @ axes[:, 0], nearest_centre(first, coarse)))]
+    second = np.zeros((1, x.shape[1]))
+    if wanted > lists == MOST_CENTRES:
+        second = k_means(x - first[nearest_centre(x, first)], min(MOST_SECOND, -(-wanted // lists)), rng)
+    return Part(n, reach, first, second, axes)
+
+
 def build(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", seed: int = 1) -> Index | None:
-    """Fit on a sample of at most FIT_ROWS rows chosen by hash, and index every usable row; None if there is none."""
-    given = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
-    given = given.filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    by_size = given.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("reach"))
-    common = by_size.orderBy(F.desc("n"), "d").first()
-    if common is None:
+    """Fit each dimension on a sample of at most FIT_ROWS rows chosen by hash, and index every usable row; None if there is none."""
+    given = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector"))
+    given = given.filter(F.col("vec_id").isNotNull() & usable(F.col("vector"))).withColumn("dim", F.size("vector"))
+    length = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    found = given.groupBy("dim").agg(F.count("*").alias("n"), F.max(length).alias("reach")).collect()  # one row for each dimension
+    if not found:
         return None
-    d, n, reach = common["d"], common["n"], float(common["reach"])
-    given = given.filter(F.size("vector") == d)
-    picked = given if n <= FIT_ROWS else given.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(FIT_ROWS / n * (1 << 30)))
-    sample = np.array([r[0] for r in picked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("vector").collect()] or [given.first()["vector"]])
-    rng = np.random.default_rng(seed)
-    lists = int(np.clip(int(n**0.5), 1, min(MOST_LISTS, len(sample))))
-    centres = k_means(lifted(sample, reach), lists, rng)
-    rotation = np.linalg.qr(rng.standard_normal((d + 1, d + 1)))[0]
+    parts: dict[int, Part] = {}
+    for r in sorted(found):
+        own = given.filter(F.col("dim") == r["dim"])
+        picked = own if r["n"] <= FIT_ROWS else own.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(FIT_ROWS / r["n"] * (1 << 30)))
+        sample = picked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("vector").toPandas()["vector"]
+        sample = sample if len(sample) else own.limit(1).toPandas()["vector"]
+        parts[r["dim"]] = fitted(stacked(sample), r["n"], float(r["reach"]), seed)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            if len(frame):
-                yield frame.assign(list=apart(lifted(np.stack(frame["vector"].to_numpy()), reach), centres).argmin(1).astype(np.int32))
-
-    rows = written(given.mapInPandas(place, "vec_id long, vector array<double>, list int"), "ann-index")
-    return Index(rows, centres, rotation, reach)
+            for dim, own in frame.groupby("dim"):
+                part = parts[dim]
+                x = lifted(stacked(own["vector"]), part.reach)
+                cell = nearest_centre(x, part.first)
+                yield own.assign(list=(cell * len(part.second) + nearest_centre(x - part.first[cell], part.second)).astype(np.int32))
+
+    kind = given.schema["vector"].dataType.simpleString()
+    numbered = given.select("vec_id", F.monotonically_increasing_id().alias("row"), "vector", "dim")
+    rows = written(numbered.mapInPandas(place, f"vec_id long, row long, vector {kind}, dim int, list int"), "ann-index")
+    for part in parts.values():
+        part.sizes = np.zeros(len(part.first) * len(part.second), np.int64)
+    for r in rows.groupBy("dim", "list").count().collect():  # one row for each list
+        parts[r["dim"]].sizes[r["list"]] = r["count"]
+    return Index(rows, parts)
 
 
 def ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -116,116 +177,191 @@ def nearest(scores: np.ndarray, who: np.ndarray, ids: np.ndarray, k: int) -> np.
     return order[np.arange(len(order)) - begin < k]
 
 
-def truth(index: Index, queries: pd.DataFrame, k: int) -> DataFrame:
-    """The exact neighbours of a bounded set of queries over all rows."""
-    ask, names = np.stack(queries["vector"].to_numpy()), queries["vec_id"].to_numpy()
+def edges(d: int) -> list[int]:
+    """Columns read after each block."""
+    return [*range(BLOCK, d, BLOCK), d]
+
+
+def truth(rows: DataFrame, part: Part, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The exact neighbours of a bounded set of queries over all rows: query_row, list, and the partial distances by block."""
+    ask, own = stacked(queries["vector"]), queries["own"].to_numpy()
+    turned, reach, rotation = flat(ask) @ part.rotation, part.reach, part.rotation
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            ids, cells = frame["vec_id"].to_numpy(), frame["list"].to_numpy()
-            if not len(ids):
+            if not len(frame):
                 continue
-            scores = ask @ np.stack(frame["vector"].to_numpy()).T
-            scores[names[:, None] == ids[None, :]] = -np.inf
+            e, ids = stacked(frame["vector"]), frame["vec_id"].to_numpy()
+            scores = ask @ e.T
+            scores[own[:, None] == frame["row"].to_numpy()[None, :]] = -np.inf
             top = np.argpartition(-scores, min(k, len(ids)) - 1, axis=1)[:, :k]
-            who = np.repeat(np.arange(len(ask)), top.shape[1])
-            got = pd.DataFrame({"query_id": names[who], "query_row": who, "vec_id": ids[top.ravel()], "list": cells[top.ravel()], "score": scores[who, top.ravel()]})
+            who, what = np.repeat(np.arange(len(ask)), top.shape[1]), top.ravel()
+            gap = np.cumsum((turned[who] - (lifted(e, reach) @ rotation)[what]) ** 2, axis=1)
+            got = {"query_id": who, "query_row": who, "vec_id": ids[what], "list": frame["list"].to_numpy()[what], "score": scores[who, what]}
+            got = pd.DataFrame(got | {"gaps": list(gap[:, [at - 1 for at in edges(gap.shape[1])]])})
             yield got[np.isfinite(got["score"])]
 
-    return ranked(index.rows.mapInPandas(run, "query_id long, query_row long, vec_id long, list int, score double"), k)
+    found = rows.mapInPandas(run, "query_id long, query_row long, vec_id long, list int, score double, gaps array<double>")
+    return ranked(found, k).select("query_row", "list", "gaps").toPandas()
 
 
-def tuned(index: Index, queries: DataFrame, k: int, recall: float) -> int:
-    """The smallest number of probed lists that holds `recall` of the sampled queries' true neighbours."""
-    sample = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TUNE_QUERIES).select("vec_id", "vector").toPandas()
-    if not len(sample):
-        return 1
-    found = truth(index, sample, k).select("query_row", "list").toPandas()
-    order = np.argsort(apart(flat(np.stack(sample["vector"].to_numpy())), index.centres), axis=1)
+def tuned(rows: DataFrame, part: Part, queries: DataFrame, k: int, recall: float) -> tuple[int, np.ndarray]:
+    """The fewest probed lists that hold `recall` of the sampled queries' true neighbours, and for each block the share of
+    a neighbour's whole distance that KEPT of them stay below."""
+    sample = queries.orderBy(F.xxhash64("vec_id"), "query_row").limit(TUNE_QUERIES).select("own", "vector").toPandas()
+    d = part.first.shape[1]
+    found = truth(rows, part, sample, k)
+    if not len(found):
+        return 1, np.ones(len(edges(d)))
+    order = np.argsort(apart(flat(stacked(sample["vector"])), part.centres), axis=1)
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(order.shape[1])[None, :].repeat(len(order), 0), 1)
     needed = np.sort(place[found["query_row"].to_numpy(), found["list"].to_numpy()])
-    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1 if len(needed) else 1
+    gaps = np.stack(found["gaps"].to_numpy())
+    shares = np.quantile(gaps / np.maximum(gaps[:, -1:], 1e-300), KEPT, axis=0)
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1, np.minimum(shares * (1 + 1e-9), 1.0)
 
 
-def scan(x: np.ndarray, q: np.ndarray, limit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, candidate) of one list that no block of rotated columns has ruled out. limit: distance to beat."""
+def scan(x: np.ndarray, q: np.ndarray, limit: np.ndarray, k: int, shares: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, candidate) of one list that no block of rotated columns has ruled out. limit: distance to beat.
+
+    Blocks are multiplied whole while many pairs are alive, and pair by pair when few are left.
+    """
     n, d = x.shape
+    ends = edges(d)
+    if shares is None:
+        shares = np.array([min(1.0, (1 + DOUBT / at**0.5) ** 2 * at / d) for at in ends])
     open_ended = np.isinf(limit)
     if open_ended.any() and n > k:
         some = apart(q[open_ended], x[: 4 * k])
         limit = limit.copy()
-        limit[open_ended] = np.partition(some, k - 1, axis=1)[:, k - 1] * (1 + 1e-9) + 1e-12
-    seen = min(BLOCK, d)
-    near = apart(q[:, :seen], x[:, :seen])
-    bound = lambda at: limit * (1 + 1e-9) + 1e-12 if at >= d else limit * (1 + DOUBT / at**0.5) ** 2 * at / d + 1e-12
-    who, what = np.nonzero(near <= bound(seen)[:, None])
-    near = near[who, what]
-    while seen < d:
-        cols = slice(seen, min(seen + BLOCK, d))
-        gap = q[who, cols] - x[what, cols]
-        near, seen = near + np.einsum("ij,ij->i", gap, gap), cols.stop
-        ok = near <= bound(seen)[who]
-        who, what, near = who[ok], what[ok], near[ok]
-    return who, what
-
-
-def probe(index: Index, asks: DataFrame, k: int) -> DataFrame:
-    """Hits of asks (query_id, query_row, vector, list, limit) in their lists, k at most from each group.
-
-    Lists and their askers are cut into chunks by hash, so that a hot list or a common query is spread over tasks.
+        limit[open_ended] = np.partition(some, k - 1, axis=1)[:, k - 1]
+    near, pairs, begin = np.zeros((len(q), n)), None, 0
+    for at, share in zip(ends, shares):
+        cols, bound = slice(begin, at), (limit if at == d else limit * share) * (1 + 1e-9) + 1e-12
+        if pairs is None:
+            near += apart(q[:, cols], x[:, cols])
+            alive = near <= bound[:, None]
+            if at == d or alive.mean() < SPARSE:
+                pairs = np.nonzero(alive)
+                near = near[pairs]
+        else:
+            who, what = pairs
+            gap = q[who, cols] - x[what, cols]
+            near = near + np.einsum("ij,ij->i", gap, gap)
+            ok = near <= bound[who]
+            pairs, near = (who[ok], what[ok]), near[ok]
+        begin = at
+    return pairs
+
+
+def probe(rows: DataFrame, part: Part, asks: DataFrame, k: int, shares: np.ndarray) -> DataFrame:
+    """Hits of asks (query_id, query_row, own, vector, limit, lists) in their lists, k at most from each group.
+
+    A query goes once to each group of lists that holds some of its own. Large lists, and the askers of a group, are cut
+    into chunks by hash, so that a hot list or a common query is spread over tasks.
     """
-    rotation, reach = index.rotation, index.reach
-    rows_in = dict(index.rows.groupBy("list").count().collect())
-    asks_in = dict(asks.groupBy("list").count().collect())
-    cut = lambda sizes, most: F.create_map(*[F.lit(x) for cell in range(len(index.centres)) for x in (cell, -(-sizes.get(cell, 0) // most) or 1)])
-    cuts, parts = cut(rows_in, CHUNK_ROWS), cut(asks_in, CHUNK_QUERIES)
-    every = lambda n: F.sequence(F.lit(0), n - 1)
-    rows = index.rows.filter(F.col("list").isin(sorted(asks_in))) if len(asks_in) < 1000 else index.rows
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), cuts[F.col("list")]).cast("int")).withColumn("part", F.explode(every(parts[F.col("list")])))
-    asks = asks.withColumn("part", F.pmod(F.xxhash64("query_id"), parts[F.col("list")]).cast("int")).withColumn("chunk", F.explode(every(cuts[F.col("list")])))
-    schema = "query_id long, query_row long, vec_id long, score double"
+    rotation, reach, groups, n_lists = part.rotation, part.reach, part.groups(), len(part.sizes)
+    spark, kind = rows.sparkSession, rows.schema["vector"].dataType.simpleString()
+
+    def dealt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            lists = frame["lists"].to_numpy()
+            who = np.repeat(np.arange(len(frame)), [len(x) for x in lists])
+            if not len(who):
+                continue
+            what = np.concatenate(lists)
+            order = np.lexsort((groups[what], who))
+            who, what = who[order], what[order]
+            new = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (groups[what][1:] != groups[what][:-1])])
+            out = frame.iloc[who[new]].drop(columns="lists").reset_index(drop=True)
+            yield out.assign(group=groups[what[new]].astype(np.int32), lists=np.split(what.astype(np.int32), new[1:]))
+
+    told = f"query_id long, query_row long, own long, vector {kind}, limit double, group int, lists array<int>"
+    asks = written(asks.mapInPandas(dealt, told), "ann-asks")
+    asked = dict(asks.groupBy("group").count().collect())  # one row for each group
+    n_rows = np.bincount(groups, part.sizes, minlength=1)
+    shape = [(int(g), max(1, -(-int(n_rows[g]) // CHUNK_ROWS)), -(-n // CHUNK_QUERIES)) for g, n in asked.items()]
+    shape = F.broadcast(spark.createDataFrame(shape, "group int, cuts int, shares int"))  # as many rows as groups
+    lists = F.broadcast(spark.createDataFrame(pd.DataFrame({"list": np.arange(n_lists, dtype=np.int32), "group": groups.astype(np.int32)})))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    rows = rows.join(lists, "list").join(shape, "group")
+    rows = rows.select("vec_id", "row", "vector", "list", "group", F.pmod(F.xxhash64("row"), "cuts").cast("int").alias("chunk"), every(F.col("shares")).alias("part"))
+    asks = asks.join(shape, "group").withColumn("part", F.pmod(F.xxhash64("query_row"), "shares").cast("int")).withColumn("chunk", every(F.col("cuts"))).drop("cuts", "shares")
 
     def compare(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        nothing = pd.DataFrame({"query_id": [], "query_row": [], "vec_id": [], "score": []})
         if not len(own) or not len(asked):
-            return pd.DataFrame({"query_id": [], "query_row": [], "vec_id": [], "score": []})
-        e, a = np.stack(own["vector"].to_numpy()), np.stack(asked["vector"].to_numpy())
-        ids, names = own["vec_id"].to_numpy(), asked["query_id"].to_numpy()
+            return nothing
+        e, a = stacked(own["vector"]), stacked(asked["vector"])
+        ids, rows_of, cells, limit = (c.to_numpy() for c in (own["vec_id"], own["row"], own["list"], asked["limit"]))
         x, q = lifted(e, reach) @ rotation, flat(a) @ rotation
-        who, what = scan(x, q, asked["limit"].to_numpy(), k + 1)
-        other = names[who] != ids[what]
+        askers = np.repeat(np.arange(len(asked)), asked["lists"].map(len))
+        wanted = np.concatenate(asked["lists"].to_numpy())
+        found = []
+        for cell in np.unique(cells):
+            there, here = np.flatnonzero(cells == cell), askers[wanted == cell]
+            if len(here):
+                who, what = scan(x[there], q[here], limit[here], k + 1, shares)
+                found.append((here[who], there[what]))
+        if not found:
+            return nothing
+        who, what = (np.concatenate(c) for c in zip(*found))
+        other = asked["own"].to_numpy()[who] != rows_of[what]
         who, what = who[other], what[other]
         scores = np.einsum("ij,ij->i", a[who], e[what])
         best = nearest(scores, who, ids[what], k)
-        return pd.DataFrame({"query_id": names[who[best]], "query_row": asked["query_row"].to_numpy()[who[best]], "vec_id": ids[what[best]], "score": scores[best]})
+        return pd.DataFrame({"query_id": asked["query_id"].to_numpy()[who[best]], "query_row": asked["query_row"].to_numpy()[who[best]], "vec_id": ids[what[best]], "score": scores[best]})
+
+    keys = ["group", "chunk", "part"]
+    return rows.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(compare, "query_id long, query_row long, vec_id long, score double")
 
-    keys = ["list", "chunk", "part"]
-    return rows.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(compare, schema)
 
+def search(index: Index | None, queries: DataFrame, k: int = 20, recall: float = 0.93) -> DataFrame:
+    """The k nearest rows found for each of queries (rows of the index, or vec_id and vector): query_id, rank, vec_id, score.
 
-def search(index: Index | None, queries: DataFrame, k: int = 20, recall: float = 0.96) -> DataFrame:
-    """The k nearest rows found for each of queries (rows of the index), their own ids left out: query_id, rank, vec_id, score."""
+    recall is that of the probed lists over a sample of the queries; the tests lose a little more.
+    """
     if index is None:
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    probes = tuned(index, queries, k, recall)
-    centres, reach = index.centres, index.reach
+    own = F.col("row") if "row" in queries.columns else F.lit(-1).cast("long")
+    asked = written(queries.select("vec_id", own.alias("own"), "vector", F.size("vector").alias("dim"), F.monotonically_increasing_id().alias("query_row")), "ann-queries")
+    out = [searched(index.rows.filter(F.col("dim") == dim), part, asked.filter(F.col("dim") == dim), k, recall) for dim, part in index.parts.items()]
+    hits = out[0]
+    for more in out[1:]:
+        hits = hits.unionByName(more)
+    return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                q = np.stack(frame["vector"].to_numpy())
-                order = np.argsort(apart(flat(q), centres), axis=1)[:, :probes].astype(np.int32)
-                yield pd.DataFrame({"query_id": frame["vec_id"], "query_row": frame["query_row"], "vector": frame["vector"], "length": (q * q).sum(1), "lists": list(order)})
-
-    numbered = queries.select("vec_id", "vector", F.monotonically_increasing_id().alias("query_row"))
-    asks = written(numbered.mapInPandas(ask, "query_id long, query_row long, vector array<double>, length double, lists array<int>"), "ann-asks")
-    first = asks.select("query_id", "query_row", "vector", F.col("lists")[0].alias("list"), F.lit(float("inf")).alias("limit"))
-    hits = written(ranked(probe(index, first, k), k), "ann-first")
-    if probes > 1:
+
+def searched(rows: DataFrame, part: Part, queries: DataFrame, k: int, recall: float) -> DataFrame:
+    """search within one dimension."""
+    probes, shares = tuned(rows, part, queries, k, recall) if not queries.isEmpty() else (1, np.ones(len(edges(part.first.shape[1]))))
+    kind = rows.schema["vector"].dataType.simpleString()
+
+    def ask(most: int | None):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            centres = part.centres
+            for frame in frames:
+                if len(frame):
+                    q = stacked(frame["vector"])
+                    order = np.argsort(apart(flat(q), centres), axis=1)[:, :most].astype(np.int32)
+                    yield pd.DataFrame({"query_id": frame["vec_id"], "query_row": frame["query_row"], "own": frame["own"], "vector": frame["vector"], "length": (q * q).sum(1), "lists": list(order)})
+
+        return lambda asked: asked.mapInPandas(run, f"query_id long, query_row long, own long, vector {kind}, length double, lists array<int>")
+
+    columns = ["query_id", "query_row", "own", "vector"]
+    asks, wave = written(ask(probes)(queries), "ann-lists"), -(-probes // 16)
+    open_end = F.lit(float("inf")).alias("limit")
+    hits = written(ranked(probe(rows, part, asks.select(*columns, open_end, F.slice("lists", 1, wave).alias("lists")), k, shares), k), "ann-first")
+    if probes > wave:
         beat = hits.filter(F.col("rank") == k).select("query_row", F.col("score").alias("beat"))
-        more = asks.join(beat, "query_row", "left")
-        far = F.greatest(F.col("length") + reach - 2 * F.col("beat"), F.lit(0.0))
-        more = more.withColumn("limit", F.when(F.col("beat").isNull(), F.lit(float("inf"))).otherwise(far))
-        more = more.select("query_id", "query_row", "vector", F.explode(F.slice("lists", 2, probes)).alias("list"), "limit")
-        hits = ranked(hits.drop("rank").unionByName(probe(index, more, k)), k)
-    return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        far = F.greatest(F.col("length") + part.reach - 2 * F.col("beat"), F.lit(0.0))
+        limit = F.when(F.col("beat").isNull(), float("inf")).otherwise(far).alias("limit")
+        more = asks.join(beat, "query_row", "left").select(*columns, limit, F.slice("lists", wave + 1, probes).alias("lists"))
+        hits = written(ranked(hits.drop("rank").unionByName(probe(rows, part, more, k, shares)), k), "ann-second")
+    enough = hits.groupBy("query_row").count().filter(F.col("count") >= min(k, part.n - 1))
+    short = queries.join(enough, "query_row", "left_anti")
+    if probes < len(part.sizes) and not short.isEmpty():
+        rest = ask(None)(short).select(*columns, open_end, F.slice("lists", probes + 1, len(part.sizes)).alias("lists"))
+        hits = ranked(hits.drop("rank").unionByName(probe(rows, part, rest, k, np.ones(len(shares)))), k)
+    return hits

@@ -58,6 +58,38 @@ def test_scan_loses_next_to_nothing():
     assert kept[d <= limit[:, None]].mean() > 0.98 and kept.mean() < 0.05
 
 
+def test_two_levels_of_centres_and_cut_lists(spark, monkeypatch):
+    for name, n in (("FIT_ROWS", 512), ("MOST_CENTRES", 8), ("CHUNK_ROWS", 64), ("CHUNK_QUERIES", 16)):
+        monkeypatch.setattr(ann, name, n)
+    rng = np.random.default_rng(8)
+    e = rng.standard_normal((4000, 24)) + 4 * rng.standard_normal((60, 24))[rng.integers(0, 60, 4000)]
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(e)], "vec_id long, embedding array<float>")
+    index = ann.build(df)
+    part = index.parts[24]
+    assert len(part.first) == 8 and len(part.second) == 16 and part.sizes.sum() == 4000 and part.sizes.max() > 64
+    e = e.astype(np.float32).astype(float)
+    want, got = brute(np.arange(4000), e), found(spark, df)
+    assert np.mean([len({x for x, _ in want[q]} & {r["vec_id"] for r in got[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_copies_of_an_id_find_each_other_and_dimensions_stay_apart(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.9, 0.1]), (3, [0.5, 0.0]), (40, [1.0, 2.0, 3.0]), (5, [1.0, 1.0, 1.0]), (6, [3.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = ann.build(df)
+    out = ann.search(index, index.rows.filter("vec_id % 20 = 0"), 20).collect()
+    assert sorted((r["query_id"], r["vec_id"], r["rank"]) for r in out) == [(20, 3, 2), (20, 3, 2), (20, 20, 1), (20, 20, 1), (40, 5, 2), (40, 6, 1)]
+    lone = ann.search(index, spark.createDataFrame([(7, [1.0, 0.0])], "vec_id long, vector array<double>"), 2).collect()
+    assert [r["vec_id"] for r in sorted(lone, key=lambda r: r["rank"])] == [20, 20]
+
+
+def test_short_answers_go_on_to_all_lists(spark, monkeypatch):
+    monkeypatch.setattr(ann, "tuned", lambda *a: (1, np.ones(1)))
+    rng = np.random.default_rng(9)
+    e = rng.standard_normal((400, 6))
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(e)], "vec_id long, embedding array<double>")
+    assert all(len(own) == 60 for own in found(spark, df, 60).values())
+
+
 def test_awkward_vectors(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (40, None), (60, [0.0, 0.0]), (80, [float("nan"), 1.0]), (100, [1.0, float("inf")]), (120, [1.0, None]), (140, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "vec_id AS list", "vec_id AS score")
