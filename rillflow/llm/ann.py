@@ -261,7 +261,7 @@ def probe(rows: DataFrame, part: Part, asks: DataFrame, k: int, shares: np.ndarr
     A query goes once to each group of lists that holds some of its own. Large lists, and the askers of a group, are cut
     into chunks by hash, so that a hot list or a common query is spread over tasks.
     """
-    rotation, reach, groups, n_lists = part.rotation, part.reach, part.groups(), len(part.sizes)
+    rotation, reach, groups = part.rotation, part.reach, part.groups()
     spark, kind = rows.sparkSession, rows.schema["vector"].dataType.simpleString()
 
     def dealt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -283,7 +283,8 @@ def probe(rows: DataFrame, part: Part, asks: DataFrame, k: int, shares: np.ndarr
     n_rows = np.bincount(groups, part.sizes, minlength=1)
     shape = [(int(g), max(1, -(-int(n_rows[g]) // CHUNK_ROWS)), -(-n // CHUNK_QUERIES)) for g, n in asked.items()]
     shape = F.broadcast(spark.createDataFrame(shape, "group int, cuts int, shares int"))  # as many rows as groups
-    lists = F.broadcast(spark.createDataFrame(pd.DataFrame({"list": np.arange(n_lists, dtype=np.int32), "group": groups.astype(np.int32)})))
+    # Both sides of a cogroup must have keys of one type: other types hash differently.
+    lists = F.broadcast(spark.createDataFrame(list(enumerate(groups.tolist())), "list int, group int"))
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     rows = rows.join(lists, "list").join(shape, "group")
     rows = rows.select("vec_id", "row", "vector", "list", "group", F.pmod(F.xxhash64("row"), "cuts").cast("int").alias("chunk"), every(F.col("shares")).alias("part"))

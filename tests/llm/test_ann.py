@@ -72,6 +72,17 @@ def test_two_levels_of_centres_and_cut_lists(spark, monkeypatch):
     assert np.mean([len({x for x, _ in want[q]} & {r["vec_id"] for r in got[q]}) / 20 for q in want]) >= 0.9
 
 
+def test_groups_meet_in_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CHUNK_ROWS", 128)
+    session = spark.newSession()
+    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rng = np.random.default_rng(10)
+    e = rng.standard_normal((3000, 32))
+    df = session.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(e)], "vec_id long, embedding array<double>")
+    want, got = brute(np.arange(3000), e), found(session, df)
+    assert np.mean([len({x for x, _ in want[q]} & {r["vec_id"] for r in got[q]}) / 20 for q in want]) >= 0.9
+
+
 def test_copies_of_an_id_find_each_other_and_dimensions_stay_apart(spark):
     rows = [(20, [1.0, 0.0]), (20, [0.9, 0.1]), (3, [0.5, 0.0]), (40, [1.0, 2.0, 3.0]), (5, [1.0, 1.0, 1.0]), (6, [3.0, 1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
