@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rillflow.sources.folders import fresh_folder, scratch, written
 
-__all__ = ["WORD", "fresh_folder", "map_rows", "parts", "scratch", "table", "word_count", "written"]
+__all__ = ["WORD", "columns_of", "fresh_folder", "map_rows", "parts", "scratch", "table", "word_count", "written"]
 
 #: Java and Python spelling of a run that holds no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names hold."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import word_count, written
+from rillflow.llm.common import columns_of, word_count, written
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
@@ -202,4 +202,4 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
         copies = copies_numbered(keyed.withColumn("_mix_row", F.monotonically_increasing_id()).join(repeated, "_mix_key", "left_semi"))
         single = draws.join(repeated, "_mix_key", "left_anti").drop("_mix_copy")
         out = keyed.join(single, "_mix_key").unionByName(copies.join(draws, ["_mix_key", "_mix_copy"]).drop("_mix_copy"))
-    return out.repartitionById(shards, F.col("_mix_draw.shard").cast("int")).sortWithinPartitions("_mix_draw.shard", "_mix_draw.place").select(*docs.columns)
+    return out.repartitionById(shards, F.col("_mix_draw.shard").cast("int")).sortWithinPartitions("_mix_draw.shard", "_mix_draw.place").select(*columns_of(docs))

@@ -2,18 +2,22 @@
 
 Arrivals are appended as small immutable Parquet shards. A manifest lists the shards that are live; each version of it is a
 folder that is written aside and then renamed into place, which fails if another writer was faster, so that readers see
-one whole version or another. Compaction puts shards below the target size into tiers by size, and where a tier has
-`fanout` shards or more it merges the tier into files of the target size. The scan does the merging: Spark fills each of its
-read partitions with whole files, largest first, up to the target, and each partition is written as one file. Nothing is
-shuffled, whatever the keys of the rows are.
-
-The driver holds the paths of the shards of one merge, as any file scan does. Rows are stored as they are: nulls, empty and
-long texts, repeated rows and columns of any name. An empty arrival adds no shard; an empty store reads as an empty table.
-The store relies on a file system whose rename is atomic.
+one whole version or another. An append writes only what it adds; a compaction writes the whole list anew, and reading a
+version starts from the last such list. Compaction puts shards below the target size into tiers by size, and where a tier
+has `fanout` shards or more it merges the tier into files of the target size. The scan does the merging: Spark fills each
+of its read partitions with whole files, largest first, up to the target, and each partition is written as one file. Nothing
+is shuffled, whatever the keys of the rows are.
+
+A step of a compaction takes MERGE_SHARDS shards at most, smallest tiers first, and steps follow until none is due; the
+driver holds the paths of one step, as any file scan does. Rows are stored as they are: nulls, empty and long texts, repeated
+rows and columns of any name, `_metadata` and `path` included. An empty arrival adds no shard; an empty store reads as an
+empty table. The store relies on a file system whose rename is atomic. Names of shards tell version, task and file, so
+they are the same in every run that finds the same input; names of the files behind them are not.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -21,11 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from rillflow.llm.common import columns_of
+
 MANIFEST = "path string, bytes long, n_rows long, tier int, added long"
 #: Size of the lowest tier's upper edge.
 LEAST_BYTES = 64 << 10
 #: A shard this full stays as it is.
 FULL = 0.75
+#: Shards that one step of a compaction merges, and rows of one file of a manifest.
+MERGE_SHARDS = 50_000
+MANIFEST_ROWS = 200_000
 
 
 class Conflict(RuntimeError):
@@ -63,13 +72,28 @@ class ShardStore:
         at = version if version is not None else (self.versions() or [0])[-1]
         if at == 0:
             return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/v{at:010d}")
+        parts = [self._place(at)]
+        while not parts[-1].endswith("whole"):
+            at -= 1
+            if at == 0:
+                break
+            parts.append(self._place(at))
+        return self.spark.read.schema(MANIFEST).parquet(*parts)
+
+    def _place(self, version: int) -> str:
+        """The folder of a version: `whole` has all shards, `added` those that it adds to the version before."""
+        top = f"{self.root}/manifest/v{version:010d}"
+        return f"{top}/{'whole' if self._files.exists(self._hadoop.Path(f'{top}/whole')) else 'added'}"
 
-    def commit(self, shards: DataFrame, after: int) -> int:
-        """Make `shards` version after + 1, in one rename; Conflict if that version exists. New shards get that version."""
+    def commit(self, shards: DataFrame, after: int, whole: bool = True) -> int:
+        """Make `shards` version after + 1, in one rename, or add them to version `after`; Conflict if that version exists.
+
+        New shards get that version.
+        """
         shards = shards.withColumn("added", F.coalesce("added", F.lit(after + 1).cast("long")))
         aside, place = self._path(f"manifest/_{uuid.uuid4().hex}"), self._path(f"manifest/v{after + 1:010d}")
-        shards.coalesce(1).write.parquet(aside.toString())
+        files = 1 + shards.count() // MANIFEST_ROWS
+        shards.coalesce(files).write.parquet(f"{aside.toString()}/{'whole' if whole else 'added'}")
         never = self.spark.sparkContext._gateway.new_array(getattr(self._hadoop, "Options$Rename"), 0)
         try:
             self._hadoop.FileContext.getFileContext(self._files.getUri(), self._conf).rename(aside, place, never)
@@ -87,7 +111,8 @@ class ShardStore:
         """Write rows as new files; what the manifest says of them, `added` left open."""
         rows.write.option("maxRecordsPerFile", most_rows).option("compression", "zstd").parquet(folder)
         files = self.spark.read.schema(self.schema).parquet(folder)
-        found = files.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("n_rows"))
+        about = files.metadataColumn("_metadata")
+        found = files.groupBy(about["file_path"].alias("path"), about["file_size"].alias("bytes")).agg(F.count("*").alias("n_rows"))
         return found.select("path", "bytes", "n_rows", self._tier().alias("tier"), F.lit(None).cast("long").alias("added"))
 
     def _fresh(self) -> str:
@@ -97,11 +122,11 @@ class ShardStore:
 
     def append(self, rows: DataFrame, most_rows: int = 2000, tries: int = 10) -> int:
         """Add rows as shards of at most most_rows rows; the new version."""
-        new = self._written(rows.select(*self.schema.names), self._fresh(), most_rows)
+        new = self._written(rows.select(*columns_of(self.spark.createDataFrame([], self.schema))), self._fresh(), most_rows)
         for _ in range(tries):
             latest = (self.versions() or [0])[-1]
             try:
-                return self.commit(self.manifest(latest).unionByName(new), latest)
+                return self.commit(new, latest, whole=latest == 0)
             except Conflict:
                 continue
         raise Conflict(f"gave up after {tries} tries")
@@ -116,14 +141,19 @@ class ShardStore:
         while latest:
             shards = self.manifest(latest)
             small = shards.filter(F.col("bytes") < FULL * self.target)
-            due = small.groupBy("tier").agg(F.count("*").alias("n"), F.collect_list("path").alias("paths"), F.sum("bytes").alias("bytes"), F.min("bytes").alias("least"))
-            due = [r for r in due.filter(F.col("n") >= self.fanout).orderBy("tier").collect() if 2 * r["least"] <= self.target]
-            if not due:
+            tiers = small.groupBy("tier").agg(F.count("*").alias("n"), F.min("bytes").alias("least")).filter((F.col("n") >= self.fanout) & (2 * F.col("least") <= self.target))
+            due = small.join(F.broadcast(tiers.select("tier")), "tier")  # one row for each tier, of which there are some dozen
+            due = due.orderBy("tier", "bytes", "path").select("tier", "path").limit(MERGE_SHARDS).collect()
+            by_tier: dict[int, list[str]] = {}
+            for r in due:
+                by_tier.setdefault(r["tier"], []).append(r["path"])
+            paths = [own for own in by_tier.values() if len(own) >= self.fanout]
+            if not paths:
                 break
-            before = sum(r["n"] for r in due)
+            before = sum(map(len, paths))
             folder = self._fresh()
-            new = self._merged([r["paths"] for r in due], folder)
-            gone = self.spark.createDataFrame([(p,) for r in due for p in r["paths"]], "path string")
+            new = self._merged(paths, folder)
+            gone = self.spark.createDataFrame([(p,) for own in paths for p in own], "path string")
             if new.count() >= before:
                 self._files.delete(self._hadoop.Path(folder), True)
                 break  # files of these sizes don't fit two to a target
@@ -145,31 +175,52 @@ class ShardStore:
         raise Conflict(f"gave up after {tries} tries")
 
     def _merged(self, tiers: list[list[str]], folder: str) -> DataFrame:
-        """Each tier read in partitions of whole files up to the target, every partition one new file."""
-        packing = {"spark.sql.files.maxPartitionBytes": str(self.target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
-        held = {k: self.spark.conf.get(k, None) for k in packing}
-        try:
-            for k, v in packing.items():
-                self.spark.conf.set(k, v)
-            parts = [self.spark.read.schema(self.schema).parquet(*paths) for paths in tiers]
-            rows = parts[0]
-            for part in parts[1:]:
-                rows = rows.unionAll(part)
-            return self._written(rows, folder)
-        finally:
-            for k, v in held.items():
-                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
-
-    def vacuum(self, keep: int = 1) -> None:
-        """Delete shards and manifests that none of the last `keep` versions needs."""
-        every = self.versions()
-        for old in every[:-keep]:
-            gone = self.manifest(old).select("path")
-            for later in every[-keep:]:
-                gone = gone.join(self.manifest(later).select("path"), "path", "left_anti")
-            for row in gone.toLocalIterator():
+        """Each tier read in partitions of whole files up to the target, every partition one new file.
+
+        The settings that make it so are those of a session of its own; this store's session keeps its own.
+        """
+        session = self.spark.newSession()
+        for k, v in {"spark.sql.files.maxPartitionBytes": str(self.target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}.items():
+            session.conf.set(k, v)
+        parts = [session.read.schema(self.schema).parquet(*paths) for paths in tiers]
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionAll(part)
+        return self._written(rows, folder)
+
+    def vacuum(self, keep: int = 1, older_than_s: float = 86_400.0) -> None:
+        """Delete the shards and manifests that none of the last `keep` versions needs.
+
+        What no version names is left over from writers that died or lost, and goes when it is older than older_than_s,
+        since a writer that is still at work may be about to commit it. Arrivals and merges have folders of their own: one
+        with no live shard goes whole, file by file only where some of its shards live on.
+        """
+        every, now = self.versions(), time.time()
+        if not every:
+            return
+        live = self.manifest(every[-1]).select("path")
+        for later in every[-keep:-1]:
+            live = live.unionAll(self.manifest(later).select("path"))
+        folder = F.element_at(F.split("path", "/"), -2)
+        lives = {r[0] for r in live.select(folder.alias("f")).distinct().collect()}  # one name for each arrival or merge
+        old = [self.manifest(v).select("path") for v in every[:-keep]]
+        for shards in old:
+            part = shards.filter(folder.isin(sorted(lives))).join(live, "path", "left_anti")
+            for row in part.toLocalIterator():
                 self._files.delete(self._hadoop.Path(row["path"]), False)
-            self._files.delete(self._path(f"manifest/v{old:010d}"), True)
+        known = {r[0] for shards in old for r in shards.select(folder.alias("f")).distinct().collect()}
+        data = self._path("data")
+        for entry in self._files.listStatus(data) if self._files.exists(data) else []:
+            name = entry.getPath().getName()
+            if name not in lives and (name in known or now - entry.getModificationTime() / 1000 > older_than_s):
+                self._files.delete(entry.getPath(), True)
+        first = every[-keep] if len(every) >= keep else every[0]
+        while first > 1 and not self._place(first).endswith("whole"):
+            first -= 1  # versions that are kept start from this list
+        for entry in self._files.listStatus(self._path("manifest")):
+            name = entry.getPath().getName()
+            if (name[0] == "v" and int(name[1:]) < first) or (name[0] == "_" and now - entry.getModificationTime() / 1000 > older_than_s):
+                self._files.delete(entry.getPath(), True)
 
     # -- readers -------------------------------------------------------------------------------------------------------
 
@@ -179,10 +230,13 @@ class ShardStore:
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def placed(self, key: str) -> DataFrame:
-        """Of each row its key and shard: the file, its rows, bytes and tier, and the version that added it."""
+        """Of each row its key and shard: the shard's name, rows, bytes and tier, and the version that added it."""
+        live = self.manifest()
+        name = F.concat_ws("-", F.concat(F.lit("v"), F.col("added")), F.regexp_extract("path", r"part-(\d+)-", 1), F.regexp_extract("path", r"-c(\d+)\.[^/]*$", 1))
+        columns = (name.alias("shard"), F.col("n_rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"), F.col("tier"), F.col("added").alias("version"))
+        if key in ("shard", "shard_rows", "shard_bytes", "tier", "version"):
+            raise ValueError(f"{key} is the name of a column that tells of the shard")
         rows = self.read()
-        if not self.versions() or self.manifest().isEmpty():
-            return self.spark.createDataFrame([], StructType([self.schema[key]])).select(key, *(F.lit(None).cast(t).alias(n) for n, t in (("shard", "string"), ("shard_rows", "long"), ("shard_bytes", "long"), ("tier", "int"), ("version", "long"))))
-        rows = rows.select(key, F.col("_metadata.file_path").alias("path"))
-        shards = self.manifest().select("path", F.element_at(F.split("path", "/"), -1).alias("shard"), F.col("n_rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"), "tier", F.col("added").alias("version"))
-        return rows.join(shards, "path").drop("path")
+        path = F.lit(None).cast("string") if live.isEmpty() else rows.metadataColumn("_metadata")["file_path"]
+        rows = rows.select(path.alias("_of"), rows[f"`{key}`"].alias("_key"))
+        return rows.join(live.select(F.col("path").alias("_of"), *columns), "_of").drop("_of").withColumnRenamed("_key", key)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import map_rows, parts, written
+from rillflow.llm.common import columns_of, map_rows, parts, written
 
 BITS = 64
 #: Fingerprints of one tile.
@@ -372,9 +372,9 @@ def representatives(docs: DataFrame, radius: int = 2, tile: int = TILE, words_ea
         keep = similar_representatives(docs, told, radius, tile, words_each, similarity)
     keep, keyed = written(keep, "kept"), docs.withColumn("_near_key", told)
     single, many = keep.filter("_near_many IS NULL"), keep.filter("_near_many")
-    out = keyed.join(single.select("_near_key"), "_near_key", "left_semi").select(*docs.columns)
+    out = keyed.join(single.select("_near_key"), "_near_key", "left_semi").select(*columns_of(docs))
     if many.isEmpty():
         return out
-    whole = F.struct(*docs.columns)
+    whole = F.struct(*columns_of(docs))
     rows = keyed.join(many.select("_near_key"), "_near_key", "left_semi").groupBy("_near_key").agg(F.min_by(whole, F.md5(F.to_json(whole))).alias("_near_row"))
     return out.unionByName(rows.select("_near_row.*"))

@@ -42,6 +42,83 @@ def test_placed_adds_up(spark):
     assert all(n == next(r["shard_rows"] for r in placed if r["shard"] == s) for s, n in Counter(r["shard"] for r in placed).items())
 
 
+def test_query_compacts_and_reruns_agree(spark):
+    from oracle import SF
+
+    from rillflow.llm import registry
+
+    first, again = (Counter(map(repr, registry.QUERIES["op1_sharding"](spark, SF).collect())) for _ in range(2))
+    assert first == again and sum(first.values()) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert "version=9" in repr(first)  # of eight arrivals in at most two tiers four or more are merged
+
+
+def planned(sizes, target):
+    """Bytes of the files that a merge of shards makes: each takes whole shards, largest first, until the next is too many."""
+    out, held = [], 0
+    for n in sorted(sizes, reverse=True):
+        if held and held + n > target:
+            out.append(held)
+            held = 0
+        held += n
+    return len(out) + bool(held)
+
+
+def test_merge_by_brute_force(spark):
+    """The number of merged files is that of a plain packing of the shards' sizes, and every row is in one of them."""
+    many = spark.range(4000).selectExpr("id doc_id", "repeat(md5(string(id)), int(1 + id % 9)) text")
+    store = ShardStore(spark, fresh_folder(spark, "t"), many.schema, target_bytes=100_000)
+    for k in range(3):
+        store.append(many.filter(f"id % 3 = {k}"), most_rows=90)
+    before = [r for r in store.manifest().collect() if r["bytes"] < 0.75 * store.target]
+    whole = store.manifest().count() - len(before)
+    (tier,) = {r["tier"] for r in before}
+    store._merged([[r["path"] for r in before if r["tier"] == tier]], f"{store.root}/data/aside")
+    aside = [p for p in os.listdir(f"{store.root.removeprefix('file://')}/data/aside") if p.endswith(".parquet")]
+    assert whole == 0 and len(aside) == planned([r["bytes"] for r in before], store.target)
+    assert rows_of(spark.read.parquet(f"{store.root}/data/aside")) == rows_of(many)
+
+
+def test_steps_of_a_compaction(spark, monkeypatch):
+    from rillflow.llm import sharding
+
+    monkeypatch.setattr(sharding, "MERGE_SHARDS", 7)
+    many = spark.range(2000).selectExpr("id doc_id", "md5(string(id)) text")
+    store = ShardStore(spark, fresh_folder(spark, "t"), many.schema, target_bytes=40_000)
+    store.append(many, most_rows=50)
+    assert store.compact() > 4 and rows_of(store.read()) == rows_of(many)
+
+
+def test_any_names_and_session_settings(spark):
+    many = spark.range(10).selectExpr("id path", "string(id) _metadata", "id `a.b`")
+    store = ShardStore(spark, fresh_folder(spark, "t"), many.schema)
+    held = spark.conf.get("spark.sql.files.openCostInBytes")
+    for _ in range(4):
+        store.append(many)
+    store.compact()
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == held
+    assert Counter(r["path"] for r in store.placed("path").collect()) == Counter(list(range(10)) * 4)
+    assert store.placed("a.b").count() == 40 and store.placed("_metadata").count() == 40
+    assert rows_of(store.read()) == Counter({k: 4 for k in rows_of(many)})
+    with pytest.raises(ValueError):
+        store.placed("tier")
+
+
+def test_vacuum_takes_what_nobody_names(spark):
+    many = spark.range(100).selectExpr("id doc_id")
+    store = ShardStore(spark, fresh_folder(spark, "t"), many.schema)
+    place = store.root.removeprefix("file://")
+    for _ in range(5):
+        store.append(many, most_rows=20)
+    store._written(many, f"{store.root}/data/orphan")
+    os.makedirs(f"{place}/manifest/_dead")
+    store.vacuum(keep=1)
+    assert {"orphan"} < set(os.listdir(f"{place}/data")) and store.versions() == [1, 2, 3, 4, 5] and store.read().count() == 500
+    store.compact()
+    store.vacuum(keep=1, older_than_s=-1)
+    assert len(os.listdir(f"{place}/data")) == 1 and store.versions() == [6] and not os.path.exists(f"{place}/manifest/_dead")
+    assert store.read().count() == 500
+
+
 def test_commit_is_exclusive(spark):
     many = spark.range(10).selectExpr("id doc_id")
     store = ShardStore(spark, fresh_folder(spark, "t"), many.schema)
