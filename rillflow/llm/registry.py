@@ -114,16 +114,17 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op6_chat_format"] = """
-WITH t AS (
-  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS position
-  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)),
-c AS (SELECT conv_id, count(*) AS n, list({'role': role, 'text': text} ORDER BY position) AS turns FROM t GROUP BY conv_id),
-w AS (SELECT turns, any_value(n) AS n, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY turns),
+WITH r AS (
+  SELECT DISTINCT conv_id, turn, role, text, {'nameless': conv_id IS NULL, 'conv_id': conv_id, 'own': CASE WHEN conv_id IS NULL THEN to_json({'t': turn, 'r': role, 'x': text})::VARCHAR END} AS conv
+  FROM conversations),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS position FROM r),
+c AS (SELECT conv, count(*) AS n, list({'role': role, 'text': text} ORDER BY position) AS turns FROM t GROUP BY conv),
+w AS (SELECT turns, any_value(n) AS n, min(conv) AS conv, count(*) AS n_copies FROM c GROUP BY turns),
 p AS (SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, n)) AS k FROM c)),
 m AS (SELECT * FROM w ANTI JOIN p USING (turns))
 SELECT t.conv_id, t.position::BIGINT AS position, m.n::BIGINT AS n_turns, m.n_copies::BIGINT AS n_copies,
        '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS rendered
-FROM t JOIN m ON t.conv_id IS NOT DISTINCT FROM m.conv_id
+FROM t JOIN m ON t.conv IS NOT DISTINCT FROM m.conv
 """
 
 
