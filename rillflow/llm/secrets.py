@@ -90,7 +90,7 @@ def spelled(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, max_ratio: float = DEFAULT_MAX_RATIO) -> DataFrame:
-    """One row for each of docs: doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans.
+    """One row for each of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random.
 
     Offsets count code points, ends exclusive. A narrow pass: each task scans its own texts and nothing is shuffled.
     """
@@ -101,13 +101,13 @@ def scan(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, max_ratio: float
             text = text or ""
             base = base_spans(text)
             spans = sorted(base + random_spans(text, base, vocabulary, max_ratio))
-            for kind in range(4):
-                columns[1 + kind].append(sum(x[1] == kind for x in spans))
-            columns[5].append(hashlib.sha256(spelled(base).encode()).hexdigest())
-            columns[6].append(spelled(spans))
+            n = [sum(x[1] == kind for x in spans) for kind in range(4)]
+            values = (*n[:3], hashlib.sha256(spelled(base).encode()).hexdigest(), spelled(spans), n[3])
+            for column, value in zip(columns[1:], values, strict=True):
+                column.append(value)
         return columns
 
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
     return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), schema, per_batch)
 
 

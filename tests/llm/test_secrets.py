@@ -77,3 +77,57 @@ def test_scan_and_redact(spark, docs, no_docs):
     got = secrets.scan(docs).collect()
     assert len(got) == docs.count() and all(r["spans"] == "" and r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in got)
     assert secrets.redact(docs).columns == docs.columns and secrets.scan(no_docs).count() == 0
+
+
+def slow_random(text):
+    """The method's spans without its pattern for candidates and without its fast tokenizer."""
+    import string
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    if not hasattr(slow_random, "tokenizer"):
+        slow_random.tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    run = set(string.ascii_letters + string.digits + "+/_-")
+    inside = lambda k: 0 <= k < len(text) and text[k] in run
+    base, mails, out, at = secrets.base_spans(text), [m.span() for m in secrets.MAIL.finditer(text)], [], 0
+    while at < len(text):
+        if not inside(at):
+            at += 1
+            continue
+        end = at
+        while inside(end):
+            end += 1
+        if end - at >= 20:
+            tail = next(n for n in (2, 1, 0) if text[end : end + n] == "=" * n and not inside(end + n))
+            word, last = text[at : end + tail], end + tail
+            hit = any(a < last and at < b for a, b in [(a, b) for a, _, b in base] + mails)
+            if not hit and any(c.isalpha() for c in word) and not secrets.HARMLESS.match(word):
+                least = 2.1 if any(c.isdigit() for c in word) else 2.0
+                if len(word) < least * len(slow_random.tokenizer.encode(word, add_special_tokens=False).ids):
+                    out.append((at, 3, last))
+        at = end
+    return out
+
+
+def test_random_spans_by_brute_force():
+    import random
+
+    import duckdb
+    from oracle import SF
+
+    texts = [r[0] or "" for r in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet'").fetchall()]
+    rng, letters = random.Random(3), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
+    for _ in range(300):
+        parts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 45))) if rng.random() < 0.6 else rng.choice(["hello", "documentation-of-something-else", "a.b@c.de", "=", "==", "x=", ":", "@", " "]) for _ in range(8)]
+        texts.append(rng.choice(["", " ", "=", ":"]).join(parts))
+    for text in texts:
+        assert secrets.random_spans(text, secrets.base_spans(text), secrets.DEFAULT_VOCABULARY, 2.1) == slow_random(text)
+    assert any(slow_random(t) for t in texts)
+
+
+def test_very_long_runs(spark):
+    texts = ["k9Qw7Zx_" * 250_000, "a" * 2_000_000, "token=" * 300_000, "a@" * 1_000_000, "AKIA" * 500_000]
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(5))
+    assert next(r["spans"] for r in rows if r["doc_id"] == 0) == "random:0:2000000"
