@@ -36,7 +36,12 @@ _BSD = (
     "notice this list of conditions and the following disclaimer in the documentation and or other materials provided "
     "with the distribution"
 )
-#: The wording of well-known licenses and of the notices that refer to them.
+_COPIES = "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"
+_FSF = "free software foundation inc"
+_TERMS = "redistribute it and or modify it under the terms of the gnu"
+_BY_FSF = "as published by the free software foundation"
+#: The wording of well-known licenses and of the notices that refer to them. Of the longest licenses the
+#: mandatory wording is that of their heading and first paragraphs.
 TEMPLATES = (
     ("mit", "[this work is] [released] [licensed] under the mit license"),
     (
@@ -62,8 +67,45 @@ TEMPLATES = (
     ("bsd-3-clause", _BSD + " [3] neither the name of <12> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    (
+        "apache-2.0",
+        "apache license version 2 0 january 2004 <6> terms and conditions for use reproduction and distribution 1 definitions "
+        "license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 "
+        "of this document licensor shall mean the copyright owner or entity authorized by the copyright owner that is granting "
+        "the license",
+    ),
+    ("gpl-3.0", f"gnu general public license version 3 29 june 2007 copyright <1> 2007 {_FSF} <5> {_COPIES} [preamble] the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl-2.0", f"gnu general public license version 2 june 1991 copyright <1> 1989 1991 {_FSF} <14> {_COPIES} [preamble] the licenses for most software are designed to take away your freedom to share and change it"),
+    ("lgpl-2.1", f"gnu lesser general public license version 2 1 february 1999 copyright <1> 1991 1999 {_FSF} <14> {_COPIES}"),
+    ("lgpl-3.0", f"gnu lesser general public license version 3 29 june 2007 copyright <1> 2007 {_FSF} <5> {_COPIES} this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license"),
+    ("agpl-3.0", f"gnu affero general public license version 3 19 november 2007 copyright <1> 2007 {_FSF} <5> {_COPIES} [preamble] the gnu affero general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl-3.0", f"{_TERMS} general public license {_BY_FSF} [either] version 3"),
+    ("gpl-2.0", f"{_TERMS} general public license {_BY_FSF} [either] version 2"),
+    ("gpl-2.0", f"under the terms of the gnu general public license version 2 [only] {_BY_FSF}"),
+    ("lgpl-2.1", f"{_TERMS} lesser general public license {_BY_FSF} [either] version 2 1"),
+    ("lgpl-3.0", f"{_TERMS} lesser general public license {_BY_FSF} [either] version 3"),
+    ("agpl-3.0", f"{_TERMS} affero general public license {_BY_FSF} [either] version 3"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", "mozilla public license version 2 0 1 definitions 1 1 contributor means each individual or legal entity that creates contributes to the creation of or owns covered software"),
+    ("epl-2.0", "made available under the terms of the eclipse public license [v] [version] 2 0"),
+    ("epl-1.0", "made available under the terms of the eclipse public license v1 0"),
+    ("epl-2.0", "eclipse public license v 2 0 the accompanying program is provided under the terms of this eclipse public license agreement any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement"),
+    ("bsl-1.0", "boost software license version 1 0 august 17th 2003 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the <4> be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
     ("spdx-mit", "spdx license identifier mit"),
     ("spdx-apache-2.0", "spdx license identifier apache 2 0"),
+    ("spdx-gpl-2.0", "spdx license identifier gpl 2 0"),
+    ("spdx-gpl-3.0", "spdx license identifier gpl 3 0"),
+    ("spdx-lgpl-2.1", "spdx license identifier lgpl 2 1"),
+    ("spdx-lgpl-3.0", "spdx license identifier lgpl 3 0"),
+    ("spdx-agpl-3.0", "spdx license identifier agpl 3 0"),
+    ("spdx-mpl-2.0", "spdx license identifier mpl 2 0"),
+    ("spdx-epl-2.0", "spdx license identifier epl 2 0"),
+    ("spdx-bsl-1.0", "spdx license identifier bsl 1 0"),
+    ("spdx-bsd-2-clause", "spdx license identifier bsd 2 clause"),
+    ("spdx-bsd-3-clause", "spdx license identifier bsd 3 clause"),
+    ("spdx-isc", "spdx license identifier isc"),
+    ("spdx-zlib", "spdx license identifier zlib"),
 )
 
 

@@ -71,3 +71,24 @@ def test_wording_may_be_broken_anywhere_and_templates_may_be_ones_own():
     own = (("own", "free as <3> in beer [or not]"),)
     assert licenses.analysed("Free -- as they say: in beer, or not!", own)["templates"] == [("own", 0, 8)]
     assert licenses.analysed("free in beer", own)["templates"] == []
+
+
+NOTICES = {
+    "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-2.0": "it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "lgpl-2.1": "redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+    "agpl-3.0": "redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed",
+    "epl-2.0": "materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "spdx-bsd-3-clause": "// SPDX-License-Identifier: BSD-3-Clause",
+    "apache-2.0": "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n1. Definitions.\n\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.\n\"Licensor\" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License.",
+    "lgpl-3.0": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented",
+}
+
+
+def test_notices_and_headings():
+    for label, text in NOTICES.items():
+        _, start, end = next(found for found in licenses.analysed(text)["templates"] if found[0] == label)
+        words = licenses.WORD.findall(text.lower())
+        without = " ".join(w for k, w in enumerate(words) if k != (start + end) // 2)  # a mandatory word is missing
+        assert label not in {found for found, _, _ in licenses.analysed(without)["templates"]}, label
