@@ -10,8 +10,12 @@
    the sampled labels.
 
 Null and empty texts have no hits and get the score of a text without hits. Rows with a null doc_id are scored and not
-held out. A doc_id with several labels counts as toxic if any says so; of its rows the smallest text is learnt from. Without labelled rows only the fixed lexicon and
-the patterns vote. Labels, lang, source and doc_id are never inputs of a score.
+held out. A doc_id with several labels counts as toxic if any says so; of its rows the smallest text is learnt from. Without
+labelled rows only the fixed lexicon and the patterns vote. Labels, lang, source and doc_id are never inputs of a score.
+
+Labels enter more than the label model: markers are mined with them, vote limits and the EM's classes are set by them, and
+the output is calibrated on them. Where there are thousands of labels the label model adds nothing to a classifier trained
+on them (Settings.label_model; the README has figures); it is for corpora with few or none.
 """
 
 from __future__ import annotations
@@ -47,6 +51,7 @@ class Settings:
     voters: int = 16  # lexicon voters; the fixed lexicon and the patterns are further voters
     min_docs: int = 4  # toxic texts of the sample that a marker must stand in
     clique_bits: float = 0.01  # conditional mutual information beyond which two voters are joined
+    label_model: bool = True  # False trains the classifier on the sample's own labels, for comparison
 
 
 @dataclass
@@ -281,7 +286,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
         basis = [(100, {k: n}, [False] * 3) for k in range(len(markers)) for n in (1, 2, 4)] + [(100, {}, [False] * 3)] * len(markers)
         seen, y = basis, np.array([float(bool(h)) for _, h, _ in basis])
     x = np.array([model.features(*s) for s in seen])
-    target = np.array([soft.get(model.votes(*s), float(bool(s[1]))) for s in seen])
+    target = np.array([soft.get(model.votes(*s), float(bool(s[1]))) for s in seen]) if settings.label_model or not rows else y
     weights, bias = logistic(x, target, ridge=1.0)
     with_weights(model, weights, bias)
     if 0 < y.sum() < len(y):

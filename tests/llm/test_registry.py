@@ -53,3 +53,36 @@ def test_stages_by_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted(set(group.values()))
     for r in corpus_pipeline.redact_secrets(spark, docs, SF).collect():
         assert not secrets.base_spans(r["text"]) and r["n_chars"] == len(r["text"])
+
+
+def test_mixing_and_packing_of_the_pipeline_by_brute_force(spark):
+    """Every id of every document that the first three stages keep is packed as often as a plain walk draws the document."""
+    import zlib
+    from collections import Counter, defaultdict
+
+    import numpy as np
+    from test_mixing import slow
+    from test_packing import whole
+
+    from rillflow.llm import mixing
+    from rillflow.llm.common import written
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = written(stage(spark, docs, SF), "stage")
+    rows = [r.asDict() for r in docs.collect()]
+    targets = {r["source"]: r["target"] for r in mixing.plan(docs).select("source", "target").distinct().collect()}
+    want = {d: n for (d, _, _), n in slow(rows, targets, mixing.BLOCK_WORDS).items() if n}
+    ids = {r["doc_id"]: np.array(whole().encode(r["text"] or "", add_special_tokens=False).ids + [0], "<u4") for r in rows}
+    mix = written(corpus_pipeline.mix_sources(spark, docs, SF), "stage")
+    assert Counter(r["doc_id"] for r in mix.collect()) == want
+    covered, sequences = {d: np.zeros(len(x), int) for d, x in ids.items()}, defaultdict(list)
+    for r in corpus_pipeline.pack_sequences(spark, mix, SF).collect():
+        part = slice(r["start"], r["start"] + r["length"])
+        assert r["ids_crc32"] == zlib.crc32(ids[r["doc_id"]][part].tobytes()) and r["doc_tokens"] == len(ids[r["doc_id"]])
+        covered[r["doc_id"]][part] += 1
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all((x == want.get(d, 0)).all() for d, x in covered.items())
+    for own in sequences.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(own)])]
+        assert [at for at, _ in sorted(own)] == ends[:-1] and ends[-1] <= 1024

@@ -69,3 +69,44 @@ def test_sample_is_bounded_by_documents(spark):
     assert one == other
     few = toxicity.labelled(again, labels, 60).count()
     assert 20 < few < 120
+
+
+def slow_score(model, text):
+    """The classifier's output from its weights, with words and patterns looked for one by one."""
+    import re
+
+    low = (text or "").lower()
+    n = max(len(low.split()), 1)
+
+    def hits(marker):
+        stem, count, at = marker.lstrip("="), 0, low.find(marker.lstrip("="))
+        while at >= 0:
+            end = at + len(stem)
+            count += (at == 0 or not low[at - 1].isalpha()) and not (marker[0] == "=" and end < len(low) and low[end].isalpha())
+            at = low.find(stem, at + 1)
+        return count
+
+    counts, m = [hits(marker) for marker in model.markers], len(model.markers)
+    z = model.bias
+    for k, c in enumerate(counts):
+        z += np.log1p(200 * c / n) * model.weights[k] + (c > 0) * model.weights[m + k]
+    for j, group in enumerate(model.groups):
+        z += np.log1p(200 * sum(counts[k] for k in group) / n) * model.weights[2 * m + j]
+    said = [re.search(toxicity.INSULT, low), re.search(toxicity.THREAT, low), text is not None and len(text) > 20 and text.isupper()]
+    z += sum(w for w, hit in zip(model.weights[-3:], said) if hit)
+    z = model.calibration[0] * z + model.calibration[1]
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def test_scores_by_brute_force(spark):
+    import zlib
+
+    from oracle import SF
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in toxicity.score(docs, model).collect():
+        want = slow_score(model, texts[r["doc_id"]])
+        assert abs(r["score"] - want) < 1e-9 and r["predicted"] == int(r["score"] >= 0.5)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
