@@ -36,17 +36,20 @@ def test_stages_keep_columns_and_bear_awkward_rows(spark, docs, stage):
 
 def test_stages_by_brute_force(spark):
     """What each stage keeps of the smallest table, against what its operator says of the same rows."""
-    from rillflow.llm import secrets, simhash, toxicity
+    from test_simhash import jaccard, shingles
+
+    from rillflow.llm import secrets, toxicity
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     kept = corpus_pipeline.reject_toxic(spark, docs, SF).collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(r["doc_id"] for r in docs.collect() if model.score(r["text"]) < 0.5)
-    prints = {r["doc_id"]: simhash.fingerprint(r["text"]) for r in docs.collect()}
-    group = {d: d for d in prints}
-    for a in sorted(prints):
-        for b in sorted(prints):
-            if (prints[a] ^ prints[b]).bit_count() <= 2 and group[a] != group[b]:
+    sets = {r["doc_id"]: shingles(r["text"]) for r in docs.collect()}  # five words, a similarity of 0.8 or more
+    group = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            alike = sets[a] == sets[b] or (sets[a] and sets[b] and jaccard(sets[a], sets[b]) >= 0.8)
+            if alike and group[a] != group[b]:
                 low, high = sorted((group[a], group[b]))
                 group = {d: low if g == high else g for d, g in group.items()}
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
