@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm import ann, chat, licenses, mixing, packing, repetition, secrets, sharding, simhash, toxicity
+from rillflow.llm import ann, bpe, chat, fim, licenses, mixing, packing, repair, repetition, secrets, sharding, simhash, toxicity
 from rillflow.llm.common import fresh_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,39 @@ SELECT doc_id, len(words)::BIGINT AS n_words, len(places)::BIGINT AS n_base, lis
        array_to_string(list_sort(list_distinct(list_concat(base, own))), ',') AS labels,
        CASE WHEN len(own) > 0 THEN 1.0::DOUBLE ELSE 1 - pow(0.5, len(places)) END AS score FROM p
 """
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.transform(table(spark, sf_dir, "documents"))
+    digests = (F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+ORACLE_SQL["op11_fill_in_middle"] = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS t,
+         sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+n AS (
+  SELECT *, len(t)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high FROM n),
+f AS (
+  SELECT doc_id, text, n, array_to_string(t[1:low], '') AS prefix, array_to_string(t[low + 1 : high], '') AS middle, array_to_string(t[high + 1 :], '') AS suffix,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN text ELSE prefix || middle || suffix END) AS restored_sha256
+FROM f
+"""
+
+
+@query
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op13_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    digests = (F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *digests)
