@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -56,9 +57,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(conf).delete(path, True)
 
 
+def literal(path: str) -> str:
+    """path as a reader takes it, which would else look for other files where it has the signs of a pattern."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     folder = fresh_folder(spark, what)
     df.write.option("compression", "zstd").parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return spark.read.schema(df.schema).parquet(literal(folder))
