@@ -11,6 +11,10 @@ The nearest lists of each query, a first wave, give it a distance to beat for th
 answered by brute force over all rows: the number of probed lists is the smallest that holds the wanted share of their true
 neighbours, and the tests' limits are quantiles over those. A query whose lists hold too few rows goes on to all lists.
 
+Lengths are handled as logarithms and vectors scaled by powers of two before anything is squared, so any finite vectors will
+do. Vectors FAR powers of two longer than all but a hundredth of the others are an index of their own, for next to them the others
+would all look alike; every query asks both. Products beyond the range of doubles count as doubles have them, undefined ones last.
+
 Null, zero and non-finite vectors and those with a null component or id take no part. Each dimension is an index of its own,
 for vectors of different dimensions have no inner product. Every row but the query's own is a candidate, rows that share its
 id included; a query of a repeated id is answered once for each of its rows. Ties go to the smaller id. Empty tables give
@@ -42,6 +46,8 @@ CHUNK_QUERIES = 1024
 BLOCK = 16
 #: Share of pairs still alive from which on they are looked at one by one.
 SPARSE = 0.12
+#: A vector is far longer than others from so many powers of two on.
+FAR = 6
 #: Width of the test where nothing was tuned, in the units of its authors; share of neighbours that a tuned test keeps.
 DOUBT = 2.1
 KEPT = 0.998
@@ -52,6 +58,7 @@ class Part:
     """The index of one dimension; its size depends on the number of lists and dimensions alone."""
 
     n: int
+    scale: float  # power of two that vectors are multiplied by, so that none is longer than 1
     reach: float  # squared length that all vectors are brought to
     first: np.ndarray  # centres, and what is added to them
     second: np.ndarray
@@ -75,7 +82,7 @@ class Part:
 @dataclass
 class Index:
     rows: DataFrame  # vec_id, row, vector, dim, list
-    parts: dict[int, Part]
+    parts: dict[int, Part]  # by dimension, that of its far longer vectors with a minus
 
 
 def usable(vector: Column) -> Column:
@@ -87,6 +94,24 @@ def stacked(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(float)
 
 
+def units(x: np.ndarray) -> np.ndarray:
+    """Of each row a power of two that brings its largest component to 1/2 or more, and below 1."""
+    return np.ldexp(1.0, np.clip(-np.frexp(np.abs(x).max(1))[1], -1021, 1021))
+
+
+def products(a: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Inner products row by row; undefined ones are the least."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        found = np.einsum("ij,ij->i", a, e)
+    return np.where(np.isnan(found), -np.inf, found)
+
+
+def magnitude(vector: Column) -> Column:
+    """Logarithm of the length to base two; nothing overflows on the way."""
+    most = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
+    return F.log2(most) + F.log2(F.aggregate(vector, F.lit(0.0), lambda a, x: a + (x.cast("double") / most) * (x.cast("double") / most))) / 2
+
+
 def lifted(x: np.ndarray, reach: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(reach - (x * x).sum(1), 0.0))[:, None]])
 
@@ -115,9 +140,14 @@ def k_means(sample: np.ndarray, lists: int, rng: np.random.Generator, rounds: in
     return centres
 
 
-def fitted(sample: np.ndarray, n: int, reach: float, seed: int) -> Part:
-    """Centres near each other have numbers near each other, so that a group of lists is probed by the same queries."""
-    rng, x = np.random.default_rng(seed), lifted(sample, reach)
+def fitted(sample: np.ndarray, n: int, longest: float, seed: int) -> Part:
+    """Centres near each other have numbers near each other, so that a group of lists is probed by the same queries.
+
+    longest: magnitude of the longest vector.
+    """
+    power = int(np.clip(np.ceil(longest), -1021, 1021))
+    scale, reach = 2.0**-power, float(4.0 ** (longest - power) * (1 + 1e-9))
+    rng, x = np.random.default_rng(seed), lifted(sample * scale, reach)
     wanted = max(1, int(2 * n**0.5))
     lists = min(wanted, MOST_CENTRES, max(1, len(x) // 4))
     first = k_means(x, lists, rng)
@@ -127,30 +157,35 @@ def fitted(sample: np.ndarray, n: int, reach: float, seed: int) -> Part:
     second = np.zeros((1, x.shape[1]))
     if wanted > lists == MOST_CENTRES:
         second = k_means(x - first[nearest_centre(x, first)], min(MOST_SECOND, -(-wanted // lists)), rng)
-    return Part(n, reach, first, second, axes)
+    return Part(n, scale, reach, first, second, axes)
 
 
 def build(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", seed: int = 1) -> Index | None:
     """Fit each dimension on a sample of at most FIT_ROWS rows chosen by hash, and index every usable row; None if there is none."""
     given = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector"))
     given = given.filter(F.col("vec_id").isNotNull() & usable(F.col("vector"))).withColumn("dim", F.size("vector"))
-    length = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    found = given.groupBy("dim").agg(F.count("*").alias("n"), F.max(length).alias("reach")).collect()  # one row for each dimension
+    sized = given.withColumn("magnitude", magnitude(F.col("vector")))
+    most, usual = F.max("magnitude").alias("most"), F.percentile_approx("magnitude", 0.99, 1000).alias("usual")
+    found = sized.groupBy("dim").agg(F.count("*").alias("n"), most, usual).collect()  # one row for each dimension
     if not found:
         return None
-    parts: dict[int, Part] = {}
+    if edge := {r["dim"]: r["usual"] + FAR for r in found if r["most"] > r["usual"] + FAR}:
+        far = F.element_at(F.create_map(*(F.lit(x) for pair in edge.items() for x in pair)), F.col("dim")) < F.col("magnitude")
+        sized = sized.withColumn("dim", F.when(far, -F.col("dim")).otherwise(F.col("dim")))
+        found = sized.groupBy("dim").agg(F.count("*").alias("n"), most).collect()
+    given, parts = sized.drop("magnitude"), {}
     for r in sorted(found):
         own = given.filter(F.col("dim") == r["dim"])
         picked = own if r["n"] <= FIT_ROWS else own.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(FIT_ROWS / r["n"] * (1 << 30)))
         sample = picked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("vector").toPandas()["vector"]
         sample = sample if len(sample) else own.limit(1).toPandas()["vector"]
-        parts[r["dim"]] = fitted(stacked(sample), r["n"], float(r["reach"]), seed)
+        parts[r["dim"]] = fitted(stacked(sample), r["n"], float(r["most"]), seed)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for dim, own in frame.groupby("dim"):
                 part = parts[dim]
-                x = lifted(stacked(own["vector"]), part.reach)
+                x = lifted(stacked(own["vector"]) * part.scale, part.reach)
                 cell = nearest_centre(x, part.first)
                 yield own.assign(list=(cell * len(part.second) + nearest_centre(x - part.first[cell], part.second)).astype(np.int32))
 
@@ -185,21 +220,23 @@ def edges(d: int) -> list[int]:
 def truth(rows: DataFrame, part: Part, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     """The exact neighbours of a bounded set of queries over all rows: query_row, list, and the partial distances by block."""
     ask, own = stacked(queries["vector"]), queries["own"].to_numpy()
-    turned, reach, rotation = flat(ask) @ part.rotation, part.reach, part.rotation
+    turned, reach, rotation, scale = flat(ask * units(ask)[:, None]) @ part.rotation, part.reach, part.rotation, part.scale
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if not len(frame):
                 continue
             e, ids = stacked(frame["vector"]), frame["vec_id"].to_numpy()
-            scores = ask @ e.T
+            with np.errstate(over="ignore", invalid="ignore"):
+                scores = ask @ e.T
+            scores[np.isnan(scores)] = -np.inf
             scores[own[:, None] == frame["row"].to_numpy()[None, :]] = -np.inf
             top = np.argpartition(-scores, min(k, len(ids)) - 1, axis=1)[:, :k]
             who, what = np.repeat(np.arange(len(ask)), top.shape[1]), top.ravel()
-            gap = np.cumsum((turned[who] - (lifted(e, reach) @ rotation)[what]) ** 2, axis=1)
+            gap = np.cumsum((turned[who] - (lifted(e * scale, reach) @ rotation)[what]) ** 2, axis=1)
             got = {"query_id": who, "query_row": who, "vec_id": ids[what], "list": frame["list"].to_numpy()[what], "score": scores[who, what]}
             got = pd.DataFrame(got | {"gaps": list(gap[:, [at - 1 for at in edges(gap.shape[1])]])})
-            yield got[np.isfinite(got["score"])]
+            yield got[got["score"] > -np.inf]
 
     found = rows.mapInPandas(run, "query_id long, query_row long, vec_id long, list int, score double, gaps array<double>")
     return ranked(found, k).select("query_row", "list", "gaps").toPandas()
@@ -213,7 +250,8 @@ def tuned(rows: DataFrame, part: Part, queries: DataFrame, k: int, recall: float
     found = truth(rows, part, sample, k)
     if not len(found):
         return 1, np.ones(len(edges(d)))
-    order = np.argsort(apart(flat(stacked(sample["vector"])), part.centres), axis=1)
+    ask = stacked(sample["vector"])
+    order = np.argsort(apart(flat(ask * units(ask)[:, None]), part.centres), axis=1)
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(order.shape[1])[None, :].repeat(len(order), 0), 1)
     needed = np.sort(place[found["query_row"].to_numpy(), found["list"].to_numpy()])
@@ -261,7 +299,7 @@ def probe(rows: DataFrame, part: Part, asks: DataFrame, k: int, shares: np.ndarr
     A query goes once to each group of lists that holds some of its own. Large lists, and the askers of a group, are cut
     into chunks by hash, so that a hot list or a common query is spread over tasks.
     """
-    rotation, reach, groups = part.rotation, part.reach, part.groups()
+    rotation, reach, scale, groups = part.rotation, part.reach, part.scale, part.groups()
     spark, kind = rows.sparkSession, rows.schema["vector"].dataType.simpleString()
 
     def dealt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -296,7 +334,7 @@ def probe(rows: DataFrame, part: Part, asks: DataFrame, k: int, shares: np.ndarr
             return nothing
         e, a = stacked(own["vector"]), stacked(asked["vector"])
         ids, rows_of, cells, limit = (c.to_numpy() for c in (own["vec_id"], own["row"], own["list"], asked["limit"]))
-        x, q = lifted(e, reach) @ rotation, flat(a) @ rotation
+        x, q = lifted(e * scale, reach) @ rotation, flat(a * units(a)[:, None]) @ rotation
         askers = np.repeat(np.arange(len(asked)), asked["lists"].map(len))
         wanted = np.concatenate(asked["lists"].to_numpy())
         found = []
@@ -310,7 +348,7 @@ def probe(rows: DataFrame, part: Part, asks: DataFrame, k: int, shares: np.ndarr
         who, what = (np.concatenate(c) for c in zip(*found))
         other = asked["own"].to_numpy()[who] != rows_of[what]
         who, what = who[other], what[other]
-        scores = np.einsum("ij,ij->i", a[who], e[what])
+        scores = products(a[who], e[what])
         best = nearest(scores, who, ids[what], k)
         return pd.DataFrame({"query_id": asked["query_id"].to_numpy()[who[best]], "query_row": asked["query_row"].to_numpy()[who[best]], "vec_id": ids[what[best]], "score": scores[best]})
 
@@ -327,10 +365,12 @@ def search(index: Index | None, queries: DataFrame, k: int = 20, recall: float =
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     own = F.col("row") if "row" in queries.columns else F.lit(-1).cast("long")
     asked = written(queries.select("vec_id", own.alias("own"), "vector", F.size("vector").alias("dim"), F.monotonically_increasing_id().alias("query_row")), "ann-queries")
-    out = [searched(index.rows.filter(F.col("dim") == dim), part, asked.filter(F.col("dim") == dim), k, recall) for dim, part in index.parts.items()]
+    out = [searched(index.rows.filter(F.col("dim") == dim), part, asked.filter(F.col("dim") == abs(dim)), k, recall) for dim, part in index.parts.items()]
     hits = out[0]
     for more in out[1:]:
         hits = hits.unionByName(more)
+    if min(index.parts) < 0:  # a query has asked two indexes
+        hits = ranked(hits.drop("rank"), k)
     return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -344,11 +384,13 @@ def searched(rows: DataFrame, part: Part, queries: DataFrame, k: int, recall: fl
             centres = part.centres
             for frame in frames:
                 if len(frame):
-                    q = stacked(frame["vector"])
+                    whole = stacked(frame["vector"])
+                    unit = units(whole)
+                    q = whole * unit[:, None]
                     order = np.argsort(apart(flat(q), centres), axis=1)[:, :most].astype(np.int32)
-                    yield pd.DataFrame({"query_id": frame["vec_id"], "query_row": frame["query_row"], "own": frame["own"], "vector": frame["vector"], "length": (q * q).sum(1), "lists": list(order)})
+                    yield pd.DataFrame({"query_id": frame["vec_id"], "query_row": frame["query_row"], "own": frame["own"], "vector": frame["vector"], "length": (q * q).sum(1), "unit": unit, "lists": list(order)})
 
-        return lambda asked: asked.mapInPandas(run, f"query_id long, query_row long, own long, vector {kind}, length double, lists array<int>")
+        return lambda asked: asked.mapInPandas(run, f"query_id long, query_row long, own long, vector {kind}, length double, unit double, lists array<int>")
 
     columns = ["query_id", "query_row", "own", "vector"]
     asks, wave = written(ask(probes)(queries), "ann-lists"), -(-probes // 16)
@@ -356,11 +398,12 @@ def searched(rows: DataFrame, part: Part, queries: DataFrame, k: int, recall: fl
     hits = written(ranked(probe(rows, part, asks.select(*columns, open_end, F.slice("lists", 1, wave).alias("lists")), k, shares), k), "ann-first")
     if probes > wave:
         beat = hits.filter(F.col("rank") == k).select("query_row", F.col("score").alias("beat"))
-        far = F.greatest(F.col("length") + part.reach - 2 * F.col("beat"), F.lit(0.0))
-        limit = F.when(F.col("beat").isNull(), float("inf")).otherwise(far).alias("limit")
+        score = F.col("beat") * F.col("unit") * part.scale
+        far = F.greatest(F.col("length") + part.reach - 2 * score, F.lit(0.0))
+        limit = F.when(F.col("beat").isNull() | (F.abs(score) >= 4 * part.first.shape[1]), float("inf")).otherwise(far).alias("limit")
         more = asks.join(beat, "query_row", "left").select(*columns, limit, F.slice("lists", wave + 1, probes).alias("lists"))
         hits = written(ranked(hits.drop("rank").unionByName(probe(rows, part, more, k, shares)), k), "ann-second")
-    enough = hits.groupBy("query_row").count().filter(F.col("count") >= min(k, part.n - 1))
+    enough = hits.groupBy("query_row").count().filter(F.col("count") >= k)
     short = queries.join(enough, "query_row", "left_anti")
     if probes < len(part.sizes) and not short.isEmpty():
         rest = ask(None)(short).select(*columns, open_end, F.slice("lists", probes + 1, len(part.sizes)).alias("lists"))

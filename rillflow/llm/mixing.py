@@ -39,6 +39,8 @@ BUCKET_ROWS = 8192
 MANY_COPIES = 1 << 16
 #: numpy draws from fewer than 10**9 blocks; blocks grow beyond this number.
 MOST_BLOCKS = 1 << 29
+#: Partitions of a mix's rows.
+MOST_PARTITIONS = 1 << 16
 
 
 def digest() -> Column:
@@ -185,7 +187,9 @@ def copies_numbered(rows: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs as often as the mix takes them, each output shard in one partition and shuffled.
+    """The rows of docs as often as the mix takes them, shuffled in their output shards.
+
+    A partition has one shard, or several whole ones, one after the other, where there are more than MOST_PARTITIONS.
 
     Draws meet the texts by digest, then texts go to their shards. Rows that share doc_id, source and text are first
     numbered, in the order of docs' partitions, for each is drawn by itself.
@@ -202,4 +206,5 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
         copies = copies_numbered(keyed.withColumn("_mix_row", F.monotonically_increasing_id()).join(repeated, "_mix_key", "left_semi"))
         single = draws.join(repeated, "_mix_key", "left_anti").drop("_mix_copy")
         out = keyed.join(single, "_mix_key").unionByName(copies.join(draws, ["_mix_key", "_mix_copy"]).drop("_mix_copy"))
-    return out.repartitionById(shards, F.col("_mix_draw.shard").cast("int")).sortWithinPartitions("_mix_draw.shard", "_mix_draw.place").select(*columns_of(docs))
+    each = -(-shards // MOST_PARTITIONS)
+    return out.repartitionById(-(-shards // each), F.call_function("div", F.col("_mix_draw.shard"), F.lit(each)).cast("int")).sortWithinPartitions("_mix_draw.shard", "_mix_draw.place").select(*columns_of(docs))

@@ -69,15 +69,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint spans from left to right that cover the same places."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start < out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], end)
+        else:
+            out.append((start, end))
+    return out
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], vocabulary: str, max_ratio: float) -> list[tuple[int, int, int]]:
     """Spans of runs with letters whose characters per token fall short of max_ratio, outside mail addresses."""
-    found = []
+    found, at = [], 0
     mails = [m.span() for m in MAIL.finditer(text)] if "@" in text else []
+    shut = united([*((start, end) for start, _, end in taken), *mails])
     for m in CANDIDATE.finditer(text):
+        while at < len(shut) and shut[at][1] <= m.start():
+            at += 1  # candidates come from left to right, so what ended before one is done with
         run = m[0]
         if not any(c.isalpha() for c in run) or HARMLESS.match(run):
             continue
-        if any(start < m.end() and m.start() < end for start, _, end in taken) or any(start < m.end() and m.start() < end for start, end in mails):
+        if at < len(shut) and shut[at][0] < m.end():
             continue
         least = max_ratio if any(c.isdigit() for c in run) else min(max_ratio, LETTERS_MAX_RATIO)
         if len(run) < least * len(encoding(vocabulary).encode_ordinary(run)):

@@ -11,7 +11,8 @@ is shuffled, whatever the keys of the rows are.
 A step of a compaction takes MERGE_SHARDS shards at most, smallest tiers first, and steps follow until none is due; the
 driver holds the paths of one step, as any file scan does. Rows are stored as they are: nulls, empty and long texts, repeated
 rows and columns of any name, `_metadata` and `path` included. An empty arrival adds no shard; an empty store reads as an
-empty table. The store relies on a file system whose rename is atomic. Names of shards tell version, task and file, so
+empty table. A manifest names shards relative to the root, so a root may have any name
+and a store can be moved. The store relies on a file system whose rename is atomic. Names of shards tell version, task and file, so
 they are the same in every run that finds the same input; names of the files behind them are not.
 """
 
@@ -21,11 +22,12 @@ import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rillflow.llm.common import columns_of
+from rillflow.sources.folders import literal
 
 MANIFEST = "path string, bytes long, n_rows long, tier int, added long"
 #: Size of the lowest tier's upper edge.
@@ -78,7 +80,7 @@ class ShardStore:
             if at == 0:
                 break
             parts.append(self._place(at))
-        return self.spark.read.schema(MANIFEST).parquet(*parts)
+        return self.spark.read.schema(MANIFEST).parquet(*map(literal, parts))
 
     def _place(self, version: int) -> str:
         """The folder of a version: `whole` has all shards, `added` those that it adds to the version before."""
@@ -110,11 +112,17 @@ class ShardStore:
     def _written(self, rows: DataFrame, folder: str, most_rows: int = 0) -> DataFrame:
         """Write rows as new files; what the manifest says of them, `added` left open."""
         rows.write.option("maxRecordsPerFile", most_rows).option("compression", "zstd").parquet(folder)
-        files = self.spark.read.schema(self.schema).parquet(folder)
-        about = files.metadataColumn("_metadata")
-        found = files.groupBy(about["file_path"].alias("path"), about["file_size"].alias("bytes")).agg(F.count("*").alias("n_rows"))
+        files = self.spark.read.schema(self.schema).parquet(literal(folder))
+        found = files.groupBy(self._shard(files).alias("path"), files.metadataColumn("_metadata")["file_size"].alias("bytes")).agg(F.count("*").alias("n_rows"))
         return found.select("path", "bytes", "n_rows", self._tier().alias("tier"), F.lit(None).cast("long").alias("added"))
 
+    def _shard(self, rows: DataFrame) -> Column:
+        """Folder and file of each row's shard. Their names are plain, which those above them need not be."""
+        return F.regexp_extract(rows.metadataColumn("_metadata")["file_path"], "[^/]+/[^/]+$", 0)
+
+    def _data(self, shard: str) -> str:
+        return f"{self.root}/data/{shard}"
+
     def _fresh(self) -> str:
         return f"{self.root}/data/{uuid.uuid4().hex}"
 
@@ -182,7 +190,7 @@ class ShardStore:
         session = self.spark.newSession()
         for k, v in {"spark.sql.files.maxPartitionBytes": str(self.target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}.items():
             session.conf.set(k, v)
-        parts = [session.read.schema(self.schema).parquet(*paths) for paths in tiers]
+        parts = [session.read.schema(self.schema).parquet(*(literal(self._data(p)) for p in paths)) for paths in tiers]
         rows = parts[0]
         for part in parts[1:]:
             rows = rows.unionAll(part)
@@ -207,7 +215,7 @@ class ShardStore:
         for shards in old:
             part = shards.filter(folder.isin(sorted(lives))).join(live, "path", "left_anti")
             for row in part.toLocalIterator():
-                self._files.delete(self._hadoop.Path(row["path"]), False)
+                self._files.delete(self._hadoop.Path(self._data(row["path"])), False)
         known = {r[0] for shards in old for r in shards.select(folder.alias("f")).distinct().collect()}
         data = self._path("data")
         for entry in self._files.listStatus(data) if self._files.exists(data) else []:
@@ -227,7 +235,7 @@ class ShardStore:
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version; `_metadata` tells each row's shard."""
         paths = [r["path"] for r in self.manifest(version).select("path").toLocalIterator()]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*(literal(self._data(p)) for p in paths)) if paths else self.spark.createDataFrame([], self.schema)
 
     def placed(self, key: str) -> DataFrame:
         """Of each row its key and shard: the shard's name, rows, bytes and tier, and the version that added it."""
@@ -237,6 +245,6 @@ class ShardStore:
         if key in ("shard", "shard_rows", "shard_bytes", "tier", "version"):
             raise ValueError(f"{key} is the name of a column that tells of the shard")
         rows = self.read()
-        path = F.lit(None).cast("string") if live.isEmpty() else rows.metadataColumn("_metadata")["file_path"]
+        path = F.lit(None).cast("string") if live.isEmpty() else self._shard(rows)
         rows = rows.select(path.alias("_of"), rows[f"`{key}`"].alias("_key"))
         return rows.join(live.select(F.col("path").alias("_of"), *columns), "_of").drop("_of").withColumnRenamed("_key", key)

@@ -129,7 +129,8 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     share = most / max(known.count(), 1)
     if share < 1:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = docs.select("doc_id", "text").join(known, "doc_id").groupBy("doc_id", "_toxic").agg(F.min("text").alias("text"))
+    # As many rows as the sample may have at most: broadcast, so that no text moves but the sample's.
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "_toxic").agg(F.min("text").alias("text"))
     return written(rows.select("text", "_toxic"), "labelled")
 
 

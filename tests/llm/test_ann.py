@@ -107,3 +107,19 @@ def test_awkward_vectors(spark):
     got = found(spark, df)
     assert {q: [r["vec_id"] for r in own] for q, own in got.items()} == {0: [1, 1, 20], 20: [0, 1, 1]}
     assert ann.build(df.filter("vec_id = 40")) is None and ann.search(None, df).count() == 0
+
+
+def test_far_longer_vectors_spoil_nothing(spark):
+    rng = np.random.default_rng(11)
+    e = rng.standard_normal((2000, 16))
+    e[7], e[20], e[40], e[41] = 1e200 * e[7], 1e300 * np.abs(e[20]), 1e12 * e[40], 1e-200 * e[41]
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(e)], "vec_id long, embedding array<double>")
+    index = ann.build(df)
+    assert set(index.parts) == {16, -16} and index.parts[-16].n == 3
+    with np.errstate(over="ignore", invalid="ignore"):
+        want, got = brute(np.arange(2000), e), found(spark, df)
+    assert set(got) == set(range(0, 2000, 20))
+    tame = [q for q in want if len(want[q]) == 20 and q not in (20,)]
+    assert np.mean([len({x for x, _ in want[q]} & {r["vec_id"] for r in got[q]}) / 20 for q in tame]) >= 0.9
+    for q in (0, 60, 100):  # the longest come first or not at all
+        assert [r["vec_id"] for r in got[q]][0] == want[q][0][0]

@@ -131,3 +131,29 @@ def test_very_long_runs(spark):
     rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert sorted(r["doc_id"] for r in rows) == list(range(5))
     assert next(r["spans"] for r in rows if r["doc_id"] == 0) == "random:0:2000000"
+
+
+def test_many_spans_in_one_text():
+    import time
+
+    line = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08  packages-archive-2024xx\n"
+    noise = "me.someone.with.a.long.name@mail.example.org sk9Qw7ZxP3vLm8TnB2rYc5HdK1 token=abcdefgh1234\n"
+    few = (line * 3 + noise) * 40
+    base = secrets.base_spans(few)
+    quick = secrets.random_spans(few, base, secrets.DEFAULT_VOCABULARY, secrets.DEFAULT_MAX_RATIO)
+    mails = [m.span() for m in secrets.MAIL.finditer(few)]
+    shut = [(a, b) for a, _, b in base] + mails
+    assert len(quick) == 40 and all(few[a:b] == "sk9Qw7ZxP3vLm8TnB2rYc5HdK1" for a, _, b in quick)
+    assert not any(a < d and c < b for a, _, b in quick for c, d in shut)
+    text, begun = (line * 3 + noise) * 25_000, time.process_time()
+    base = secrets.base_spans(text)
+    found = secrets.random_spans(text, base, secrets.DEFAULT_VOCABULARY, secrets.DEFAULT_MAX_RATIO)
+    assert len(base) == 100_000 and len(found) == 25_000 and time.process_time() - begun < 8
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 9)).map(lambda x: (x[0], x[0] + x[1])), max_size=12))
+def test_united_spans(spans):
+    out = secrets.united(spans)
+    assert {k for a, b in spans for k in range(a, b)} == {k for a, b in out for k in range(a, b)}
+    assert all(x[1] <= y[0] for x, y in zip(out, out[1:]))

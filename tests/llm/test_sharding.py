@@ -158,3 +158,19 @@ def test_empty(spark, no_docs):
     assert store.read().count() == 0 and store.compact() == 0 and store.placed("doc_id").count() == 0
     store.append(no_docs)
     assert store.read().count() == 0 and store.placed("doc_id").count() == 0
+
+
+@pytest.mark.parametrize("name", ["s t", "s%20t", "st[1]", "a#b", "{c,d}", "e*f?", "plus+"])
+def test_roots_of_any_name_and_moved_stores(spark, name):
+    many = spark.range(300).selectExpr("id doc_id", "md5(string(id)) text")
+    top = fresh_folder(spark, "roots").removeprefix("file://")
+    store = ShardStore(spark, f"{top}/{name}", many.schema)
+    for k in range(4):
+        store.append(many.filter(f"id % 4 = {k}"))
+    store.compact()
+    assert rows_of(store.read()) == rows_of(many) and store.placed("doc_id").count() == 300
+    store.vacuum(older_than_s=0)
+    os.rename(f"{top}/{name}", f"{top}/moved {name}")
+    moved = ShardStore(spark, f"{top}/moved {name}", many.schema)
+    moved.append(many)
+    assert moved.read().count() == 600
