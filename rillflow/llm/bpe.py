@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
 from itertools import chain
@@ -30,107 +30,118 @@ from rillflow.llm.common import parts
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bits of a word of the bitmaps; three levels hold WORD_BITS ** 3 ranks.
 WORD_BITS = 64
+#: Bytes of a pre-token up to which plain lists are used, which are faster than arrays and larger.
+SHORT = 4096
 #: Pre-tokens remembered by a worker, and the longest of them in characters.
 MOST_KNOWN, LONGEST_KNOWN = 1 << 19, 48
 
 
-class RankQueue:
-    """Positions by rank; the least rank comes first and, of one rank, the leftmost position."""
+class Known(dict):
+    """Ids of the pre-tokens met so far, by the text of each; a bounded number of short ones is remembered."""
 
-    def __init__(self, ranks: int):
-        if ranks > WORD_BITS**3:
-            raise ValueError(f"a vocabulary of more than {WORD_BITS**3} ranks")
-        self._low, self._middle, self._top = [0] * (WORD_BITS**2), [0] * WORD_BITS, 0
-        self._buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        if (bucket := self._buckets.get(rank)) is not None:
-            heappush(bucket, position)
-            return
-        self._buckets[rank] = [position]
-        word, block = rank >> 6, rank >> 12
-        self._low[word] |= 1 << (rank & 63)
-        self._middle[block] |= 1 << (word & 63)
-        self._top |= 1 << block
-
-    def pop(self) -> tuple[int, int] | None:
-        """(rank, position), or None if the queue is empty."""
-        if not self._top:
-            return None
-        block = (self._top & -self._top).bit_length() - 1
-        word = block << 6 | (self._middle[block] & -self._middle[block]).bit_length() - 1
-        rank = word << 6 | (self._low[word] & -self._low[word]).bit_length() - 1
-        position = heappop(bucket := self._buckets[rank])
-        if not bucket:
-            del self._buckets[rank]
-            self._low[word] &= self._low[word] - 1
-            if not self._low[word]:
-                self._middle[block] &= self._middle[block] - 1
-                if not self._middle[block]:
-                    self._top &= self._top - 1
-        return rank, position
+    def __init__(self, merged: Callable[[bytes], list[int]]):
+        super().__init__()
+        self._merged = merged
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        found = tuple(self._merged(piece.encode()))
+        if len(piece) <= LONGEST_KNOWN:
+            if len(self) >= MOST_KNOWN:
+                self.clear()
+            self[piece] = found
+        return found
 
 
 class Vocabulary:
     """Ranks of byte strings, which are their ids too."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pieces = ranks, regex.compile(pattern)
-        self.most, self.longest = max(ranks.values()) + 1, max(map(len, ranks))
-        self.spelled = {rank: piece for piece, rank in ranks.items()}
-        self._queue = RankQueue(self.most)
-        self._known: dict[str, tuple[int, ...]] = {}
+        if max(ranks.values()) >= WORD_BITS**3:
+            raise ValueError(f"a vocabulary of more than {WORD_BITS**3} ranks")
+        self.ranks, self.pieces, self.known = ranks, regex.compile(pattern), Known(self.merged)
+        self._spelled = {rank: piece for piece, rank in ranks.items()}
+        self._pairs = [ranks.get(bytes([k >> 8, k & 255]), -1) for k in range(1 << 16)]
+        self._low, self._middle = [0] * WORD_BITS**2, [0] * WORD_BITS  # all zero between two pre-tokens
+
+    def _marked(self, rank: int) -> int:
+        """Mark the bucket of a rank as filled in the two lower bitmaps; its bit in the top one."""
+        word, block, bits = rank >> 6, rank >> 12, self._low[rank >> 6]
+        self._low[word] = bits | 1 << (rank & 63)
+        if not bits:
+            self._middle[block] |= 1 << (word & 63)
+        return 1 << block
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        if (whole := self.ranks.get(piece)) is not None:
+        ranks, low, middle, top, buckets = self.ranks, self._low, self._middle, 0, {}
+        if (whole := ranks.get(piece)) is not None:
             return [whole]
-        n, ranks, queue = len(piece), self.ranks, self._queue
-        after, before = array("q", range(1, n + 2)), array("q", range(-1, n))  # where the next and the last symbol begin
-        pair = array("q", [-1]) * (n + 1)  # rank of the symbol that begins here with the next one; -1: none
-
-        def offer(at: int) -> None:
-            middle = after[at]
-            rank = ranks.get(piece[at : after[middle]], -1) if middle < n and after[middle] - at <= self.longest else -1
-            pair[at] = rank
-            if rank >= 0:
-                queue.push(rank, at)
-
-        for at in range(n - 1):
-            offer(at)
-        while (least := queue.pop()) is not None:
-            rank, at = least
+        n, pairs, get = len(piece), self._pairs, ranks.get
+        held = list if n <= SHORT else lambda numbers: array("q", numbers)
+        pair = held(pairs[a << 8 | b] for a, b in zip(piece, piece[1:]))  # rank of the symbol that begins here with the next one
+        pair.append(-1)
+        after, before = held(range(1, n + 1)), held(range(-1, n - 1))  # where the next and the last symbol begin
+
+        for at, rank in enumerate(pair):
+            if rank in buckets:
+                buckets[rank].append(at)
+            else:
+                buckets[rank] = [at]
+        del buckets[-1]  # what begins the last symbol, at least
+        for rank in buckets:
+            top |= self._marked(rank)
+        while top:
+            block = (top & -top).bit_length() - 1
+            words = middle[block]
+            word = block << 6 | (words & -words).bit_length() - 1
+            bits = low[word]
+            rank = word << 6 | (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                at = heappop(bucket)  # of one rank the leftmost
+            else:
+                at = bucket[0]
+                del buckets[rank]
+                low[word] = bits = bits & (bits - 1)
+                if not bits:
+                    middle[block] = words = words & (words - 1)
+                    if not words:
+                        top &= top - 1
             if pair[at] != rank:
                 continue  # stale: one of the two symbols has been merged since
-            gone = after[at]
-            pair[gone] = -1
-            after[at] = after[gone]
-            if after[at] < n:
-                before[after[at]] = at
-            offer(at)
-            if before[at] >= 0:
-                offer(before[at])
+            gone, left = after[at], before[at]
+            end = after[at] = after[gone]
+            pair[gone] = pair[at] = -1
+            if end < n:
+                before[end] = at
+                if (rank := get(piece[at : after[end]], -1)) >= 0:
+                    pair[at] = rank
+                    if rank in buckets:
+                        heappush(buckets[rank], at)
+                    else:
+                        buckets[rank] = [at]
+                        top |= self._marked(rank)
+            if left >= 0:
+                pair[left] = rank = get(piece[left:end], -1)
+                if rank >= 0:
+                    if rank in buckets:
+                        heappush(buckets[rank], left)
+                    else:
+                        buckets[rank] = [left]
+                        top |= self._marked(rank)
         out, at = [], 0
         while at < n:
-            out.append(ranks[piece[at : after[at]]])
-            at = after[at]
+            end = after[at]
+            out.append(ranks[piece[at:end]])
+            at = end
         return out
 
-    def ids_of(self, piece: str) -> tuple[int, ...]:
-        if (found := self._known.get(piece)) is None:
-            found = tuple(self.merged(piece.encode()))
-            if len(piece) <= LONGEST_KNOWN:
-                if len(self._known) >= MOST_KNOWN:
-                    self._known.clear()
-                self._known[piece] = found
-        return found
-
     def encode(self, text: str) -> array:
         pieces = (m[0] for m in self.pieces.finditer(text)) if len(text) > 1 << 20 else self.pieces.findall(text)
-        return array("i", chain.from_iterable(map(self.ids_of, pieces)))
+        return array("i", chain.from_iterable(map(self.known.__getitem__, pieces)))
 
     def decode(self, ids: list[int] | None) -> bytes:
-        return b"".join(map(self.spelled.__getitem__, ids or ()))
+        return b"".join(map(self._spelled.__getitem__, ids or ()))
 
 
 @lru_cache(maxsize=4)
@@ -163,7 +174,9 @@ def decode(encoded: DataFrame, name: str = DEFAULT_VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            texts = pa.array([vocabulary(name).decode(ids) for ids in batch.column(1).to_pylist()], pa.binary())
+            lists = batch.column(1)
+            ends, ids = lists.offsets.to_pylist(), lists.values.to_numpy(zero_copy_only=False)  # a null list has no ids between its ends
+            texts = pa.array([vocabulary(name).decode(ids[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")

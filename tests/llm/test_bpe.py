@@ -62,28 +62,16 @@ def test_other_ranks_by_rescanning():
             assert own.merged(piece) == want
 
 
-def test_rank_queue():
-    queue, held, rng = bpe.RankQueue(64**3), [], random.Random(2)
-    for _ in range(5000):
-        if held and rng.random() < 0.5:
-            held.sort()
-            assert queue.pop() == held.pop(0)
-        else:
-            entry = (rng.choice((0, 1, 63, 64, 4095, 4096, 64**3 - 1, rng.randrange(64**3))), rng.randrange(100))
-            held.append(entry)
-            queue.push(*entry)
-    for entry in sorted(held):
-        assert queue.pop() == entry
-    assert queue.pop() is None
+def test_too_many_ranks():
     with pytest.raises(ValueError):
-        bpe.RankQueue(64**3 + 1)
+        bpe.Vocabulary({bytes([k]): k for k in range(256)} | {b"ab": 64**3}, r"\w+")
 
 
 def test_remembered_pretokens_are_bounded(monkeypatch, library):
     monkeypatch.setattr(bpe, "MOST_KNOWN", 10)
     own = bpe.Vocabulary(bpe.vocabulary(bpe.DEFAULT_VOCABULARY).ranks, library._pat_str)
     text = " ".join(f"word{k}" for k in range(500))
-    assert list(own.encode(text)) == library.encode_ordinary(text) and len(own._known) <= 10
+    assert list(own.encode(text)) == library.encode_ordinary(text) and len(own.known) <= 10
 
 
 def test_awkward_rows(spark, docs, no_docs, library):
