@@ -6,14 +6,14 @@ Input order is the table's unique key, where an operator depends on it.
 from __future__ import annotations
 
 import asyncio
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillflow.config import PipelineConfig, Workload
 from rillflow.functions import affine_wrapping, failure
-from rillflow.operators import Fence
+from rillflow.operators import Fence, PipelineError
 from rillflow.operators.order import chunked, chunks, gap_free, zipped
 from rillflow.plans import Pipe, StreamPipe, TryPipe, pipe, stream
 from rillflow.plans.jobs import together
@@ -21,7 +21,9 @@ from rillflow.plans.scope import scope
 from rillflow.sources import from_parquet, sequenced
 from rillflow.sources.folders import fresh_folder
 from rillflow.streaming import run_available
+from rillflow.streaming.admission import admitted, run_by_rows
 from rillflow.streaming.cancel import CancellationToken
+from rillflow.streaming.state import chunk_available, reorder_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,10 +119,11 @@ def dense_file(spark, sf_dir):
     return rows.to_df(keep_seq=True).select(F.col("_seq").alias("seq"), "o_orderkey")
 
 
-@query("SELECT k::BIGINT AS seq, (k * k + 1)::BIGINT AS value FROM range(1000) t(k)")
+@query("SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::BIGINT AS seq, n_nationkey::BIGINT + 1 AS value FROM nation")
 def driver_items(spark, sf_dir):
-    """S1 and S3 over a collection of the driver, which keeps its order."""
-    return pipe([k * k for k in range(1000)], spark).map("value + 1").to_df(keep_seq=True).select(F.col("_seq").alias("seq"), "value")
+    """S1 and S3 over a collection of the driver, which keeps its order: the keys of nations, which are few at any size."""
+    keys = sorted(r["n_nationkey"] for r in read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint")).collect())
+    return pipe(iter(keys), spark).map("value + 1").to_df(keep_seq=True).select(F.col("_seq").alias("seq"), "value")
 
 
 # -- fallible chains ----------------------------------------------------------------------------------------------------
@@ -180,6 +183,22 @@ def opaque_try(spark, sf_dir):
     return rows.try_map(even).first_error_df()
 
 
+@query("""
+SELECT (event_id * 2)::VARCHAR AS seq, 'Bad' AS kind, 'bad ' || event_id AS msg FROM events
+WHERE event_id * 2 >= (SELECT count(*) FROM events) // 20 AND event_id % 10 = 7 ORDER BY event_id LIMIT 1""")
+def try_collect_stops(spark, sf_dir):
+    """T5: the first error ends the run early; the waves of input behind it are never started."""
+    rows = read(spark, sf_dir, "events").select((F.col("event_id") * 2).alias("seq"), F.col("event_id").alias("value"))
+    late = rows.count() // 20
+    chain = pipe(rows, seq="seq").map({"value": "value"}).try_map("value", error=F.when((F.col("value") * 2 >= late) & (F.col("value") % 10 == 7), failure("Bad", F.concat(F.lit("bad "), F.col("value")))))
+    told = []
+    try:
+        chain.try_collect()
+    except PipelineError as e:
+        told.append((str(e.seq), e.kind, e.msg))
+    return spark.createDataFrame(told, "seq string, kind string, msg string")
+
+
 # -- expansion ----------------------------------------------------------------------------------------------------------
 
 
@@ -209,6 +228,17 @@ def stream_filter(spark, sf_dir):
     return events(spark, sf_dir).expand("CASE WHEN value % 3 = 0 THEN array(value) ELSE array() END").to_df()
 
 
+@query("SELECT '`.ordered()` is incompatible with `.expand()`; see ordered_by_position' AS message, count(*) AS n FROM events")
+def expansion_refused(spark, sf_dir):
+    """An ordered stream that expands is refused before anything runs; its items are as they were."""
+    rows = events(spark, sf_dir).expand("array(value, value)").ordered()
+    try:
+        message = f"{rows.run()}"
+    except ValueError as e:
+        message = str(e)
+    return rows.source.agg(F.count("*").alias("n")).select(F.lit(message).alias("message"), "n")
+
+
 # -- fences, order, asynchronous calls ----------------------------------------------------------------------------------
 
 
@@ -247,7 +277,7 @@ def ordered_expansion(spark, sf_dir):
 
 @query("SELECT (event_id + 1) * 2 AS value FROM events")
 def cancellable_run(spark, sf_dir):
-    """A run under a token that nobody cancels, range by range, with a barrier between two stages."""
+    """A run under a token that nobody cancels, a job before the barrier and one behind it, committed task by task."""
     rows = events(spark, sf_dir).with_cancel(CancellationToken()).stage("value + 1").fence(Fence.BARRIER).stage(lambda x: x * 2)
     return rows.to_df()
 
@@ -277,6 +307,62 @@ def async_enrich(spark, sf_dir):
     return rows.stage_async(looked_up).stage(lambda x: x + 1).to_df()
 
 
+@query("SELECT o_orderkey * 2 AS value FROM orders")
+def async_uneven(spark, sf_dir):
+    """P5: nine calls of ten wait 1 ms, one waits 8 ms, and holds back no other; each has a time limit and a second try."""
+
+    async def looked_up(x: int) -> int:
+        await asyncio.sleep(0.001 if x % 10 else 0.008)
+        return x * 2
+
+    keys = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("value"))
+    rows = StreamPipe(keys, config=PipelineConfig(io_concurrency=2048)).with_workload(Workload.UNBALANCED)
+    return rows.stage_async(looked_up, timeout=30.0, retries=1).to_df()
+
+
+@query("SELECT doc_id, length(text)::BIGINT AS chars, len(string_split(text, ' '))::BIGINT AS words FROM documents WHERE text IS NOT NULL")
+def cost_balanced(spark, sf_dir):
+    """A Python stage whose work grows with the text, in tasks of nearly equal numbers of characters."""
+    docs = pipe(read(spark, sf_dir, "documents").select("doc_id", "text").filter("text IS NOT NULL"), seq="doc_id")
+    measured = lambda d: {"doc_id": d["doc_id"], "chars": len(d["text"]), "words": len(d["text"].split(" "))}
+    return docs.with_cost(F.length("text")).map(measured, "doc_id long, chars long, words long").to_df()
+
+
+@query("""
+WITH u AS (SELECT user_id, event_id, value, event_id % 97 = 13 AS gone, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx FROM events),
+g AS (SELECT *, min(CASE WHEN gone THEN idx END) OVER (PARTITION BY user_id) AS gap FROM u),
+k AS (SELECT *, gap IS NOT NULL AND idx > gap AS flushed FROM g WHERE NOT gone)
+SELECT user_id, event_id, value, flushed,
+       (CASE WHEN flushed THEN gap - 1 + row_number() OVER (PARTITION BY user_id, flushed ORDER BY idx) ELSE idx END)::BIGINT AS place FROM k""")
+def reorder_stream(spark, sf_dir):
+    """B6 over micro-batches: events out of order, a buffer for each user; behind a missing one the rest is flushed at the end."""
+    index = (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("bigint")
+    rows, top = read(spark, sf_dir, "events").select("user_id", "event_id", "value").withColumn("idx", index).filter("event_id % 97 <> 13"), fresh_folder(spark, "reorder")
+    rows.repartition(4, F.crc32(F.col("event_id").cast("string"))).write.parquet(f"{top}/in")
+    done = reorder_available(spark, f"{top}/in", rows.schema, "user_id", "idx", f"{top}/out", f"{top}/offsets", 1)
+    return done.select("user_id", "event_id", "value", "flushed", "place")
+
+
+@query("""
+SELECT user_id, c AS chunk, least(7, n - 7 * c)::BIGINT AS n, n < 7 * (c + 1) AS flushed
+FROM (SELECT user_id, n, unnest(range((n + 6) // 7)) AS c FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id))""")
+def chunk_stream(spark, sf_dir):
+    """B4 over micro-batches: chunks of exactly seven events of each user, wherever batches are cut, and the short one at the end."""
+    rows, top = read(spark, sf_dir, "events").select("user_id", "event_id"), fresh_folder(spark, "chunks")
+    rows.repartition(3, "event_id").write.parquet(f"{top}/in")
+    done = chunk_available(spark, f"{top}/in", rows.schema, "user_id", 7, "event_id", f"{top}/out", f"{top}/offsets", 1)
+    return done.groupBy("user_id", "chunk", "flushed").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n, count(*) AS batches, sum(total)::BIGINT AS total FROM (SELECT count(*) AS n, sum(event_id + 1) AS total FROM events GROUP BY event_id // 4000) GROUP BY n")
+def admitted_rows(spark, sf_dir):
+    """B3 over micro-batches: each takes in 4000 consecutive events, the last one the rest."""
+    rows, top = read(spark, sf_dir, "events").select(F.col("event_id").alias("_seq"), F.col("event_id").alias("value")), fresh_folder(spark, "admitted")
+    admitted(rows, 4000, f"{top}/in")
+    done = run_by_rows(spark, f"{top}/in", rows.schema, lambda df: StreamPipe(df).stage("value + 1").to_df(), f"{top}/out", f"{top}/offsets")
+    return done.groupBy("batch").agg(F.count("*").alias("n"), F.sum("value").alias("t")).groupBy("n").agg(F.count("*").alias("batches"), F.sum("t").alias("total"))
+
+
 @query("SELECT event_id * 3 + 1 AS value FROM events")
 def stream_available_now(spark, sf_dir):
     """S2 in micro-batches: a file source read to its end."""
@@ -321,14 +407,32 @@ def two_jobs_at_once(spark, sf_dir):
     return spark.createDataFrame(list(zip(names, counts)), "name string, n long")
 
 
-@query("SELECT e.event_id * 2 AS a, o.o_orderkey + 1 AS b FROM events e JOIN orders o ON e.event_id = o.o_orderkey")
+@query("""
+SELECT a, b FROM (SELECT event_id * 2 AS a, row_number() OVER (ORDER BY event_id) AS k FROM events)
+JOIN (SELECT o_orderkey + 1 AS b, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders) USING (k)""")
 def zip_two_runs(spark, sf_dir):
-    """Two results side by side by input index."""
+    """Two results side by side by place."""
     a = events(spark, sf_dir).stage("value * 2").to_df(keep_seq=True).withColumnRenamed("value", "a")
     b = orders(spark, sf_dir).map("value + 1").to_df(keep_seq=True).withColumnRenamed("value", "b")
     return zipped(a, b).select("a", "b")
 
 
+@query("""
+WITH a AS (SELECT event_id AS a, row_number() OVER (ORDER BY event_id) AS k FROM events WHERE event_id % 2 = 1),
+b AS (SELECT o_orderkey * 10 + t.j AS b, row_number() OVER (ORDER BY o_orderkey, t.j) AS k FROM orders, range(2) t(j) WHERE o_orderkey % 3 = 0)
+SELECT a, b FROM a JOIN b USING (k)""")
+def zip_by_place(spark, sf_dir):
+    """Zip of a filtered with a filtered and expanded result: by place, since their input indices have gaps and repeats."""
+    a = events(spark, sf_dir).transform(lambda df: df.filter("value % 2 = 1")).to_df(keep_seq=True).withColumnRenamed("value", "a")
+    kept = events_of_orders(spark, sf_dir).expand("array(value * 10, value * 10 + 1)").to_df(keep_seq=True).withColumnRenamed("value", "b")
+    return zipped(a, kept).select("a", "b")
+
+
+def events_of_orders(spark: SparkSession, sf_dir: str) -> StreamPipe:
+    keys = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("value")).filter("value % 3 = 0")
+    return stream(keys, seq="value")
+
+
 @query("SELECT doc_id, CAST(length(text) AS BIGINT) AS size, md5(text) AS digest, doc_id % 1000 AS part FROM documents")
 def doc_pipeline(spark, sf_dir):
     """Read, compute, write: an asynchronous stage, a declarative one and an asynchronous one.
@@ -374,6 +478,28 @@ def run_values(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(rows.stage(lambda x: x + 1).fence(Fence.CHUNKED, 7).ordered().try_run())), "place long, value int")
 
 
+@query("SELECT count(*) AS n, min(o_orderkey) * 3 AS first, max(o_orderkey) * 3 AS last, sum(o_orderkey * 3)::BIGINT AS total, true AS in_order FROM orders")
+def collect_iterated(spark, sf_dir):
+    """K1 and K4: all results in input order through an iterator, of which the driver holds a bounded part; here they are only looked at."""
+    dealt = pipe(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("value")).repartition("value"), seq="value")
+    return looked_through(spark, dealt.map("value * 3").iterate(rows_each=20_000))
+
+
+@query("SELECT 2 * count(*) AS n, min(event_id) * 10 AS first, max(event_id) * 10 + 1 AS last, sum(event_id * 20 + 1)::BIGINT AS total, true AS in_order FROM events")
+def run_iterated(spark, sf_dir):
+    """K6: a stream that expands, in the order of its input, through an iterator."""
+    return looked_through(spark, events(spark, sf_dir).expand("array(value * 10, value * 10 + 1)").ordered_by_position().iterate(rows_each=20_000))
+
+
+def looked_through(spark: SparkSession, values: Iterator[int]) -> DataFrame:
+    """One row about values as they come by."""
+    n, total, first, last, in_order = 0, 0, None, None, True
+    for value in values:
+        in_order = in_order and (last is None or last < value)
+        n, total, first, last = n + 1, total + value, value if first is None else first, value
+    return spark.createDataFrame([(n, first, last, total, in_order)], "n long, first long, last long, total long, in_order boolean")
+
+
 @query("SELECT o_orderkey + 100 AS value FROM orders WHERE o_orderkey % 7 IN (1, 2, 4)")
 def scoped_filter(spark, sf_dir):
     """Python stages that read a shared value."""

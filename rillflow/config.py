@@ -23,6 +23,7 @@ class PipelineConfig:
     io_concurrency: int = 128  # async calls in flight at once, over all tasks of a stage; fewer than tasks: that many tasks
     oversubscribe: int = 1  # threads of a task that run a blocking Python stage
     workload: Workload = Workload.BALANCED
+    cost: object = None  # what an item costs, as SQL text or a Column: tasks get nearly equal sums of it
 
     def __post_init__(self):
         for name in ("buffer_size", "io_concurrency", "oversubscribe"):
@@ -44,5 +45,8 @@ class PipelineConfig:
     def with_oversubscribe(self, factor: int) -> PipelineConfig:
         return replace(self, oversubscribe=max(1, factor))
 
+    def with_cost(self, cost: object) -> PipelineConfig:
+        return replace(self, cost=cost)
+
     def with_workload(self, workload: Workload) -> PipelineConfig:
         return replace(self, workload=workload)

@@ -74,9 +74,11 @@ class Expand(Stage):
 
 @dataclass(frozen=True)
 class AsyncMap(Stage):
-    """A coroutine function on items, or on the named columns of items."""
+    """A coroutine function on items, or on the named columns of items; seconds a call may take, and how often it is made again."""
 
     columns: tuple[str, ...] = ()
+    timeout: float | None = None
+    retries: int = 0
 
 
 @dataclass(frozen=True)

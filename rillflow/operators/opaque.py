@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import asyncio
-from collections import deque
+import sys
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
+from queue import SimpleQueue
+from threading import Thread
 
 import pyarrow as pa
 from pyspark.sql.types import StructType
@@ -16,6 +18,8 @@ from rillflow.operators import AsyncMap, Expand, FenceStage, Filter, Map, Stage,
 
 #: Rows of the batches that go back.
 ROWS_OUT = 2048
+#: Items that the event loop is given at a time, batches that may wait for their last call, seconds between two switches of threads.
+HAND_OVER, MOST_WAITING, SWITCH_S = 16, 4, 0.0005
 #: One item on its way: its input index, its error as (kind, msg) or None, its value.
 Item = tuple[object, tuple[str, str] | None, object]
 
@@ -47,33 +51,65 @@ def mapped(items: Iterator[Item], f: Callable, fallible: bool, threads: int) ->
                     yield from done
 
 
-def awaited(items: Iterator[Item], f: Callable, in_flight: int) -> Iterator[Item]:
-    """Results in the order of items, with at most in_flight calls running at any time.
+def awaited(items: Iterator[Item], f: Callable, in_flight: int, timeout: float | None = None, retries: int = 0, full: Callable[[], bool] = lambda: False) -> Iterator[Item]:
+    """Results in the order in which calls end, with at most in_flight calls running at any time.
 
-    A slow call at the head holds results back, not calls: a few times as many may wait for it or be done.
+    Calls run in an event loop on a thread of its own, which goes on while items are fetched and results are used, so that a
+    slow call holds back nothing but itself. A call that fails, or takes longer than timeout seconds, is made again up to
+    retries times. No item is taken while `full` says so. The interpreter switches between the two threads more often meanwhile.
     """
+    items, loop, ended, running, held = iter(items), asyncio.new_event_loop(), SimpleQueue(), 0, set()
+
+    async def one(item: Item) -> None:
+        for left in range(retries, -1, -1):
+            try:
+                value = await (f(item[2]) if timeout is None else asyncio.wait_for(f(item[2]), timeout))
+            except Exception as e:  # noqa: BLE001  raised where results are taken
+                if not left:
+                    ended.put((item, e))
+            else:
+                ended.put(((item[0], None, value), None))
+                return
 
-    # The loop runs only while the head is awaited, so that items may come from another such stage.
-    loop, gate, begun = asyncio.new_event_loop(), asyncio.Semaphore(in_flight), deque()
-
-    async def one(item: Item) -> Item:
-        if item[1] is not None:
-            return item
-        async with gate:
-            return item[0], None, await f(item[2])
+    def begin(batch: list[Item]) -> None:
+        for item in batch:
+            held.add(task := loop.create_task(one(item)))
+            task.add_done_callback(held.discard)
 
+    async def stop() -> None:
+        for task in (left := list(held)):
+            task.cancel()
+        await asyncio.gather(*left, return_exceptions=True)
+        loop.stop()
+
+    def taken() -> Item:
+        item, failure = ended.get()
+        if failure is not None:
+            raise failure
+        return item
+
+    thread, interval, more = Thread(target=loop.run_forever, daemon=True), sys.getswitchinterval(), True
+    thread.start()
+    sys.setswitchinterval(SWITCH_S)
     try:
-        for item in items:
-            begun.append(loop.create_task(one(item)))
-            if len(begun) >= 4 * in_flight:  # the first half is awaited while the other one is under way
-                yield from loop.run_until_complete(asyncio.gather(*(begun.popleft() for _ in range(2 * in_flight))))
-        if begun:
-            yield from loop.run_until_complete(asyncio.gather(*begun))
+        while more or running:
+            while more and running < in_flight and not full():
+                batch = list(islice(items, min(HAND_OVER, in_flight - running)))
+                more = bool(batch)
+                calls = [item for item in batch if item[1] is None]
+                loop.call_soon_threadsafe(begin, calls)
+                running += len(calls)
+                yield from (item for item in batch if item[1] is not None)
+                while not ended.empty():
+                    running -= 1
+                    yield taken()
+            if running:
+                running -= 1
+                yield taken()
     finally:
-        for task in (left := asyncio.all_tasks(loop)):
-            task.cancel()
-        if left:
-            loop.run_until_complete(asyncio.wait(left))
+        sys.setswitchinterval(interval)
+        asyncio.run_coroutine_threadsafe(stop(), loop)
+        thread.join()
         loop.close()
 
 
@@ -98,7 +134,7 @@ def chained(items: Iterator[Item], stages: tuple[Stage, ...], config: PipelineCo
     for stage in stages:
         match stage:
             case AsyncMap():
-                items = awaited(items, stage.f, in_flight)
+                items = awaited(items, stage.f, in_flight, stage.timeout, stage.retries)
             case Filter():
                 items = filtered(items, stage.f)
             case Expand():
@@ -116,26 +152,32 @@ def sliced(batch: pa.RecordBatch, size: int | None) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, size or ROWS_OUT)
 
 
-def enricher(f: Callable, columns: tuple[str, ...], added: StructType, after: StructType, in_flight: int):
-    """The function for mapInArrow of a coroutine over some columns; calls go on from one batch to the next."""
+def enricher(stage: AsyncMap, added: StructType, after: StructType, in_flight: int):
+    """The function for mapInArrow of a coroutine over some columns; calls go on from one batch to the next.
+
+    A batch goes on when its last call has ended, whichever batch that is; few wait at a time.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     async def called(values: tuple) -> object:
-        return await f(*values)
+        return await stage.f(*values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, waiting = to_arrow_schema(after), deque()
+        schema, waiting = to_arrow_schema(after), {}  # number of a batch: the batch, its results, how many are missing
 
         def items() -> Iterator[Item]:
-            for batch in batches:
+            for k, batch in enumerate(batches):
                 if batch.num_rows:
-                    waiting.append(batch)
-                    yield from ((None, None, v) for v in zip(*(batch.column(c).to_pylist() for c in columns)))
-
-        results = (value for _, _, value in awaited(items(), called, in_flight))
-        for first in results:
-            batch = waiting.popleft()
-            rows = [first, *islice(results, batch.num_rows - 1)]
+                    waiting[k] = [batch, [None] * batch.num_rows, batch.num_rows]
+                    yield from (((k, at), None, v) for at, v in enumerate(zip(*(batch.column(c).to_pylist() for c in stage.columns))))
+
+        for (k, at), _, value in awaited(items(), called, in_flight, stage.timeout, stage.retries, lambda: len(waiting) > MOST_WAITING):
+            own = waiting[k]
+            own[1][at] = value
+            own[2] -= 1
+            if own[2]:
+                continue
+            batch, rows, _ = waiting.pop(k)
             new = {n: rows if len(added) == 1 else [r[n] for r in rows] for n in added.names}
             arrays = [pa.array(new[n], schema.field(n).type) if n in new else batch.column(n) for n in schema.names]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rillflow.sources import SEQ, sequenced
+from rillflow.sources.folders import written
+
 #: Bits of one bitmap of the built-in functions.
 MOST_BITS = 1 << 15
 
@@ -53,6 +56,20 @@ def gap_free(df: DataFrame, seq: str, block: int = MOST_BITS) -> DataFrame:
     return df.filter((F.col(seq) >= 0) & (F.col(seq) < limit.scalar()))
 
 
-def zipped(left: DataFrame, right: DataFrame, seq: str = "_seq") -> DataFrame:
-    """Two results side by side, as many as both have: a join on the input index."""
-    return left.join(right, seq)
+def placed(df: DataFrame, seq: str) -> DataFrame:
+    """df with seq replaced by each row's place from 0 in the order of seq; rows that share an index stay in the order they have.
+
+    df is stored once, so that what made it runs once, and once more in order.
+    """
+    rows = written(df.withColumn("_at", F.monotonically_increasing_id()), "placed")
+    return sequenced(rows.orderBy(seq, "_at").drop(seq, "_at")).withColumnRenamed(SEQ, seq)
+
+
+def zipped(left: DataFrame, right: DataFrame, seq: str = SEQ) -> DataFrame:
+    """Two results side by side, as many rows as both have: the first of one with the first of the other, and so on.
+
+    What counts is the place in a result, not the index in the input, which filters and expansions leave gaps and repeats in.
+    """
+    if both := sorted({c.lower() for c in left.columns} & {c.lower() for c in right.columns} - {seq.lower()}):
+        raise ValueError(f"rename columns that both sides have: {', '.join(both)}")
+    return placed(left, seq).join(placed(right, seq), seq)

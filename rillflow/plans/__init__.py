@@ -8,26 +8,26 @@ precedes a barrier is stored when the result is asked for.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import StructField, StructType
 
 from rillflow.config import PipelineConfig, Workload
 from rillflow.operators import AsyncMap, Expand, Expression, Fence, FenceStage, Filter, Map, MapErr, PipelineError, Stage, TryMap
+from rillflow.operators.balance import balanced
 from rillflow.operators.opaque import enricher, runner
 from rillflow.plans.failures import is_cluster_failure
+from rillflow.plans.results import ROWS_EACH, committed, in_order, tried
 from rillflow.sources import SEQ, from_items, sequenced
-from rillflow.sources.folders import fresh_folder, shared_folder
+from rillflow.sources.folders import shared_folder
 from rillflow.streaming.cancel import CancellationToken
 
 ERR = "_err"
 ERR_TYPE = "struct<kind:string,msg:string>"
 RESERVED = (SEQ, ERR)
-#: Parts of the input that a run which may be cancelled does one by one.
-SLICES = 16
 
 
 def column(x: Column | str) -> Column:
@@ -46,6 +46,12 @@ def item_schema(df: DataFrame) -> StructType:
     return StructType([f for f in df.schema.fields if f.name not in RESERVED])
 
 
+def as_items(rows: Iterable[Row], df: DataFrame, by: tuple[str, ...] = ()) -> Iterator:
+    """Rows of df without what orders them: values where there is the one column `value`, else tuples."""
+    names = [n for n in item_columns(df) if n not in by]
+    return (r["value"] if names == ["value"] else tuple(r[n] for n in names) for r in rows)
+
+
 # -- from stages to a DataFrame -----------------------------------------------------------------------------------------
 
 
@@ -110,11 +116,14 @@ def enriched(df: DataFrame, stage: AsyncMap, config: PipelineConfig) -> DataFram
     df, in_flight = with_calls(df, config)
     added = StructType.fromDDL(stage.schema)
     after = StructType([f for f in df.schema.fields if f.name not in added.names] + added.fields)
-    return df.mapInArrow(enricher(stage.f, stage.columns, added, after, in_flight), after)
+    return df.mapInArrow(enricher(stage, added, after, in_flight), after)
 
 
 def lowered(df: DataFrame, stages: tuple[Stage, ...], config: PipelineConfig) -> DataFrame:
-    if config.compute_workers is not None or config.workload is not Workload.BALANCED:
+    if config.cost is not None:
+        df = balanced(df if SEQ in df.columns else sequenced(df), config.cost, SEQ, config.compute_workers)
+        config = config.with_cost(None)  # Columns don't go along to Python workers
+    elif config.compute_workers is not None or config.workload is not Workload.BALANCED:
         wide = config.compute_workers or df.sparkSession.sparkContext.defaultParallelism
         df = df.repartition(wide * config.workload.value)
     run: list[Stage] = []
@@ -147,6 +156,10 @@ class Builder:
     def with_workload(self, workload: Workload):
         return replace(self, config=self.config.with_workload(workload))
 
+    def with_cost(self, cost: Column | str):
+        """Deal items to tasks of nearly equal total cost, by an expression on their columns; rows move only if it is needed."""
+        return replace(self, config=self.config.with_cost(cost))
+
     def with_compute_pool(self, workers: int):
         return replace(self, config=self.config.with_compute_workers(workers))
 
@@ -164,11 +177,10 @@ class Builder:
 
     def _items(self, df: DataFrame, by: tuple[str, ...] = ()) -> list:
         """The items on the driver, which puts them in order: a distributed sort would first run the stages to sample."""
-        names = [n for n in item_columns(df) if n not in by]
         rows = df.collect()
         if by:
-            rows.sort(key=lambda r: tuple(r[n] for n in by))
-        return [r["value"] if names == ["value"] else tuple(r[n] for n in names) for r in rows]
+            rows.sort(key=lambda r: tuple((r[n] is not None, r[n]) for n in by))
+        return list(as_items(rows, df, by))
 
 
 class Pipe(Builder):
@@ -190,6 +202,15 @@ class Pipe(Builder):
         out = self.to_df(keep_seq=True)
         return self._items(out, (SEQ,) if SEQ in out.columns else ())
 
+    def iterate(self, rows_each: int = ROWS_EACH) -> Iterator:
+        """The items in input order, rows_each on the driver at a time: for results that no list would hold.
+
+        The result is stored, sorted by ranges and read file by file; what is stored goes with the iterator.
+        """
+        out = self.to_df(keep_seq=True)
+        by = (SEQ,) if SEQ in out.columns else ()
+        return as_items(in_order(out, by, rows_each), out, by)
+
     def for_each(self, f: Callable) -> None:
         """Call f on each item where it is, in no order. A task that is tried again calls it again, so f must bear that."""
         scalar = item_columns(out := self.to_df()) == ["value"]
@@ -238,14 +259,20 @@ class TryPipe(Builder):
         first = out.agg(F.min_by(F.struct(F.col(SEQ).alias("seq"), f"{ERR}.kind", f"{ERR}.msg"), SEQ).alias("e"))
         return first.select("e.seq", "e.kind", "e.msg")
 
+    def try_iterate(self, rows_each: int = ROWS_EACH) -> Iterator:
+        """The values in input order, rows_each on the driver at a time, or PipelineError before the first.
+
+        The input is run in growing waves of index ranges, as `take` does: an error ends the run when all before it is done,
+        and the waves behind it are never started. Each stage runs once for each item that is reached.
+        """
+        error, done = tried(self.source, SEQ, ERR, lambda rows: lowered(rows, self.stages, self.config))
+        if error is not None:
+            raise PipelineError(error["kind"], error["msg"], error["seq"])
+        return (item for out in done for item in as_items(in_order(out.drop(ERR), (SEQ,), rows_each), out))
+
     def try_collect(self) -> list:
-        """The values in input order, or PipelineError. One job, so that no stage runs twice."""
-        rows = sorted(self.to_df(keep_seq=True).collect(), key=lambda r: r[SEQ])
-        for row in rows:
-            if row[ERR] is not None:
-                raise PipelineError(row[ERR]["kind"], row[ERR]["msg"], row[SEQ])
-        names = [n for n in rows[0].asDict() if n not in RESERVED] if rows else []
-        return [r["value"] if names == ["value"] else tuple(r[n] for n in names) for r in rows]
+        """The values in input order, or PipelineError; see try_iterate. No value reaches the driver if there is an error."""
+        return list(self.try_iterate())
 
 
 @dataclass(frozen=True)
@@ -260,15 +287,16 @@ class StreamPipe(Builder):
     def stage(self, f: Expression | Callable, schema: str | None = None) -> StreamPipe:
         return self._with(Map(f, schema))
 
-    def stage_async(self, f: Callable, schema: str | None = None, columns: tuple[str, ...] = ()) -> StreamPipe:
+    def stage_async(self, f: Callable, schema: str | None = None, columns: tuple[str, ...] = (), timeout: float | None = None, retries: int = 0) -> StreamPipe:
         """A coroutine function, called for many items at once: io_concurrency over all tasks of the stage.
 
         With columns, f gets their values as its arguments and returns the value of the column that schema names, or a dict
-        if it names several; these are added to the item, or replace columns of it.
+        if it names several; these are added to the item, or replace columns of it. A call that fails or takes longer than
+        timeout seconds is made again up to `retries` times; then its failure is the job's.
         """
         if columns and not schema:
             raise ValueError("name what a stage over columns returns")
-        return self._with(AsyncMap(f, schema, tuple(columns)))
+        return self._with(AsyncMap(f, schema, tuple(columns), timeout, retries))
 
     def expand(self, f: Column | str | Callable, schema: str | None = None) -> StreamPipe:
         """Each item gives any number of items, which keep its input index; none if the array is empty or null."""
@@ -289,6 +317,7 @@ class StreamPipe(Builder):
         return replace(self, by_position=True)
 
     def with_cancel(self, token: CancellationToken) -> StreamPipe:
+        """Run under token. What a cancelled run gives is as fine as its tasks: with_workload or with_compute_pool make more of them."""
         return replace(self, token=token)
 
     def with_async_pool(self, workers: int) -> StreamPipe:
@@ -301,7 +330,7 @@ class StreamPipe(Builder):
     def _done(self) -> tuple[DataFrame, tuple[str, ...]]:
         """The items, not yet in order, and the columns that order them."""
         self._check_order()
-        out = lowered(self.source, self.stages, self.config) if self.token is None else self._done_in_slices(self.token)
+        out = lowered(self.source, self.stages, self.config) if self.token is None else self._done_and_committed(self.token)
         if self.by_position:
             return (out if "_at" in out.columns else out.withColumn("_at", F.monotonically_increasing_id())), (SEQ, "_at")
         return out, (SEQ,) if self.by_seq else ()
@@ -316,6 +345,11 @@ class StreamPipe(Builder):
         out = (out.orderBy(*by) if by else out).drop("_at")
         return out if keep_seq else out.drop(SEQ)
 
+    def iterate(self, rows_each: int = ROWS_EACH) -> Iterator:
+        """As run, with rows_each items on the driver at a time; see Pipe.iterate."""
+        out, by = self._done()
+        return as_items(in_order(out, by, rows_each), out, by)
+
     def run(self) -> list:
         """The items, in input order if ordered. A cancelled run returns what had been done."""
         return self._items(*self._done())
@@ -329,45 +363,28 @@ class StreamPipe(Builder):
                 raise OSError("the Spark session or cluster failed") from e
             raise
 
-    def _done_in_slices(self, token: CancellationToken) -> DataFrame:
-        """Ranges of the input index, one job each: those that ended before the cancellation are the result.
+    def _done_and_committed(self, token: CancellationToken) -> DataFrame:
+        """One job for what lies between two barriers: what its tasks had committed when it was cancelled is the result.
 
-        The input is stored by range, so that each job reads its own. A barrier holds back all ranges: what follows it
-        starts when every range has come so far, and a run that is cancelled before that gives nothing.
+        A barrier holds back all items: what follows it starts when what precedes is done, and a run that is cancelled
+        before that gives nothing.
         """
-        spark, segments = self.source.sparkSession, [[]]
+        segments: list[list[Stage]] = [[]]
         for stage in self.stages:
             if isinstance(stage, FenceStage) and stage.mode is Fence.BARRIER:
                 segments.append([])
             else:
                 segments[-1].append(stage)
         nothing = lowered(self.source.limit(0), tuple(s for part in segments for s in part), self.config)
-        low, high = self.source.agg(F.min(SEQ), F.max(SEQ)).first()
-        if low is None or token.is_cancelled():
-            return nothing
-        slice_of = F.call_function("div", F.col(SEQ) - low, F.lit(-(-(high - low + 1) // SLICES)).cast("bigint")).cast("int")
-        place, schema, done = fresh_folder(spark, "slices"), self.source.schema, list(range(SLICES))
-        cut = self.source.withColumn("_slice", slice_of).write.partitionBy("_slice")
-        if token.unless_cancelled(spark, lambda: cut.parquet(place) or True) is None:
-            return nothing
+        rows = self.source
         for k, stages in enumerate(segments):
-            last = k + 1 == len(segments)
-            rows = spark.read.schema(StructType([*schema.fields, StructField("_slice", IntegerType())])).parquet(place)
-            place, before, done = fresh_folder(spark, "slices"), done, []
-            for n in before:
-                out = lowered(rows.filter(F.col("_slice") == n).drop("_slice"), tuple(stages), self.config)
-                if last and self.by_position:
-                    out = out.withColumn("_at", F.monotonically_increasing_id())
-                if token.unless_cancelled(spark, lambda out=out, n=n: out.write.parquet(f"{place}/_slice={n}") or True) is None:
-                    break
-                schema = out.schema
-                done.append(n)
-            if len(done) < len(before) and not last:
+            out, last = lowered(rows, tuple(stages), self.config), k + 1 == len(segments)
+            if last and self.by_position:
+                out = out.withColumn("_at", F.monotonically_increasing_id())
+            rows, ended = committed(out, token)
+            if rows is None or not (ended or last):
                 return nothing
-        if not done:
-            return nothing
-        rows = spark.read.schema(StructType([*schema.fields, StructField("_slice", IntegerType())])).parquet(place)
-        return rows.filter(F.col("_slice").isin(done)).drop("_slice")
+        return rows
 
 
 def pipe(items: DataFrame | Iterable, spark: SparkSession | None = None, seq: str | None = None, schema: str | None = None) -> Pipe:

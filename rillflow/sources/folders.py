@@ -39,6 +39,29 @@ def fresh_folder(spark: SparkSession, what: str) -> str:
     return folder
 
 
+def _opened(spark: SparkSession, folder: str) -> tuple:
+    """A folder as Hadoop's path and the file system that it is in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    path, files = _opened(spark, folder)
+    return files.exists(path)
+
+
+def deleted(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        path, files = _opened(spark, folder)
+        files.delete(path, True)
+
+
+def named_files(spark: SparkSession, folder: str, begins: str = "") -> dict[str, int]:
+    """Names and sizes of what is in a folder and whose name begins so."""
+    path, files = _opened(spark, folder)
+    return {s.getPath().getName(): s.getLen() for s in files.listStatus(path) if s.getPath().getName().startswith(begins)}
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Folders handed out inside are deleted at the end, so results must be stored or collected before that.
@@ -51,10 +74,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _inside.reset(mark)
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for folder in held:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+        deleted(spark, held)
 
 
 def literal(path: str) -> str:

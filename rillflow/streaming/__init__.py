@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from rillflow.sources.folders import literal
+
 
 def run_available(
     spark: SparkSession,
@@ -23,8 +25,8 @@ def run_available(
     What a batch has written is committed with its offsets under `checkpoint`, so a restarted run goes on where the last one
     stopped. New files are what the next call takes.
     """
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(file_format).load(folder)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(file_format).load(literal(folder))
     done = stages(rows).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
     query = done.outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(literal(out))
