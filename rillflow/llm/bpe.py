@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 The positions of mergeable pairs lie in buckets, one for each merge rank; a bitmap of the ranks whose bucket is not empty,
-with two levels of bitmaps above it, gives the least rank by finding the first set bit three times. Symbols are a linked
+with another one of its words above it, gives the least rank by finding the first set bit twice. Symbols are a linked
 list over byte positions. A merge changes the pairs on both its sides; what the buckets still hold of old pairs is stale and
 skipped when it comes up. A pre-token of n bytes takes O(n) queue operations however long it is, where rescanning all pairs
 after each merge takes O(n * n).
@@ -18,7 +18,7 @@ from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import chain
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -28,25 +28,32 @@ from pyspark.sql import functions as F
 from rillflow.llm.common import parts
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Bits of a word of the bitmaps; three levels hold WORD_BITS ** 3 ranks.
-WORD_BITS = 64
+#: Bits of a word of the bitmaps; two levels hold WORD_BITS ** 2 ranks.
+SHIFT = 9
+WORD_BITS = 1 << SHIFT
+MASK, BIT = WORD_BITS - 1, [1 << k for k in range(WORD_BITS)]
 #: Bytes of a pre-token up to which plain lists are used, which are faster than arrays and larger.
 SHORT = 4096
 #: Pre-tokens remembered by a worker, and the longest of them in characters.
-MOST_KNOWN, LONGEST_KNOWN = 1 << 19, 48
+MOST_KNOWN, LONGEST_KNOWN = 3 << 17, 48
 
 
 class Known(dict):
-    """Ids of the pre-tokens met so far, by the text of each; a bounded number of short ones is remembered."""
+    """Ids of the pre-tokens met so far, as 32-bit numbers in a row, by the text of each; a bounded number of short ones is remembered.
+
+    When they are MOST_KNOWN they become the old ones, which go with the next such change unless they are met again.
+    """
 
     def __init__(self, merged: Callable[[bytes], list[int]]):
         super().__init__()
-        self._merged = merged
+        self._merged, self._old = merged, {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        found = tuple(self._merged(piece.encode()))
+    def __missing__(self, piece: str) -> bytes:
+        if (found := self._old.get(piece)) is None:
+            found = array("i", self._merged(piece.encode())).tobytes()
         if len(piece) <= LONGEST_KNOWN:
             if len(self) >= MOST_KNOWN:
+                self._old = dict(self)
                 self.clear()
             self[piece] = found
         return found
@@ -56,24 +63,18 @@ class Vocabulary:
     """Ranks of byte strings, which are their ids too."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        if max(ranks.values()) >= WORD_BITS**3:
-            raise ValueError(f"a vocabulary of more than {WORD_BITS**3} ranks")
+        if max(ranks.values()) >= WORD_BITS**2:
+            raise ValueError(f"a vocabulary of more than {WORD_BITS**2} ranks")
         self.ranks, self.pieces, self.known = ranks, regex.compile(pattern), Known(self.merged)
-        self._spelled = {rank: piece for piece, rank in ranks.items()}
+        self._spelled = [b""] * (max(ranks.values()) + 1)
+        for piece, rank in ranks.items():
+            self._spelled[rank] = piece
         self._pairs = [ranks.get(bytes([k >> 8, k & 255]), -1) for k in range(1 << 16)]
-        self._low, self._middle = [0] * WORD_BITS**2, [0] * WORD_BITS  # all zero between two pre-tokens
-
-    def _marked(self, rank: int) -> int:
-        """Mark the bucket of a rank as filled in the two lower bitmaps; its bit in the top one."""
-        word, block, bits = rank >> 6, rank >> 12, self._low[rank >> 6]
-        self._low[word] = bits | 1 << (rank & 63)
-        if not bits:
-            self._middle[block] |= 1 << (word & 63)
-        return 1 << block
+        self._low = [0] * WORD_BITS  # all zero between two pre-tokens
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks, low, middle, top, buckets = self.ranks, self._low, self._middle, 0, {}
+        ranks, low, bit, top, buckets = self.ranks, self._low, BIT, 0, {}
         if (whole := ranks.get(piece)) is not None:
             return [whole]
         n, pairs, get = len(piece), self._pairs, ranks.get
@@ -89,13 +90,12 @@ class Vocabulary:
                 buckets[rank] = [at]
         del buckets[-1]  # what begins the last symbol, at least
         for rank in buckets:
-            top |= self._marked(rank)
+            low[rank >> SHIFT] |= bit[rank & MASK]
+            top |= bit[rank >> SHIFT]
         while top:
-            block = (top & -top).bit_length() - 1
-            words = middle[block]
-            word = block << 6 | (words & -words).bit_length() - 1
+            word = (top & -top).bit_length() - 1
             bits = low[word]
-            rank = word << 6 | (bits & -bits).bit_length() - 1
+            rank = word << SHIFT | (bits & -bits).bit_length() - 1
             bucket = buckets[rank]
             if len(bucket) > 1:
                 at = heappop(bucket)  # of one rank the leftmost
@@ -104,9 +104,7 @@ class Vocabulary:
                 del buckets[rank]
                 low[word] = bits = bits & (bits - 1)
                 if not bits:
-                    middle[block] = words = words & (words - 1)
-                    if not words:
-                        top &= top - 1
+                    top &= top - 1
             if pair[at] != rank:
                 continue  # stale: one of the two symbols has been merged since
             gone, left = after[at], before[at]
@@ -120,7 +118,8 @@ class Vocabulary:
                         heappush(buckets[rank], at)
                     else:
                         buckets[rank] = [at]
-                        top |= self._marked(rank)
+                        low[rank >> SHIFT] |= bit[rank & MASK]
+                        top |= bit[rank >> SHIFT]
             if left >= 0:
                 pair[left] = rank = get(piece[left:end], -1)
                 if rank >= 0:
@@ -128,7 +127,8 @@ class Vocabulary:
                         heappush(buckets[rank], left)
                     else:
                         buckets[rank] = [left]
-                        top |= self._marked(rank)
+                        low[rank >> SHIFT] |= bit[rank & MASK]
+                        top |= bit[rank >> SHIFT]
         out, at = [], 0
         while at < n:
             end = after[at]
@@ -136,9 +136,13 @@ class Vocabulary:
             at = end
         return out
 
-    def encode(self, text: str) -> array:
+    def encoded(self, text: str) -> bytes:
+        """Ids of a text as 32-bit numbers in a row."""
         pieces = (m[0] for m in self.pieces.finditer(text)) if len(text) > 1 << 20 else self.pieces.findall(text)
-        return array("i", chain.from_iterable(map(self.known.__getitem__, pieces)))
+        return b"".join(map(self.known.__getitem__, pieces))
+
+    def encode(self, text: str) -> list[int]:
+        return memoryview(self.encoded(text)).cast("i").tolist()
 
     def decode(self, ids: list[int] | None) -> bytes:
         return b"".join(map(self._spelled.__getitem__, ids or ()))
@@ -159,11 +163,9 @@ def encode(docs: DataFrame, name: str = DEFAULT_VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            lists = [vocabulary(name).encode(text or "") for text in batch.column(1).to_pylist()]
-            ends = array("i", [0])
-            for ids in lists:
-                ends.append(ends[-1] + len(ids))
-            values = pa.array(memoryview(b"".join(lists)).cast("i"), pa.int32()) if ends[-1] else pa.array([], pa.int32())
+            lists = [vocabulary(name).encoded(text or "") for text in batch.column(1).to_pylist()]
+            ends = list(accumulate((len(ids) // 4 for ids in lists), initial=0))
+            values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(lists))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")

@@ -22,7 +22,7 @@ def library():
 @given(st.one_of(st.text(max_size=60), st.text(st.sampled_from("aabct'sl \n\x1c é1٣😀한"), max_size=80)))
 def test_equals_the_library(library, text):
     own = bpe.vocabulary(bpe.DEFAULT_VOCABULARY)
-    ids = list(own.encode(text))
+    ids = own.encode(text)
     assert ids == library.encode_ordinary(text)
     assert own.decode(ids) == text.encode()
 
@@ -31,7 +31,7 @@ def test_equals_the_library(library, text):
 def test_very_long_pretokens(library, letters):
     rng = random.Random(7)
     text = "".join(rng.choice(letters) for _ in range(60_000))
-    assert list(bpe.vocabulary(bpe.DEFAULT_VOCABULARY).encode(text)) == library.encode_ordinary(text)
+    assert bpe.vocabulary(bpe.DEFAULT_VOCABULARY).encode(text) == library.encode_ordinary(text)
 
 
 def slow_merge(ranks, piece):
@@ -64,14 +64,14 @@ def test_other_ranks_by_rescanning():
 
 def test_too_many_ranks():
     with pytest.raises(ValueError):
-        bpe.Vocabulary({bytes([k]): k for k in range(256)} | {b"ab": 64**3}, r"\w+")
+        bpe.Vocabulary({bytes([k]): k for k in range(256)} | {b"ab": bpe.WORD_BITS**2}, r"\w+")
 
 
 def test_remembered_pretokens_are_bounded(monkeypatch, library):
     monkeypatch.setattr(bpe, "MOST_KNOWN", 10)
     own = bpe.Vocabulary(bpe.vocabulary(bpe.DEFAULT_VOCABULARY).ranks, library._pat_str)
     text = " ".join(f"word{k}" for k in range(500))
-    assert list(own.encode(text)) == library.encode_ordinary(text) and len(own.known) <= 10
+    assert own.encode(text) == library.encode_ordinary(text) and len(own.known) <= 10
 
 
 def test_awkward_rows(spark, docs, no_docs, library):
