@@ -6,6 +6,7 @@ Input order is the table's unique key, where an operator depends on it.
 from __future__ import annotations
 
 import asyncio
+import zlib
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,8 +19,9 @@ from rillflow.operators.order import chunked, chunks, gap_free, zipped
 from rillflow.plans import Pipe, StreamPipe, TryPipe, pipe, stream
 from rillflow.plans.jobs import together
 from rillflow.plans.scope import scope
-from rillflow.sources import from_parquet, sequenced
-from rillflow.sources.folders import fresh_folder
+from rillflow.sinks import to_files
+from rillflow.sources import from_files, from_parquet, sequenced
+from rillflow.sources.folders import fresh_folder, written
 from rillflow.streaming import run_available
 from rillflow.streaming.admission import admitted, run_by_rows
 from rillflow.streaming.cancel import CancellationToken
@@ -387,6 +389,16 @@ def scoped_lookup(spark, sf_dir):
         return found.map({"c_custkey": F.col("c_custkey"), "size": F.length("n_name").cast("bigint")}).to_df()
 
 
+@query("SELECT c_custkey, c_nationkey + length(n_name)::BIGINT AS size FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def shared_table(spark, sf_dir):
+    """A table that Python stages read by position, one copy on each machine; nation keys are positions."""
+    with scope(spark) as s:
+        names = s.table(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey")
+        rows = s.pipe(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), seq="c_custkey")
+        sized = lambda c: {"c_custkey": c["c_custkey"], "size": c["c_nationkey"] + len(names.value(c["c_nationkey"], "n_name"))}
+        return written(rows.map(sized, "c_custkey long, size long").to_df(), "shared-table")
+
+
 @query("SELECT sum(o_orderkey)::BIGINT AS total, count(*) AS n FROM orders")
 def for_each_sum(spark, sf_dir):
     """K2: what a shared counter adds up, as an aggregate with partial sums."""
@@ -463,6 +475,33 @@ def for_each_calls(spark, sf_dir):
     return spark.createDataFrame([(total.value, n.value)], "total long, n long")
 
 
+@query("SELECT sum(o_orderkey)::BIGINT AS total, count(*) AS n, max(o_orderkey) AS most, bit_xor(o_orderkey)::BIGINT AS checksum FROM orders")
+def for_each_once(spark, sf_dir):
+    """K2 and K5: effects of all items on one shared value, each once however often a task is tried."""
+    add = lambda s, x: (s[0] + x, s[1] + 1, max(s[2], x), s[3] ^ x)
+    both = lambda s, t: (s[0] + t[0], s[1] + t[1], max(s[2], t[2]), s[3] ^ t[3])
+    return spark.createDataFrame([orders(spark, sf_dir).fold((0, 0, 0, 0), add, both)], "total long, n long, most long, checksum long")
+
+
+@query("SELECT custkey, n, md5(custkey || ':' || n) AS receipt FROM (SELECT o_custkey AS custkey, count(*) AS n FROM orders GROUP BY o_custkey)")
+def staged_effects(spark, sf_dir):
+    """K5: effects as rows, staged by the attempt that commits, then applied by a job of their own."""
+    rows = pipe(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), seq="o_orderkey")
+    staged = rows.effects(lambda o: {"custkey": o["o_custkey"], "n": 1}, "custkey long, n long")
+    return staged.groupBy("custkey").agg(F.sum("n").alias("n")).withColumn("receipt", F.md5(F.concat_ws(":", "custkey", "n")))
+
+
+@query("SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS bytes, md5(coalesce(text, '')) AS digest FROM documents")
+def files_there_and_back(spark, sf_dir):
+    """S1 over files: documents packed and written as a file each, found there, unpacked and compared byte for byte."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
+    packed = Pipe(docs).map(lambda d: {"name": f"{d['doc_id'] % 16:02d}/{d['doc_id']}.z", "content": zlib.compress(d["content"])}, "name string, content binary")
+    place = fresh_folder(spark, "files")
+    to_files(packed.to_df(), place)
+    found = Pipe(from_files(spark, place, "*.z")).map(lambda f: {"doc_id": int(f["path"].rpartition("/")[2][:-2]), "content": zlib.decompress(f["content"])}, "doc_id long, content binary")
+    return found.map({"doc_id": "doc_id", "bytes": F.octet_length("content").cast("bigint"), "digest": F.md5("content")}).to_df()
+
+
 @query("SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::BIGINT AS place, n_nationkey * 2 AS value FROM nation")
 def collected_values(spark, sf_dir):
     """K1, K3 and T5: the values of a fallible chain on the driver, in input order; nations are few at any size."""

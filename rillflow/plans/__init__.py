@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from rillflow.operators.opaque import enricher, runner
 from rillflow.plans.failures import is_cluster_failure
 from rillflow.plans.results import ROWS_EACH, committed, in_order, tried
 from rillflow.sources import SEQ, from_items, sequenced
-from rillflow.sources.folders import shared_folder
+from rillflow.sources.folders import shared_folder, written
 from rillflow.streaming.cancel import CancellationToken
 
 ERR = "_err"
@@ -221,6 +222,38 @@ class Pipe(Builder):
 
         out.foreachPartition(partition)
 
+    def fold(self, zero: object, add: Callable, merge: Callable) -> object:
+        """What add makes of zero and the items of each task, put together by merge; zero, which is neutral to merge, if there are none.
+
+        Effects on a shared value, each once: a task's value comes along with its result, so that an attempt that fails or
+        loses a race adds nothing, however far it came. The driver gets one value for each task. zero must not be changed by add.
+        """
+        scalar = item_columns(out := self.to_df()) == ["value"]
+        names = item_columns(out)
+
+        def folded(batches: Iterator) -> Iterator:
+            import pickle
+
+            import pyarrow as pa
+
+            value = zero
+            for batch in batches:
+                columns = [batch.column(n).to_pylist() for n in names]
+                for item in columns[0] if scalar else map(dict, (zip(names, row) for row in zip(*columns))):
+                    value = add(value, item)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(value)], pa.binary())], names=["value"])
+
+        import pickle
+
+        values = [pickle.loads(r["value"]) for r in out.mapInArrow(folded, "value binary").collect()]  # one for each task
+        return reduce(merge, values, zero) if values else zero
+
+    def effects(self, f: Callable, schema: str) -> DataFrame:
+        """What f returns for each item, staged: each attempt of a task stages its own, and those of the attempt that
+        committed are what one finds, each once, when this returns. To be applied by a job of their own, with `_effect`, which
+        stays the same if that job is tried again, to know those that were applied before."""
+        return written(self.map(f, schema).to_df().withColumn("_effect", F.monotonically_increasing_id()), "effects")
+
     def aggregate(self, **parts: Column) -> DataFrame:
         """One row of sums, counts and the like: what side effects on shared counters would add up."""
         return self.to_df().agg(*(c.alias(n) for n, c in parts.items()))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from rillflow.sources.folders import written
+from rillflow.sources.folders import literal, written
 
 SEQ = "_seq"
 #: Up to so many files their first numbers are broadcast.
@@ -29,8 +29,9 @@ def from_items(spark: SparkSession, items: Iterable, schema: str | StructType |
 
 
 def from_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Whole files as rows path, length, content; for stages that compress, encrypt or parse them."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "length", "content")
+    """Whole files under a folder as rows path, length, content; for stages that compress, encrypt or parse them."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(literal(path))
+    return files.select("path", "length", "content")
 
 
 def found_or_fails(value: Column, what: str) -> Column:

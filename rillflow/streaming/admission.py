@@ -32,7 +32,7 @@ def run_by_rows(spark: SparkSession, folder: str, schema: StructType, stages: Ca
     schema: that of the rows, _seq included. A batch that is run again after a failure replaces what it had written.
     """
     told = StructType([*schema.fields, StructField(CHUNK, LongType())])
-    rows = spark.readStream.schema(told).option("maxFilesPerTrigger", 1).parquet(literal(folder)).drop(CHUNK)
+    rows = spark.readStream.schema(told).option("maxFilesPerTrigger", 1).option("basePath", folder).parquet(literal(folder)).drop(CHUNK)
     done = stages(rows)
 
     def stored(batch: DataFrame, number: int) -> None:
