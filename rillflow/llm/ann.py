@@ -58,7 +58,7 @@ class Part:
     """The index of one dimension; its size depends on the number of lists and dimensions alone."""
 
     n: int
-    scale: float  # power of two that vectors are multiplied by, so that none is longer than 1
+    scale: float  # power of two that vectors are multiplied by, so that the longest has a length next to 1
     reach: float  # squared length that all vectors are brought to
     first: np.ndarray  # centres, and what is added to them
     second: np.ndarray
@@ -95,8 +95,10 @@ def stacked(vectors: pd.Series) -> np.ndarray:
 
 
 def units(x: np.ndarray) -> np.ndarray:
-    """Of each row a power of two that brings its largest component to 1/2 or more, and below 1."""
-    return np.ldexp(1.0, np.clip(-np.frexp(np.abs(x).max(1))[1], -1021, 1021))
+    """Of each row a power of two that brings its length next to 1, where the vectors' own lengths are."""
+    most = np.abs(x).max(1)
+    power = np.rint(np.log2(most) + np.log2(((x / most[:, None]) ** 2).sum(1)) / 2)
+    return np.ldexp(1.0, -np.clip(power, -1021, 1021).astype(int))
 
 
 def products(a: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -145,7 +147,7 @@ def fitted(sample: np.ndarray, n: int, longest: float, seed: int) -> Part:
 
     longest: magnitude of the longest vector.
     """
-    power = int(np.clip(np.ceil(longest), -1021, 1021))
+    power = int(np.clip(np.rint(longest), -1021, 1021))
     scale, reach = 2.0**-power, float(4.0 ** (longest - power) * (1 + 1e-9))
     rng, x = np.random.default_rng(seed), lifted(sample * scale, reach)
     wanted = max(1, int(2 * n**0.5))
