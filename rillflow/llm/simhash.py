@@ -13,7 +13,7 @@ null id. `classes` has a row for each repeated row, `representatives` one row fo
 
 With a similarity, `representatives` takes links only as candidates. Fingerprints are then those of the set of shingles, and
 agreement in one of PAIRS pairs of least hashes deals them: texts of Jaccard similarity s agree in none with a chance of
-(1 - s * s)**PAIRS. Whatever hangs together by candidates is gathered, and its texts are linked by their exact overlap.
+(1 - s * s)**PAIRS. Whatever hangs together by candidates is gathered, or where that is much, each bucket, and its texts are linked by exact overlap.
 """
 
 from __future__ import annotations
@@ -288,7 +288,7 @@ def similar_in(members: list[tuple[str, int, np.ndarray, bool]], radius: int, si
 def similar(sets: DataFrame, radius: int, similarity: float, held: int = SETS) -> DataFrame:
     """Edges a, b that span the links of similarity in each group of sets (name, fp, root, n members of root, hashes).
 
-    A group of more than `held` members is compared tile by tile.
+    root: any value that tells groups apart. A group of more than `held` members is compared tile by tile.
     """
     tiles = F.ceil(F.col("n") / held).cast("int")
     rows = sets.withColumn("sub", F.pmod(F.xxhash64("name"), tiles).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), tiles - 1)))
@@ -314,6 +314,23 @@ def similar(sets: DataFrame, radius: int, similarity: float, held: int = SETS) -
     return rows.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(verify, "a string, b string")
 
 
+def candidates(members: DataFrame, held: int | None = None) -> DataFrame:
+    """first, name and fp of each of members (first, name, fp, keys, root) in each group that it is verified in: root and its size n.
+
+    What hangs together by candidates is one group, if it has no more than `held` members. A larger one, of which the candidates of a
+    large corpus may form one of any size, is taken apart into the buckets that dealt its members, so that work
+    grows with the buckets and not with the square of what hangs together: a chain of candidates stays linear.
+    """
+    held = held or SETS
+    groups = members.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
+    told = members.join(groups, "root")
+    small = told.filter(F.col("n") <= held).select("first", "name", "fp", F.struct(F.lit(False).alias("bucket"), F.col("root").alias("id")).alias("root"), "n")
+    dealt = told.filter(F.col("n") > held).select("first", "name", "fp", F.explode(F.array_distinct("keys")).alias("id"))
+    sizes = dealt.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+    large = dealt.join(sizes, "id").select("first", "name", "fp", F.struct(F.lit(True).alias("bucket"), "id").alias("root"), "n")
+    return small.unionByName(large)
+
+
 def similar_representatives(docs: DataFrame, told: Column, radius: int, tile: int, words_each: int, similarity: float) -> DataFrame:
     """The key `told` of one row for each component of similar texts, as _near_key, and whether several rows have it."""
     spark = docs.sparkSession
@@ -328,18 +345,17 @@ def similar_representatives(docs: DataFrame, told: Column, radius: int, tile: in
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             sets = pa.array([shingle_set(t, words_each).astype("<u8").tobytes() for t in batch.column(0).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], sets], names=["name", "fp", "root", "n", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), sets], names=["name", "hashes"])
 
     given = docs.select(F.col("doc_id").cast("long"), "text", told.alias("told"))
     marked = written(given.mapInArrow(sketch, "doc_id long, told string, fp long, name string, keys array<long>"), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "told")).alias("first")
     nodes = written(marked.groupBy("name").agg(first, F.first("fp").alias("fp"), F.first("keys").alias("keys")), "sets")
     roots = written(components(links(nodes.select("fp", "keys"), radius, tile)), "roots")
-    members = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    groups = members.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
-    near = written(members.join(groups, "root").select(F.col("first.told").alias("told"), "name", "fp", "root", "n"), "candidates")
-    texts = docs.select("text", told.alias("told")).join(near, "told").select("text", "name", "fp", "root", "n")
-    sets = texts.mapInArrow(hashed, "name string, fp long, root long, n long, hashes binary").dropDuplicates(["name"])
+    near = written(candidates(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))), "candidates")
+    wanted = near.select("name", F.col("first.told").alias("told")).distinct()
+    texts = docs.select("text", told.alias("told")).join(wanted, "told").select("text", "name")
+    sets = texts.mapInArrow(hashed, "name string, hashes binary").dropDuplicates(["name"]).join(near.select("name", "fp", "root", "n"), "name")
     joined = components(similar(sets, radius, similarity)).toDF("name", "to")
     least = nodes.select("name", "first").join(joined, "name", "left").groupBy(F.coalesce("to", "name").alias("to")).agg(F.min("first").alias("first"))
     return least.select(F.col("first.told").alias("_near_key")).join(repeats(marked, "told"), "_near_key", "left")

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from rillflow.llm import simhash
@@ -151,9 +152,11 @@ def edited(rng, n_families):
     return out
 
 
-def test_similar_texts_by_brute_force(spark):
+@pytest.mark.parametrize("held", [2048, 3])
+def test_similar_texts_by_brute_force(spark, monkeypatch, held):
     import corpus_pipeline
 
+    monkeypatch.setattr(simhash, "SETS", held)  # 3: groups of more texts are taken apart into buckets
     line = " ".join(f"shared{k}" for k in range(12))
     texts = edited(np.random.default_rng(5), 120) + [f"{line} " + " ".join(f"t{k}x{j}" for j in range(9)) for k in range(60)]
     texts += ["", None, "a b", "A  b", "one line " * 3 + "other words here then " * 90, "one line " * 90 + "other words here then " * 3]
@@ -187,6 +190,14 @@ def test_large_groups_are_compared_tile_by_tile(spark):
     assert found[0] == found[1] and found[0]
 
 
+def test_a_chain_of_candidates_stays_linear(spark):
+    n = 20_000
+    chain = spark.range(n).selectExpr("struct(false nameless, id doc_id, string(id) told) first", "string(id) name", "id fp", "array(id, id + 1, id + 1) keys", "0L root")
+    out = simhash.candidates(chain)
+    assert out.count() == 2 * (n - 1) and out.filter("n <> 2 OR NOT root.bucket").isEmpty()
+    assert simhash.candidates(chain, held=n).filter(f"n = {n} AND NOT root.bucket").count() == n
+
+
 def test_awkward_rows_by_similarity(docs, no_docs):
     got = simhash.representatives(docs, 22, words_each=5, similarity=0.8)
     assert got.columns == docs.columns
