@@ -25,8 +25,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of documents, which arrive in eight parts by a hash of doc_id, and compacted: where each document ends up."""
     docs = table(spark, sf_dir, "documents")
     store = sharding.ShardStore(spark, fresh_folder(spark, "shards"), docs.schema)
-    for k in range(8):
-        store.append(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(8)) == k))
+    store.append_parts(docs, F.pmod(F.xxhash64("doc_id"), F.lit(8)), 8)
     store.compact()
     store.vacuum()
     return store.placed("doc_id")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rillflow.llm.common import columns_of
+from rillflow.llm.common import columns_of, written
 from rillflow.sources.folders import literal
 
 MANIFEST = "path string, bytes long, n_rows long, tier int, added long"
@@ -109,16 +109,19 @@ class ShardStore:
     def _tier(self):
         return F.greatest(F.lit(0), F.ceil(F.log(float(self.fanout), F.col("bytes") / F.lit(float(LEAST_BYTES))))).cast("int")
 
-    def _written(self, rows: DataFrame, folder: str, most_rows: int = 0) -> DataFrame:
-        """Write rows as new files; what the manifest says of them, `added` left open."""
-        rows.write.option("maxRecordsPerFile", most_rows).option("compression", "zstd").parquet(folder)
-        files = self.spark.read.schema(self.schema).parquet(literal(folder))
-        found = files.groupBy(self._shard(files).alias("path"), files.metadataColumn("_metadata")["file_size"].alias("bytes")).agg(F.count("*").alias("n_rows"))
-        return found.select("path", "bytes", "n_rows", self._tier().alias("tier"), F.lit(None).cast("long").alias("added"))
+    def _written(self, rows: DataFrame, folder: str, most_rows: int = 0, by: str | None = None) -> DataFrame:
+        """Write rows as new files, those of each value of `by` apart; what the manifest says of them, `added` left open."""
+        writer = rows.write.option("maxRecordsPerFile", most_rows).option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(folder)
+        files = self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(literal(folder))
+        about = files.metadataColumn("_metadata")
+        found = files.groupBy(about["file_path"].alias("_file"), about["file_size"].alias("bytes")).agg(F.count("*").alias("n_rows"))
+        return found.select(self._shard(F.col("_file")).alias("path"), "bytes", "n_rows", self._tier().alias("tier"), F.lit(None).cast("long").alias("added"))
 
-    def _shard(self, rows: DataFrame) -> Column:
-        """Folder and file of each row's shard. Their names are plain, which those above them need not be."""
-        return F.regexp_extract(rows.metadataColumn("_metadata")["file_path"], "[^/]+/[^/]+$", 0)
+    @staticmethod
+    def _shard(path: Column) -> Column:
+        """The path of a shard below the store's data. Its names are plain, which those above need not be."""
+        return F.regexp_extract(path, "[0-9a-f]{32}/(?:[^/]+/)?[^/]+$", 0)
 
     def _data(self, shard: str) -> str:
         return f"{self.root}/data/{shard}"
@@ -130,7 +133,18 @@ class ShardStore:
 
     def append(self, rows: DataFrame, most_rows: int = 2000, tries: int = 10) -> int:
         """Add rows as shards of at most most_rows rows; the new version."""
-        new = self._written(rows.select(*columns_of(self.spark.createDataFrame([], self.schema))), self._fresh(), most_rows)
+        return self._added(self._written(rows.select(*self._columns()), self._fresh(), most_rows), tries)
+
+    def append_parts(self, rows: DataFrame, part: Column, parts: int, most_rows: int = 2000, tries: int = 10) -> list[int]:
+        """Add rows as `parts` arrivals, one after the other, in one pass over them: those for which part is k are the k-th. The new versions."""
+        name = f"_part{uuid.uuid4().hex}"
+        new = written(self._written(rows.select(*self._columns(), part.cast("int").alias(name)), self._fresh(), most_rows, name), "arrivals")
+        return [self._added(new.filter(F.col("path").contains(f"/{name}={k}/")), tries) for k in range(parts)]
+
+    def _columns(self) -> list[Column]:
+        return columns_of(self.spark.createDataFrame([], self.schema))
+
+    def _added(self, new: DataFrame, tries: int) -> int:
         for _ in range(tries):
             latest = (self.versions() or [0])[-1]
             try:
@@ -209,7 +223,7 @@ class ShardStore:
         live = self.manifest(every[-1]).select("path")
         for later in every[-keep:-1]:
             live = live.unionAll(self.manifest(later).select("path"))
-        folder = F.element_at(F.split("path", "/"), -2)
+        folder = F.element_at(F.split("path", "/"), 1)
         lives = {r[0] for r in live.select(folder.alias("f")).distinct().collect()}  # one name for each arrival or merge
         old = [self.manifest(v).select("path") for v in every[:-keep]]
         for shards in old:
@@ -245,6 +259,6 @@ class ShardStore:
         if key in ("shard", "shard_rows", "shard_bytes", "tier", "version"):
             raise ValueError(f"{key} is the name of a column that tells of the shard")
         rows = self.read()
-        path = F.lit(None).cast("string") if live.isEmpty() else self._shard(rows)
+        path = F.lit(None).cast("string") if live.isEmpty() else self._shard(rows.metadataColumn("_metadata")["file_path"])
         rows = rows.select(path.alias("_of"), rows[f"`{key}`"].alias("_key"))
         return rows.join(live.select(F.col("path").alias("_of"), *columns), "_of").drop("_of").withColumnRenamed("_key", key)

@@ -174,3 +174,14 @@ def test_roots_of_any_name_and_moved_stores(spark, name):
     moved = ShardStore(spark, f"{top}/moved {name}", many.schema)
     moved.append(many)
     assert moved.read().count() == 600
+
+
+def test_arrivals_of_one_pass(spark):
+    many = spark.range(500).selectExpr("if(id % 50 = 0, null, id) doc_id", "md5(string(id)) text", "id `_part`")
+    store = ShardStore(spark, fresh_folder(spark, "t"), many.schema)
+    assert store.append_parts(many, many._part % 3, 4, most_rows=40) == [1, 2, 3, 4]
+    assert [store.read(v).count() for v in (1, 2, 3, 4)] == [167, 334, 500, 500] and rows_of(store.read()) == rows_of(many)
+    assert store.manifest().groupBy("added").count().count() == 3 and store.manifest().agg({"n_rows": "max"}).first()[0] <= 40
+    store.compact()
+    store.vacuum(older_than_s=0)
+    assert rows_of(store.read()) == rows_of(many) and store.placed("_part").count() == 500
