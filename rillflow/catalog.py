@@ -461,7 +461,7 @@ def doc_pipeline(spark, sf_dir):
         return doc_id
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = StreamPipe(docs, config=PipelineConfig(io_concurrency=2048)).stage_async(located, "part long", columns=("doc_id",))
+    rows = StreamPipe(docs, config=PipelineConfig(io_concurrency=2048)).with_workload(Workload.SPREAD).stage_async(located, "part long", columns=("doc_id",))
     rows = rows.stage({"doc_id": F.col("doc_id"), "size": F.length("text").cast("bigint"), "digest": F.md5("text"), "part": F.col("part")})
     return rows.stage_async(acknowledged, "doc_id long", columns=("doc_id",)).to_df()
 

@@ -7,9 +7,11 @@ from enum import Enum
 
 
 class Workload(Enum):
-    """BALANCED keeps the partitions of the input. UNBALANCED deals rows out into more and smaller tasks."""
+    """BALANCED keeps the partitions of the input. SPREAD deals rows out where the input has fewer partitions than there are cores,
+    as one small file has, and keeps it where it is otherwise. UNBALANCED deals rows out into more and smaller tasks."""
 
     BALANCED = 1
+    SPREAD = 2
     UNBALANCED = 8
 
 

@@ -89,7 +89,11 @@ def declared(df: DataFrame, stage: Stage) -> DataFrame:
 
 
 def with_calls(df: DataFrame, config: PipelineConfig) -> tuple[DataFrame, int]:
-    """df in as many tasks as may make calls at once, and how many calls each of them may have in flight."""
+    """df in as many tasks as may make calls at once, and how many calls each of them may have in flight.
+
+    The tasks at once are the cores that the session has when the plan is made; executors that come later add to the calls, and
+    fewer partitions than cores take away from them.
+    """
     tasks = df.sparkSession.sparkContext.defaultParallelism
     if config.async_workers is not None:
         df, tasks = df.coalesce(config.async_workers), min(tasks, config.async_workers)
@@ -120,10 +124,19 @@ def enriched(df: DataFrame, stage: AsyncMap, config: PipelineConfig) -> DataFram
     return df.mapInArrow(enricher(stage, added, after, in_flight), after)
 
 
+def known_partitions(df: DataFrame) -> int | None:
+    """How many partitions df has, None if only running it would tell."""
+    plan = df._jdf.queryExecution().executedPlan()
+    return None if "Exchange" in plan.toString() else plan.execute().getNumPartitions()
+
+
 def lowered(df: DataFrame, stages: tuple[Stage, ...], config: PipelineConfig) -> DataFrame:
     if config.cost is not None:
         df = balanced(df if SEQ in df.columns else sequenced(df), config.cost, SEQ, config.compute_workers)
         config = config.with_cost(None)  # Columns don't go along to Python workers
+    elif config.workload is Workload.SPREAD and config.compute_workers is None:
+        cores, dealt = df.sparkSession.sparkContext.defaultParallelism, known_partitions(df)
+        df = df.repartition(cores * config.workload.value) if dealt is not None and dealt < cores else df
     elif config.compute_workers is not None or config.workload is not Workload.BALANCED:
         wide = config.compute_workers or df.sparkSession.sparkContext.defaultParallelism
         df = df.repartition(wide * config.workload.value)

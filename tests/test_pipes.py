@@ -88,6 +88,12 @@ def test_workload_and_workers_change_nothing(spark):
     assert numbers(spark, 100).with_oversubscribe(4).map(lambda x: x * 3).collect() == want[:100]
 
 
+def test_spread_moves_rows_only_where_cores_would_idle(spark):
+    few, many = (Pipe(spark.range(0, 100, 1, n).withColumnRenamed("id", "value")).with_workload(Workload.SPREAD).map("value + 1").to_df() for n in (1, 50))
+    assert few.rdd.getNumPartitions() > 1 and many.rdd.getNumPartitions() == 50
+    assert sorted(r[0] for r in few.collect()) == list(range(1, 101)) == sorted(r[0] for r in many.collect())
+
+
 def test_config_checks():
     assert PipelineConfig().with_io_concurrency(512).with_buffer_size(8).with_async_workers(2).io_concurrency == 512
     with pytest.raises(ValueError):
