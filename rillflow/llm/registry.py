@@ -109,6 +109,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def packing_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction data: each assistant turn behind the user turn that it answers, which bears no loss, at most 384 loss-bearing tokens a sequence."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").distinct()
+    asked = turns.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("asked"))
+    pairs = turns.filter("role = 'assistant'").join(asked, ["conv_id", "turn"], "left")
+    return packing.pack(pairs.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("doc_id"), "text", "asked"), max_loss_tokens=384, prompt="asked")
+
+
 @query
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rendered(table(spark, sf_dir, "conversations"))

@@ -108,3 +108,29 @@ def test_awkward_rows(docs, no_docs):
     total = sum(len(t.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in docs.collect())
     assert sum(r["length"] for r in rows) == total
     assert packing.pack(no_docs).count() == 0
+
+
+def test_answers_keep_all_three_limits(spark):
+    from collections import defaultdict
+
+    from oracle import SF
+
+    from rillflow.llm import registry
+
+    t = whole()
+    rows = {(r["conv_id"], r["turn"]): r for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
+    want = {}
+    for (c, n), r in rows.items():
+        if r["role"] == "assistant":
+            before = rows.get((c, n - 1))
+            front = t.encode(before["text"] or "", add_special_tokens=False).ids if before and before["role"] == "user" else []
+            want[c * 1_000_000 + n] = (len(front), len(t.encode(r["text"] or "", add_special_tokens=False).ids) + 1)
+    covered, loss, used = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in registry.QUERIES["packing_answers"](spark, SF).collect():
+        covered[r["doc_id"]] += r["length"]
+        loss[r["sequence_id"]] += r["loss_tokens"]
+        used[r["sequence_id"]] += r["length"]
+        assert r["doc_tokens"] == sum(want[r["doc_id"]])
+    assert covered == {d: sum(n) for d, n in want.items()} and sum(loss.values()) == sum(n for _, n in want.values())
+    assert max(loss.values()) <= 384 and max(used.values()) <= 1024
+    assert max(loss.values()) > 370  # the limit binds
