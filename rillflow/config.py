@@ -25,6 +25,7 @@ class PipelineConfig:
     io_concurrency: int = 128  # async calls in flight at once, over all tasks of a stage; fewer than tasks: that many tasks
     oversubscribe: int = 1  # threads of a task that run a blocking Python stage
     workload: Workload = Workload.BALANCED
+    profile: object = None  # a ResourceProfile of Python and asynchronous stages: cores and memory of the executors they run on
     cost: object = None  # what an item costs, as SQL text or a Column: tasks get nearly equal sums of it
 
     def __post_init__(self):
@@ -47,6 +48,9 @@ class PipelineConfig:
     def with_oversubscribe(self, factor: int) -> PipelineConfig:
         return replace(self, oversubscribe=max(1, factor))
 
+    def with_profile(self, profile: object) -> PipelineConfig:
+        return replace(self, profile=profile)
+
     def with_cost(self, cost: object) -> PipelineConfig:
         return replace(self, cost=cost)
 

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -113,7 +114,8 @@ def undeclared(df: DataFrame, run: list[Stage], config: PipelineConfig) -> DataF
     in_flight = 1
     if any(isinstance(s, AsyncMap) for s in run):
         df, in_flight = with_calls(df, config)
-    return df.mapInArrow(runner(tuple(run), before, after, kept, config, in_flight), StructType([*extra, *after.fields]))
+    step = runner(tuple(run), before, after, kept, config.with_profile(None), in_flight)
+    return df.mapInArrow(step, StructType([*extra, *after.fields]), profile=config.profile)
 
 
 def enriched(df: DataFrame, stage: AsyncMap, config: PipelineConfig) -> DataFrame:
@@ -121,7 +123,7 @@ def enriched(df: DataFrame, stage: AsyncMap, config: PipelineConfig) -> DataFram
     df, in_flight = with_calls(df, config)
     added = StructType.fromDDL(stage.schema)
     after = StructType([f for f in df.schema.fields if f.name not in added.names] + added.fields)
-    return df.mapInArrow(enricher(stage, added, after, in_flight), after)
+    return df.mapInArrow(enricher(stage, added, after, in_flight), after, profile=config.profile)
 
 
 def known_partitions(df: DataFrame) -> int | None:
@@ -174,6 +176,13 @@ class Builder:
         """Deal items to tasks of nearly equal total cost, by an expression on their columns; rows move only if it is needed."""
         return replace(self, config=self.config.with_cost(cost))
 
+    def with_resources(self, profile: ResourceProfile):
+        """Run Python and asynchronous stages on executors of a resource profile, made and shared by Spark as the cluster manager allows.
+
+        Sessions on one machine have no such executors and refuse to run the plan.
+        """
+        return replace(self, config=self.config.with_profile(profile))
+
     def with_compute_pool(self, workers: int):
         return replace(self, config=self.config.with_compute_workers(workers))
 

@@ -422,3 +422,41 @@ def test_jobs_in_pools_and_so_many_at_once(spark):
     assert together(*[job] * 6, at_once=2, pools=["a", "b"]) == [1000] * 6
     assert most[0] == 2 and sorted(seen) == ["a", "a", "a", "b", "b", "b"]
     assert together() == []
+
+
+def test_resources_are_seen_in_the_plan(spark):
+    from pyspark.resource import ExecutorResourceRequests, ResourceProfileBuilder, TaskResourceRequests
+
+    profile = ResourceProfileBuilder().require(ExecutorResourceRequests().cores(2).memory("3g")).require(TaskResourceRequests().cpus(2)).build
+
+    async def same(x):
+        return x
+
+    items = stream(spark.range(10).withColumnRenamed("id", "value"), seq="value").with_resources(profile)
+    for p in (items.stage(lambda x: x + 1), items.stage_async(same), items.stage_async(same, "more long", columns=("value",))):
+        plan = p.to_df()._jdf.queryExecution().executedPlan().toString()
+        assert "cpus, amount: 2.0" in plan and "memory, amount: 3072" in plan
+    assert "amount" not in items.stage("value + 1").to_df()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pools_share_cores_as_weighted(tmp_path):
+    (tmp_path / "pools.xml").write_text('<allocations><pool name="much"><weight>3</weight></pool><pool name="little"><weight>1</weight></pool></allocations>')
+    script = """
+import sys, time
+from pyspark.sql import SparkSession
+from rillflow.plans import Pipe
+from rillflow.plans.jobs import together
+conf = {"spark.scheduler.mode": "FAIR", "spark.scheduler.allocation.file": "file://" + sys.argv[1] + "/pools.xml", "spark.ui.enabled": "false"}
+builder = SparkSession.builder.master("local[4]")
+for k, v in conf.items():
+    builder = builder.config(k, v)
+spark = builder.getOrCreate()
+def late(x):
+    time.sleep(0.1)
+    return time.time()
+job = lambda: [r["value"] for r in Pipe(spark.range(0, 60, 1, 60).withColumnRenamed("id", "value")).map(late, "value double").to_df().collect()]
+job()  # workers are there now
+much, little = together(job, job, pools=["much", "little"])
+print(sum(t <= max(much) for t in little))
+"""
+    assert int(ran(script, tmp_path).split()[-1]) < 40  # 20 of 60 by the weights, 60 without
