@@ -317,18 +317,21 @@ def similar(sets: DataFrame, radius: int, similarity: float, held: int = SETS) -
 def candidates(members: DataFrame, held: int | None = None) -> DataFrame:
     """first, name and fp of each of members (first, name, fp, keys, root) in each group that it is verified in: root and its size n.
 
-    What hangs together by candidates is one group, if it has no more than `held` members. A larger one, of which the candidates of a
-    large corpus may form one of any size, is taken apart into the buckets that dealt its members, so that work
-    grows with the buckets and not with the square of what hangs together: a chain of candidates stays linear.
+    What hangs together by candidates is one group. One of more than `held` members, and the candidates of a large corpus may
+    form one of any size, is taken apart into the buckets that dealt its members, if fewer sets have to be sent so: a chain
+    of candidates stays linear, while near copies, which share most buckets, are one group still.
     """
     held = held or SETS
+    sent = lambda n: F.col(n) * F.ceil(F.col(n) / held)  # noqa: E731  as often as a group has tiles, each of its sets
     groups = members.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
     told = members.join(groups, "root")
-    small = told.filter(F.col("n") <= held).select("first", "name", "fp", F.struct(F.lit(False).alias("bucket"), F.col("root").alias("id")).alias("root"), "n")
-    dealt = told.filter(F.col("n") > held).select("first", "name", "fp", F.explode(F.array_distinct("keys")).alias("id"))
-    sizes = dealt.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
-    large = dealt.join(sizes, "id").select("first", "name", "fp", F.struct(F.lit(True).alias("bucket"), "id").alias("root"), "n")
-    return small.unionByName(large)
+    dealt = told.filter(F.col("n") > held).select("first", "name", "fp", "root", F.explode(F.array_distinct("keys")).alias("key"))
+    sizes = dealt.groupBy("root", "key").agg(F.count("*").alias("own")).filter("own > 1")
+    apart = sizes.groupBy("root").agg(F.sum(sent("own")).alias("sent")).join(groups, "root").filter(F.col("sent") < sent("n")).select("root")
+    group = lambda key: F.struct("root", key.cast("long").alias("key")).alias("root")
+    whole = told.join(apart, "root", "left_anti").select("first", "name", "fp", group(F.lit(None)), "n")
+    parts_of = dealt.join(apart, "root", "left_semi").join(sizes, ["root", "key"])
+    return whole.unionByName(parts_of.select("first", "name", "fp", group(F.col("key")), F.col("own").alias("n")))
 
 
 def similar_representatives(docs: DataFrame, told: Column, radius: int, tile: int, words_each: int, similarity: float) -> DataFrame:

@@ -194,8 +194,11 @@ def test_a_chain_of_candidates_stays_linear(spark):
     n = 20_000
     chain = spark.range(n).selectExpr("struct(false nameless, id doc_id, string(id) told) first", "string(id) name", "id fp", "array(id, id + 1, id + 1) keys", "0L root")
     out = simhash.candidates(chain)
-    assert out.count() == 2 * (n - 1) and out.filter("n <> 2 OR NOT root.bucket").isEmpty()
-    assert simhash.candidates(chain, held=n).filter(f"n = {n} AND NOT root.bucket").count() == n
+    assert out.count() == 2 * (n - 1) and out.filter("n <> 2 OR root.key IS NULL").isEmpty()
+    assert simhash.candidates(chain, held=n).filter(f"n = {n} AND root.key IS NULL").count() == n
+    copies = chain.filter("fp < 5000").selectExpr("first", "name", "fp", "transform(sequence(0, 15), k -> if(fp % 97 = k, fp + 100, cast(k AS bigint))) keys", "7L root")
+    both = simhash.candidates(chain.union(copies))  # near copies would be sent sixteen times
+    assert both.filter("root.root = 7 AND root.key IS NULL AND n = 5000").count() == 5000 and both.count() == 5000 + 2 * (n - 1)
 
 
 def test_awkward_rows_by_similarity(docs, no_docs):
