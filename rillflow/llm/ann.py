@@ -111,7 +111,11 @@ def products(a: np.ndarray, e: np.ndarray) -> np.ndarray:
 def magnitude(vector: Column) -> Column:
     """Logarithm of the length to base two; nothing overflows on the way."""
     most = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
-    return F.log2(most) + F.log2(F.aggregate(vector, F.lit(0.0), lambda a, x: a + (x.cast("double") / most) * (x.cast("double") / most))) / 2
+
+    def size(m: Column) -> Column:
+        return F.log2(m) + F.log2(F.aggregate(vector, F.lit(0.0), lambda a, x: a + (x.cast("double") / m) * (x.cast("double") / m))) / 2
+
+    return F.transform(F.array(most), size)[0]  # a variable, which is computed once and not for each component
 
 
 def lifted(x: np.ndarray, reach: float) -> np.ndarray:
