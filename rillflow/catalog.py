@@ -358,10 +358,10 @@ def chunk_stream(spark, sf_dir):
 
 @query("SELECT n, count(*) AS batches, sum(total)::BIGINT AS total FROM (SELECT count(*) AS n, sum(event_id + 1) AS total FROM events GROUP BY event_id // 4000) GROUP BY n")
 def admitted_rows(spark, sf_dir):
-    """B3 over micro-batches: each takes in 4000 consecutive events, the last one the rest."""
+    """B3 over micro-batches: batches of 4000 consecutive events, the last one the rest, many of them taken side by side."""
     rows, top = read(spark, sf_dir, "events").select(F.col("event_id").alias("_seq"), F.col("event_id").alias("value")), fresh_folder(spark, "admitted")
     admitted(rows, 4000, f"{top}/in")
-    done = run_by_rows(spark, f"{top}/in", rows.schema, lambda df: StreamPipe(df).stage("value + 1").to_df(), f"{top}/out", f"{top}/offsets")
+    done = run_by_rows(spark, f"{top}/in", rows.schema, lambda df: StreamPipe(df).stage("value + 1").to_df(keep_seq=True), f"{top}/out", f"{top}/offsets", 4000)
     return done.groupBy("batch").agg(F.count("*").alias("n"), F.sum("value").alias("t")).groupBy("n").agg(F.count("*").alias("batches"), F.sum("t").alias("total"))
 
 

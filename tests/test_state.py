@@ -117,3 +117,21 @@ def test_batches_of_so_many_rows(spark, tmp_path):
     assert got.filter("value <> concat('T', _seq)").isEmpty()
     with pytest.raises(ValueError):
         admitted(rows(0, 1), 0, place)
+
+
+def test_many_chunks_in_one_micro_batch(spark, tmp_path):
+    rows = lambda a, b: spark.range(a, b, 1, 5).selectExpr("id _seq", "concat('t', id) value")
+    place, out = str(tmp_path / "in"), tmp_path / "out"
+    admitted(rows(0, 1050), 25, place)
+    go = lambda: run_by_rows(spark, place, rows(0, 1).schema, lambda df: df.filter("_seq <> 30").selectExpr("_seq", "upper(value) value"), str(out), str(tmp_path / "offsets"), 25, 16)
+    sizes = lambda df: {r["batch"]: (r["n"], r["lo"], r["hi"]) for r in df.groupBy("batch").agg(F.count("*").alias("n"), F.min("_seq").alias("lo"), F.max("_seq").alias("hi")).collect()}
+    got = go()
+    assert got.columns == ["_seq", "value", "batch"] and got.filter("value <> concat('T', _seq)").isEmpty()
+    assert sizes(got) == {k: (24 if k == 1 else 25, 25 * k, 25 * k + 24) for k in range(42)}
+    assert len(list(out.glob("_taken=*"))) == 3  # 42 chunks, 16 at once
+    admitted(rows(1050, 1060), 25, place)
+    assert sizes(go())[42] == (10, 1050, 1059) and len(list(out.glob("_taken=*"))) == 4
+    with pytest.raises(ValueError, match="_seq"):
+        run_by_rows(spark, place, rows(0, 1).schema, lambda df: df.select("value"), str(out), str(tmp_path / "others"), 25)
+    with pytest.raises(ValueError):
+        run_by_rows(spark, place, rows(0, 1).schema, lambda df: df, str(out), str(tmp_path / "others"), at_once=4)
