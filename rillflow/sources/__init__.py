@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from rillflow.sources.files import local, plain, read_apart
 from rillflow.sources.folders import literal, written
 
 SEQ = "_seq"
@@ -29,7 +30,13 @@ def from_items(spark: SparkSession, items: Iterable, schema: str | StructType |
 
 
 def from_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Whole files under a folder as rows path, length, content; for stages that compress, encrypt or parse them."""
+    """Whole files under a folder as rows path, length, content; for stages that compress, encrypt or parse them.
+
+    A folder that is opened by name is listed and read by tasks, however many files it has. Others, and patterns with more than
+    * and ?, are Spark's binaryFile, of which the driver lists all files and a task takes a few, and which passes over empty ones.
+    """
+    if (folder := local(path)) is not None and plain(glob):
+        return read_apart(spark, folder, glob)
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(literal(path))
     return files.select("path", "length", "content")
 

@@ -2,6 +2,7 @@
 
 import threading
 import time
+from fnmatch import fnmatch
 from functools import reduce
 
 import pytest
@@ -14,6 +15,7 @@ from rillflow.operators.order import chunks, gap_free, zipped
 from rillflow.plans import Pipe, pipe, stream
 from rillflow.plans.scope import scope
 from rillflow.sources import from_files, from_parquet, sequenced
+from rillflow.sources.folders import literal
 from rillflow.streaming import run_available
 from rillflow.streaming.cancel import CancellationToken
 
@@ -457,6 +459,26 @@ def test_whole_files(spark, tmp_path):
     assert [r[0] for r in got.collect()] == [1000] * 3
 
 
+def test_many_whole_files_are_read_by_few_tasks(spark, tmp_path):
+    top = tmp_path / "in [x] {y}"
+    for place in ("", "a b", "a b/deep/er", "_hidden", ".hidden", "_k=1"):
+        (top / place).mkdir(parents=True, exist_ok=True)
+        for k in range(300 if place == "a b" else 5):
+            (top / place / f"f{k} [%].z").write_bytes(bytes([k % 256]) * k)
+        for name in ("_SUCCESS", ".f.z", "f.z._COPYING_", "f.txt"):
+            (top / place / name).write_bytes(b"-")
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(literal(str(top))).select("path", "length", "content")
+    for glob in ("*.z", "f1?*", "*"):
+        want = sorted(tuple(r) for r in plain.collect() if fnmatch(r["path"].rpartition("/")[2], glob))
+        for path in (str(top), f"file:{top}", f"file://{top}/"):
+            files = from_files(spark, path, glob)
+            got = sorted(tuple(r) for r in files.collect())
+            assert [r for r in got if r[1]] == want  # binaryFile passes over empty files
+            assert len(got) - len(want) == (0 if glob == "f1?*" else 4) and all(r[2] == b"" and r[0].endswith("/f0 [%].z") for r in got if not r[1])
+    assert files.rdd.getNumPartitions() == 8 * spark.sparkContext.defaultParallelism and not files.inputFiles()  # the driver knows none
+    assert from_files(spark, str(top), "*.{z,txt}").count() == 299 + 3 * 4 + 4
+
+
 def test_jobs_together(spark):
     from rillflow.plans.jobs import together
 
