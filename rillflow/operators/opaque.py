@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import asyncio
+import select
+import selectors
 import sys
+from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
@@ -20,6 +23,8 @@ from rillflow.operators import AsyncMap, Expand, FenceStage, Filter, Map, Stage,
 ROWS_OUT = 2048
 #: Items that the event loop is given at a time, batches that may wait for their last call, seconds between two switches of threads.
 HAND_OVER, MOST_WAITING, SWITCH_S = 16, 4, 0.0005
+#: Items that wait for a call to end, at most; shorter waits are timed finely, where the number of a file allows it.
+MOST_AHEAD, TIMELY_S, MOST_FILENO = 256, 0.01, 1024
 #: One item on its way: its input index, its error as (kind, msg) or None, its value.
 Item = tuple[object, tuple[str, str] | None, object]
 
@@ -51,30 +56,49 @@ def mapped(items: Iterator[Item], f: Callable, fallible: bool, threads: int) ->
                     yield from done
 
 
+class Timely(selectors.DefaultSelector):
+    """Waits no longer than it is told to: epoll counts in whole milliseconds, which a call that takes one waits up to twice."""
+
+    def select(self, timeout: float | None = None) -> list:
+        if timeout is not None and 0 < timeout < TIMELY_S and hasattr(self, "fileno") and self.fileno() < MOST_FILENO:
+            select.select([self.fileno()], [], [], timeout)
+            timeout = 0
+        return super().select(timeout)
+
+
 def awaited(items: Iterator[Item], f: Callable, in_flight: int, timeout: float | None = None, retries: int = 0, full: Callable[[], bool] = lambda: False) -> Iterator[Item]:
     """Results in the order in which calls end, with at most in_flight calls running at any time.
 
     Calls run in an event loop on a thread of its own, which goes on while items are fetched and results are used, so that a
-    slow call holds back nothing but itself. A call that fails, or takes longer than timeout seconds, is made again up to
-    retries times. No item is taken while `full` says so. The interpreter switches between the two threads more often meanwhile.
+    slow call holds back nothing but itself. As many items as may run, MOST_AHEAD at most, wait beside them, so that the loop begins
+    the next call when one ends and no thread waits for the other. A call that fails, or takes longer than timeout seconds, is made
+    again up to retries times. No item is taken while `full` says so. The interpreter switches between the two threads more often meanwhile.
     """
-    items, loop, ended, running, held = iter(items), asyncio.new_event_loop(), SimpleQueue(), 0, set()
+    items, loop, ended, running, held, ready = iter(items), asyncio.SelectorEventLoop(Timely()), SimpleQueue(), 0, set(), deque()
+    most, stopped = in_flight + min(in_flight, MOST_AHEAD), False
 
     async def one(item: Item) -> None:
         for left in range(retries, -1, -1):
             try:
                 value = await (f(item[2]) if timeout is None else asyncio.wait_for(f(item[2]), timeout))
-            except Exception as e:  # noqa: BLE001  raised where results are taken
-                if not left:
+            except BaseException as e:  # noqa: BLE001  raised where results are taken
+                if stopped:
+                    raise
+                if not left or not isinstance(e, Exception):
                     ended.put((item, e))
+                    return
             else:
                 ended.put(((item[0], None, value), None))
                 return
 
-    def begin(batch: list[Item]) -> None:
-        for item in batch:
-            held.add(task := loop.create_task(one(item)))
-            task.add_done_callback(held.discard)
+    def begin() -> None:
+        while ready and len(held) < in_flight and not stopped:
+            held.add(task := asyncio.Task(one(ready.popleft()), loop=loop, eager_start=True))
+            task.add_done_callback(next_one)
+
+    def next_one(task: asyncio.Task) -> None:
+        held.discard(task)
+        begin()
 
     async def stop() -> None:
         for task in (left := list(held)):
@@ -93,20 +117,23 @@ def awaited(items: Iterator[Item], f: Callable, in_flight: int, timeout: float |
     sys.setswitchinterval(SWITCH_S)
     try:
         while more or running:
-            while more and running < in_flight and not full():
-                batch = list(islice(items, min(HAND_OVER, in_flight - running)))
+            while more and running < most and not full():
+                batch = list(islice(items, min(HAND_OVER, most - running)))
                 more = bool(batch)
                 calls = [item for item in batch if item[1] is None]
-                loop.call_soon_threadsafe(begin, calls)
                 running += len(calls)
+                ready.extend(calls)
+                if len(held) < in_flight:  # else the next call to end begins one of them
+                    loop.call_soon_threadsafe(begin)
                 yield from (item for item in batch if item[1] is not None)
                 while not ended.empty():
                     running -= 1
                     yield taken()
-            if running:
+            for _ in range(max(1, ended.qsize()) if running else 0):
                 running -= 1
                 yield taken()
     finally:
+        stopped = True
         sys.setswitchinterval(interval)
         asyncio.run_coroutine_threadsafe(stop(), loop)
         thread.join()

@@ -89,18 +89,31 @@ def declared(df: DataFrame, stage: Stage) -> DataFrame:
     raise TypeError(f"unknown stage {stage!r}")
 
 
+def most_calling(config: PipelineConfig, cores: int) -> int | None:
+    """How many tasks may make calls, None if there may be as many as there are partitions."""
+    at_once = cores if config.async_workers is None else min(cores, config.async_workers)
+    return config.io_concurrency if config.io_concurrency < at_once else config.async_workers
+
+
 def with_calls(df: DataFrame, config: PipelineConfig) -> tuple[DataFrame, int]:
     """df in as many tasks as may make calls at once, and how many calls each of them may have in flight.
 
     The tasks at once are the cores that the session has when the plan is made; executors that come later add to the calls, and
     fewer partitions than cores take away from them.
     """
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    if config.async_workers is not None:
-        df, tasks = df.coalesce(config.async_workers), min(tasks, config.async_workers)
-    if config.io_concurrency < tasks:
-        df, tasks = df.coalesce(config.io_concurrency), config.io_concurrency
-    return df, config.io_concurrency // tasks
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    most = most_calling(config, cores)
+    return df if most is None else df.coalesce(most), config.io_concurrency // min(cores, most or cores)
+
+
+def dealt_to(tasks: int, stages: tuple[Stage, ...], config: PipelineConfig, cores: int) -> int:
+    """tasks, or as few as may make calls in the same pass: more would be put together to shares of one or two of them."""
+    for stage in stages:
+        if isinstance(stage, FenceStage) and stage.mode is Fence.BARRIER:
+            break
+        if isinstance(stage, AsyncMap):
+            return min(tasks, most_calling(config, cores) or tasks)
+    return tasks
 
 
 def undeclared(df: DataFrame, run: list[Stage], config: PipelineConfig) -> DataFrame:
@@ -140,8 +153,8 @@ def lowered(df: DataFrame, stages: tuple[Stage, ...], config: PipelineConfig) ->
         cores, dealt = df.sparkSession.sparkContext.defaultParallelism, known_partitions(df)
         df = df.repartition(cores * config.workload.value) if dealt is not None and dealt < cores else df
     elif config.compute_workers is not None or config.workload is not Workload.BALANCED:
-        wide = config.compute_workers or df.sparkSession.sparkContext.defaultParallelism
-        df = df.repartition(wide * config.workload.value)
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        df = df.repartition(dealt_to((config.compute_workers or cores) * config.workload.value, stages, config, cores))
     run: list[Stage] = []
     for stage in stages:
         apart = isinstance(stage, AsyncMap) and stage.columns

@@ -308,6 +308,42 @@ def test_time_limits_and_second_tries():
         list(awaited(((i, None, i) for i in range(40)), flaky, 8, timeout=0.05, retries=1))
 
 
+def test_short_calls_follow_each_other_closely():
+    async def short(x):
+        await asyncio.sleep(0.001)
+        return x
+
+    n, wide, took = 6000, 20, []
+    for _ in range(3):
+        begun = time.perf_counter()
+        assert len(list(awaited(((i, None, i) for i in range(n)), short, wide))) == n
+        took.append(time.perf_counter() - begun)
+    assert min(took) < 1.5 * n * 0.001 / wide
+
+
+def test_a_call_that_is_cancelled_fails_its_item():
+    async def call(x):
+        if x == 50:
+            raise asyncio.CancelledError("given up")
+        return x
+
+    got = []
+    thread = threading.Thread(target=lambda: got.append(pytest.raises(asyncio.CancelledError, list, awaited(((i, None, i) for i in range(100)), call, 4))), daemon=True)
+    thread.start()
+    thread.join(10)
+    assert got
+
+
+def test_rows_are_dealt_evenly_to_tasks_that_make_calls(spark):
+    async def same(x):
+        return x
+
+    rows = stream(spark.range(0, 3000, 1, 4).withColumnRenamed("id", "value"), seq="value").with_compute_pool(5).with_async_pool(3)
+    sizes = [r["count"] for r in rows.stage_async(same).to_df().groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 3000 and len(sizes) == 3 and max(sizes) < 1100
+    assert rows.fence().stage(lambda x: x).to_df().rdd.getNumPartitions() == 5
+
+
 def test_batches_wait_for_their_own_calls_only(spark):
     async def called(i):
         await asyncio.sleep(0.3 if i == 3 else 0.0005)
