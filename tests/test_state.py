@@ -135,3 +135,21 @@ def test_many_chunks_in_one_micro_batch(spark, tmp_path):
         run_by_rows(spark, place, rows(0, 1).schema, lambda df: df.select("value"), str(out), str(tmp_path / "others"), 25)
     with pytest.raises(ValueError):
         run_by_rows(spark, place, rows(0, 1).schema, lambda df: df, str(out), str(tmp_path / "others"), at_once=4)
+
+
+def test_keys_of_a_bucket_are_stepped_together(spark, tmp_path):
+    """Large integers beside nulls, text keys, null keys: told apart and exact, and few calls for many keys."""
+    big = (1 << 62) + 1
+    rows = [(None if u == 3 else f"u{u}", i, None if (u + i) % 5 == 0 else (-1) ** i * (big + u * 100 + i)) for u in range(3000) for i in range(4)]
+    df = spark.createDataFrame(rows, "user string, idx long, more long")
+    for k in range(2):
+        df.filter(F.col("idx") % 2 == 1 - k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    place = lambda name: str(tmp_path / name)
+    ordered = reorder_available(spark, place("in"), df.schema, "user", "idx", place("out"), place("offsets"), 1)
+    assert Counter(map(tuple, ordered.select("user", "idx", "more", "place", "flushed").collect())) == Counter((*r, r[1], False) for r in rows)
+    assert spark.read.format("statestore").load(place("offsets")).count() <= st.BUCKETS + 1
+    chunked = chunk_available(spark, place("in"), df.schema, "user", 3, "more", place("out3"), place("offsets3"), 1)
+    got = chunked.select("user", "idx", "more").collect()
+    assert Counter(map(tuple, got)) == Counter(rows)
+    sizes = Counter((r["user"], r["chunk"], r["flushed"]) for r in chunked.collect())
+    assert sizes == {(None if u == 3 else f"u{u}", c, c == 1): 1 if c else 3 for u in range(3000) for c in range(2)}
