@@ -54,6 +54,12 @@ def as_items(rows: Iterable[Row], df: DataFrame, by: tuple[str, ...] = ()) -> It
     return (r["value"] if names == ["value"] else tuple(r[n] for n in names) for r in rows)
 
 
+def iterated(df: DataFrame, by: tuple[str, ...], rows_each: int) -> Iterator:
+    """The items of df in the order of `by`, without it, a bounded part at a time."""
+    names = [n for n in item_columns(df) if n not in by]
+    return (item for item in in_order(df, by, rows_each, names))
+
+
 # -- from stages to a DataFrame -----------------------------------------------------------------------------------------
 
 
@@ -245,7 +251,7 @@ class Pipe(Builder):
         """
         out = self.to_df(keep_seq=True)
         by = (SEQ,) if SEQ in out.columns else ()
-        return as_items(in_order(out, by, rows_each), out, by)
+        return iterated(out, by, rows_each)
 
     def for_each(self, f: Callable) -> None:
         """Call f on each item where it is, in no order. A task that is tried again calls it again, so f must bear that."""
@@ -336,7 +342,7 @@ class TryPipe(Builder):
         error, done = tried(self.source, SEQ, ERR, lambda rows: lowered(rows, self.stages, self.config))
         if error is not None:
             raise PipelineError(error["kind"], error["msg"], error["seq"])
-        return (item for out in done for item in as_items(in_order(out.drop(ERR), (SEQ,), rows_each), out))
+        return (item for out in done for item in iterated(out.drop(ERR), (SEQ,), rows_each))
 
     def try_collect(self) -> list:
         """The values in input order, or PipelineError; see try_iterate. No value reaches the driver if there is an error."""
@@ -416,7 +422,7 @@ class StreamPipe(Builder):
     def iterate(self, rows_each: int = ROWS_EACH) -> Iterator:
         """As run, with rows_each items on the driver at a time; see Pipe.iterate."""
         out, by = self._done()
-        return as_items(in_order(out, by, rows_each), out, by)
+        return iterated(out, by, rows_each)
 
     def run(self) -> list:
         """The items, in input order if ordered. A cancelled run returns what had been done."""

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, ByteType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructType
 
 from rillflow.sources.folders import deleted, exists, fresh_folder, literal, named_files, written
 from rillflow.streaming.cancel import CancellationToken
 
 #: Rows of a stored file, which is what the driver holds of an ordered result at a time.
 ROWS_EACH = 100_000
+NUMBERS, PARTS_AHEAD = (BooleanType, ByteType, ShortType, IntegerType, LongType, FloatType, DoubleType), 6
 #: Least rows of a part of the input, parts for each core, bytes of one part, and how waves of parts grow.
 LEAST_ROWS, PARTS_EACH, PART_BYTES, GROWTH = 5000, 16, 128 << 20, 4
 
@@ -51,9 +56,44 @@ def sorted_parts(rows: DataFrame, by: tuple[str, ...], folder: str, parts: int |
     return parts_in_order(rows.sparkSession, folder)
 
 
-def in_order(df: DataFrame, by: tuple[str, ...], rows_each: int = ROWS_EACH) -> Iterator[Row]:
+def plain(schema: StructType, names: list[str], *types: type) -> bool:
+    """Whether columns are of types that Arrow gives as the same Python objects that rows hold."""
+    return all(isinstance(schema[n].dataType, (*NUMBERS, *types)) for n in names)
+
+
+def part_read(rows: DataFrame, names: list[str] | None) -> Iterator:
+    """What in_order gives of one part: rows, or items of columns, which then come as Arrow where their types allow it."""
+    if names is None:
+        return iter(rows.collect())
+    if plain(rows.schema, names, StringType):
+        return items_of(rows.select(*(f"`{n}`" for n in names)).toArrow())
+    return (r["value"] if names == ["value"] else tuple(r[n] for n in names) for r in rows.collect())
+
+
+def items_of(part: pa.Table) -> Iterator:
+    columns = [c.to_pylist() for c in part.columns]
+    return iter(columns[0]) if part.column_names == ["value"] else zip(*columns)
+
+
+def ahead(spark: SparkSession, schema: StructType, files: list[str], names: list[str]) -> Iterator:
+    """Items of numbers, file by file; the next PARTS_AHEAD files are fetched meanwhile, as Arrow, which is less than one as objects."""
+    fetched = inheritable_thread_target(spark)(lambda file: read(spark, schema, file).coalesce(1).select(*(f"`{n}`" for n in names)).toArrow())
+    with ThreadPoolExecutor(PARTS_AHEAD) as pool:
+        try:
+            held = deque(pool.submit(fetched, file) for file in files[:PARTS_AHEAD])
+            for file in [*files[PARTS_AHEAD:], *[None] * len(held)]:
+                part = held.popleft().result()
+                if file is not None:
+                    held.append(pool.submit(fetched, file))
+                yield from items_of(part)
+        finally:
+            pool.shutdown(cancel_futures=True)
+
+
+def in_order(df: DataFrame, by: tuple[str, ...], rows_each: int = ROWS_EACH, names: list[str] | None = None) -> Iterator:
     """The rows of df in the order of `by`, or in any if there is none; the driver holds rows_each at a time.
 
+    With names, the items of these columns instead: values where there is the one column `value`, else tuples.
     df is stored once, so that its stages run once, then by ranges; each file is a job of its own. What is stored goes at the end.
     """
     spark, schema = df.sparkSession, df.schema
@@ -62,11 +102,14 @@ def in_order(df: DataFrame, by: tuple[str, ...], rows_each: int = ROWS_EACH) ->
         df.write.option("maxRecordsPerFile", rows_each).option("compression", "zstd").parquet(whole)
         rows = read(spark, schema, whole)
         if by and rows.count() <= rows_each:
-            yield from sorted(rows.collect(), key=lambda r: tuple((r[n] is not None, r[n]) for n in by))
+            yield from part_read(rows.coalesce(1).sortWithinPartitions(*by), names)
             return
         files = sorted_parts(rows, by, ranged, rows_each=rows_each) if by else parts_in_order(spark, whole)
+        if names and plain(schema, names):
+            yield from ahead(spark, schema, files, names)
+            return
         for file in files:
-            yield from read(spark, schema, file).coalesce(1).collect()
+            yield from part_read(read(spark, schema, file).coalesce(1), names)
     finally:
         deleted(spark, [whole, ranged])
 

@@ -144,6 +144,29 @@ def test_iterators_in_order(spark, rows_each):
     assert list(pipe([], spark, schema="value long").iterate(rows_each)) == []
 
 
+def test_parts_of_numbers_are_fetched_ahead_and_in_order(spark, monkeypatch):
+    from rillflow.plans import results
+
+    plain, at_once, most = results.read, [0], [0]
+
+    def slow(session, schema, *paths):
+        at_once[0] += 1
+        most[0] = max(most[0], at_once[0])
+        time.sleep(0.1)
+        at_once[0] -= 1
+        return plain(session, schema, *paths)
+
+    monkeypatch.setattr(results, "read", slow)
+    df = spark.range(1000).selectExpr("id value", "IF(id % 3 = 0, NULL, id / 4) more", "id % 2 = 0 even").repartition(6)
+    want = [(None if x % 3 == 0 else x / 4, x % 2 == 0) for x in range(1000)]
+    assert list(pipe(df, seq="value").map({"more": "more", "even": "even"}).iterate(50)) == want
+    assert 1 < most[0] <= 6
+    text = pipe(df, seq="value").map({"t": "concat('t', value)", "d": "date_add(date'2020-01-01', int(value))"}).iterate(400)
+    assert [t for t, _ in text] == [f"t{x}" for x in range(1000)]
+    some = pipe(df, seq="value").map("value * 2").iterate(50)
+    assert [next(some) for _ in range(60)] == [2 * x for x in range(60)]
+
+
 def test_what_an_iterator_stored_goes_with_it(spark):
     top = spark.conf.get("spark.checkpoint.dir")
     before = set(os.listdir(top))
