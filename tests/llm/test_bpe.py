@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -62,6 +63,55 @@ def test_other_ranks_by_rescanning():
             assert own.merged(piece) == want
 
 
+def test_many_pretokens_in_one_queue():
+    """Pairs across two pre-tokens are none, and each pre-token's merges are those it has alone, whatever the order of ranks."""
+    rng = random.Random(11)
+    for _ in range(60):
+        pieces = [bytes([k]) for k in range(256)]
+        while len(pieces) < 300:
+            new = rng.choice([b"\0", *pieces[97:100], *pieces[256:]]) + rng.choice([b"\0", *pieces[97:100], *pieces[256:]])
+            if new not in pieces:
+                pieces.append(new)
+        ranks = dict(zip(pieces, [*range(256), *rng.sample(range(256, 300), 44)]))
+        some = [bytes(rng.choice(b"\0abc") for _ in range(rng.randrange(1, 30))) for _ in range(80)]
+        got = [memoryview(ids).cast("i").tolist() for ids in bpe.Vocabulary(ranks, r"\w+|\W")._merged(some)]
+        assert got == [[ranks[piece]] if piece in ranks else slow_merge(ranks, piece) for piece in some]
+
+
+def test_new_pretokens_share_a_queue(monkeypatch, library):
+    own, queues = bpe.Vocabulary(bpe.vocabulary(bpe.DEFAULT_VOCABULARY).ranks, library._pat_str), []
+    monkeypatch.setattr(own, "_merged_together", lambda pieces, f=own._merged_together: queues.append(len(pieces)) or f(pieces))
+    texts = [" ".join(f"qzx{k}vjw{k % 7}kfp" for k in range(at, at + 100)) for at in range(20)]
+    assert [memoryview(ids).cast("i").tolist() for ids in own.encoded(texts)] == list(map(library.encode_ordinary, texts))
+    assert len(queues) <= 2
+
+
+def test_texts_longer_than_are_taken_at_a_time(monkeypatch, library):
+    monkeypatch.setattr(bpe, "CHARACTERS", 50)
+    monkeypatch.setattr(bpe, "PIECES", 7)
+    own = bpe.Vocabulary(bpe.vocabulary(bpe.DEFAULT_VOCABULARY).ranks, library._pat_str)
+    texts = ["", "short one", " ".join(f"wörd{k}" for k in range(90)), "x" * 300, "", "last one"]
+    assert [memoryview(ids).cast("i").tolist() for ids in own.encoded(texts)] == list(map(library.encode_ordinary, texts))
+
+
+def test_bytes_without_an_id():
+    own = bpe.Vocabulary({b"a": 0, b"bc": 1}, r"\w+|\W")
+    assert own.merged(b"abc") == [0, 1]
+    with pytest.raises(KeyError):
+        own.merged(b"ab")
+
+
+def test_ids_that_spell_nothing():
+    own = bpe.vocabulary(bpe.DEFAULT_VOCABULARY)
+    lists = pa.array([[5], None, [], own.encode("one é two")], pa.list_(pa.int32()))
+    assert own.decoded(lists).to_pylist() == [own.decode([5]), b"", b"", "one é two".encode()]
+    assert own.decoded(lists.slice(3)).to_pylist() == ["one é two".encode()] and own.decoded(lists.slice(1, 2)).to_pylist() == [b"", b""]
+    assert own.decoded(lists[:0]).to_pylist() == []
+    for wrong in (-1, 1 << 20, None):
+        with pytest.raises((IndexError, ValueError)):
+            own.decoded(pa.array([[wrong]], pa.list_(pa.int32())))
+
+
 def test_too_many_ranks():
     with pytest.raises(ValueError):
         bpe.Vocabulary({bytes([k]): k for k in range(256)} | {b"ab": bpe.WORD_BITS**2}, r"\w+")
